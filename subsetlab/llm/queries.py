@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subsetlab.llm import bpe, packing, shared, token_files
+from subsetlab.llm import bpe, packing, shared, substring_dedup, suffix_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Tokens in a packed sequence.
@@ -44,8 +44,22 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50)
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_pack": op1_pack, "op2_token_files": op2_token_files, "op3_bpe": op3_bpe}
+    return {
+        "op1_pack": op1_pack,
+        "op2_token_files": op2_token_files,
+        "op3_bpe": op3_bpe,
+        "op4_suffix_dedup": op4_suffix_dedup,
+        "op8_substring_dedup": op8_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
