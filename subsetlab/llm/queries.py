@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subsetlab.llm import bpe, packing, shared, substring_dedup, suffix_dedup, token_files
+from subsetlab.llm import bpe, packing, shared, simhash, substring_dedup, suffix_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Tokens in a packed sequence.
@@ -52,6 +52,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=13)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words_in_shingle=4, radius=4)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pack": op1_pack,
@@ -59,6 +63,7 @@ def queries() -> dict[str, Query]:
         "op3_bpe": op3_bpe,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op8_substring_dedup": op8_substring_dedup,
+        "op10_simhash": op10_simhash,
     }
 
 
