@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subsetlab.llm import bpe, packing, shared, simhash, substring_dedup, suffix_dedup, token_files
+from subsetlab.llm import bpe, packing, quality, secret_scan, shared, simhash, substring_dedup, suffix_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Tokens in a packed sequence.
@@ -48,6 +48,20 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    kinds = F.transform("found", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, k)) for k in range(3)]
+    counts = [(F.size("found") - n).cast("long").alias(f"n_{x}") for n, x in zip(counts, secret_scan.KINDS, strict=False)]
+    base = F.filter("found", lambda s: s["kind"] < 3)
+    digest = F.sha2(secret_scan.listed(base), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, secret_scan.listed(F.col("found")).alias("spans"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=13)
 
@@ -62,6 +76,8 @@ def queries() -> dict[str, Query]:
         "op2_token_files": op2_token_files,
         "op3_bpe": op3_bpe,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_secret_scan": op5_secret_scan,
+        "op6_quality": op6_quality,
         "op8_substring_dedup": op8_substring_dedup,
         "op10_simhash": op10_simhash,
     }
