@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subsetlab.llm import bpe, packing, quality, secret_scan, shared, simhash, substring_dedup, suffix_dedup, token_files
+from subsetlab.llm import ann, bpe, packing, quality, secret_scan, shared, simhash, substring_dedup, suffix_dedup, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Tokens in a packed sequence.
@@ -62,10 +62,26 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+#: Rules of host and path, by what they say.
+URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled through the document of its number: bad if that is toxic or of low quality."""
+    labels = table(spark, sf_dir, "labels")
+    bad = ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad")
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=13)
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words_in_shingle=4, radius=4)
 
@@ -78,7 +94,9 @@ def queries() -> dict[str, Query]:
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_secret_scan": op5_secret_scan,
         "op6_quality": op6_quality,
+        "op7_url_filter": op7_url_filter,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_nearest": op9_nearest,
         "op10_simhash": op10_simhash,
     }
 
