@@ -29,6 +29,10 @@ _rng = np.random.Generator(np.random.PCG64(20240608))
 FACTOR = _rng.integers(1, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1)
 
 
+#: Shares of a shard's anchors that are worked on one after the other, which bounds an automaton's memory.
+SHARES = 16
+
+
 class SuffixAutomaton:
     """The automaton of several sequences, built sequence by sequence, symbol by symbol."""
 
@@ -117,21 +121,28 @@ class WordWindows:
         text_of = dict(zip(pick.tolist(), texts, strict=True))
 
         def pack(chosen: np.ndarray, ids: np.ndarray, row: np.ndarray) -> bytes:
-            """Pack blocks: doc_ids, rows, first windows, and texts with line ends between (words hold none)."""
+            """Pack blocks: doc_ids, rows, first windows, shares, and texts with line ends between (words hold none)."""
             start = (b.start[chosen] - b.first[b.text[chosen]]).astype(np.uint32)
+            share = (b.hashes[chosen] % np.uint64(SHARES)).astype(np.uint8)
             lines = b"\n".join([text_of[x] for x in chosen.tolist()])
-            return struct.pack("<Q", len(chosen)) + ids.astype(np.int64).tobytes() + row.astype(np.uint32).tobytes() + start.tobytes() + lines
+            return struct.pack("<Q", len(chosen)) + ids.astype(np.int64).tobytes() + row.astype(np.uint32).tobytes() + start.tobytes() + share.tobytes() + lines
 
         return pick[stay], pick[~stay], pack
 
     def resolve(self, runs: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, int, int]]:
-        blocks: list[tuple[int, int, int, int, bytes]] = []
-        for bucket, data in runs:
-            (n,) = struct.unpack_from("<Q", data)
-            ids = np.frombuffer(data, np.int64, n, 8).tolist()
-            rows, starts = (np.frombuffer(data, np.uint32, n, 8 + k * n).tolist() for k in (8, 12))
-            blocks += zip(ids, [bucket] * n, rows, starts, data[8 + 16 * n :].split(b"\n"), strict=True)
-        blocks.sort()
+        for share in range(SHARES):
+            blocks: list[tuple[int, int, int, int, bytes]] = []
+            for bucket, data in runs:
+                (n,) = struct.unpack_from("<Q", data)
+                own = np.flatnonzero(np.frombuffer(data, np.uint8, n, 8 + 16 * n) == share).tolist()
+                ids, texts = np.frombuffer(data, np.int64, n, 8)[own].tolist(), data[8 + 17 * n :].split(b"\n")
+                rows, starts = (np.frombuffer(data, np.uint32, n, 8 + k * n)[own].tolist() for k in (8, 12))
+                blocks += zip(ids, [bucket] * len(own), rows, starts, [texts[i] for i in own], strict=True)
+            blocks.sort()
+            yield from self._stream(blocks)
+
+    def _stream(self, blocks: list[tuple[int, int, int, int, bytes]]) -> Iterator[tuple[int, int, int, int]]:
+        """Stream blocks in the order of their doc_ids through the automaton of the smaller ones."""
         automaton, numbers = SuffixAutomaton(), {}
         waiting: list[list[int]] = []
         previous = None
