@@ -112,17 +112,23 @@ def keys(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> HALF) * np.uint64(ranges) >> HALF << HALF) | (hashes & LOW)
 
 
-def ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    """Return the rows with a doc_id in the order of (doc_id, text): the same in every step."""
+def in_order(table: pa.Table) -> tuple[list, list[bytes], list[int]]:
+    """Return doc_ids and texts, and the places of rows with a doc_id by (doc_id, text): the same in every step."""
     ids = table.column("doc_id").to_pylist()
     texts = [x or b"" for x in table.column("text").cast(pa.large_binary()).to_pylist()]
     order = sorted((i for i in range(len(ids)) if ids[i] is not None), key=lambda i: (ids[i], texts[i]))
+    return ids, texts, order
+
+
+def ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+    ids, texts, order = in_order(table)
     return np.array([ids[i] for i in order], dtype=np.int64), [texts[i] for i in order]
 
 
-def by_bucket(docs: DataFrame, mb: int = 16) -> tuple[DataFrame, int]:
-    """Return doc_id, text and bucket of every row, and the number of buckets."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def by_bucket(docs: DataFrame, carry: list[str] | None = None, mb: int = 16) -> tuple[DataFrame, int]:
+    """Return doc_id, text, bucket, and as ``rest`` the columns in ``carry`` of every row, and the number of buckets."""
+    rest = [F.struct(*carry).alias("rest")] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
     n = bucket_count(rows, "text", mb)
     return rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), n
 
@@ -247,22 +253,24 @@ def merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
 
 
 def remove_spans(rows: DataFrame, spans: DataFrame, finish: Callable[[list, list[bytes], list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
-    """Give ``finish`` doc_ids, texts and their spans (n x 2) of a bucket; rows without a doc_id have no spans."""
+    """Give ``finish`` doc_ids, texts and their spans (n x 2) of a bucket; rows without a doc_id have no spans.
+
+    A column ``rest`` of the rows is added to what it returns.
+    """
+    carries = "rest" in rows.columns
 
     def run(key: tuple, table: pa.Table, spans: pa.Table) -> pa.Table:
-        doc_ids, texts = ordered(table)
-        every: list = doc_ids.tolist()
-        blank = [i for i, x in enumerate(table.column("doc_id").to_pylist()) if x is None]
-        own: list[np.ndarray] = [np.zeros((0, 2), np.int64)] * len(every)
+        ids, texts, order = in_order(table)
+        order = order + [i for i, x in enumerate(ids) if x is None]
+        own: list[np.ndarray] = [np.zeros((0, 2), np.int64)] * len(ids)
         if spans.num_rows:
             row, start, stop = (np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) for x in spans.column(c).to_pylist()]) for c in ("row", "start", "stop"))
             row, start, stop = merged(row, start, stop)
             cut = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row))
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 own[row[a]] = np.stack([start[a:b], stop[a:b]], axis=1)
-        if blank:
-            other = [x or b"" for x in table.column("text").take(pa.array(blank)).cast(pa.large_binary()).to_pylist()]
-            every, texts, own = every + [None] * len(other), texts + other, own + [np.zeros((0, 2), np.int64)] * len(other)
-        return finish(every, texts, own)
+        out = finish([ids[i] for i in order], [texts[i] for i in order], own)
+        return out.append_column("rest", table.column("rest").take(pa.array(order, pa.int64()))) if carries else out
 
-    return rows.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(run, schema)
+    kind = f", rest {rows.schema['rest'].dataType.simpleString()}" if carries else ""
+    return rows.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(run, schema + kind)

@@ -209,16 +209,16 @@ class ByteWindows:
                         yield bucket, row, start + x, start + x + self.window
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Remove each byte that a ``window``-byte string covers which also starts in a document with a smaller doc_id.
 
     Return per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
     kept_sha256 (of the remaining bytes), with ``with_text`` also kept (binary: a cut may fall inside a character)
     and spans (array of start and stop). Strings are judged on the input. A null text is empty. Rows with a null
     doc_id take no part and stay whole. Rows with the same doc_id remove nothing of each other. Texts shorter than
-    the window stay. Further columns are left out.
+    the window stay. Columns in ``carry`` come back in a struct ``rest``; others are left out.
     """
-    rows, n = by_bucket(docs)
+    rows, n = by_bucket(docs, carry)
     spans = duplicate_spans(rows, ByteWindows(window), n)
 
     def finish(doc_ids: list, texts: list[bytes], spans: list[np.ndarray]) -> pa.Table:
