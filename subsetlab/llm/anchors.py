@@ -23,6 +23,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,6 +183,7 @@ def duplicate_spans(rows: DataFrame, scheme: Scheme, ranges: int) -> DataFrame:
         known = np.concatenate([np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(r) << HALF for r, x, _ in parts])
         known_hot = np.concatenate([np.frombuffer(x, bool) for _, _, x in parts])
         out: list[tuple] = []
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         gone: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at, part in in_portions(texts):
             b = find_blocks(scheme, part)
@@ -212,7 +214,7 @@ def duplicate_spans(rows: DataFrame, scheme: Scheme, ranges: int) -> DataFrame:
                 cut = np.append(np.flatnonzero(np.diff(where[order], prepend=-1)), len(order))
                 for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                     own = go[order[x:y]]
-                    out.append((int(where[order[x]]), key[0].as_py(), pack(own, doc_ids[at + b.text[own]], at + b.text[own]), None, None, None))
+                    out.append((int(where[order[x]]), key[0].as_py(), squeeze(pack(own, doc_ids[at + b.text[own]], at + b.text[own])), None, None, None))
         if gone:
             row, start, stop = merged(*(np.concatenate(x) for x in zip(*gone, strict=True)))
             out.append((key[0].as_py() % ranges, key[0].as_py(), None, *(x.astype(np.uint32).tobytes() for x in (row, start, stop))))
@@ -221,7 +223,8 @@ def duplicate_spans(rows: DataFrame, scheme: Scheme, ranges: int) -> DataFrame:
     def settle(key: tuple, table: pa.Table) -> pa.Table:
         columns = {x: table.column(x).to_pylist() for x in ("bucket", "blocks", "row", "start", "stop")}
         out = [x for x in zip(*(columns[c] for c in ("bucket", "row", "start", "stop")), strict=True) if x[1] is not None]
-        runs = [(x, y) for x, y in zip(columns["bucket"], columns["blocks"], strict=True) if y is not None]
+        open_up = zstandard.ZstdDecompressor().decompress
+        runs = [(x, open_up(y)) for x, y in zip(columns["bucket"], columns["blocks"], strict=True) if y is not None]
         spans: dict[int, list[tuple[int, int, int]]] = {}
         for bucket, row, start, stop in scheme.resolve(runs):
             spans.setdefault(bucket, []).append((row, start, stop))

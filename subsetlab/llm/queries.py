@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subsetlab.llm import ann, bpe, packing, quality, secret_scan, shared, simhash, substring_dedup, suffix_dedup, token_files, url_filter
+from subsetlab.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Tokens in a packed sequence.
@@ -26,7 +27,7 @@ def vocabulary() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
