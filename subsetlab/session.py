@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -15,11 +17,13 @@ def ship(spark: SparkSession) -> SparkSession:
     if getattr(context, "_subsetlab_shipped", False):
         return spark
     root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        archive = Path(folder) / "subsetlab.zip"
-        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-            for path in sorted(root.rglob("*.py")):
-                out.write(path, str(path.relative_to(root.parent)))
-        context.addPyFile(str(archive))
+    # Executors fetch the archive when their first task runs, so it stays until the driver ends.
+    folder = tempfile.mkdtemp(prefix="subsetlab-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "subsetlab.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, str(path.relative_to(root.parent)))
+    context.addPyFile(str(archive))
     context._subsetlab_shipped = True
     return spark
