@@ -48,7 +48,8 @@ ALPHABETS = (
 REJECT = 0.001
 ORDINARY_MATCH = 1 / 12
 ORDINARY_CHANGE = 0.15
-RATE = 0.01
+#: Clean texts matter more than the last secret, and random tokens lie far beyond it.
+RATE = 1e-6
 #: First lengths of the ranges in which false discoveries are controlled.
 LENGTHS = (20, 24, 32, 40, 64, 128)
 #: Bins of p-values: tenths of powers of ten.
@@ -110,15 +111,17 @@ def assess(tokens: DataFrame) -> DataFrame:
     kinds = F.transform("symbols", lambda s: F.when(s.rlike("[0-9]"), 0).when(s.rlike("[a-z]"), 1).when(s.rlike("[A-Z]"), 2).otherwise(3))
     df = df.withColumn("kinds", kinds)
 
-    def changes(column: str) -> Column:
-        pairs = F.zip_with(F.slice(column, 2, F.size(column)), column, lambda a, b: F.coalesce((a != b).cast("double"), F.lit(0.0)))
+    def changes(column: str, most: int = 1) -> Column:
+        """Count neighbours that differ, both at most ``most``: marks join the words of ordinary names."""
+        unlike = lambda a, b: F.coalesce(((a != b) & (a <= most) & (b <= most)).cast("double"), F.lit(0.0))
+        pairs = F.zip_with(F.slice(column, 2, F.size(column)), column, unlike)
         return F.aggregate(pairs, F.lit(0.0), lambda a, v: a + v)
 
     square = F.aggregate("c", F.lit(0.0), lambda a, v: a + v * v)
     product = F.zip_with(F.slice("c", 2, F.size("c")), "c", lambda a, b: F.coalesce(a * b, F.lit(0.0)))
     df = df.withColumn("serial", F.aggregate(product, F.lit(0.0), lambda a, v: a + v) / F.greatest(square, F.lit(1e-9)))
     ones = F.aggregate("high", F.lit(0.0), lambda a, v: a + v)
-    df = df.withColumn("ones", ones).withColumn("runs", changes("high") + 1).withColumn("turns", changes("kinds"))
+    df = df.withColumn("ones", ones).withColumn("runs", changes("high") + 1).withColumn("turns", changes("kinds", 2))
     n, k = F.col("n"), F.col("k")
     chi = k / n * (2 * F.col("pairs") + n) - n
     z_chi = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
@@ -164,8 +167,9 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     found is an array of (start, kind, end), in characters, end exclusive, by start and then kind (a place in KINDS).
     The base kinds follow their patterns alone. Random tokens don't overlap base spans. A null text holds nothing.
-    Rows need no key: null doc_ids, repeated rows and any further columns are allowed.
+    Rows need no key: null doc_ids, repeated rows and any further columns are allowed; one named found is replaced.
     """
+    columns = [c for c in keep or docs.columns if c != "found"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # Most texts hold nothing: a first look at each pattern is cheaper than taking the text apart.
     assign = F.when(text.rlike(ASSIGN), spans(text, ASSIGN, 6, 2, 0)).otherwise(_none())
@@ -173,7 +177,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     hexes = F.when(text.rlike(HEX), spans(text, HEX, 24, 0, 2)).otherwise(_none())
     tokens = F.when(text.rlike(BLEND), spans(text, TOKEN, 20, 0, 3)).otherwise(_none())
     base = F.transform(F.array_sort(F.concat(assign, access, hexes)), lambda s: F.struct(s["start"], s["kind"], s["end"]))
-    df = docs.select(F.struct(*(keep or docs.columns)).alias("row"), base.alias("base"), tokens.alias("tokens"))
+    df = docs.select(F.struct(*columns).alias("row"), base.alias("base"), tokens.alias("tokens"))
 
     def candidate(s: Column) -> Column:
         # Ordinary long words have one kind of character.
