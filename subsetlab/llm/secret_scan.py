@@ -49,7 +49,7 @@ REJECT = 0.001
 ORDINARY_MATCH = 1 / 12
 ORDINARY_CHANGE = 0.15
 #: Clean texts matter more than the last secret, and random tokens lie far beyond it.
-RATE = 1e-6
+RATE = 1e-5
 #: First lengths of the ranges in which false discoveries are controlled.
 LENGTHS = (20, 24, 32, 40, 64, 128)
 #: Bins of p-values: tenths of powers of ten.
