@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subsetlab.llm.shared import bucket_count
+from subsetlab.llm.shared import bucket_count, give_back
 from subsetlab.llm.words import mixed
 
 #: Documents that share an anchor, above which its blocks are taken apart into windows.
@@ -137,7 +137,7 @@ def by_bucket(docs: DataFrame, carry: list[str] | None = None, mb: int = 16) ->
 def duplicate_spans(rows: DataFrame, scheme: Scheme, ranges: int) -> DataFrame:
     """Return (bucket, row, start, stop): little-endian uint32 arrays of the spans, in units, that rows of a bucket lose."""
 
-    def offer(key: tuple, table: pa.Table) -> pa.Table:
+    def offer_of(key: tuple, table: pa.Table) -> pa.Table:
         doc_ids, texts = ordered(table)
         found, owner = [], []
         for at, part in in_portions(texts):
@@ -175,7 +175,7 @@ def duplicate_spans(rows: DataFrame, scheme: Scheme, ranges: int) -> DataFrame:
             at += len(own)
         return pa.table([list(x) for x in zip(*out, strict=True)] if out else [[]] * 4, schema=ANSWER)
 
-    def send(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+    def send_of(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows or not answers.num_rows:
             return SENT.empty_table()
         doc_ids, texts = ordered(table)
@@ -220,7 +220,7 @@ def duplicate_spans(rows: DataFrame, scheme: Scheme, ranges: int) -> DataFrame:
             out.append((key[0].as_py() % ranges, key[0].as_py(), None, *(x.astype(np.uint32).tobytes() for x in (row, start, stop))))
         return pa.table([list(x) for x in zip(*out, strict=True)] if out else [[]] * 6, schema=SENT)
 
-    def settle(key: tuple, table: pa.Table) -> pa.Table:
+    def settle_of(key: tuple, table: pa.Table) -> pa.Table:
         columns = {x: table.column(x).to_pylist() for x in ("bucket", "blocks", "row", "start", "stop")}
         out = [x for x in zip(*(columns[c] for c in ("bucket", "row", "start", "stop")), strict=True) if x[1] is not None]
         open_up = zstandard.ZstdDecompressor().decompress
@@ -232,6 +232,15 @@ def duplicate_spans(rows: DataFrame, scheme: Scheme, ranges: int) -> DataFrame:
             out.append((bucket, *(x.astype(np.uint32).tobytes() for x in merged(*np.array(own, dtype=np.int64).T))))
         return pa.table([list(x) for x in zip(*out, strict=True)] if out else [[]] * 4, schema=SPANS)
 
+    def offer(key: tuple, table: pa.Table) -> pa.Table:
+        return give_back(offer_of(key, table))
+
+    def send(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        return give_back(send_of(key, table, answers))
+
+    def settle(key: tuple, table: pa.Table) -> pa.Table:
+        return give_back(settle_of(key, table))
+
     offered = rows.groupBy("bucket").applyInArrow(offer, "range int, bucket int, low binary, docs binary")
     answered = offered.groupBy("range").applyInArrow(answer, "bucket int, range int, low binary, hot binary")
     sent = rows.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(send, "range int, bucket int, blocks binary, row binary, start binary, stop binary")

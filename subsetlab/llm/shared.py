@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
@@ -69,6 +71,13 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def give_back(result=None):
+    """Return memory that this worker has freed to the system, and ``result``: a worker waits for long between tasks."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    return result
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``work`` to every Arrow batch of ``df``."""
     bounded_batches(df.sparkSession)
@@ -78,5 +87,6 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
             out = work(batch)
             if out is not None and out.num_rows:
                 yield out
+        give_back()
 
     return df.mapInArrow(run, schema)

@@ -17,13 +17,13 @@ import numpy as np
 from subsetlab.llm.words import ragged, split_words
 
 #: A worker's table has 2^SLOT_BITS slots, of which half are used at most.
-SLOT_BITS = 21
+SLOT_BITS = 20
 #: A piece of Latin letters and then marks: pre-tokens are the letters, and the marks if there are any.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&]*)")
 
 
 #: Cores whose ids one worker keeps.
-CORES = 600_000
+CORES = 250_000
 
 
 class PieceEncoder:
