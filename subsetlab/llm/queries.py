@@ -102,5 +102,53 @@ def queries() -> dict[str, Query]:
     }
 
 
+#: The bytes of every text in portions, the 50-byte strings that start in them, and what they cover.
+OP4_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b FROM documents),
+c AS (SELECT r, doc_id, j * 512 AS base, hex(array_slice(b, j * 512 + 1, j * 512 + 561)) AS h, octet_length(b) AS n FROM (SELECT *, unnest(range(0, (octet_length(b) + 511) // 512)) AS j FROM d)),
+o AS (SELECT r, doc_id, base + i AS i, substr(h, 2 * i + 1, 100) AS win, substr(h, 2 * i + 1, 2) AS x FROM (SELECT *, unnest(range(0, least(512, n - base))) AS i FROM c)),
+f AS (SELECT r, x, i, CASE WHEN length(win) = 100 AND min(doc_id) OVER (PARTITION BY win) < doc_id THEN 1 ELSE 0 END AS dup FROM o),
+g AS (SELECT r, x, i, max(dup) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS away FROM f),
+e AS (SELECT r, x, i, away, lag(away, 1, 0) OVER (PARTITION BY r ORDER BY i) AS before FROM g),
+s AS (SELECT r, sum(away) AS c, count(*) FILTER (WHERE away = 1 AND before = 0) AS spans, coalesce(string_agg(x, '' ORDER BY i) FILTER (WHERE away = 0), '') AS kept FROM e GROUP BY 1)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(c, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN s USING (r)
+"""
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {WORDS_SQL} AS w FROM documents),
+o AS (SELECT r, doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT r, doc_id, x, i, count(*) OVER ahead AS m, string_agg(x, ' ') OVER ahead AS win FROM o WINDOW ahead AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+f AS (SELECT r, x, i, CASE WHEN m = 13 AND min(doc_id) OVER (PARTITION BY win) < doc_id THEN 1 ELSE 0 END AS dup FROM k),
+g AS (SELECT r, x, i, max(dup) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS away FROM f),
+s AS (SELECT r, count(*) AS n, sum(away) AS c, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE away = 0), '') AS kept FROM g GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_words, CAST(coalesce(c, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (r)
+"""
+
+
+def op6_sql() -> str:
+    """Return the quality rules in SQL: n-grams as joined words, repeats by their number in a text."""
+    sizes = list(quality.SHARES)
+    frame = "PARTITION BY r ORDER BY i ROWS BETWEEN"
+    grams = ", ".join(f"CASE WHEN count(*) OVER ({frame} CURRENT ROW AND {n - 1} FOLLOWING) = {n} THEN string_agg(x, ' ') OVER ({frame} CURRENT ROW AND {n - 1} FOLLOWING) END AS g{n}" for n in sizes)
+    again = ", ".join(f"CAST(g{n} IS NOT NULL AND row_number() OVER (PARTITION BY r, g{n} ORDER BY i) > 1 AS INT) AS a{n}" for n in sizes)
+    cover = ", ".join(f"max(a{n}) OVER ({frame} {n - 1} PRECEDING AND CURRENT ROW) AS c{n}" for n in sizes)
+    shares = ", ".join(f"coalesce(CAST(sum(length(x)) FILTER (WHERE c{n} = 1) AS DOUBLE), 0) / sum(length(x)) AS share_{n}" for n in sizes)
+    out = ", ".join(f"coalesce(share_{n}, 0) AS share_{n}" for n in sizes)
+    bad = " OR ".join(f"share_{n} > {most}e0" for n, most in quality.SHARES.items())
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text, {WORDS_SQL} AS w FROM documents),
+o AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT r, x, i, {grams} FROM o),
+f AS (SELECT r, x, i, CAST(g5 IS NOT NULL AND count(*) OVER (PARTITION BY r, g5) > 1 AS INT) AS b5, {again} FROM k),
+g AS (SELECT r, x, i, max(b5) OVER ({frame} 4 PRECEDING AND CURRENT ROW) AS repeat, {cover} FROM f),
+s AS (SELECT r, count(*) AS n, CAST(sum(length(x)) AS BIGINT) AS chars, CAST(sum(repeat) AS BIGINT) AS repeats, {shares} FROM g GROUP BY 1),
+l AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+m AS (SELECT r, len(lines) - len(list_distinct(lines)) AS dup, CASE WHEN len(lines) > len(list_distinct(lines)) THEN 1 - CAST(list_sum(list_transform(list_distinct(lines), lambda x: length(x))) AS DOUBLE) / list_sum(list_transform(lines, lambda x: length(x))) ELSE 0 END AS line_share FROM l),
+v AS (SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(chars, 0) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines, coalesce(repeats, 0) AS n_repeat_words, CAST(line_share AS DOUBLE) AS line_share, {out} FROM d LEFT JOIN s USING (r) LEFT JOIN m USING (r))
+SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR line_share > {quality.LINE_SHARE}e0 OR {bad}) AS kept FROM v
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what it can express: it has no tokenizer, no XXH64, and none of the methods' own judgements."""
+    return {"op4_suffix_dedup": OP4_SQL, "op6_quality": op6_sql(), "op8_substring_dedup": OP8_SQL}
