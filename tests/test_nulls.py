@@ -59,7 +59,8 @@ def test_cells():
             for made in (nulls.metric_cells(metric, n), nulls.test_cells(metric, n)):
                 assert sum(c[3] for c in made) == pytest.approx(1)
                 assert all(a[2] + 1 == b[1] for a, b in zip(made, made[1:], strict=False))
-                if len(made) > 1 and metric != "consecutive":
+                # Of few draws no single value may have enough expected: then the last one stands alone.
+                if len(made) > 1 and metric != "consecutive" and n >= 500:
                     assert made[0][3] * n >= 5 and made[-1][3] * n >= 5
 
 
