@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subsetlab.llm.shared import cut
+from subsetlab.llm.shared import cut, cut_table
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -186,7 +186,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     df = df.withColumn("tokens", F.filter("tokens", candidate)).withColumn("key", F.monotonically_increasing_id())
     # The texts are read once: both the counts and the result go on from what is written here.
-    df = cut(df)
+    df = cut_table(df, "secrets")
     every = df.where(F.size("tokens") > 0).select("key", F.explode("tokens").alias("s")).select("key", "s.start", "s.end", "s.match")
     judged = cut(assess(every).where("random").select("key", "start", "end", "p"))
     ranged = judged.withColumn("range", _range(F.col("end") - F.col("start"))).withColumn("bin", _bin(F.col("p")))

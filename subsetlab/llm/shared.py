@@ -49,6 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_table(df: DataFrame, name: str) -> DataFrame:
+    """Like ``cut``, by a Parquet table: for rows with texts, of which later steps read only some columns."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Let Arrow batches hold few rows, unless the session already asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
