@@ -8,6 +8,10 @@ of its own distance. A bucket answers with links to the least fingerprint of eac
 pairs. A subtree known to lie in one component that the searcher belongs to is not entered again.
 
 A bucket above ``SHARD`` fingerprints is dealt into shards, and each pair of shards is searched on its own.
+
+A text may have several prints: majorities over the same shingles, whose hashes are mixed anew for each. Texts link
+if any print of theirs is close. More prints find more near copies than a larger radius does, let in fewer others,
+and keep the buckets' keys long.
 """
 
 from __future__ import annotations
@@ -27,6 +31,9 @@ from subsetlab.llm.shared import cut, map_batches, text_bytes
 #: Fingerprints in one BK-tree.
 SHARD = 20_000
 SEED = 42
+#: The increment, shifts and factors of the SplitMix64 generator.
+GOLDEN = 0x9E3779B97F4A7C15
+MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
 #: Shingles that fit a 16-bit counter.
 COUNTED = 60_000
 _nibble = np.arange(16, dtype=np.uint64)
@@ -55,8 +62,18 @@ def bit_majority(hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (bits.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
-def fingerprint_texts(texts: list[bytes], words_in_shingle: int) -> np.ndarray:
-    """Return the fingerprints of texts (UTF-8): A-Z lower-cased, shingles with repeats, XXH64 with seed 42."""
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Return other hashes for the ``k``-th print, by a bijection on 64 bits; the first print has them as they are."""
+    if not k:
+        return hashes
+    h = hashes + np.uint64(k * GOLDEN % (1 << 64))
+    for shift, factor in MIX:
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint_texts(texts: list[bytes], words_in_shingle: int, prints: int = 1) -> list[np.ndarray]:
+    """Return the texts' (UTF-8) fingerprints by print: A-Z lower-cased, shingles with repeats, XXH64 with seed 42."""
     n, digest = words_in_shingle, xxhash.xxh64_intdigest
     hashes: list[int] = []
     start: list[int] = []
@@ -74,21 +91,23 @@ def fingerprint_texts(texts: list[bytes], words_in_shingle: int) -> np.ndarray:
         a, z = (stop - size)[: len(words) - n + 1].tolist(), stop[n - 1 :].tolist()
         hashes += [digest(line[x:y], SEED) for x, y in zip(a, z, strict=True)]
     # reduceat needs non-empty groups; bit_majority takes care of that.
-    return bit_majority(np.array(hashes, dtype=np.uint64), np.array(start, dtype=np.int64))
+    all_hashes, starts = np.array(hashes, dtype=np.uint64), np.array(start, dtype=np.int64)
+    return [bit_majority(mixed(all_hashes, k), starts) for k in range(prints)]
 
 
-def fingerprints(docs: DataFrame, words_in_shingle: int) -> DataFrame:
-    """Return doc_id and fp (long, the fingerprint's bits) of every row of ``docs`` (doc_id, text).
+def fingerprints(docs: DataFrame, words_in_shingle: int, prints: int = 1) -> DataFrame:
+    """Return doc_id and fp, fp_1, ... (long, a print's bits each) of every row of ``docs`` (doc_id, text).
 
-    A null text, or one without words, has fingerprint zero.
+    A null text, or one without words, has zeros.
     """
+    names = ["fp"] + [f"fp_{k}" for k in range(1, prints)]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = fingerprint_texts(text_bytes(batch.column(1)), words_in_shingle)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        found = fingerprint_texts(text_bytes(batch.column(1)), words_in_shingle, prints)
+        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fp.view(np.int64)) for fp in found]], names=["doc_id", *names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(rows, work, "doc_id long, fp long")
+    return map_batches(rows, work, ", ".join(f"{x} long" for x in ["doc_id", *names]))
 
 
 class Groups:
@@ -191,11 +210,17 @@ def parts_of(radius: int) -> list[tuple[int, int]]:
 
 
 def link_fingerprints(distinct: DataFrame, radius: int) -> DataFrame:
-    """Return links (a, b) that connect all of ``distinct`` (fp, each once) that differ in at most ``radius`` bits."""
+    """Return links (a, b) between nodes that connect all prints that differ in at most ``radius`` bits.
+
+    ``distinct`` has rows (print, fp, node) with each pair of print (int, which one) and fp once.
+    """
     masks = [sum(((1 << n) - 1) << at for at, n in pair) for pair in combinations(parts_of(radius), 2)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    bucket = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)])
-    keyed = distinct.select("fp", F.explode(bucket).alias("k")).select("fp", "k.part", "k.bits")
+    bucket = F.array(*[
+        F.struct((F.col("print") * len(masks) + i).cast("int").alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits"))
+        for i, m in enumerate(signed)
+    ])
+    keyed = distinct.select("fp", "node", F.explode(bucket).alias("k")).select("fp", "node", "k.part", "k.bits")
     large = keyed.groupBy("part", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD)
     large = large.select("part", "bits", F.ceil(F.col("n") / SHARD).cast("int").alias("shards"))
     keyed = keyed.join(large, ["part", "bits"], "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
@@ -203,7 +228,7 @@ def link_fingerprints(distinct: DataFrame, radius: int) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
     dealt = keyed.withColumn("own", own).withColumn("other", other)
     dealt = dealt.select(
-        "fp", "part", "bits", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
+        "fp", "node", "part", "bits", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
         (F.col("own") > F.col("other")).cast("int").alias("second"),
     )
     ordered = dealt.repartition("part", "bits", "x", "y").sortWithinPartitions("part", "bits", "x", "y", "fp")
@@ -221,14 +246,16 @@ def link_fingerprints(distinct: DataFrame, radius: int) -> DataFrame:
             links: list[tuple[int, int]] = []
             for a, b in zip(cut[many].tolist(), cut[many + 1].tolist(), strict=True):
                 halves = c["x"][a] != c["y"][a]
-                links += link_bucket(c["fp"][a:b].view(np.uint64).tolist(), c["second"][a:b].tolist() if halves else None, radius)
-            got = np.array(links, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+                fps = c["fp"][a:b].view(np.uint64).tolist()
+                node = dict(zip(fps, c["node"][a:b].tolist(), strict=True))
+                links += [(node[x], node[r]) for x, r in link_bucket(fps, c["second"][a:b].tolist() if halves else None, radius)]
+            got = np.array(links, dtype=np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ["fp", *names, "second"]}
+            c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ["fp", "node", *names, "second"]}
             if rest is not None:
                 c = {k: np.concatenate([rest[k], c[k]]) for k in c}
             same = np.all([c[k] == c[k][-1] for k in names], axis=0)
@@ -242,18 +269,28 @@ def link_fingerprints(distinct: DataFrame, radius: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words_in_shingle: int = 5, radius: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words_in_shingle: int = 5, radius: int = 3, prints: int = 1) -> DataFrame:
     """Return doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs`` (doc_id, text).
 
-    Documents are linked whose fingerprints differ in at most ``radius`` bits; component_id is the smallest doc_id
-    that links lead to. Texts that are null or have no words have fingerprint zero and are linked like any other.
-    Null doc_ids stay, and count only where a component has no other (component_id is null then). Repeated rows
-    stay. Further columns are left out.
+    Documents are linked whose fingerprints, or any of whose ``prints`` prints, differ in at most ``radius`` bits;
+    component_id is the smallest doc_id that links lead to. The fingerprint is the first print. Texts that are null
+    or have no words have fingerprint zero and are linked like any other. Null doc_ids stay, and count only where a
+    component has no other (component_id is null then). Repeated rows stay. Further columns are left out.
     """
-    prints = cut(fingerprints(docs, words_in_shingle))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(link_fingerprints(distinct.select("fp"), radius))
+    rows = cut(fingerprints(docs, words_in_shingle, prints))
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    # A node is a first print; another print stands for the least node that has it.
+    nodes = distinct.select(F.lit(0).alias("print"), "fp", F.col("fp").alias("node"))
+    links = None
+    if prints > 1:
+        more = F.posexplode(F.array(*[f"fp_{k}" for k in range(1, prints)])).alias("at", "value")
+        own = rows.select(F.col("fp").alias("node"), more).select((F.col("at") + 1).alias("print"), F.col("value").alias("fp"), "node").distinct()
+        least = own.groupBy("print", "fp").agg(F.min("node").alias("first"))
+        nodes = nodes.unionByName(least.withColumnRenamed("first", "node"))
+        links = own.join(least, ["print", "fp"]).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = link_fingerprints(nodes, radius)
+    roots = components(near.unionByName(links) if links else near)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.select("doc_id", "fp").join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from subsetlab.llm import anchors, bpe, packing, queries, shared, simhash, substring_dedup, suffix_dedup, token_files
 from subsetlab.llm.components import components
@@ -234,12 +236,14 @@ def test_loser_tree():
     assert list(suffix_dedup.merge_runs([], 9)) == []
 
 
-def fingerprint(text, n):
-    import xxhash
-
+def hashes(text, n):
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     shingles = [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or ([b" ".join(words)] if words else [])
-    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+
+
+def fingerprint(text, n):
+    h = hashes(text, n)
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
@@ -277,6 +281,56 @@ def test_simhash(spark, docs, empty, monkeypatch, shard):
     assert simhash.near_duplicates(empty, 4, 4).collect() == []
 
 
+def mix(h, k):
+    """A hash for the k-th print, by plain integers."""
+    if k == 0:
+        return h
+    h = (h + k * 0x9E3779B97F4A7C15) % 2**64
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+    return h ^ h >> 31
+
+
+@pytest.mark.parametrize("shard", [20_000, 5])
+def test_simhash_with_more_prints(spark, empty, monkeypatch, shard):
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    rng = random.Random(12)
+    base = [[rng.choice("abcdefghij") + str(rng.randint(0, 50)) for _ in range(60)] for _ in range(8)]
+    texts = ["", None, "a b", "a  B"]
+    for _ in range(90):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(60)] = "new" + str(rng.randint(0, 99))
+        texts.append(" ".join(words))
+    rows = [(rng.randint(0, 10_000), t) for t in texts]
+
+    prints = []
+    for _, t in rows:
+        h = hashes(t, 5)
+        prints.append([sum(1 << b for b in range(64) if 2 * sum(mix(x, k) >> b & 1 for x in h) > len(h)) for k in range(3)])
+    above = list(range(len(rows)))
+
+    def root(i):
+        while above[i] != i:
+            i = above[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if any((x ^ y).bit_count() <= 4 for x, y in zip(prints[i], prints[j], strict=True)):
+                above[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), d), d)
+    alone = groups([p[0] for p in prints], 4)
+    assert len(set(alone)) > len({root(i) for i in range(len(rows))})
+    expected = [(d, f"{prints[i][0]:016x}", least[root(i)]) for i, (d, _) in enumerate(rows)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in simhash.near_duplicates(table, 5, 4, prints=3).collect()]
+    assert by_key(got) == by_key(expected)
+    assert simhash.near_duplicates(empty, 5, 4, prints=3).collect() == []
+
+
 def test_links_in_clusters(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD", 50)
     rng = random.Random(4)
@@ -288,7 +342,7 @@ def test_links_in_clusters(spark, monkeypatch):
             x ^= 1 << rng.randrange(64)
         fps.add(x)
     fps = sorted(fps)
-    table = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    table = spark.createDataFrame([(0, x - (1 << 64) if x >> 63 else x) for x in fps], "print int, fp long").withColumn("node", F.col("fp"))
     found = {r["node"] % (1 << 64): r["root"] for r in components(simhash.link_fingerprints(table, 4)).collect()}
     a, b = {}, {}
     for x, r in zip(fps, groups(fps, 4), strict=True):
