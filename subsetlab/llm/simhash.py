@@ -72,8 +72,8 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint_texts(texts: list[bytes], words_in_shingle: int, prints: int = 1) -> list[np.ndarray]:
-    """Return the texts' (UTF-8) fingerprints by print: A-Z lower-cased, shingles with repeats, XXH64 with seed 42."""
+def shingle_hashes(texts: list[bytes], words_in_shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Return the hashes of the texts' (UTF-8) shingles, and where each text's begin: A-Z lower-cased, with repeats, XXH64 with seed 42."""
     n, digest = words_in_shingle, xxhash.xxh64_intdigest
     hashes: list[int] = []
     start: list[int] = []
@@ -90,9 +90,14 @@ def fingerprint_texts(texts: list[bytes], words_in_shingle: int, prints: int = 1
         stop = np.cumsum(size + 1) - 1
         a, z = (stop - size)[: len(words) - n + 1].tolist(), stop[n - 1 :].tolist()
         hashes += [digest(line[x:y], SEED) for x, y in zip(a, z, strict=True)]
+    return np.array(hashes, dtype=np.uint64), np.array(start, dtype=np.int64)
+
+
+def fingerprint_texts(texts: list[bytes], words_in_shingle: int, prints: int = 1) -> list[np.ndarray]:
+    """Return the texts' fingerprints by print."""
     # reduceat needs non-empty groups; bit_majority takes care of that.
-    all_hashes, starts = np.array(hashes, dtype=np.uint64), np.array(start, dtype=np.int64)
-    return [bit_majority(mixed(all_hashes, k), starts) for k in range(prints)]
+    hashes, starts = shingle_hashes(texts, words_in_shingle)
+    return [bit_majority(mixed(hashes, k), starts) for k in range(prints)]
 
 
 def fingerprints(docs: DataFrame, words_in_shingle: int, prints: int = 1) -> DataFrame:
