@@ -1,0 +1,31 @@
+"""Counts of neighbouring letters inside the words of ordinary texts."""
+
+#: By first letter, a to z, and second letter: in runs of letters (A-Z lower-cased) of ``documents`` in /root/testdata/sf0.1.
+LETTER_PAIRS = (
+    (24211, 8327, 40391, 25130, 43869, 24, 2097, 14120, 76600, 1930, 0, 14300, 4587, 386242, 27891, 682, 3029, 54310, 98966, 216065, 119033, 3946, 6729, 0, 0, 0),
+    (18, 13, 40, 15, 93087, 21, 0, 0, 0, 0, 0, 130794, 0, 0, 19068, 0, 0, 0, 0, 0, 0, 0, 0, 0, 13998, 0),
+    (46, 27, 84, 20, 438, 40, 0, 237906, 102550, 0, 0, 436, 1, 0, 23060, 2, 1, 0, 0, 0, 462, 1, 0, 0, 0, 0),
+    (28897, 9886, 530, 22, 169617, 21, 126, 18298, 45842, 0, 17, 8649, 0, 16085, 80022, 16, 0, 10086, 17051, 26833, 5881, 9, 7759, 0, 0, 23),
+    (249437, 22356, 20263, 181948, 111733, 34, 6484, 32503, 169993, 1885, 3915, 70859, 12159, 462322, 59852, 8784, 6728, 604420, 256404, 76434, 43148, 10001, 13491, 186, 0, 22132),
+    (5364, 1534, 646, 28, 8380, 26, 780, 2196, 1266, 0, 595, 946, 0, 651, 26889, 604, 0, 13784, 1828, 8119, 607, 708, 245, 0, 0, 623),
+    (28996, 4695, 1093, 0, 67217, 0, 984, 7442, 6658, 0, 945, 3934, 0, 5353, 9781, 865, 0, 3367, 8439, 9720, 1503, 1002, 2836, 0, 0, 1009),
+    (258398, 27438, 5796, 0, 532667, 0, 5288, 56216, 67488, 0, 5039, 28883, 705, 47538, 76182, 5232, 720, 28705, 51482, 84825, 5177, 5443, 21926, 0, 0, 4668),
+    (18525, 3729, 52412, 2058, 151146, 0, 1014, 6069, 10230, 815, 0, 7211, 9235, 439662, 179911, 2946, 3901, 11638, 54781, 131801, 977, 3162, 2916, 0, 0, 0),
+    (19412, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+    (0, 0, 0, 0, 35404, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+    (51002, 492, 1740, 503, 243721, 0, 465, 0, 38012, 425, 0, 57489, 1093, 0, 7132, 0, 484, 970, 2580, 484, 741, 0, 0, 0, 141506, 0),
+    (253, 5, 55, 0, 66414, 0, 9, 26, 24093, 0, 1, 4, 0, 8, 504, 189, 0, 60, 46, 64, 1, 2, 1, 0, 0, 1),
+    (86294, 38106, 20507, 271574, 190244, 0, 194877, 56923, 66315, 2047, 5979, 38878, 8700, 52268, 96199, 8362, 6411, 40472, 67830, 314213, 10015, 9672, 25094, 0, 0, 5710),
+    (7153, 2067, 6326, 2162, 5520, 118173, 2003, 409, 40761, 2165, 166, 2039, 15001, 500062, 3424, 0, 2039, 183918, 46105, 3773, 211662, 0, 496, 0, 0, 0),
+    (41781, 0, 0, 0, 0, 32323, 0, 0, 478, 0, 0, 186, 0, 0, 6853, 0, 0, 0, 0, 0, 79, 0, 0, 0, 0, 0),
+    (0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 83560, 0, 0, 0, 0, 0),
+    (71538, 22482, 8000, 948, 416400, 0, 5488, 34353, 36248, 1096, 3803, 18800, 2615, 27737, 55327, 4604, 1563, 38948, 34600, 52025, 5027, 4942, 12440, 0, 0, 3692),
+    (18025, 6160, 66302, 3555, 29930, 0, 4048, 140011, 15097, 3009, 23, 6628, 5919, 7658, 14936, 40, 3402, 10384, 7520, 209299, 8202, 91, 3440, 0, 0, 26),
+    (50171, 14905, 3561, 0, 125221, 0, 2421, 771469, 328923, 0, 2316, 12475, 954, 18771, 87913, 3169, 1052, 51460, 24560, 38219, 2713, 3170, 9569, 0, 0, 36301),
+    (17516, 5415, 4689, 5, 134992, 4338, 1244, 6923, 12798, 0, 1405, 7176, 3509, 84376, 17186, 5287, 3368, 16567, 8848, 16502, 1386, 3870, 2718, 70133, 0, 1248),
+    (0, 0, 0, 0, 42825, 0, 0, 0, 31464, 0, 0, 0, 0, 0, 8805, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+    (20184, 0, 0, 0, 0, 0, 0, 137390, 16779, 0, 0, 0, 0, 434, 561, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+    (4679, 0, 1577, 0, 5670, 0, 0, 0, 1366, 0, 0, 1381, 1522, 0, 4385, 1379, 1461, 3023, 0, 3403, 0, 1518, 0, 0, 0, 0),
+    (5856, 2661, 94, 24, 13850, 0, 2, 6307, 5075, 1, 0, 2691, 5, 5575, 8923, 0, 1, 2700, 6107, 9086, 4, 0, 2812, 0, 0, 0),
+    (2715, 1663, 1820, 341, 2787, 0, 1085, 640, 975, 354, 792, 966, 765, 0, 323, 675, 370, 607, 1432, 1741, 40192, 635, 0, 0, 0, 628),
+)

@@ -9,19 +9,23 @@ applies a battery of tests to its symbols:
 * runs: the number of runs of symbols in the upper and lower half of the alphabet,
 * serial correlation: that of each symbol with the next one.
 
-A token that any of them rejects (at ``REJECT``) isn't random. For the rest, p is the chance that ordinary text would
-look so random: with ``ORDINARY_MATCH`` as the chance that two of its symbols agree and ``ORDINARY_CHANGE`` that the
-kind of character changes from one symbol to the next, few agreements and many changes are evidence, joined by
-Fisher's method. Short tokens give little evidence and are many, so false discoveries are controlled for each range of
+A token that any of them rejects (at ``REJECT``) isn't random. For the rest, p is the chance that an ordinary token over
+the same alphabet would look so random: a chain of kinds of characters (``STAY``, ``TURNS``) and of letters, by the counts
+of neighbouring letters in texts (``ordinary.LETTER_PAIRS``, smoothed). p is the token's likelihood under this chain over that under
+a uniform source: by Markov's inequality, an ordinary token has a ratio of p or less with a chance of p at most. Marks
+join words in ordinary names, so pairs with one are no evidence. Short tokens are many, so false discoveries are controlled for each range of
 lengths on its own (Benjamini-Hochberg at ``RATE``) over the p-values of the whole corpus. These are counted in bins, so
 the driver only gets a table whose size the bins bound.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from subsetlab.llm.ordinary import LETTER_PAIRS
 from subsetlab.llm.shared import cut, cut_table
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -46,10 +50,12 @@ ALPHABETS = (
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", r"^[0-9A-Za-z_-]+=*$"),
 )
 REJECT = 0.001
-ORDINARY_MATCH = 1 / 12
-ORDINARY_CHANGE = 0.15
-#: Clean texts matter more than the last secret, and random tokens lie far beyond it.
-RATE = 1e-5
+#: Ordinary chances that a kind of character stays, in alphabets of two kinds, and by kind (digit, a-z, A-Z) and next kind in those of three.
+STAY = 0.85
+TURNS = ((0.85, 0.075, 0.075), (0.075, 0.85, 0.075), (0.05, 0.5, 0.45))
+#: Share of a letter's chance that is even.
+SMOOTH = 0.2
+RATE = 0.01
 #: First lengths of the ranges in which false discoveries are controlled.
 LENGTHS = (20, 24, 32, 40, 64, 128)
 #: Bins of p-values: tenths of powers of ten.
@@ -90,10 +96,43 @@ def _upper(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+def _letter_chances(letters: int) -> list[float]:
+    """Return log chances of the first ``letters`` letters after a letter (27 rows; the last one: after something else)."""
+    rows = [r[:letters] for r in LETTER_PAIRS[:letters]]
+    alone = [sum(r[j] for r in rows) for j in range(letters)]
+    out = []
+    for i in range(27):
+        row = rows[i] if i < letters else alone
+        out += [math.log((1 - SMOOTH) * row[j] / max(1, sum(row)) + SMOOTH / letters) if j < letters else 0.0 for j in range(26)]
+    return out
+
+
+def _ordinary(token: Column, kinds: Column, code: Column) -> Column:
+    """Return the log of the likelihood of a token's symbols as an ordinary token's, over that of a uniform source."""
+    letters = F.transform("symbols", lambda s: F.instr(F.lit("abcdefghijklmnopqrstuvwxyz"), F.lower(s)) - 1)
+    hexes = code.isin(1, 2)
+    tables = [F.array(*[F.lit(x) for x in _letter_chances(n)]) for n in (6, 26)]
+    turns = F.array(*[F.lit(math.log(x)) for row in TURNS for x in row])
+    three = code >= 6
+    digits = F.when(code == 3, 6.0).otherwise(10.0)
+    even = F.log(F.when(code == 0, 10.0).when(hexes, 16.0).when(code == 3, 32.0).when(three, 62.0).otherwise(36.0))
+
+    def weigh(b: Column, a: Column) -> Column:
+        kind = F.when(three, F.element_at(turns, a["kind"] * 3 + b["kind"] + 1)).when(a["kind"] == b["kind"], math.log(STAY)).otherwise(math.log(1 - STAY))
+        at = F.when(a["letter"] < 0, 26).otherwise(a["letter"]) * 26 + b["letter"] + 1
+        symbol = F.when(b["kind"] == 0, -F.log(digits)).otherwise(F.when(hexes, F.element_at(tables[0], at)).otherwise(F.element_at(tables[1], at)))
+        return F.when((a["kind"] < 3) & (b["kind"] < 3), kind + symbol + even).otherwise(F.lit(0.0))
+
+    marks = F.zip_with(kinds, letters, lambda k, x: F.struct(k.alias("kind"), x.alias("letter")))
+    pairs = F.zip_with(F.slice(marks, 2, F.size(token) - 1), F.slice(marks, 1, F.size(token) - 1), weigh)
+    return F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v)
+
+
 def assess(tokens: DataFrame) -> DataFrame:
     """Add ``random`` (no test rejects) and ``p`` (of ordinary text) to tokens (column match; long enough, mixed)."""
     code = F.coalesce(*[F.when(F.col("match").rlike(p), F.lit(i)) for i, (_, p) in enumerate(ALPHABETS)])
-    df = tokens.withColumn("alphabet", F.element_at(F.array(*[F.lit(a) for a, _ in ALPHABETS]), code + 1))
+    df = tokens.withColumn("code", F.coalesce(code, F.lit(len(ALPHABETS))))
+    df = df.withColumn("alphabet", F.get(F.array(*[F.lit(a) for a, _ in ALPHABETS]), F.col("code")))
     df = df.withColumn("alphabet", F.coalesce("alphabet", F.lit(ALPHABETS[-1][0] + "+/")))
     df = df.withColumn("symbols", F.regexp_extract_all(F.regexp_replace("match", "=+$", ""), F.lit("."), F.lit(0)))
     df = df.withColumn("x", F.transform("symbols", lambda c: F.greatest(F.instr(F.col("alphabet"), c) - 1, F.lit(0)).cast("double")))
@@ -111,9 +150,8 @@ def assess(tokens: DataFrame) -> DataFrame:
     kinds = F.transform("symbols", lambda s: F.when(s.rlike("[0-9]"), 0).when(s.rlike("[a-z]"), 1).when(s.rlike("[A-Z]"), 2).otherwise(3))
     df = df.withColumn("kinds", kinds)
 
-    def changes(column: str, most: int = 1) -> Column:
-        """Count neighbours that differ, both at most ``most``: marks join the words of ordinary names."""
-        unlike = lambda a, b: F.coalesce(((a != b) & (a <= most) & (b <= most)).cast("double"), F.lit(0.0))
+    def changes(column: str) -> Column:
+        unlike = lambda a, b: F.coalesce((a != b).cast("double"), F.lit(0.0))
         pairs = F.zip_with(F.slice(column, 2, F.size(column)), column, unlike)
         return F.aggregate(pairs, F.lit(0.0), lambda a, v: a + v)
 
@@ -121,7 +159,7 @@ def assess(tokens: DataFrame) -> DataFrame:
     product = F.zip_with(F.slice("c", 2, F.size("c")), "c", lambda a, b: F.coalesce(a * b, F.lit(0.0)))
     df = df.withColumn("serial", F.aggregate(product, F.lit(0.0), lambda a, v: a + v) / F.greatest(square, F.lit(1e-9)))
     ones = F.aggregate("high", F.lit(0.0), lambda a, v: a + v)
-    df = df.withColumn("ones", ones).withColumn("runs", changes("high") + 1).withColumn("turns", changes("kinds", 2))
+    df = df.withColumn("ones", ones).withColumn("runs", changes("high") + 1)
     n, k = F.col("n"), F.col("k")
     chi = k / n * (2 * F.col("pairs") + n) - n
     z_chi = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
@@ -130,11 +168,8 @@ def assess(tokens: DataFrame) -> DataFrame:
     z_runs = F.abs(F.col("runs") - (both / n + 1)) / F.sqrt(spread)
     z_serial = F.abs(F.col("serial") + 1 / n) * F.sqrt(n)
     random = (_upper(z_chi) >= REJECT) & (2 * _upper(z_runs) >= REJECT) & (2 * _upper(z_serial) >= REJECT) & (F.col("ones") > 0) & (F.col("ones") < n)
-    pairs = n * (n - 1) / 2
-    p_match = _upper((pairs * ORDINARY_MATCH - F.col("pairs")) / F.sqrt(pairs * ORDINARY_MATCH * (1 - ORDINARY_MATCH)))
-    p_turn = _upper((F.col("turns") - (n - 1) * ORDINARY_CHANGE) / F.sqrt((n - 1) * ORDINARY_CHANGE * (1 - ORDINARY_CHANGE)))
-    joined = -(F.log(p_match) + F.log(p_turn))
-    return df.withColumn("random", random).withColumn("p", F.exp(-joined) * (1 + joined)).select(*tokens.columns, "random", "p")
+    p = F.exp(F.least(_ordinary(F.col("symbols"), F.col("kinds"), F.col("code")), F.lit(0.0)))
+    return df.withColumn("random", random).withColumn("p", p).select(*tokens.columns, "random", "p")
 
 
 def _bin(p: Column) -> Column:
