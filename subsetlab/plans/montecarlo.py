@@ -338,11 +338,18 @@ def bootstrap(per_draw: DataFrame, column: str, block: int = 10, resamples: int
 
 
 def bootstrap_ece(scored: DataFrame, block: int = 10, resamples: int = 1000, seed: int = SEED, stream: int = 201) -> DataFrame:
-    """Return ECE and its 95 % interval by config: every resample of draws is binned again by its own deciles."""
+    """Return ECE and its 95 % interval by config: every resample of draws is binned again by its own deciles.
+
+    The scored draws are collected in the order of t (at most SERIES). All configs need the same draws.
+    """
     spark = ship(scored.sparkSession)
+    if scored.select("t").distinct().limit(SERIES + 1).count() > SERIES:
+        raise ValueError(f"a bootstrap is for {SERIES} draws at most")
     rows = scored.groupBy("config", "t").agg(F.array_sort(F.collect_list(F.struct("num", "p", "y"))).alias("x"))
-    data = rows.select("config", "t", "x.p", "x.y").orderBy("t").limit(SERIES).toPandas()
+    data = rows.select("config", "t", "x.p", "x.y").orderBy("t").toPandas()
     configs = sorted(data["config"].unique())
+    if len(data) != len(configs) * data["t"].nunique():
+        raise ValueError("configs differ in their draws")
     sent = spark.sparkContext.broadcast({c: tuple(np.stack(data.loc[data["config"] == c, k].to_numpy()) for k in ("p", "y")) for c in configs})
     n = int((data["config"] == configs[0]).sum())
 
