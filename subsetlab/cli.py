@@ -47,8 +47,8 @@ def describe_run(spark: SparkSession, root: str, out: str, through: str | None,
 def infer_run(spark: SparkSession, root: str, out: str, through: str | None, reps: int) -> dict:
     draws = refresh.loaded(spark, root, through).cache()
     files = {"family.csv": publish.to_csv(montecarlo.family(draws, reps), ["test"])}
-    for test in ("C1", "C2", "C3", "C5", "C11", "C12", "C13"):
-        files[f"followup_{test}.csv"] = publish.to_csv(montecarlo.follow_up(draws, test, min(reps, 1000)), ["part"])
+    for test in ("C1", "C2", "C3", "C5", "C7", "C8", "C11", "C12", "C13"):
+        files[f"followup_{test}.csv"] = publish.to_csv(montecarlo.follow_up(draws, test, reps), ["part"])
     return publish.publish(out, files, {"through": through, "replicates": reps})
 
 
@@ -65,7 +65,7 @@ def evaluate_run(spark: SparkSession, root: str, out: str, through: str | None,
         "deltas.csv": publish.to_csv(baselines.deltas(per, membership), ["config", "period"]), "reliability.csv": publish.to_csv(bins, ["config", "bin"]),
         "ece.csv": publish.to_csv(baselines.ece(bins, ["config"]), ["config"]), "log_loss_ci.csv": publish.to_csv(montecarlo.bootstrap(per, "log_loss", resamples=reps), ["config"]),
         "brier_ci.csv": publish.to_csv(montecarlo.bootstrap(per, "brier", resamples=reps), ["config"]),
-        "ece_ci.csv": publish.to_csv(montecarlo.bootstrap_ece(scored.where(f"t > {baselines.INITIAL}"), resamples=min(reps, 1000)), ["config"]),
+        "ece_ci.csv": publish.to_csv(montecarlo.bootstrap_ece(scored.where(f"t > {baselines.INITIAL}"), resamples=reps), ["config"]),
     }
     return publish.publish(out, files, {"through": through, "resamples": reps}, replace=False)
 
