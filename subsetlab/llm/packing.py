@@ -38,7 +38,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, wi
 
     One row a piece: doc_id, piece (from 0), start, length, ids_crc32 (of little-endian uint32 ids), with
     ``with_ids`` also ids (array of int). A null text is empty, so it is one piece that holds ``end_id`` alone. A
-    null doc_id stays null; repeated rows are pieces of their own. Further columns are left out.
+    null doc_id stays null; repeated rows are pieces of their own. Further columns are left out. Texts of any length are
+    encoded whole: a task's memory grows with the longest one.
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -147,25 +148,29 @@ def plan(histogram: dict[int, int], capacity: int) -> pd.DataFrame:
 
 
 def ranked(pieces: DataFrame, count: int) -> DataFrame:
-    """Add ``rank``: a number from 0 among the pieces of the same length, given in salted groups."""
+    """Return ``row`` (a struct of each row of ``pieces``, read from a written table), length and rank.
+
+    rank is a number from 0 among the pieces of the same length, given in salted groups. Salts go by place, so that equal
+    rows are dealt as well.
+    """
     salts = max(16, math.ceil(count / RANKED))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    place = F.monotonically_increasing_id()
+    salted = pieces.select(F.struct("*").alias("row"), "length", place.alias("place")).withColumn("salt", F.pmod("place", F.lit(salts)))
     sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    own = salted.withColumn("own", F.row_number().over(within) - 1)
-    return own.join(bases, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("own")).drop("salt", "own", "base")
+    own = salted.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("place")) - 1)
+    return own.join(bases, ["length", "salt"]).select("row", "length", (F.col("base") + F.col("own")).alias("rank"))
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Add sequence_id and offset to ``pieces`` (doc_id, piece, length, ids_crc32 and more; names must not clash).
+    """Add sequence_id and offset to ``pieces`` (length, and any other columns; own ones of these two names are replaced).
 
-    Sequences hold no gaps and at most ``capacity`` tokens. Ties go by doc_id, piece and ids_crc32; which of
-    several equal rows comes first makes no difference. An empty table gives an empty result.
+    Sequences hold no gaps and at most ``capacity`` tokens. Which of several pieces of equal length goes where is free.
+    An empty table gives an empty result.
     """
     spark = pieces.sparkSession
-    pieces = cut(pieces)
+    pieces = cut(pieces.drop("sequence_id", "offset"))
     # A row a length: the capacity bounds what the driver gets.
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
     steps = plan(histogram, capacity).sort_values(["length", "rank"])
@@ -180,8 +185,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
         n = rank.to_numpy() - first[k]
         return pd.DataFrame({"sequence_id": bins[k] + n // per_bin[k], "offset": offset[k] + n % per_bin[k] * wanted})
 
-    placed = ranked(pieces, sum(histogram.values())).withColumn("placed", place("length", "rank"))
-    return placed.select(*pieces.columns, "placed.sequence_id", "placed.offset")
+    placed = ranked(pieces, sum(histogram.values())).select("row", place("length", "rank").alias("placed"))
+    return placed.select("row.*", "placed.*")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

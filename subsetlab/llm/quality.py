@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subsetlab.llm.shared import map_batches, text_bytes
+from subsetlab.llm.shared import ARROW_ROWS, map_batches, text_bytes
 from subsetlab.llm.words import mixed, split_words
+from subsetlab.session import ship
 
 #: Largest share of a text's word characters inside n-grams that repeat an earlier one, by n. Fixed values of
 #: published web-corpus rules.
@@ -116,7 +117,7 @@ def quality(docs: DataFrame) -> DataFrame:
     word_chars counts characters in words, n_dup_lines lines with a word equal to an earlier line, n_repeat_words
     words in 5-word windows found twice or more. line_share and share_n are shares of characters in repeats, first
     ones not counted. A null or empty text has no words, so it fails. Null doc_ids and repeated rows stay. Further
-    columns are left out.
+    columns are left out. Texts of any length are taken whole: memory grows with the longest one.
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -137,6 +138,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     def good(text):  # a pandas Series of strings to one of booleans
         import pandas as pd
 
-        return pd.Series(measure([(x or "").encode() for x in text])["kept"], index=text.index)
+        parts = [text.iloc[k : k + ARROW_ROWS] for k in range(0, len(text), ARROW_ROWS)]
+        kept = [measure([(x or "").encode() for x in part])["kept"] for part in parts]
+        return pd.Series(np.concatenate(kept) if kept else [], index=text.index, dtype=bool)
 
+    ship(docs.sparkSession)
     return docs.where(good(F.col("text")))

@@ -7,24 +7,28 @@ import ctypes
 import math
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from subsetlab.session import ship
+
 #: White space as the contracts of this subpackage define it: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows in one Arrow batch. Texts can be long, so batches hold few rows.
+#: Rows that are worked on at once. Texts can be long, so they are few; Spark bounds the bytes of a batch.
 ARROW_ROWS = 512
+#: A key of more than a SHARE-th of all rows is hot; its rows are dealt over SALTS parts.
+SHARE, SALTS = 1000, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Return the folder that the driver and all executors share, as a URI or path.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where the session names none (tests on one machine)
-    a fresh temporary folder is set.
+    It is the cluster's ``spark.checkpoint.dir``. Only where the session names none and runs on one machine (tests) a
+    fresh temporary folder is set; on a cluster without one this raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -34,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="subsetlab-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -51,16 +57,39 @@ def cut(df: DataFrame) -> DataFrame:
 
 def cut_table(df: DataFrame, name: str) -> DataFrame:
     """Like ``cut``, by a Parquet table: for rows with texts, of which later steps read only some columns."""
-    path = fresh_dir(df.sparkSession, name)
+    return written(df, fresh_dir(df.sparkSession, name))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet and read it again; the folder goes when the driver ends."""
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.parquet(path)
+
 
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Yield Arrow batches in slices of few rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ARROW_ROWS):
+            yield batch.slice(at, ARROW_ROWS)
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold few rows, unless the session already asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ARROW_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(ARROW_ROWS))
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], counts: DataFrame | None = None, salt: Column | None = None) -> DataFrame:
+    """Join ``many`` to ``one`` (a row a key), with hot keys dealt over parts.
+
+    ``counts`` (keys and n, the rows of ``many`` with a key) saves counting them. Less than SHARE keys are hot, whatever
+    the size, so their broadcast is bounded. Keys aren't null. Rows are dealt by ``salt``, else by the hash of their
+    columns; it must be the same if a task runs again.
+    """
+    counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts.select(*keys, "n")
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = F.broadcast(counts.where(F.col("n") > max(total / SHARE, SALTS)).select(*keys, F.lit(SALTS).alias("_salts")))
+    part = F.pmod(F.xxhash64(*many.columns) if salt is None else salt, F.lit(SALTS))
+    dealt = many.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(part).cast("int")).drop("_salts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)).alias("_salt")
+    return dealt.join(one.join(hot, keys, "left").select(*one.columns, copies), [*keys, "_salt"]).drop("_salt")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -86,11 +115,11 @@ def give_back(result=None):
 
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``work`` to every Arrow batch of ``df``."""
-    bounded_batches(df.sparkSession)
+    """Apply ``work`` to the Arrow batches of ``df``, few rows at once; the package is sent to the executors."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = work(batch)
             if out is not None and out.num_rows:
                 yield out

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subsetlab.llm.components import components
-from subsetlab.llm.shared import cut, map_batches, text_bytes
+from subsetlab.llm.shared import cut, map_batches, spread_join, text_bytes
 
 #: Fingerprints in one BK-tree.
 SHARD = 20_000
@@ -280,10 +280,11 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 5, radius: int = 3,
     Documents are linked whose fingerprints, or any of whose ``prints`` prints, differ in at most ``radius`` bits;
     component_id is the smallest doc_id that links lead to. The fingerprint is the first print. Texts that are null
     or have no words have fingerprint zero and are linked like any other. Null doc_ids stay, and count only where a
-    component has no other (component_id is null then). Repeated rows stay. Further columns are left out.
+    component has no other (component_id is null then). Repeated rows stay. Further columns are left out. Texts of any
+    length are hashed whole.
     """
     rows = cut(fingerprints(docs, words_in_shingle, prints))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     # A node is a first print; another print stands for the least node that has it.
     nodes = distinct.select(F.lit(0).alias("print"), "fp", F.col("fp").alias("node"))
     links = None
@@ -295,7 +296,9 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 5, radius: int = 3,
         links = own.join(least, ["print", "fp"]).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     near = link_fingerprints(nodes, radius)
     roots = components(near.unionByName(links) if links else near)
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return rows.select("doc_id", "fp").join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    # One component, or one fingerprint, may hold a large share of all rows.
+    by_fp = spread_join(named.select("fp", "root"), ids.drop("n"), ["root"], ids).select("fp", "component_id")
+    out = spread_join(rows.select("doc_id", "fp"), by_fp, ["fp"], distinct, F.monotonically_increasing_id())
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

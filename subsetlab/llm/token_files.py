@@ -26,15 +26,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subsetlab.llm.elias_fano import EliasFano
-from subsetlab.llm.shared import bounded_batches, bucket_count, cut, text_bytes
+from subsetlab.llm.shared import bucket_count, cut, slices, text_bytes
 from subsetlab.llm.wordbpe import library_encoder
+from subsetlab.session import ship
 
 MAGIC = b"EFTOKEN1"
 FOOT = "<QQqQ"
 FOOT_SIZE = struct.calcsize(FOOT)
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
-#: MB of text in one shard.
-SHARD_MB = 16
+#: MB of text in one shard, and shards in a group whose sums are taken together.
+SHARD_MB, GROUP = 16, 4096
 
 
 def _filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -45,11 +46,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
     """Encode ``docs`` (doc_id, text), append ``end_id`` to each and write shards to ``folder``, which tasks can reach.
 
     Return the manifest, one row a shard: shard (in doc_id order), path, n_docs, n_tokens. A null text is empty.
-    Null doc_ids come first; equal doc_ids lie side by side, in the order of their texts. An empty table has no
-    shards. Further columns are left out.
+    Null doc_ids come first; equal doc_ids lie side by side, in the order of their texts' XXH64, and may fill several
+    shards. An empty table has no shards. Further columns are left out. A text of any length lies in one shard.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shards = bucket_count(rows, "text", SHARD_MB)
 
@@ -57,9 +58,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
         shard, doc_ids, counts, n_tokens, sink = TaskContext.get().partitionId(), [], [], 0, None
         fs, base = _filesystem(folder)
         own = f"{base}/.{shard}-{uuid.uuid4().hex}"
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             if sink is None:
                 fs.create_dir(base, recursive=True)
                 sink = fs.open_output_stream(own)
@@ -84,8 +83,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
         types = [pa.int32(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(table, types, strict=True)], names=["shard", "path", "n_docs", "n_tokens"])
 
-    ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(ordered.mapInArrow(write, MANIFEST))
+    keys = ["doc_id", F.xxhash64("text")]
+    manifest = cut(rows.repartitionByRange(shards, *keys).sortWithinPartitions(*keys).mapInArrow(write, MANIFEST))
+    # Tasks that failed leave files under other names.
+    fs, base = _filesystem(folder)
+    for left in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+        if left.base_name.startswith("."):
+            fs.delete_file(left.path)
+    return manifest
 
 
 class Shard:
@@ -122,11 +127,11 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
 
     The checksum is of all ids as little-endian uint32. With ``with_ids`` also the ids (array of int).
     """
-    schema = "shard int, doc_id long, own_start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 source = Shard(path)
                 stop = source.bounds.all()
                 start = np.concatenate([[0], stop[:-1]])
@@ -135,18 +140,19 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     a, b = start[k : k + 1024], stop[k : k + 1024]
                     wide = source.ids(int(a[0]), int(b[-1])).astype("<u4")
                     own = [wide[x:y] for x, y in zip((a - a[0]).tolist(), (b - a[0]).tolist(), strict=True)]
-                    columns = [
-                        pa.array([shard] * len(a), pa.int32()), pa.array(doc_ids[k : k + 1024], pa.int64()), pa.array(a),
-                        pa.array(b - a), pa.array([zlib.crc32(x) for x in own], pa.int64()),
-                    ]
+                    columns = [pa.array(doc_ids[k : k + 1024], pa.int64()), pa.array(base + a), pa.array(b - a), pa.array([zlib.crc32(x) for x in own], pa.int64())]
                     if with_ids:
                         columns.append(pa.array([x.astype(np.int32) for x in own], pa.list_(pa.int32())))
-                    yield pa.RecordBatch.from_arrays(columns, names=["shard", "doc_id", "own_start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
                 source.close()
 
-    # One row a shard of SHARD_MB, so this order is over few rows.
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = manifest.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    rows = manifest.select("shard", "path").mapInArrow(read, schema)
-    out = rows.join(bases, "shard")
-    return out.select("doc_id", (F.col("base") + F.col("own_start")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    # Ids before a shard: those of earlier groups of shards, and those of earlier shards of its group.
+    ship(manifest.sparkSession)
+    grouped = manifest.withColumn("group", F.floor(F.col("shard") / GROUP))
+    before = (Window.unboundedPreceding, -1)
+    groups = grouped.groupBy("group").agg(F.sum("n_tokens").alias("n"))
+    # One row for GROUP shards of SHARD_MB, so this order is over few rows.
+    groups = groups.select("group", F.coalesce(F.sum("n").over(Window.orderBy("group").rowsBetween(*before)), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("group").orderBy("shard").rowsBetween(*before)), F.lit(0))
+    placed = grouped.withColumn("inside", inside).join(groups, "group")
+    return placed.select("path", (F.col("base") + F.col("inside")).alias("base")).repartition("path").mapInArrow(read, schema)

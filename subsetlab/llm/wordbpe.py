@@ -3,7 +3,7 @@
 The vocabulary's normaliser turns white space into single spaces, its pre-tokeniser drops white space and never
 joins characters across it. So the ids of a text are the ids of its pieces in turn, and pieces recur. The ids of
 pieces are kept by 64-bit hash in a table of fixed size; a full table is emptied, which costs time and changes
-no result.
+no result. A piece may have any length. Two of n different pieces meet in a hash with a chance of about n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ SLOT_BITS = 20
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&]*)")
 
 
-#: Cores whose ids one worker keeps.
-CORES = 250_000
+#: Cores whose ids one worker keeps, and ids that a table keeps before it is emptied.
+CORES, POOL = 250_000, 1 << 24
 
 
 class PieceEncoder:
@@ -77,7 +77,7 @@ class PieceEncoder:
         if not hit.all():
             miss = np.flatnonzero(~hit)
             new, where = np.unique(h[miss], return_index=True)
-            if 2 * (self.used + len(new)) > 1 << self.bits:
+            if 2 * (self.used + len(new)) > 1 << self.bits or self.pooled > POOL:
                 self._empty()
                 new, where = np.unique(h, return_index=True)
                 miss = np.arange(len(h))
@@ -99,7 +99,12 @@ class Cores:
 
     def __init__(self, encode: Callable[[list[str], bool], tuple[np.ndarray, np.ndarray]]) -> None:
         self.encode = encode
+        self._empty()
+
+    def _empty(self) -> None:
         self.cores: dict[str, int] = {}
+        #: By the number of a core: where its ids begin in the pool, and how many they are.
+        self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.pool, self.pooled = np.zeros(1 << 16, np.uint16), 0
 
     def _keep(self, cores: list[str], plain: bool) -> None:
@@ -107,16 +112,19 @@ class Cores:
         while self.pooled + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.pooled : self.pooled + len(ids)] = ids
-        start = self.pooled + np.cumsum(size) - size
+        n = len(self.cores)
+        while n + len(cores) > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        self.at[n : n + len(cores)], self.size[n : n + len(cores)] = self.pooled + np.cumsum(size) - size, size
         self.pooled += len(ids)
-        self.cores.update(zip(cores, ((start << 20) + size).tolist(), strict=True))
+        self.cores.update(zip(cores, range(n, n + len(cores)), strict=True))
 
     def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = list(map(PLAIN.fullmatch, pieces))
         heads = [m[1].lower() if m else x for m, x in zip(found, pieces, strict=True)]
         marks = [m[2] if m else "" for m in found]
-        if len(self.cores) > CORES:
-            self.cores, self.pooled = {}, 0
+        if len(self.cores) > CORES or self.pooled > POOL:
+            self._empty()
         new = [x for x in {*heads, *marks} if x not in self.cores]
         plain = [x for x in new if PLAIN.fullmatch(x)]
         for k in range(0, len(plain), 500):
@@ -126,8 +134,8 @@ class Cores:
         both = np.empty((n, 2), np.int64)
         both[:, 0] = np.fromiter(map(self.cores.__getitem__, heads), np.int64, n)
         both[:, 1] = np.fromiter(map(self.cores.__getitem__, marks), np.int64, n)
-        size = both & ((1 << 20) - 1)
-        return ragged(self.pool, (both >> 20).ravel(), size.ravel()), size.sum(axis=1)
+        size = self.size[both]
+        return ragged(self.pool, self.at[both].ravel(), size.ravel()), size.sum(axis=1)
 
 
 def flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
