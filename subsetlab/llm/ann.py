@@ -6,14 +6,17 @@ sums at every step. For a query q and a vector x of codewords c, |q - x|^2 = |q|
 norm |x|^2 stored, a table of q's products with all codewords gives a score by as many look-ups as there are
 codebooks. The best scores are ranked again by exact distances.
 
-The first codebook's codeword also names a vector's cell. A query visits the cells nearest to it. Cells are dealt
-into parts of bounded size, so one that holds a large share of all rows is many tasks' work; queries are dealt
-into blocks in the same way.
+The first codewords also name a vector's cell: the first one alone, or the first two or three, so that the number of
+cells grows with the table (up to WORDS ** LEVELS). A query visits its own cell and those nearest to it. How many is
+measured on the sample: as many as hold COVER of the true neighbours there. Cells are dealt into parts of bounded size,
+so one that holds a large share of all rows is many tasks' work. Rows travel to their part once; queries are sent to the
+parts of the cells that they visit and stream past the part's rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +24,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from subsetlab.llm.shared import cut
+from subsetlab.llm.shared import cut, slices
+from subsetlab.session import ship
 
 #: Rows that the codebooks are fitted on at most: a documented bound, whatever the size of the table.
 SAMPLE = 8192
 BOOKS, WORDS, ROUNDS, BEAM = 24, 32, 6, 4
-#: Cells that a query visits.
-VISITS = 24
+#: Rows in a cell, roughly, until there are WORDS ** LEVELS cells.
+CELL, LEVELS = 4096, 3
+#: Share of true neighbours whose cells queries should visit, and queries of the sample that this is measured on.
+COVER, TRIED = 0.98, 512
 #: Candidates that are ranked again by exact distance, in each part of a cell.
 RERANK = 400
-#: Vectors in one part of a cell, and queries in one block.
-PART, BLOCK = 16_384, 4_096
+#: Vectors in one part of a cell, and rows sent at once.
+PART, SENT = 16_384, 8_192
 
 
 def usable(vector: Column) -> Column:
@@ -90,6 +96,76 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
 
 
+def cell_numbers(codes: np.ndarray, words: int) -> list[np.ndarray]:
+    """Return the cells of codes (rows x books) by one, two, ... codewords."""
+    return [sum(codes[:, j].astype(np.int32) * words**j for j in range(n)) for n in range(1, min(LEVELS, codes.shape[1]) + 1)]
+
+
+def cell_centres(cells: np.ndarray, books: np.ndarray, level: int) -> np.ndarray:
+    """Return what the first ``level`` codewords of cells add up to."""
+    words = books.shape[1]
+    return sum(books[j][cells // words**j % words] for j in range(level)).astype(np.float64)
+
+
+def visiting_order(q: np.ndarray, own: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Return the places of all cells in the order in which queries visit them; ``own`` is the place of a query's own."""
+    far = (centres * centres).sum(axis=1) - 2 * q @ centres.T
+    far[np.arange(len(q)), own] = -np.inf
+    return np.argsort(far, axis=1, kind="stable")
+
+
+def visits_needed(sample: np.ndarray, books: np.ndarray, level: int, cells: np.ndarray, k: int) -> int:
+    """Return how many cells (of ``cells``, sorted) queries must visit to meet COVER of their ``k`` nearest in the sample."""
+    words = books.shape[1]
+    own = np.searchsorted(cells, cell_numbers(encode(sample, books)[0], words)[level - 1])
+    ranks = []
+    for a in range(0, min(TRIED, len(sample)), 64):
+        q = sample[a : a + 64]
+        place = np.argsort(visiting_order(q, own[a : a + 64], cell_centres(cells, books, level)), axis=1)
+        far = ((q * q).sum(axis=1)[:, None] - 2 * q @ sample.T) + (sample * sample).sum(axis=1)
+        far[np.arange(len(q)), a + np.arange(len(q))] = np.inf
+        near = np.argsort(far, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+        ranks.append(np.take_along_axis(place, own[near], axis=1).ravel())
+    every = np.sort(np.concatenate(ranks))
+    return int(every[math.ceil(COVER * len(every)) - 1]) + 1 if len(every) else 1
+
+
+class Part:
+    """Vectors of one part of a cell, that queries are scored against."""
+
+    def __init__(self, held: list[pa.RecordBatch], books: np.ndarray) -> None:
+        rows = pa.Table.from_batches(held)
+        ids = rows.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        kind = np.uint8 if books.shape[1] <= 256 else np.int16
+        codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), kind).reshape(len(ids), -1)
+        self.books, self.ids, self.x = books, ids[order], matrix(rows.column("vector"))[order]
+        self.codes, self.norms = codes[order].astype(np.int64), rows.column("norm").to_numpy()[order].astype(np.float32)
+
+    def answer(self, asks: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+        """Score queries by tables of products, and rank the best again by exact distance."""
+        ids = self.ids
+        step = max(1, (1 << 22) // len(ids))
+        for a in range(0, len(q_ids), step):
+            found = []
+            table = np.einsum("qd,jkd->jqk", q[a : a + step].astype(np.float32), self.books)
+            value = np.repeat(self.norms[None], len(table[0]), axis=0)
+            for j in range(len(self.books)):
+                value -= 2 * table[j][:, self.codes[:, j]]
+            for i, v in enumerate(value):
+                pick = np.arange(len(ids))
+                if len(ids) > RERANK:
+                    # Ties at the border go to the smallest ids.
+                    border = np.partition(v, RERANK - 1)[RERANK - 1]
+                    below, equal = np.flatnonzero(v < border), np.flatnonzero(v == border)
+                    pick = np.sort(np.concatenate([below, equal[: RERANK - len(below)]]))
+                pick = pick[ids[pick] != q_ids[a + i]]
+                distance = np.sqrt(((self.x[pick] - q[a + i]) ** 2).sum(axis=1))
+                best = np.lexsort((ids[pick], distance))[:k]
+                found.append((np.full(len(best), asks[a + i]), np.full(len(best), q_ids[a + i]), ids[pick][best], distance[best]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["ask", "query_id", "vec_id", "score"])
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     """Return the ``k`` nearest vectors found for each query: query_id, rank (from 1), vec_id, score.
 
@@ -97,101 +173,81 @@ def search(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     every other row is a candidate for each. score is the Euclidean distance of the original vectors in doubles, ties
     go to the smaller vec_id. Rows with a null vec_id, and vectors that are null, empty, zero, or hold null or
     non-finite components take no part, nor do vectors of another length than most of the sample. A row is no candidate
-    for queries of its own vec_id. Repeated rows are candidates each. Further columns are left out.
+    for queries of its own vec_id. Repeated rows are candidates each, but one query; rows of one vec_id with different
+    vectors are queries each. Further columns are left out.
     """
+    spark = ship(vectors.sparkSession)
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    vector = "array<float>" if single else "array<double>"
     good = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    rows = good.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), queries.alias("asks"))
-    spark = rows.sparkSession
+    rows = good.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(vector).alias("embedding"), queries.alias("asks"))
     # A bounded sample, the same for the same rows: those with the smallest hashes.
     chosen = rows.select("embedding", F.xxhash64("vec_id", "embedding").alias("h")).orderBy("h", "embedding").limit(SAMPLE).toPandas()
     schema = "query_id long, rank int, vec_id long, score double"
     if not len(chosen):
         return spark.createDataFrame([], schema)
     size = int(chosen["embedding"].map(len).mode()[0])
-    sample = np.stack(chosen["embedding"][chosen["embedding"].map(len) == size].to_numpy())
+    sample = np.stack(chosen["embedding"][chosen["embedding"].map(len) == size].to_numpy()).astype(np.float64)
     rows = rows.where(F.size("embedding") == size)
-    books = fit(sample)
-    shared = spark.sparkContext.broadcast(books)
-
-    def index(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = matrix(b.column(1))
-            codes, norms = encode(x, shared.value)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(codes[:, 0].astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32))],
-                names=["vec_id", "embedding", "asks", "cell", "codes", "norm"],
-            )
-
-    coded = cut(rows.mapInArrow(index, "vec_id long, embedding array<double>, asks boolean, cell int, codes binary, norm float"))
-    # A row a cell: the number of codewords bounds it.
-    sizes = coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asks"))
-    counts = {r["cell"]: (r["n"], r["asks"]) for r in sizes.toLocalIterator()}
-    cells = sorted(counts)
-    parts = {c: math.ceil(counts[c][0] / PART) for c in cells}
-    blocks = math.ceil(max(1, sum(a for _, a in counts.values())) / BLOCK)
-    used = np.array(cells)
-    visits = min(VISITS, len(cells))
-
-    def go(batches):
+    shared = spark.sparkContext.broadcast(fit(sample))
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            codes, norms = encode(matrix(b.column(1)), shared.value)
+            cells = [pa.array(x, pa.int32()) for x in cell_numbers(codes, shared.value.shape[1])]
+            columns = [b.column(0), b.column(1), b.column(2), *cells, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "embedding", "asks", *[f"cell_{n}" for n in range(1, len(cells) + 1)], "codes", "norm"])
+
+    names = [f"cell_{n}" for n in range(1, min(LEVELS, BOOKS) + 1)]
+    coded = cut(rows.mapInArrow(index, f"vec_id long, embedding {vector}, asks boolean, {', '.join(f'{x} int' for x in names)}, codes binary, norm float"))
+    level = next((n for n in range(1, len(names)) if WORDS**n * CELL >= coded.count()), len(names))
+    coded = coded.withColumn("cell", F.col(f"cell_{level}"))
+    # A row a cell: WORDS ** LEVELS bounds them.
+    sizes = {r["cell"]: r["n"] for r in coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+    cells = np.array(sorted(sizes), dtype=np.int64)
+    parts = np.array([math.ceil(sizes[c] / PART) for c in cells.tolist()])
+    visits = min(len(cells), visits_needed(sample, shared.value, level, cells, k))
+    held_by = spark.sparkContext.broadcast((cells, parts))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Send each query to the parts of the cells that it visits."""
-        for b in batches:
-            if not b.num_rows:
-                continue
-            q = matrix(b.column(1))
-            centre = shared.value[0][used].astype(np.float64)
-            near = np.argsort((centre * centre).sum(axis=1) - 2 * q @ centre.T, axis=1, kind="stable")[:, :visits]
-            take, cell, part = [], [], []
-            for i, own in enumerate(used[near].tolist()):
-                for c in own:
-                    for p in range(parts[c]):
-                        take.append(i)
-                        cell.append(c)
-                        part.append(p)
-            take = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(cell, pa.int32()), pa.array(part, pa.int32())], names=["query_id", "query", "cell", "part"])
-
-    asked = coded.where("asks").select("vec_id", "embedding").mapInArrow(go, "query_id long, query array<double>, cell int, part int")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    part = F.element_at(F.create_map(*[F.lit(x) for c in cells for x in (c, parts[c])]), F.col("cell"))
-    held = coded.select("vec_id", "embedding", "cell", "codes", "norm", F.pmod(F.xxhash64("vec_id", "embedding"), part).cast("int").alias("part"))
-    held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        """Score a part of a cell for a block of queries, and rank the best again by exact distance."""
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if left.num_rows and right.num_rows:
-            ids = left.column("vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], matrix(left.column("embedding"))[order]
-            own = shared.value
-            kind = np.uint8 if own.shape[1] <= 256 else np.int16
-            codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), kind).reshape(len(ids), -1)[order].astype(np.int64)
-            norms = left.column("norm").to_numpy()[order]
-            q_ids, q = right.column("query_id").to_numpy(), matrix(right.column("query"))
-            found = []
-            step = max(1, (1 << 22) // len(ids))
-            for a in range(0, len(q_ids), step):
-                table = np.einsum("qd,jkd->jqk", q[a : a + step].astype(np.float32), own)
-                value = np.repeat(norms[None].astype(np.float32), len(table[0]), axis=0)
-                for j in range(len(own)):
-                    value -= 2 * table[j][:, codes[:, j]]
-                for i, v in enumerate(value):
-                    pick = np.arange(len(ids))
-                    if len(ids) > RERANK:
-                        # Ties at the border all stay as far as the smallest ids go: the order is by score, then id.
-                        border = np.partition(v, RERANK - 1)[RERANK - 1]
-                        below, equal = np.flatnonzero(v < border), np.flatnonzero(v == border)
-                        pick = np.sort(np.concatenate([below, equal[: RERANK - len(below)]]))
-                    pick = pick[ids[pick] != q_ids[a + i]]
-                    distance = np.sqrt(((x[pick] - q[a + i]) ** 2).sum(axis=1))
-                    best = np.lexsort((ids[pick], distance))[:k]
-                    found.append((np.full(len(best), q_ids[a + i]), ids[pick][best], distance[best]))
-            out = [np.concatenate(c) for c in zip(*found, strict=True)]
-        return pa.table([pa.array(c) for c in out], names=["query_id", "vec_id", "score"])
-
-    keys = ["cell", "part", "block"]
-    near = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        cells, parts = held_by.value
+        for b in slices(batches):
+            own = np.searchsorted(cells, b.column(3).to_numpy())
+            near = visiting_order(matrix(b.column(2)), own, cell_centres(cells, shared.value, level))[:, :visits].ravel()
+            times = parts[near]
+            take = np.repeat(np.repeat(np.arange(b.num_rows), visits), times)
+            cell, part = np.repeat(cells[near], times), np.arange(len(take)) - np.repeat(np.cumsum(times) - times, times)
+            for at in range(0, len(take), SENT):
+                here = slice(at, at + SENT)
+                rows = pa.array(take[here])
+                columns = [pa.array(cell[here], pa.int32()), pa.array(part[here], pa.int32()), *(b.column(c).take(rows) for c in range(3))]
+                yield pa.RecordBatch.from_arrays(columns, names=["cell", "part", "ask", "id", "vector"])
+
+    asked = coded.where("asks").select(F.xxhash64("vec_id", "embedding").alias("ask"), "vec_id", "embedding", "cell").dropDuplicates(["vec_id", "embedding"])
+    asked = asked.mapInArrow(go, f"cell int, part int, ask long, id long, vector {vector}")
+    part_of = spark.createDataFrame([(int(c), int(p)) for c, p in zip(cells, parts, strict=True)], "cell int, parts int")
+    part = F.pmod(F.monotonically_increasing_id(), F.col("parts")).cast("int").alias("part")
+    held = coded.join(F.broadcast(part_of), "cell").select("cell", part, F.lit(None).cast("long").alias("ask"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "codes", "norm")
+    both = held.unionByName(asked, allowMissingColumns=True).withColumn("asking", F.col("ask").isNotNull().cast("int"))
+    both = both.repartition("cell", "part").sortWithinPartitions("cell", "part", "asking")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each part, the rows come first, and then the queries."""
+        now, held, ready = None, [], None
+        for batch in slices(batches):
+            place = np.stack([batch.column(c).to_numpy() for c in ("cell", "part", "asking")])
+            edge = np.append(np.flatnonzero(np.append(True, (place[:, 1:] != place[:, :-1]).any(axis=0))), batch.num_rows)
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                own, key = batch.slice(a, b - a), tuple(place[:2, a])
+                if key != now:
+                    now, held, ready = key, [], None
+                if not place[2, a]:
+                    held.append(own)
+                elif held:
+                    ready = ready or Part(held, shared.value)
+                    yield from ready.answer(own.column("ask").to_numpy(), own.column("id").to_numpy(), matrix(own.column("vector")), k)
+
+    near = both.mapInArrow(score, "ask long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "ask").orderBy("score", "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
