@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -163,9 +164,90 @@ def test_templates_are_rejected_by_purity(spark):
 def test_alike_branches_merge():
     import pandas as pd
 
-    children = pd.DataFrame({"host": "h", "prefix": "", "segment": list("abcd"), "labelled": [100, 100, 100, 0], "bad": [10, 12, 90, 0]})
-    names = dict(zip(children["segment"], url_filter._merge(children)["name"], strict=True))
-    assert names["a"] == names["b"] == "{a|b}" and names["c"] == "c" and names["d"] == "d"
+    bins = pd.DataFrame({"host": "h", "prefix": "", "labelled": [100, 100, 100], "bad": [10, 12, 90], "n": [2, 1, 1], "first": list("cab")})
+    got = {r.bad: (r.top, r.members) for r in url_filter._merge(bins).itertuples()}
+    assert got == {10: ("a", 3), 12: ("a", 3), 90: ("b", 1)}
+
+
+def brute_templates(paths):
+    """Templates of (segments, pages, labelled, bad) of one host by walking down the tree, a node at a time."""
+    out = {}
+
+    def wilson(x, n):
+        p, z = x / n, 1.96**2
+        return (p + z / (2 * n) - 1.96 * math.sqrt(p * (1 - p) / n + z / (4 * n * n))) / (1 + z / n)
+
+    def branch(first, n):
+        return first if n == 1 else "{%s|+%d}" % (first, n - 1)
+
+    def walk(rows, prefix, at):
+        for r in rows:
+            if len(r[0]) == at:
+                out[r[0]] = prefix
+        children = collections.defaultdict(list)
+        for r in rows:
+            if len(r[0]) > at:
+                children[r[0][at]].append(r)
+        if not children:
+            return
+        sums = {s: [sum(r[k] for r in own) for k in (1, 2, 3)] for s, own in children.items()}
+        pages, labelled, bad = (sum(x[k] for x in sums.values()) for k in range(3))
+        kept, others = [], []
+        for s, (_, m, b) in sums.items():
+            far = 0.0
+            if m and labelled > m:
+                q = (bad - b + 0.5) / (labelled - m + 1)
+                far = m * sum(x * math.log(x / y) for x, y in ((b / m, q), (1 - b / m, 1 - q)) if x)
+            (kept if far > math.log(2 * len(sums) / 0.05) else others).append(s)
+        branches = []
+        for s in sorted(kept, key=lambda s: ((sums[s][2] + 0.5) / (sums[s][1] + 1), sums[s][1], s)):
+            _, m, b = sums[s]
+            if branches:
+                same = {tuple(sums[x][1:]) for x in branches[-1]} >= {(m, b)}
+                n, x = sum(sums[y][1] for y in branches[-1]), sum(sums[y][2] for y in branches[-1])
+                twins = sum(1 for y in kept if sums[y][1:] == [m, b])
+                p = (x + b * twins) / (n + m * twins)
+                z = abs(x / n - b / m) / max(math.sqrt(p * (1 - p) * (1 / n + 1 / (m * twins))), 1e-12) if 0 < p < 1 else 0
+                if same or z < 1.96:
+                    branches[-1].append(s)
+                    continue
+            branches.append([s])
+        named = [(branch(min(x), len(x)), x) for x in branches]
+        if others:
+            varies = wilson(sum(x[0] == 1 for x in sums.values()), pages) >= 0.1
+            named.append(("*" if varies else branch(min(others), len(others)), others))
+        for name, own in named:
+            rows_of = [r for s in own for r in children[s]]
+            to, on = at + 1, prefix + "/" + name
+            if len(own) == 1:
+                while all(len(r[0]) > to for r in rows_of) and len({r[0][to] for r in rows_of}) == 1:
+                    on, to = on + "/" + rows_of[0][0][to], to + 1
+            walk(rows_of, on, to)
+
+    walk(paths, "", 0)
+    return out
+
+
+def test_templates_against_a_plain_tree(spark):
+    rng = random.Random(3)
+    paths = {}
+    for i in range(900):
+        kind = rng.choice(["news", "shop", "spam", "user"])
+        deep = [kind, *(rng.choice("abc") for _ in range(rng.randint(0, 7)))]
+        if kind == "user":
+            deep = [kind, f"slug-{i}", "x"]
+        if i % 100 == 0:
+            deep = [*"pq" * 40, str(i // 300)]
+        n = rng.randint(1, 3)
+        own = paths.setdefault(tuple(deep), [0, 0, 0])
+        own[0] += n
+        own[1] += n
+        own[2] += sum(rng.random() < {"spam": 0.9, "shop": 0.15}.get(kind, 0.1) for _ in range(n))
+    rows = [(list(k), *v) for k, v in paths.items()]
+    table = spark.createDataFrame([("h", *r) for r in rows] + [("other", *r) for r in rows[:5]] + [("h", [], 2, 1, 1)], "host string, segments array<string>, pages long, labelled long, bad long")
+    got = {tuple(r["segments"]): r["template"] for r in url_filter.templates(table).where("host = 'h'").collect()}
+    assert got == brute_templates([(tuple(r[0]), *r[1:]) for r in rows]) | {(): ""}
+    assert len(set(got.values())) < len(got)
 
 
 VECTORS = "vec_id long, embedding array<float>, cell string, codes int"

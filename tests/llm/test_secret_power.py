@@ -12,6 +12,10 @@ ENCODINGS = {"upper hex": "0123456789ABCDEF", "base32": UPPER + "234567", "base3
 WORDS = "report final summary user account service manager index result value input output parse request handler version build data table column record order invoice customer address message event stream cache buffer thread number string update delete insert select filter group".split()
 
 
+#: Counts of neighbouring letters in the words that ordinary tokens are made of.
+PAIRS = [[1000 * sum(w[i : i + 2] == a + b for w in WORDS for i in range(len(w))) for b in LOWER] for a in LOWER]
+
+
 def mixed(token):
     return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
@@ -33,13 +37,15 @@ def drawn(each, seed=4):
 
 
 def shares(spark, each, cut):
-    rows = secret_scan.assess(spark.createDataFrame(drawn(each), "name string, length int, match string"))
-    got = rows.groupBy("name", "length").agg(F.count(F.lit(1)).alias("all"), *[F.count_if(F.col("random") & (F.col("p") <= c)).alias(str(c)) for c in cut])
+    rows = secret_scan.assess(spark.createDataFrame(drawn(each), "name string, length int, match string"), PAIRS)
+    good = F.col("p_random") > secret_scan.REJECT / 10
+    got = rows.groupBy("name", "length").agg(F.count(F.lit(1)).alias("all"), *[F.count_if(good & (F.col("p_ordinary") <= c)).alias(str(c)) for c in cut])
     return {(r["name"], r["length"]): tuple(r[str(c)] / r["all"] for c in cut) for r in got.collect()}
 
 
 def test_power_by_encoding(spark):
     got = shares(spark, 300, [secret_scan.RATE])
+    print(got)
     for (name, n), (share,) in got.items():
         if n == 0:
             assert share <= 0.01, name
@@ -54,5 +60,5 @@ def test_small_alphabets_are_found_in_texts(spark):
     rows = [(i, "see " + "".join(rng.choice(ENCODINGS["base32"]) for _ in range(20)) + " there") for i in range(60)]
     rows += [(100 + i, f"{a}{b}{i:04d}-of-{a}-{b}") for i, (a, b) in enumerate(zip(WORDS, WORDS[1:], strict=False))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = collections.Counter(r["doc_id"] < 100 for r in secret_scan.scan(docs).collect() if r["found"])
+    found = collections.Counter(r["doc_id"] < 100 for r in secret_scan.scan(docs, pairs=PAIRS).collect() if r["found"])
     assert found[True] >= 48 and found[False] == 0
