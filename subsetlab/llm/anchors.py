@@ -12,11 +12,18 @@ the block of all consecutive windows with that anchor. Four steps, all keyed eve
    by the hash of the whole window, so that no range gets all that surrounds a common phrase.
 4. Each range compares exact units (a scheme's ``resolve``) and sends the spans to remove to the buckets.
 
-Hashes only select candidates. A row with a null doc_id takes no part: it loses nothing and is no earlier document.
+What goes from every bucket to every range would be rows in number as the square of the input. So, above ``RELAY`` ranges,
+each way has a stop: a bucket sends one row to each group of ranges, where the rows of a group of buckets become one row
+for each range, and back in the same way. Groups are as many as they have members, so rows grow with the input to the
+power of 1.5, and hold more the larger it is.
+
+Hashes only select candidates. A row with a null doc_id takes no part: it loses nothing and is no earlier document. Texts of
+any length are taken whole; a task's memory grows with the longest one.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -29,9 +36,12 @@ from pyspark.sql import functions as F
 
 from subsetlab.llm.shared import bucket_count, give_back
 from subsetlab.llm.words import mixed
+from subsetlab.session import ship
 
 #: Documents that share an anchor, above which its blocks are taken apart into windows.
 HOT = 4096
+#: Ranges up to which buckets and ranges exchange rows without a stop.
+RELAY = 256
 #: Units that are hashed at once (a longer text is one block of its own).
 AT_ONCE = 1 << 19
 LOW = np.uint64(0xFFFFFFFF)
@@ -63,10 +73,13 @@ class Scheme(Protocol):
         """Return hashes of the windows that start at ``start``."""
 
     def send(self, blocks: Blocks, pick: np.ndarray, hot: np.ndarray, doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, Callable]:
-        """Return which of ``pick`` travel, which lose all their windows, and ``pack(chosen) -> bytes``."""
+        """Return which of ``pick`` travel, which lose all their windows, and ``pack(chosen, doc_ids, rows, bucket, ranges) -> bytes``."""
+
+    def relay(self, runs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        """Yield (range, packed blocks) from packed blocks of several buckets and ranges."""
 
-    def resolve(self, runs: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, int, int]]:
-        """Yield (bucket, row, first unit, end) of spans to remove, from (bucket, packed blocks)."""
+    def resolve(self, runs: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+        """Yield (bucket, row, first unit, end) of spans to remove, from packed blocks of one range."""
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -134,10 +147,33 @@ def by_bucket(docs: DataFrame, carry: list[str] | None = None, mb: int = 16) ->
     return rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), n
 
 
-def duplicate_spans(rows: DataFrame, scheme: Scheme, ranges: int) -> DataFrame:
-    """Return (bucket, row, start, stop): little-endian uint32 arrays of the spans, in units, that rows of a bucket lose."""
+def joined(parts: list[bytes], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), kind)
+
+
+def pieces(edges: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Yield (first, end) of runs of equal values."""
+    cut = np.append(np.flatnonzero(np.append(True, edges[1:] != edges[:-1])), len(edges)) if len(edges) else np.zeros(1, np.int64)
+    return zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)
+
+
+class Routes:
+    """Which way rows go between buckets and ``ranges`` ranges: groups of ``width``, or a range for itself (width 1)."""
+
+    def __init__(self, ranges: int) -> None:
+        self.ranges = ranges
+        self.width = math.isqrt(ranges - 1) + 1 if ranges > RELAY else 1
 
-    def offer_of(key: tuple, table: pa.Table) -> pa.Table:
+    @property
+    def stops(self) -> bool:
+        return self.width > 1
+
+
+def offered(rows: DataFrame, scheme: Scheme, routes: Routes) -> DataFrame:
+    """Send the hashes of anchors: rows (range, source, keys, docs, own), own being the bucket within a group of them."""
+    ranges, width = routes.ranges, routes.width
+
+    def offer(key: tuple, table: pa.Table) -> pa.Table:
         doc_ids, texts = ordered(table)
         found, owner = [], []
         for at, part in in_portions(texts):
@@ -154,34 +190,72 @@ def duplicate_spans(rows: DataFrame, scheme: Scheme, ranges: int) -> DataFrame:
         at = np.flatnonzero(new)
         docs = np.minimum(np.add.reduceat(other, at, dtype=np.int64), 65535).astype(np.uint16) if len(at) else at
         k = k[at]
-        cuts = np.searchsorted(k >> HALF, np.arange(ranges + 1, dtype=np.uint64))
+        group, bucket = (k >> HALF).astype(np.int64) // width, key[0].as_py()
+        # Within one range the low half says all.
+        shown = k if routes.stops else (k & LOW).astype(np.uint32)
+        out = [(int(group[a]), bucket, shown[a:b].tobytes(), docs[a:b].tobytes(), b"") for a, b in pieces(group)]
+        return give_back(table_of(out, OFFER))
+
+    def stop(key: tuple, table: pa.Table) -> pa.Table:
+        parts = table.column("keys").to_pylist()
+        size = [len(x) // 8 for x in parts]
+        k, docs = joined(parts, np.uint64), joined(table.column("docs").to_pylist(), np.uint16)
+        own = np.repeat(np.array(table.column("source").to_pylist(), np.int64) % width, size).astype(np.uint16)
+        order = np.argsort(k, kind="stable")
+        k, docs, own = k[order], docs[order], own[order]
         low = (k & LOW).astype(np.uint32)
-        some = np.flatnonzero(np.diff(cuts))
-        bounds = list(zip(cuts[some].tolist(), cuts[some + 1].tolist(), strict=True))
-        return pa.table([some.astype(np.int32), [key[0].as_py()] * len(some), [low[a:b].tobytes() for a, b in bounds], [docs[a:b].tobytes() for a, b in bounds]], schema=OFFER)
+        out = [(int(k[a] >> HALF), key[1].as_py(), low[a:b].tobytes(), docs[a:b].tobytes(), own[a:b].tobytes()) for a, b in pieces(k >> HALF)]
+        return give_back(table_of(out, OFFER))
+
+    sent = rows.groupBy("bucket").applyInArrow(offer, OFFER_SQL)
+    return sent.groupBy("range", F.floor(F.col("source") / width).cast("int").alias("group")).applyInArrow(stop, OFFER_SQL) if routes.stops else sent
+
+
+def answered(offers: DataFrame, routes: Routes) -> DataFrame:
+    """Return (bucket, keys, hot): which of the anchors that a bucket offered more than one document has."""
+    width = routes.width
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
-        lows = [np.frombuffer(x, np.uint32) for x in table.column("low").to_pylist()]
-        counts = [np.frombuffer(x, np.uint16) for x in table.column("docs").to_pylist()]
-        low, n = np.concatenate(lows), np.concatenate(counts).astype(np.int64)
+        at_range = np.uint64(key[0].as_py()) << HALF
+        lows = [np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()]
+        low, n = np.concatenate(lows), joined(table.column("docs").to_pylist(), np.uint16).astype(np.int64)
         every, back = np.unique(low, return_inverse=True)
         docs = np.bincount(back, n)
         many, hot = (docs > 1)[back], (docs > HOT)[back]
         out, at = [], 0
-        for bucket, own in zip(table.column("bucket").to_pylist(), lows, strict=True):
-            pick = many[at : at + len(own)]
+        for source, own, inside in zip(table.column("source").to_pylist(), lows, table.column("own").to_pylist(), strict=True):
+            pick, mine = many[at : at + len(own)], hot[at : at + len(own)]
             if pick.any():
-                out.append((bucket, key[0].as_py(), own[pick].tobytes(), hot[at : at + len(own)][pick].tobytes()))
+                inside = np.frombuffer(inside, np.uint16)[pick].tobytes() if inside else b""
+                out.append((source, int(key[0].as_py()) // width, (own[pick].astype(np.uint64) | at_range).tobytes(), mine[pick].tobytes(), inside))
             at += len(own)
-        return pa.table([list(x) for x in zip(*out, strict=True)] if out else [[]] * 4, schema=ANSWER)
+        return table_of(out, ANSWER)
 
-    def send_of(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+    def stop(key: tuple, table: pa.Table) -> pa.Table:
+        k, hot, own = (joined(table.column(c).to_pylist(), t) for c, t in (("keys", np.uint64), ("hot", np.uint8), ("own", np.uint16)))
+        order = np.lexsort((k, own))
+        k, hot, own = k[order], hot[order], own[order]
+        first = key[0].as_py() * width
+        return table_of([(first + int(own[a]), key[1].as_py(), k[a:b].tobytes(), hot[a:b].tobytes(), b"") for a, b in pieces(own)], ANSWER)
+
+    out = offers.groupBy("range").applyInArrow(answer, ANSWER_SQL)
+    return out.groupBy("bucket", "group").applyInArrow(stop, ANSWER_SQL) if routes.stops else out
+
+
+def duplicate_spans(rows: DataFrame, scheme: Scheme, ranges: int) -> DataFrame:
+    """Return (bucket, row, start, stop): little-endian uint32 arrays of the spans, in units, that rows of a bucket lose."""
+    ship(rows.sparkSession)
+    routes = Routes(ranges)
+    width = routes.width
+
+    def send(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows or not answers.num_rows:
             return SENT.empty_table()
+        bucket = key[0].as_py()
         doc_ids, texts = ordered(table)
-        parts = sorted(zip(*(answers.column(x).to_pylist() for x in ("range", "low", "hot")), strict=True))
-        known = np.concatenate([np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(r) << HALF for r, x, _ in parts])
-        known_hot = np.concatenate([np.frombuffer(x, bool) for _, _, x in parts])
+        known, known_hot = joined(answers.column("keys").to_pylist(), np.uint64), joined(answers.column("hot").to_pylist(), bool)
+        order = np.argsort(known)
+        known, known_hot = known[order], known_hot[order]
         out: list[tuple] = []
         squeeze = zstandard.ZstdCompressor(level=3).compress
         gone: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -210,47 +284,81 @@ def duplicate_spans(rows: DataFrame, scheme: Scheme, ranges: int) -> DataFrame:
                 gone.append((at + b.text[lost], b.start[lost] - first, b.last[lost] - first + scheme.window))
             if len(go):
                 where = (k[go] >> HALF).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                cut = np.append(np.flatnonzero(np.diff(where[order], prepend=-1)), len(order))
-                for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                order = np.argsort(where // width, kind="stable")
+                for x, y in pieces((where // width)[order]):
                     own = go[order[x:y]]
-                    out.append((int(where[order[x]]), key[0].as_py(), squeeze(pack(own, doc_ids[at + b.text[own]], at + b.text[own])), None, None, None))
+                    packed = pack(own, doc_ids[at + b.text[own]], at + b.text[own], bucket, where[order[x:y]])
+                    out.append((int(where[order[x]]) // width, bucket, squeeze(packed), None, None, None))
         if gone:
             row, start, stop = merged(*(np.concatenate(x) for x in zip(*gone, strict=True)))
-            out.append((key[0].as_py() % ranges, key[0].as_py(), None, *(x.astype(np.uint32).tobytes() for x in (row, start, stop))))
-        return pa.table([list(x) for x in zip(*out, strict=True)] if out else [[]] * 6, schema=SENT)
-
-    def settle_of(key: tuple, table: pa.Table) -> pa.Table:
-        columns = {x: table.column(x).to_pylist() for x in ("bucket", "blocks", "row", "start", "stop")}
-        out = [x for x in zip(*(columns[c] for c in ("bucket", "row", "start", "stop")), strict=True) if x[1] is not None]
-        open_up = zstandard.ZstdDecompressor().decompress
-        runs = [(x, open_up(y)) for x, y in zip(columns["bucket"], columns["blocks"], strict=True) if y is not None]
-        spans: dict[int, list[tuple[int, int, int]]] = {}
-        for bucket, row, start, stop in scheme.resolve(runs):
-            spans.setdefault(bucket, []).append((row, start, stop))
-        for bucket, own in spans.items():
-            out.append((bucket, *(x.astype(np.uint32).tobytes() for x in merged(*np.array(own, dtype=np.int64).T))))
-        return pa.table([list(x) for x in zip(*out, strict=True)] if out else [[]] * 4, schema=SPANS)
-
-    def offer(key: tuple, table: pa.Table) -> pa.Table:
-        return give_back(offer_of(key, table))
-
-    def send(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        return give_back(send_of(key, table, answers))
+            out.append((bucket % ranges // width, bucket, None, *(x.astype(np.uint32).tobytes() for x in (row, start, stop))))
+        return give_back(table_of(out, SENT))
+
+    def stop_sent(key: tuple, table: pa.Table) -> pa.Table:
+        squeeze, open_up = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        columns = {x: table.column(x).to_pylist() for x in SENT.names}
+        runs = [open_up(x) for x in columns["blocks"] if x is not None]
+        out = [(r, key[1].as_py() * width, squeeze(x), None, None, None) for r, x in scheme.relay(runs)]
+        # Spans that a bucket found by itself pass through.
+        out += [(x[1] % ranges, *x[1:]) for x in zip(*columns.values(), strict=True) if x[2] is None]
+        return give_back(table_of(out, SENT))
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
-        return give_back(settle_of(key, table))
-
-    offered = rows.groupBy("bucket").applyInArrow(offer, "range int, bucket int, low binary, docs binary")
-    answered = offered.groupBy("range").applyInArrow(answer, "bucket int, range int, low binary, hot binary")
-    sent = rows.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(send, "range int, bucket int, blocks binary, row binary, start binary, stop binary")
-    return sent.groupBy("range").applyInArrow(settle, "bucket int, row binary, start binary, stop binary")
-
-
-OFFER = pa.schema([("range", pa.int32()), ("bucket", pa.int32()), ("low", pa.binary()), ("docs", pa.binary())])
-ANSWER = pa.schema([("bucket", pa.int32()), ("range", pa.int32()), ("low", pa.binary()), ("hot", pa.binary())])
-SENT = pa.schema([("range", pa.int32()), ("bucket", pa.int32()), ("blocks", pa.binary()), ("row", pa.binary()), ("start", pa.binary()), ("stop", pa.binary())])
-SPANS = pa.schema([("bucket", pa.int32()), ("row", pa.binary()), ("start", pa.binary()), ("stop", pa.binary())])
+        columns = {x: table.column(x).to_pylist() for x in ("source", "blocks", "row", "start", "stop")}
+        open_up = zstandard.ZstdDecompressor().decompress
+        spans: list[tuple[np.ndarray, ...]] = []
+        for source, blocks, *own in zip(*columns.values(), strict=True):
+            if blocks is None:
+                row, start, stop = (np.frombuffer(x, np.uint32).astype(np.int64) for x in own)
+                spans.append((np.full(len(row), source), row, start, stop))
+        found = np.array(list(scheme.resolve([open_up(x) for x in columns["blocks"] if x is not None])), dtype=np.int64).reshape(-1, 4)
+        spans.append(tuple(found.T))
+        bucket, row, start, stop = (np.concatenate(x) for x in zip(*spans, strict=True))
+        order = np.argsort(bucket, kind="stable")
+        bucket, row, start, stop = bucket[order], row[order], start[order], stop[order]
+        whole = []
+        for a, b in pieces(bucket):
+            one = merged(row[a:b], start[a:b], stop[a:b])
+            whole.append((np.full(len(one[0]), bucket[a]), *one))
+        if not whole:
+            return SPANS.empty_table()
+        bucket, *rest = (np.concatenate(x) for x in zip(*whole, strict=True))
+        out = []
+        for a, b in pieces(bucket // width):
+            own = [x[a:b].astype(np.uint32).tobytes() for x in (bucket % width, *rest)]
+            out.append((int(bucket[a]) // width, key[0].as_py() // width, *own))
+        return give_back(table_of(out, SPANS))
+
+    def stop_spans(key: tuple, table: pa.Table) -> pa.Table:
+        own, row, start, stop = (joined(table.column(c).to_pylist(), np.uint32).astype(np.int64) for c in ("own", "row", "start", "stop"))
+        order = np.argsort(own, kind="stable")
+        out = []
+        for a, b in pieces(own[order]):
+            pick = order[a:b]
+            spans = (x.astype(np.uint32).tobytes() for x in merged(row[pick], start[pick], stop[pick]))
+            out.append((key[0].as_py() * width + int(own[pick[0]]), key[1].as_py(), b"", *spans))
+        return give_back(table_of(out, SPANS))
+
+    answers = answered(offered(rows, scheme, routes), routes)
+    sent = rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(send, SENT_SQL)
+    if routes.stops:
+        sent = sent.groupBy("range", F.floor(F.col("source") / width).cast("int").alias("group")).applyInArrow(stop_sent, SENT_SQL)
+    spans = sent.groupBy("range").applyInArrow(settle, SPANS_SQL)
+    return (spans.groupBy("bucket", "group").applyInArrow(stop_spans, SPANS_SQL) if routes.stops else spans).select("bucket", "row", "start", "stop")
+
+
+def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([list(x) for x in zip(*rows, strict=True)] if rows else [[]] * len(schema), schema=schema)
+
+
+OFFER = pa.schema([("range", pa.int32()), ("source", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("own", pa.binary())])
+OFFER_SQL = "range int, source int, keys binary, docs binary, own binary"
+ANSWER = pa.schema([("bucket", pa.int32()), ("group", pa.int32()), ("keys", pa.binary()), ("hot", pa.binary()), ("own", pa.binary())])
+ANSWER_SQL = "bucket int, group int, keys binary, hot binary, own binary"
+SENT = pa.schema([("range", pa.int32()), ("source", pa.int32()), ("blocks", pa.binary()), ("row", pa.binary()), ("start", pa.binary()), ("stop", pa.binary())])
+SENT_SQL = "range int, source int, blocks binary, row binary, start binary, stop binary"
+SPANS = pa.schema([("bucket", pa.int32()), ("group", pa.int32()), ("own", pa.binary()), ("row", pa.binary()), ("start", pa.binary()), ("stop", pa.binary())])
+SPANS_SQL = "bucket int, group int, own binary, row binary, start binary, stop binary"
 
 
 def merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from subsetlab.llm.anchors import Blocks, by_bucket, duplicate_spans, remove_spans
+from subsetlab.llm.anchors import Blocks, by_bucket, duplicate_spans, pieces, remove_spans
 from subsetlab.llm.words import Words, mixed, split_words
 
 _rng = np.random.Generator(np.random.PCG64(20240608))
@@ -31,6 +31,8 @@ FACTOR = _rng.integers(1, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1)
 
 #: Shares of a shard's anchors that are worked on one after the other, which bounds an automaton's memory.
 SHARES = 16
+#: Types of the columns that travel with blocks: doc_ids, rows, first windows, buckets, ranges, shares.
+COLUMNS = (np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint8)
 
 
 class SuffixAutomaton:
@@ -120,24 +122,48 @@ class WordWindows:
         stay = np.fromiter((least.setdefault(x, d) == d for x, d in zip(texts, doc_ids.tolist(), strict=True)), bool, len(texts))
         text_of = dict(zip(pick.tolist(), texts, strict=True))
 
-        def pack(chosen: np.ndarray, ids: np.ndarray, row: np.ndarray) -> bytes:
-            """Pack blocks: doc_ids, rows, first windows, shares, and texts with line ends between (words hold none)."""
-            start = (b.start[chosen] - b.first[b.text[chosen]]).astype(np.uint32)
-            share = (b.hashes[chosen] % np.uint64(SHARES)).astype(np.uint8)
-            lines = b"\n".join([text_of[x] for x in chosen.tolist()])
-            return struct.pack("<Q", len(chosen)) + ids.astype(np.int64).tobytes() + row.astype(np.uint32).tobytes() + start.tobytes() + share.tobytes() + lines
+        def pack(chosen: np.ndarray, ids: np.ndarray, row: np.ndarray, bucket: int, ranges: np.ndarray) -> bytes:
+            start = b.start[chosen] - b.first[b.text[chosen]]
+            share = b.hashes[chosen] % np.uint64(SHARES)
+            return self.packed([text_of[x] for x in chosen.tolist()], ids, row, start, np.full(len(chosen), bucket), ranges, share)
 
         return pick[stay], pick[~stay], pack
 
-    def resolve(self, runs: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, int, int]]:
+    @staticmethod
+    def packed(texts: list[bytes], *columns: np.ndarray) -> bytes:
+        """Pack blocks: doc_ids, rows, first windows, buckets, ranges, shares, and texts with line ends between (words hold none)."""
+        return struct.pack("<Q", len(texts)) + b"".join(x.astype(t).tobytes() for x, t in zip(columns, COLUMNS, strict=True)) + b"\n".join(texts)
+
+    @staticmethod
+    def opened(data: bytes) -> tuple[list[bytes], list[np.ndarray]]:
+        (n,) = struct.unpack_from("<Q", data)
+        at, columns = 8, []
+        for t in COLUMNS:
+            columns.append(np.frombuffer(data, t, n, at))
+            at += columns[-1].nbytes
+        return data[at:].split(b"\n"), columns
+
+    def relay(self, runs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        texts, columns = [], []
+        for data in runs:
+            own, more = self.opened(data)
+            texts += own
+            columns.append(more)
+        if not columns:
+            return
+        every = [np.concatenate(x) for x in zip(*columns, strict=True)]
+        order = np.argsort(every[4], kind="stable")
+        for a, b in pieces(every[4][order]):
+            own = order[a:b]
+            yield int(every[4][own[0]]), self.packed([texts[i] for i in own.tolist()], *(x[own] for x in every))
+
+    def resolve(self, runs: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
         for share in range(SHARES):
             blocks: list[tuple[int, int, int, int, bytes]] = []
-            for bucket, data in runs:
-                (n,) = struct.unpack_from("<Q", data)
-                own = np.flatnonzero(np.frombuffer(data, np.uint8, n, 8 + 16 * n) == share).tolist()
-                ids, texts = np.frombuffer(data, np.int64, n, 8)[own].tolist(), data[8 + 17 * n :].split(b"\n")
-                rows, starts = (np.frombuffer(data, np.uint32, n, 8 + k * n)[own].tolist() for k in (8, 12))
-                blocks += zip(ids, [bucket] * len(own), rows, starts, [texts[i] for i in own], strict=True)
+            for data in runs:
+                texts, (ids, rows, starts, buckets, _, shares) = self.opened(data)
+                own = np.flatnonzero(shares == share)
+                blocks += zip(*(x[own].tolist() for x in (ids, buckets, rows, starts)), [texts[i] for i in own.tolist()], strict=True)
             blocks.sort()
             yield from self._stream(blocks)
 

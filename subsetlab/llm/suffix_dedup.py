@@ -4,10 +4,12 @@ Suffixes that can match one of another document (see ``anchors``) are sorted whe
 front-coded: each suffix says how many bytes it shares with the one before and adds the rest. A range merges its
 runs with a loser tree that knows, for every suffix, how much of it the last winner shares: two suffixes are first
 compared by these numbers, and bytes only from there on. The merge yields suffixes in order with the length of the
-prefix shared with the one before, as a suffix array and its LCP array do, so equal strings lie side by side.
+prefix shared with the one before, as a suffix array and its LCP array do. Where there are very many ranges, runs are
+merged in two passes.
 
 A suffix starts at an anchor and holds the bytes after it, then those before it in reverse, as far as the windows
-of its block reach.
+of its block reach. Two suffixes share a window that takes l bytes from before the anchor if they share its other bytes after the
+anchor, which the merge's shared lengths say, and l bytes before it. So what goes follows from shared lengths alone.
 """
 
 from __future__ import annotations
@@ -20,9 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from subsetlab.llm.anchors import Blocks, by_bucket, duplicate_spans, remove_spans
+from subsetlab.llm.anchors import Blocks, by_bucket, duplicate_spans, pieces, remove_spans
 from subsetlab.llm.words import BYTE, mixed, powers
 
+#: Types of the columns that travel with suffixes: doc_ids, rows, first windows, buckets, ranges.
+COLUMNS = (np.int64, np.uint32, np.uint32, np.uint32, np.uint32)
+#: Suffixes around one anchor whose pairs are looked at one by one.
+FEW = 8
+
 
 def first_difference(a: bytes, b: bytes, at: int) -> int:
     """Return the first place from ``at`` on where ``a`` and ``b`` of equal length differ, or their length."""
@@ -150,63 +157,135 @@ class ByteWindows:
         where = np.full(int(pick.max()) + 1, -1)
         where[pick] = np.arange(len(pick))
 
-        def pack(chosen: np.ndarray, ids: np.ndarray, row: np.ndarray) -> bytes:
-            """Front-code suffixes (given in sorted order): shared lengths, rests, doc_ids, rows, first windows."""
-            own = rows[where[chosen]]
-            differ = own[1:] != own[:-1]
-            shared = np.where(differ.any(axis=1), differ.argmax(axis=1), self.size)
-            shared = np.append(0, shared).astype(np.uint8)
-            rests = own[np.arange(self.size) >= shared[:, None]]
-            start = (b.start[chosen] - b.first[b.text[chosen]]).astype(np.uint32)
-            head = struct.pack("<QQ", len(own), len(rests))
-            return head + shared.tobytes() + rests.tobytes() + ids.astype(np.int64).tobytes() + row.astype(np.uint32).tobytes() + start.tobytes()
+        def pack(chosen: np.ndarray, ids: np.ndarray, row: np.ndarray, bucket: int, ranges: np.ndarray) -> bytes:
+            # Within a group of ranges, suffixes are sorted as a whole.
+            order = np.argsort(where[chosen], kind="stable")
+            chosen = chosen[order]
+            start = b.start[chosen] - b.first[b.text[chosen]]
+            return self.packed(rows[where[chosen]], ids[order], row[order], start, np.full(len(chosen), bucket), ranges[order])
 
         return pick[stay], pick[~stay], pack
 
-    def resolve(self, runs: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, int, int]]:
-        coded, ids, rows, starts = [], [], [], []
-        for _, data in runs:
+    def packed(self, own: np.ndarray, *columns: np.ndarray) -> bytes:
+        """Front-code sorted suffixes: shared lengths and rests, then doc_ids, rows, first windows, buckets, ranges."""
+        differ = own[1:] != own[:-1]
+        shared = np.append(0, np.where(differ.any(axis=1), differ.argmax(axis=1), self.size)).astype(np.uint8)
+        rests = own[np.arange(self.size) >= shared[:, None]]
+        head = struct.pack("<QQ", len(own), len(rests))
+        return head + shared.tobytes() + rests.tobytes() + b"".join(x.astype(t).tobytes() for x, t in zip(columns, COLUMNS, strict=True))
+
+    @staticmethod
+    def opened(runs: list[bytes]) -> tuple[list[tuple[bytes, bytes]], list[list[np.ndarray]]]:
+        """Return runs as ``merge_runs`` takes them, and the columns of each."""
+        coded, columns = [], []
+        for data in runs:
             n, m = struct.unpack_from("<QQ", data)
             coded.append((data[16 : 16 + n], data[16 + n : 16 + n + m]))
-            ids.append(np.frombuffer(data, np.int64, n, 16 + n + m).tolist())
-            rows.append(np.frombuffer(data, np.uint32, n, 16 + n + m + 8 * n).tolist())
-            starts.append(np.frombuffer(data, np.uint32, n, 16 + n + m + 12 * n).tolist())
-        group: list[tuple[bytes, list[tuple[int, int, int]]]] = []
+            at, own = 16 + n + m, []
+            for t in COLUMNS:
+                own.append(np.frombuffer(data, t, n, at))
+                at += own[-1].nbytes
+            columns.append(own)
+        return coded, columns
+
+    def relay(self, runs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        coded, columns = self.opened(runs)
+        if not coded:
+            return
+        met = [(run, k, suffix) for run, k, suffix, _ in merge_runs(coded, self.size)]
+        rows = np.frombuffer(b"".join(x for _, _, x in met), np.uint8).reshape(-1, self.size)
+        first = np.cumsum([0, *[len(own[0]) for own in columns]])
+        place = np.array([first[run] + k for run, k, _ in met])
+        every = [np.concatenate([own[c] for own in columns])[place] for c in range(len(COLUMNS))]
+        order = np.argsort(every[-1], kind="stable")
+        for a, b in pieces(every[-1][order]):
+            own = order[a:b]
+            yield int(every[-1][own[0]]), self.packed(rows[own], *(c[own] for c in every))
+
+    def resolve(self, runs: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+        coded, columns = self.opened(runs)
+        ids, rows, starts, buckets = ([own[c].tolist() for own in columns] for c in range(4))
+        # Suffixes, how many bytes after the anchor they share with the one before, and who has them.
+        group: list[tuple[bytes, int, list[tuple[int, int, int, int]]]] = []
         for run, k, suffix, shared in merge_runs(coded, self.size):
+            member = ids[run][k], buckets[run][k], rows[run][k], starts[run][k]
             if shared == self.size:
-                group[-1][1].append((ids[run][k], run, k))
+                group[-1][2].append(member)
                 continue
             # Windows can be equal only where the anchor is; hot windows only where all is.
             if shared <= self.gram or suffix[0]:
-                yield from self._group(group, runs, rows, starts)
+                yield from self._group(group)
                 group = []
-            group.append((suffix, [(ids[run][k], run, k)]))
-        yield from self._group(group, runs, rows, starts)
+            group.append((suffix, min(shared - 1, self.window), [member]))
+        yield from self._group(group)
 
-    def _group(self, group: list, runs: list, rows: list, starts: list) -> Iterator[tuple[int, int, int, int]]:
-        if not group or len(group) == 1 == len(group[0][1]):
+    def _group(self, group: list[tuple[bytes, int, list]]) -> Iterator[tuple[int, int, int, int]]:
+        if not group or len(group) == 1 == len(group[0][2]):
             return
-        owners = [min(x[0] for x in members) for _, members in group]
-        texts, least = [], {}
+        owners = [min(x[0] for x in members) for _, _, members in group]
+        lost: list[list[tuple[int, int]]] = [[] for _ in group]
         if len(group) > 1 and min(owners) != max(owners):
-            for (suffix, _), owner in zip(group, owners, strict=True):
-                right, left = suffix[-2], suffix[-1] - 1
-                at = 1 + self.window
-                text = suffix[at : at + left][::-1] + suffix[1 : 1 + right]
-                texts.append([text[k : k + self.window] for k in range(len(text) - self.window + 1)])
-                for x in texts[-1]:
-                    if least.get(x, owner) >= owner:
-                        least[x] = owner
-        for g, ((suffix, members), owner) in enumerate(zip(group, owners, strict=True)):
-            windows = suffix[-2] + suffix[-1] - self.window
-            lost = [k for k, x in enumerate(texts[g]) if least[x] < owner] if texts else []
-            for doc_id, run, k in members:
-                bucket, row, start = runs[run][0], rows[run][k], starts[run][k]
+            lost = self._pairs(group, owners) if len(group) <= FEW else self._classes(group, owners)
+        for (suffix, _, members), owner, own in zip(group, owners, lost, strict=True):
+            right, left = suffix[-2], suffix[-1] - 1
+            for doc_id, bucket, row, start in members:
                 if doc_id > owner:
-                    yield bucket, row, start, start + windows - 1 + self.window
+                    yield bucket, row, start, start + right + left
                 else:
-                    for x in lost:
-                        yield bucket, row, start + x, start + x + self.window
+                    for low, high in own:
+                        yield bucket, row, start + left - high, start + left - low + self.window
+
+    def _before(self, suffix: bytes) -> bytes:
+        return suffix[1 + self.window : self.window + suffix[-1]]
+
+    def _pairs(self, group: list, owners: list[int]) -> list[list[tuple[int, int]]]:
+        """Return for each suffix what it loses: (least, most) bytes before the anchor, by looking at each pair."""
+        out: list[list[tuple[int, int]]] = [[] for _ in group]
+        before = [self._before(x) for x, _, _ in group]
+        for i, (a, _, _) in enumerate(group):
+            shared = self.window
+            for j in range(i + 1, len(group)):
+                b = group[j][0]
+                shared = min(shared, group[j][1])
+                if owners[i] == owners[j]:
+                    continue
+                low = max(0, self.window - min(shared, a[-2], b[-2]))
+                n = min(len(before[i]), len(before[j]))
+                high = first_difference(before[i][:n], before[j][:n], 0) if n else 0
+                if low <= high:
+                    out[i if owners[i] > owners[j] else j].append((low, high))
+        return out
+
+    def _classes(self, group: list, owners: list[int]) -> list[list[tuple[int, int]]]:
+        """Return the same for many suffixes: for each number of bytes before the anchor, by classes that shared lengths give."""
+        m = len(group)
+        out: list[list[tuple[int, int]]] = [[] for _ in group]
+        right = np.array([x[-2] for x, _, _ in group])
+        left = np.array([x[-1] - 1 for x, _, _ in group])
+        after = np.array([x for _, x, _ in group])
+        before = [self._before(x) for x, _, _ in group]
+        order = sorted(range(m), key=before.__getitem__)
+        shared = [0]
+        for i, j in zip(order, order[1:], strict=False):
+            n = min(len(before[i]), len(before[j]))
+            shared.append(first_difference(before[i][:n], before[j][:n], 0) if n else 0)
+        shared, order, owner = np.array(shared), np.array(order), np.array(owners)
+        for at in range(int(left.max()) + 1):
+            fits = np.flatnonzero((left >= at) & (right >= self.window - at))
+            if len(fits) < 2:
+                continue
+            second = np.empty(m, np.int64)
+            second[order] = np.cumsum(shared < at)
+            key = (np.cumsum(after < self.window - at) * (m + 1) + second)[fits]
+            _, of = np.unique(key, return_inverse=True)
+            least = np.full(int(of.max()) + 1, owner.max())
+            np.minimum.at(least, of, owner[fits])
+            for i in fits[owner[fits] > least[of]].tolist():
+                if out[i] and out[i][-1][1] == at - 1:
+                    out[i][-1] = (out[i][-1][0], at)
+                else:
+                    out[i].append((at, at))
+        return out
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:

@@ -113,6 +113,11 @@ def test_quality(spark):
     rng = random.Random(6)
     rows = [(i, "".join(rng.choice(["a ", "b ", "é", "the ", "\n", "# ", "long-word "]) for _ in range(rng.randint(0, 150)))) for i in range(150)]
     rows += [(500, None), (501, ""), (502, " \n\n"), (None, "x y z"), (3, "again"), (3, "again"), (503, "one two three four five six seven eight nine ten\n" * 2 + "more words here that never repeat at all in this text, as each is new " * 1)]
+    a, b = "ab"
+    while len(a) < 4096:
+        a, b = a + b, b + a
+    # A polynomial hash modulo 2^64 can't tell these words apart.
+    rows += [(600, f"{a} one two three four x y {b} one two three four z"), (601, f"{'z' * 70_000} " * 3 + "q w e r t y u i o p")]
     got = quality.quality(table(spark, rows)).collect()
     expected = collections.defaultdict(list)
     for d, t in rows:
@@ -338,6 +343,24 @@ def test_pipeline_against_brute_force(spark):
     assert {r["doc_id"] for r in packed} == set(cut)
 
 
+PIPED = "doc_id long, text string, lang string, source string, n_chars long, found string, salt int, rest string"
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    same = prose(60)
+    texts = [(1, same), (1, prose(50)), (2, same), (2, same), (None, prose(40)), (None, None), (3, ""), (4, prose(40_000)), (5, None), (6, "token = abcdefgh " + prose(40)), (7, "9" * 5000 + " " + prose(30))]
+    rows = [(d, t, None, None, None, "f", 1, "r") for d, t in texts]
+    spark.createDataFrame(rows, PIPED).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("piece").alias("last")).collect()
+    ids = {r["doc_id"]: r for r in got}
+    assert set(ids) == {1, None, 4, 6, 7} and ids[4]["last"] > 20
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], PIPED).write.parquet(f"{empty}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).collect() == []
+
+
 def test_whole_pipeline_runs(spark, tmp_path):
     rows = [(i, f"word{i} " * 3 + " ".join(hashlib.sha256(f"{i}-{k}".encode()).hexdigest()[:7] for k in range(30)), "en", "s", 5) for i in range(12)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")

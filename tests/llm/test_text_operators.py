@@ -14,6 +14,7 @@ from subsetlab.llm import anchors, bpe, packing, queries, shared, simhash, subst
 from subsetlab.llm.components import components
 from subsetlab.llm.elias_fano import EliasFano
 from subsetlab.llm.wordbpe import library_encoder
+from subsetlab.llm.words import split_words
 
 tokenizers = pytest.importorskip("tokenizers")
 SCHEMA = "doc_id long, text string, bucket string, row int, fp string, length int"
@@ -191,9 +192,11 @@ def covered(rows, split, window):
         yield d, units, gone
 
 
-@pytest.mark.parametrize(("window", "hot", "seed"), [(50, 4096, 1), (50, 3, 2), (12, 2, 3)])
-def test_suffix_dedup(spark, empty, monkeypatch, window, hot, seed):
+@pytest.mark.parametrize(("window", "hot", "seed", "relay", "few"), [(50, 4096, 1, 256, 8), (50, 4096, 1, 2, 1), (50, 3, 2, 1, 8), (12, 2, 3, 256, 1), (12, 4096, 3, 2, 2)])
+def test_suffix_dedup(spark, empty, monkeypatch, window, hot, seed, relay, few):
     monkeypatch.setattr(anchors, "HOT", hot)
+    monkeypatch.setattr(anchors, "RELAY", relay)
+    monkeypatch.setattr(suffix_dedup, "FEW", few)
     rows = passages(seed)
     docs = spark.createDataFrame([(d, t, "b", 1, "f", 0) for d, t in rows], SCHEMA).repartition(3)
     got = suffix_dedup.remove_repeats(docs, window, with_text=True, carry=["bucket", "length"]).collect()
@@ -207,9 +210,10 @@ def test_suffix_dedup(spark, empty, monkeypatch, window, hot, seed):
     assert suffix_dedup.remove_repeats(empty, window).collect() == []
 
 
-@pytest.mark.parametrize(("window", "hot", "seed"), [(13, 4096, 4), (13, 3, 5), (5, 2, 6)])
-def test_substring_dedup(spark, empty, monkeypatch, window, hot, seed):
+@pytest.mark.parametrize(("window", "hot", "seed", "relay"), [(13, 4096, 4, 256), (13, 3, 5, 2), (5, 2, 6, 1)])
+def test_substring_dedup(spark, empty, monkeypatch, window, hot, seed, relay):
     monkeypatch.setattr(anchors, "HOT", hot)
+    monkeypatch.setattr(anchors, "RELAY", relay)
     rows = passages(seed)
     docs = spark.createDataFrame([(d, t, "b", 1, "f", 0) for d, t in rows], SCHEMA).repartition(3)
     got = [tuple(r) for r in substring_dedup.remove_repeats(docs, window).collect()]
@@ -221,6 +225,21 @@ def test_substring_dedup(spark, empty, monkeypatch, window, hot, seed):
     assert substring_dedup.remove_repeats(empty, window).collect() == []
 
 
+def test_rows_of_the_exchange_do_not_grow_with_the_square(spark):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, "".join(rng.choice("abcdefgh ") for _ in range(9000))) for i in range(600)], "doc_id long, text string").repartition(4)
+    counts = {}
+    for n in (16, 64):
+        rows = docs.withColumn("bucket", (F.col("doc_id") % n).cast("int"))
+        for relay in (256, 4):
+            routes = anchors.Routes(n)
+            routes.width = 1 if relay == 256 else int(n**0.5)
+            counts[n, relay] = anchors.offered(rows, suffix_dedup.ByteWindows(50), routes).count()
+    assert counts[16, 256] == 16 * 16 and counts[64, 256] == 64 * 64
+    assert counts[16, 4] == 16 * 4 and counts[64, 4] == 64 * 8
+    assert anchors.Routes(300).width == 18 and not anchors.Routes(256).stops
+
+
 def test_loser_tree():
     rng = random.Random(9)
     runs, everything = [], []
@@ -357,3 +376,74 @@ def test_components(spark):
     expected = {i: 0 for i in range(31)} | {100: 40, 40: 40, 41: 40, 200: 200, 201: 200}
     assert got == expected
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def thue_morse(letters):
+    """Two words that a polynomial hash modulo 2^64 can't tell apart, whatever its odd base."""
+    a, b = "ab"
+    while len(a) < letters:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_hashes_of_words():
+    a, b = thue_morse(4096)
+    texts = [a, b, "x" + a, a[:8], a[:9], b[:8], "\x00", "\x00\x00", a]
+    words = split_words([" ".join(texts).encode(), b"", f" {a[:8]}\n{b}".encode()])
+    h = words.hashes().tolist()
+    assert len(set(h)) == len(set(texts))
+    assert h[-2:] == [h[3], h[1]] and h[0] == h[len(texts) - 1]
+
+
+@pytest.mark.parametrize("which", ["library", "backtracking"])
+def test_very_long_pieces(path, tokenizer, which):
+    encoder = (library_encoder(path) if which == "library" else bpe.codec(path).encoder)
+    a, b = thue_morse(4096)
+    texts = ["7" * 1_100_000, a, b, a + b, "word", "7" * 1_100_000]
+    ids, count = encoder.encode([x.encode() for x in texts])
+    at = 0
+    for text, n in zip(texts, count.tolist(), strict=True):
+        assert ids[at : at + n].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        at += n
+
+
+def test_a_long_piece_through_the_queries(spark, path, tokenizer):
+    a, b = thue_morse(4096)
+    rows = [(1, "9" * 1_050_000), (2, f"{a} {b} {a}"), (3, f"{b} {a}"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = {d: tokenizer.encode(t or "", add_special_tokens=False).ids for d, t in rows}
+    assert {r["doc_id"]: r["n_tokens"] for r in bpe.encode_decode(docs, path).collect()} == {d: len(x) for d, x in ids.items()}
+    sums = {r["doc_id"]: r["n"] for r in packing.pack(packing.token_pieces(docs, path, 2048, end_id=0), 2048).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert sums == {d: len(x) + 1 for d, x in ids.items()}
+    files = token_files.read_token_files(token_files.write_token_files(docs, shared.fresh_dir(spark, "t"), path, end_id=1)).collect()
+    assert {r["doc_id"]: r["ids_crc32"] for r in files} == {d: zlib.crc32(np.array([*x, 1], dtype="<u4")) for d, x in ids.items()}
+
+
+def test_one_doc_id_fills_several_shards(spark, path, monkeypatch):
+    rows = [(None, f"text {i}") for i in range(60)] + [(i, "x") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(token_files, "GROUP", 2)
+    manifest = token_files.write_token_files(docs, shared.fresh_dir(spark, "t"), path, end_id=1)
+    got = token_files.read_token_files(manifest).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 60 + list(range(20))
+    assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:i]) for i in range(len(got))]
+    assert manifest.count() >= 3
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    names = ["length", "salt", "own", "base", "rank", "placed", "place", "row", "sequence_id"]
+    pieces = spark.createDataFrame([(5, i, 1, 2, 3, 4, 5, 6, 7) for i in range(30)], ", ".join(f"{c} long" for c in names))
+    got = packing.pack(pieces, 12)
+    assert got.columns == [*names[:-1], "sequence_id", "offset"]
+    assert sorted(r["salt"] for r in got.collect()) == list(range(30)) and got.select("sequence_id").distinct().count() == 15
+
+
+@pytest.mark.parametrize("salts", [1, 4])
+def test_joins_with_hot_keys(spark, monkeypatch, salts):
+    monkeypatch.setattr(shared, "SALTS", salts)
+    monkeypatch.setattr(shared, "SHARE", 4)
+    many = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(300)], "i long, k long")
+    one = spark.createDataFrame([(k, f"v{k}") for k in range(300)], "k long, v string")
+    got = shared.spread_join(many, one, ["k"])
+    assert sorted(tuple(r) for r in got.select("i", "k", "v").collect()) == sorted((i, 0 if i % 3 else i, f"v{0 if i % 3 else i}") for i in range(300))
+    assert shared.spread_join(many.limit(0), one, ["k"]).collect() == []
