@@ -6,8 +6,8 @@ the block of all consecutive windows with that anchor. Four steps, all keyed eve
 
 1. Each bucket of documents sends the hashes of its anchors, once each, to hash ranges.
 2. Each range sends back to the buckets the hashes that more than one document has.
-3. Each bucket sends its blocks with such anchors to the ranges. Of equal blocks in a bucket only those of the
-   smallest doc_id travel; the others are decided on the spot. So a passage that very many documents share
+3. Each bucket sends its blocks with such anchors to the ranges, gathered over its texts. Of equal blocks in a bucket only
+   those of the smallest doc_id travel; the others are decided on the spot. So a passage that very many documents share
    costs a range one block a bucket. An anchor that more than ``HOT`` documents have is taken window by window,
    by the hash of the whole window, so that no range gets all that surrounds a common phrase.
 4. Each range compares exact units (a scheme's ``resolve``) and sends the spans to remove to the buckets.
@@ -41,7 +41,9 @@ from subsetlab.session import ship
 #: Documents that share an anchor, above which its blocks are taken apart into windows.
 HOT = 4096
 #: Ranges up to which buckets and ranges exchange rows without a stop.
-RELAY = 256
+RELAY = 4096
+#: Blocks that a bucket gathers before it packs them.
+GATHERED = 1 << 18
 #: Units that are hashed at once (a longer text is one block of its own).
 AT_ONCE = 1 << 19
 LOW = np.uint64(0xFFFFFFFF)
@@ -62,6 +64,26 @@ class Blocks:
     hashes: np.ndarray
 
 
+@dataclass
+class Entries:
+    """Blocks on their way: what a scheme makes of them, doc_ids, rows in the bucket, first windows, numbers of windows, ranges, hashes."""
+
+    data: np.ndarray
+    ids: np.ndarray
+    row: np.ndarray
+    start: np.ndarray
+    windows: np.ndarray
+    where: np.ndarray
+    hashes: np.ndarray
+
+    def take(self, pick: np.ndarray) -> Entries:
+        return Entries(*(x[pick] for x in vars(self).values()))
+
+    @staticmethod
+    def joined(parts: list[Entries]) -> Entries:
+        return Entries(*(np.concatenate(x) for x in zip(*(vars(p).values() for p in parts), strict=True)))
+
+
 class Scheme(Protocol):
     window: int
     gram: int
@@ -72,8 +94,17 @@ class Scheme(Protocol):
     def window_hashes(self, units: object, start: np.ndarray) -> np.ndarray:
         """Return hashes of the windows that start at ``start``."""
 
-    def send(self, blocks: Blocks, pick: np.ndarray, hot: np.ndarray, doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, Callable]:
-        """Return which of ``pick`` travel, which lose all their windows, and ``pack(chosen, doc_ids, rows, bucket, ranges) -> bytes``."""
+    def gather(self, blocks: Blocks, pick: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """Return what travels of the blocks ``pick``: rows that are equal only if the blocks are."""
+
+    def order(self, data: np.ndarray) -> np.ndarray:
+        """Return the order in which rows travel; equal ones lie side by side in it."""
+
+    def changes(self, data: np.ndarray) -> np.ndarray:
+        """Tell for each ordered row whether it differs from the one before."""
+
+    def packed(self, entries: Entries, bucket: int) -> bytes:
+        """Pack entries in their order."""
 
     def relay(self, runs: list[bytes]) -> Iterator[tuple[int, bytes]]:
         """Yield (range, packed blocks) from packed blocks of several buckets and ranges."""
@@ -259,6 +290,25 @@ def duplicate_spans(rows: DataFrame, scheme: Scheme, ranges: int) -> DataFrame:
         out: list[tuple] = []
         squeeze = zstandard.ZstdCompressor(level=3).compress
         gone: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[Entries] = []
+
+        def first_ones(e: Entries) -> Entries:
+            """Order entries; of equal ones only those of the smallest doc_id go on, the others lose all their windows."""
+            e = e.take(scheme.order(e.data))
+            new = scheme.changes(e.data)
+            least = np.minimum.reduceat(e.ids, np.flatnonzero(new))[np.cumsum(new) - 1]
+            lost = e.take(np.flatnonzero(e.ids > least))
+            gone.append((lost.row, lost.start, lost.start + lost.windows - 1 + scheme.window))
+            return e.take(np.flatnonzero(e.ids == least))
+
+        def flush() -> None:
+            e = first_ones(Entries.joined(held)) if len(held) > 1 else held[0]
+            held.clear()
+            group = e.where // width
+            order = np.argsort(group, kind="stable")
+            for x, y in pieces(group[order]):
+                out.append((int(group[order[x]]), bucket, squeeze(scheme.packed(e.take(order[x:y]), bucket)), None, None, None))
+
         for at, part in in_portions(texts):
             b = find_blocks(scheme, part)
             k = keys(b.hashes, ranges)
@@ -278,17 +328,13 @@ def duplicate_spans(rows: DataFrame, scheme: Scheme, ranges: int) -> DataFrame:
                 hot = np.arange(len(b.text)) >= len(pick) - hot.sum()
                 pick = np.arange(len(b.text))
                 k = keys(b.hashes, ranges)
-            go, lost, pack = scheme.send(b, pick, hot, doc_ids[at + b.text[pick]])
-            if len(lost):
-                first = b.first[b.text[lost]]
-                gone.append((at + b.text[lost], b.start[lost] - first, b.last[lost] - first + scheme.window))
-            if len(go):
-                where = (k[go] >> HALF).astype(np.int64)
-                order = np.argsort(where // width, kind="stable")
-                for x, y in pieces((where // width)[order]):
-                    own = go[order[x:y]]
-                    packed = pack(own, doc_ids[at + b.text[own]], at + b.text[own], bucket, where[order[x:y]])
-                    out.append((int(where[order[x]]) // width, bucket, squeeze(packed), None, None, None))
+            text = b.text[pick]
+            e = Entries(scheme.gather(b, pick, hot), doc_ids[at + text], at + text, b.start[pick] - b.first[text], b.last[pick] - b.start[pick] + 1, (k[pick] >> HALF).astype(np.int64), b.hashes[pick])
+            held.append(first_ones(e))
+            if sum(len(x.ids) for x in held) > GATHERED:
+                flush()
+        if held:
+            flush()
         if gone:
             row, start, stop = merged(*(np.concatenate(x) for x in zip(*gone, strict=True)))
             out.append((bucket % ranges // width, bucket, None, *(x.astype(np.uint32).tobytes() for x in (row, start, stop))))

@@ -15,14 +15,14 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from subsetlab.llm.anchors import Blocks, by_bucket, duplicate_spans, pieces, remove_spans
+from subsetlab.llm.anchors import Blocks, Entries, by_bucket, duplicate_spans, pieces, remove_spans
 from subsetlab.llm.words import Words, mixed, split_words
 
 _rng = np.random.Generator(np.random.PCG64(20240608))
@@ -112,25 +112,27 @@ class WordWindows:
     def window_hashes(self, units: tuple[Words, np.ndarray], start: np.ndarray) -> np.ndarray:
         return self._hashes(units[1], self.window)[start]
 
-    def send(self, b: Blocks, pick: np.ndarray, hot: np.ndarray, doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, Callable]:
+    def gather(self, b: Blocks, pick: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """Return the blocks' words, joined by spaces."""
         words = b.units[0]
-        raw = words.raw
         a, z = words.start[b.start[pick]].tolist(), words.end[b.last[pick] + self.window - 1].tolist()
-        texts = [raw[x:y] for x, y in zip(a, z, strict=True)]
-        least: dict[bytes, int] = {}
-        # Documents come in rising order, so the first to have a block has the smallest doc_id.
-        stay = np.fromiter((least.setdefault(x, d) == d for x, d in zip(texts, doc_ids.tolist(), strict=True)), bool, len(texts))
-        text_of = dict(zip(pick.tolist(), texts, strict=True))
+        out = np.empty(len(pick), object)
+        out[:] = [words.raw[x:y] for x, y in zip(a, z, strict=True)]
+        return out
 
-        def pack(chosen: np.ndarray, ids: np.ndarray, row: np.ndarray, bucket: int, ranges: np.ndarray) -> bytes:
-            start = b.start[chosen] - b.first[b.text[chosen]]
-            share = b.hashes[chosen] % np.uint64(SHARES)
-            return self.packed([text_of[x] for x in chosen.tolist()], ids, row, start, np.full(len(chosen), bucket), ranges, share)
+    @staticmethod
+    def order(data: np.ndarray) -> np.ndarray:
+        return np.argsort(data, kind="stable")
+
+    @staticmethod
+    def changes(data: np.ndarray) -> np.ndarray:
+        return np.append(True, (data[1:] != data[:-1]).astype(bool))
 
-        return pick[stay], pick[~stay], pack
+    def packed(self, e: Entries, bucket: int) -> bytes:
+        return self.joined(e.data.tolist(), e.ids, e.row, e.start, np.full(len(e.ids), bucket), e.where, e.hashes % np.uint64(SHARES))
 
     @staticmethod
-    def packed(texts: list[bytes], *columns: np.ndarray) -> bytes:
+    def joined(texts: list[bytes], *columns: np.ndarray) -> bytes:
         """Pack blocks: doc_ids, rows, first windows, buckets, ranges, shares, and texts with line ends between (words hold none)."""
         return struct.pack("<Q", len(texts)) + b"".join(x.astype(t).tobytes() for x, t in zip(columns, COLUMNS, strict=True)) + b"\n".join(texts)
 
@@ -155,7 +157,7 @@ class WordWindows:
         order = np.argsort(every[4], kind="stable")
         for a, b in pieces(every[4][order]):
             own = order[a:b]
-            yield int(every[4][own[0]]), self.packed([texts[i] for i in own.tolist()], *(x[own] for x in every))
+            yield int(every[4][own[0]]), self.joined([texts[i] for i in own.tolist()], *(x[own] for x in every))
 
     def resolve(self, runs: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
         for share in range(SHARES):

@@ -16,13 +16,13 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from subsetlab.llm.anchors import Blocks, by_bucket, duplicate_spans, pieces, remove_spans
+from subsetlab.llm.anchors import Blocks, Entries, by_bucket, duplicate_spans, pieces, remove_spans
 from subsetlab.llm.words import BYTE, mixed, powers
 
 #: Types of the columns that travel with suffixes: doc_ids, rows, first windows, buckets, ranges.
@@ -130,7 +130,7 @@ class ByteWindows:
     def window_hashes(self, units: np.ndarray, start: np.ndarray) -> np.ndarray:
         return self._hashes(units, self.window)[start]
 
-    def _suffixes(self, b: Blocks, pick: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    def gather(self, b: Blocks, pick: np.ndarray, hot: np.ndarray) -> np.ndarray:
         """Return the suffixes of blocks as rows of a matrix that sort as they should."""
         out = np.zeros((len(pick), self.size), np.uint8)
         anchor = b.anchor[pick]
@@ -146,27 +146,17 @@ class ByteWindows:
         out[:, -2], out[:, -1] = right, left + 1
         return out
 
-    def send(self, b: Blocks, pick: np.ndarray, hot: np.ndarray, doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, Callable]:
-        rows = self._suffixes(b, pick, hot)
-        # Documents come in rising order, so the first of equal suffixes has the smallest doc_id.
-        order = np.argsort(rows.view(f"S{self.size}").ravel(), kind="stable")
-        rows, doc_ids, pick = rows[order], doc_ids[order], pick[order]
-        new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1))
-        least = doc_ids[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        stay = doc_ids == least
-        where = np.full(int(pick.max()) + 1, -1)
-        where[pick] = np.arange(len(pick))
-
-        def pack(chosen: np.ndarray, ids: np.ndarray, row: np.ndarray, bucket: int, ranges: np.ndarray) -> bytes:
-            # Within a group of ranges, suffixes are sorted as a whole.
-            order = np.argsort(where[chosen], kind="stable")
-            chosen = chosen[order]
-            start = b.start[chosen] - b.first[b.text[chosen]]
-            return self.packed(rows[where[chosen]], ids[order], row[order], start, np.full(len(chosen), bucket), ranges[order])
-
-        return pick[stay], pick[~stay], pack
-
-    def packed(self, own: np.ndarray, *columns: np.ndarray) -> bytes:
+    def order(self, data: np.ndarray) -> np.ndarray:
+        return np.argsort(np.ascontiguousarray(data).view(f"S{self.size}").ravel(), kind="stable")
+
+    @staticmethod
+    def changes(data: np.ndarray) -> np.ndarray:
+        return np.append(True, (data[1:] != data[:-1]).any(axis=1))
+
+    def packed(self, e: Entries, bucket: int) -> bytes:
+        return self.coded(e.data, e.ids, e.row, e.start, np.full(len(e.ids), bucket), e.where)
+
+    def coded(self, own: np.ndarray, *columns: np.ndarray) -> bytes:
         """Front-code sorted suffixes: shared lengths and rests, then doc_ids, rows, first windows, buckets, ranges."""
         differ = own[1:] != own[:-1]
         shared = np.append(0, np.where(differ.any(axis=1), differ.argmax(axis=1), self.size)).astype(np.uint8)
@@ -200,7 +190,7 @@ class ByteWindows:
         order = np.argsort(every[-1], kind="stable")
         for a, b in pieces(every[-1][order]):
             own = order[a:b]
-            yield int(every[-1][own[0]]), self.packed(rows[own], *(c[own] for c in every))
+            yield int(every[-1][own[0]]), self.coded(rows[own], *(c[own] for c in every))
 
     def resolve(self, runs: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
         coded, columns = self.opened(runs)

@@ -196,6 +196,8 @@ def covered(rows, split, window):
 def test_suffix_dedup(spark, empty, monkeypatch, window, hot, seed, relay, few):
     monkeypatch.setattr(anchors, "HOT", hot)
     monkeypatch.setattr(anchors, "RELAY", relay)
+    monkeypatch.setattr(anchors, "AT_ONCE", 1 << 11 if relay == 2 else 1 << 19)
+    monkeypatch.setattr(anchors, "GATHERED", 50 if few == 1 else 1 << 18)
     monkeypatch.setattr(suffix_dedup, "FEW", few)
     rows = passages(seed)
     docs = spark.createDataFrame([(d, t, "b", 1, "f", 0) for d, t in rows], SCHEMA).repartition(3)
@@ -214,6 +216,8 @@ def test_suffix_dedup(spark, empty, monkeypatch, window, hot, seed, relay, few):
 def test_substring_dedup(spark, empty, monkeypatch, window, hot, seed, relay):
     monkeypatch.setattr(anchors, "HOT", hot)
     monkeypatch.setattr(anchors, "RELAY", relay)
+    monkeypatch.setattr(anchors, "AT_ONCE", 1 << 11 if relay == 2 else 1 << 19)
+    monkeypatch.setattr(anchors, "GATHERED", 50 if relay == 2 else 1 << 18)
     rows = passages(seed)
     docs = spark.createDataFrame([(d, t, "b", 1, "f", 0) for d, t in rows], SCHEMA).repartition(3)
     got = [tuple(r) for r in substring_dedup.remove_repeats(docs, window).collect()]
@@ -237,7 +241,7 @@ def test_rows_of_the_exchange_do_not_grow_with_the_square(spark):
             counts[n, relay] = anchors.offered(rows, suffix_dedup.ByteWindows(50), routes).count()
     assert counts[16, 256] == 16 * 16 and counts[64, 256] == 64 * 64
     assert counts[16, 4] == 16 * 4 and counts[64, 4] == 64 * 8
-    assert anchors.Routes(300).width == 18 and not anchors.Routes(256).stops
+    assert anchors.Routes(4900).width == 70 and not anchors.Routes(4096).stops
 
 
 def test_loser_tree():
