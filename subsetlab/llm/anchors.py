@@ -298,7 +298,8 @@ def duplicate_spans(rows: DataFrame, scheme: Scheme, ranges: int) -> DataFrame:
             new = scheme.changes(e.data)
             least = np.minimum.reduceat(e.ids, np.flatnonzero(new))[np.cumsum(new) - 1]
             lost = e.take(np.flatnonzero(e.ids > least))
-            gone.append((lost.row, lost.start, lost.start + lost.windows - 1 + scheme.window))
+            if len(lost.ids):
+                gone.append((lost.row, lost.start, lost.start + lost.windows - 1 + scheme.window))
             return e.take(np.flatnonzero(e.ids == least))
 
         def flush() -> None:
@@ -409,6 +410,8 @@ SPANS_SQL = "bucket int, group int, own binary, row binary, start binary, stop b
 
 def merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Join spans of a row that overlap or touch."""
+    if not len(row):
+        return row, start, stop
     order = np.lexsort((stop, start, row))
     row, start, stop = row[order], start[order], stop[order]
     # Rows are far apart on this line, so the furthest end so far is one of the same row.

@@ -229,6 +229,17 @@ def test_substring_dedup(spark, empty, monkeypatch, window, hot, seed, relay):
     assert substring_dedup.remove_repeats(empty, window).collect() == []
 
 
+@pytest.mark.parametrize("relay", [256, 1])
+def test_two_documents_that_share_a_passage(spark, monkeypatch, relay):
+    """Each bucket has blocks to send, and none that is decided on the spot."""
+    monkeypatch.setattr(anchors, "RELAY", relay)
+    passage = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"{chr(97 + i) * 30} {passage} {chr(107 + i) * 20}") for i in range(3)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == {0: (0, 0), 1: (len(passage) + 2, 1), 2: (len(passage) + 2, 1)}
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()} == {0: 0, 1: 40, 2: 40}
+
+
 def test_rows_of_the_exchange_do_not_grow_with_the_square(spark):
     rng = random.Random(2)
     docs = spark.createDataFrame([(i, "".join(rng.choice("abcdefgh ") for _ in range(9000))) for i in range(600)], "doc_id long, text string").repartition(4)
