@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subsetlab.model import K, N
-from subsetlab.operators.describe import running_counts
+from subsetlab.operators.describe import counts_and_before
 
 WIDTHS = (50, 100, 200)
 CLIP = 1e-6
@@ -19,20 +19,12 @@ INITIAL, STEP, VALIDATION = 500, 50, 210
 
 def scores(draws: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """Return config, t, num, y and p. Counts before t are running counts less draw t's own; windows are differences."""
-    c = running_counts(draws).select("t", "num", "y", (F.col("c") - F.col("y")).alias("c"))
-    seen = F.col("t") - 1
-    parts = [c.select(F.lit("B0").alias("config"), "t", "num", "y", F.lit(K / N).alias("p"))]
-    parts.append(c.select(F.lit("B1").alias("config"), "t", "num", "y", (K * (F.col("c") + 1.0) / (K * seen + N)).alias("p")))
-    for w in widths:
-        before = c.select((F.col("t") + w).alias("t"), "num", F.col("c").alias("d"))
-        own = c.join(before, ["t", "num"], "left")
-        inside = F.col("c") - F.coalesce("d", F.lit(0))
-        p = K * (inside + 1.0) / (K * F.least(F.lit(w), seen) + N)
-        parts.append(own.select(F.lit(f"B2_w{w}").alias("config"), "t", "num", "y", p.alias("p")))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    seen, c = F.col("t") - 1, F.col("c") - F.col("y")
+    chances = {"B0": F.lit(K / N), "B1": K * (c + 1.0) / (K * seen + N)}
+    # The last w draws before t begin after draw t - w - 1.
+    chances |= {f"B2_w{w}": K * (c - F.col(f"before_{w + 1}") + 1.0) / (K * F.least(F.lit(w), seen) + N) for w in widths}
+    every = F.array(*[F.struct(F.lit(k).alias("config"), p.alias("p")) for k, p in chances.items()])
+    return counts_and_before(draws, tuple(w + 1 for w in widths)).select("t", "num", "y", F.explode(every).alias("x")).select("x.config", "t", "num", "y", "x.p")
 
 
 def clipped(p: Column) -> Column:
@@ -61,12 +53,10 @@ def folds(n: int, initial: int = INITIAL, step: int = STEP, validation: int = VA
 
 
 def periods(draws: DataFrame, n: int) -> DataFrame:
-    """Return t and period: its fold, and dev_pooled or validation; one row for each that a draw belongs to."""
+    """Return t and period: its fold, dev_pooled (all scored draws), and validation (the last of them); one row for each."""
     t = F.col("t")
     fold = F.floor((t - INITIAL - 1) / STEP) + 1
-    names = F.array_compact(F.array(
-        F.format_string("fold_%02d", fold.cast("int")), F.when(t <= n - VALIDATION, F.lit("dev_pooled")).otherwise(F.lit("validation")),
-    ))
+    names = F.array_compact(F.array(F.format_string("fold_%02d", fold.cast("int")), F.lit("dev_pooled"), F.when(t > n - VALIDATION, F.lit("validation"))))
     return draws.where((t > INITIAL) & (t <= n)).select("t", F.explode(names).alias("period"))
 
 
@@ -129,3 +119,32 @@ def null_excess(m: int) -> tuple[float, float]:
         loss += w * (p0 * math.log(p0 / p) + (1 - p0) * math.log((1 - p0) / (1 - p)))
         brier += w * (p - p0) ** 2
     return loss, brier
+
+
+def sanity(per_draw: DataFrame, bins: DataFrame, membership: DataFrame, sizes: dict[str, int] | None = None, tolerance: float = 1e-9) -> DataFrame:
+    """Return (check, broken): how many rows break what must hold for scores, whatever the draws.
+
+    B0's log loss and Brier score are constants; each draw's chances add up to K; none is clipped; all lie inside (0, 1); B0 has one
+    calibration bin (``bins``, with config); periods have the sizes given.
+    """
+    import math
+
+    p = K / N
+    loss, brier = -(p * math.log(p) + (1 - p) * math.log(1 - p)), p * (1 - p)
+    base = F.col("config") == "B0"
+    one = per_draw.agg(
+        F.count_if(base & (F.abs(F.col("log_loss") - loss) > 1e-12)).alias("b0_log_loss"), F.count_if(base & (F.abs(F.col("brier") - brier) > 1e-12)).alias("b0_brier"),
+        F.count_if(F.abs(F.col("sum_p") - K) > tolerance).alias("sum_p"), F.count_if(F.col("n_clipped") != 0).alias("clipped"),
+    )
+    two = bins.agg(
+        F.count_if((F.col("min_p") <= 0) | (F.col("max_p") >= 1)).alias("open_interval"), F.greatest(F.count_if(base) - 1, F.lit(0)).alias("b0_bins"),
+        F.count_if(base & (F.abs(F.col("mean_p") - p) > 1e-12)).alias("b0_mean_p"),
+    )
+    names = ["b0_log_loss", "b0_brier", "sum_p", "clipped", "open_interval", "b0_bins", "b0_mean_p"]
+    out = one.crossJoin(two).select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).cast("long").alias("broken")) for c in names])).alias("x")).select("x.*")
+    if sizes:
+        wanted = per_draw.sparkSession.createDataFrame(list(sizes.items()), "period string, wanted long")
+        counts = membership.groupBy("period").agg(F.count(F.lit(1)).alias("n"))
+        wrong = F.broadcast(wanted).join(counts, "period", "left").agg(F.count_if(F.coalesce("n", F.lit(0)) != F.col("wanted")).alias("broken"))
+        out = out.unionByName(wrong.select(F.lit("period_sizes").alias("check"), "broken"))
+    return out

@@ -7,15 +7,21 @@ So a running count over any number of draws is spread over blocks, and a rolling
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from subsetlab.functions import nulls
 from subsetlab.model import K, LOW, MAIN, N, P_MAIN, P_SPECIAL, grid, long, main_array, numbers
+from subsetlab.session import ship
 
 #: Draws in one block of a running count.
 BLOCK = 10_000
+#: The chance of a pair in a draw.
+P_PAIR = K * (K - 1) / (N * (N - 1))
 METRICS = ["sum", "min", "max", "range", "odd", "low", "consecutive", "gap", "min_gap", "max_gap"]
 
 
@@ -106,33 +112,41 @@ def wilson(x: Column, n: Column) -> tuple[Column, Column]:
     return F.coalesce(F.greatest(centre - half, F.lit(0.0)), F.lit(0.0)), F.coalesce(F.least(centre + half, F.lit(1.0)), F.lit(0.0))
 
 
-def _frequency(counted: DataFrame, n: int, p: float, band: bool) -> DataFrame:
-    low, high = wilson(F.col("observed"), F.lit(n))
-    rel = F.when(F.lit(n) > 0, F.col("observed") / F.lit(n)) if n else F.lit(0.0)
+def _frequency(counted: DataFrame, p: float, band: int | None) -> DataFrame:
+    """Return the table of counts (columns num, observed, n: out of how many); ``band``: for how many a band is added."""
+    n = F.col("n")
+    low, high = wilson(F.col("observed"), n)
     out = counted.select(
-        F.col("num").alias("number"), "observed", rel.alias("rel_freq"), low.alias("wilson_lo"), high.alias("wilson_hi"),
-        F.lit(n * p).alias("expected"), z_score(F.col("observed"), F.lit(n), p).alias("z"),
+        F.col("num").alias("number"), "observed", F.coalesce(F.col("observed") / F.when(n > 0, n), F.lit(0.0)).alias("rel_freq"), low.alias("wilson_lo"), high.alias("wilson_hi"),
+        (n * p).alias("expected"), z_score(F.col("observed"), n, p).alias("z"),
     )
-    if band:
-        a, b = nulls.binomial_band(n, p)
+    if band is not None:
+        a, b = nulls.binomial_band(band, p)
         out = out.withColumns({"band_lo": F.lit(a).cast("long"), "band_hi": F.lit(b).cast("long")})
     return out
 
 
+def counted_numbers(draws: DataFrame) -> DataFrame:
+    """Return num, observed (zeros kept) and n, the number of draws: numbers are counted once, and a draw has K of them."""
+    counts = long(draws).groupBy("num").agg(F.count(F.lit(1)).alias("n"))
+    every = F.broadcast(numbers(draws)).join(counts, "num", "left").select("num", F.coalesce("n", F.lit(0)).alias("observed"))
+    total = every.agg((F.sum("observed") / K).cast("long").alias("n"))
+    return every.crossJoin(F.broadcast(total))
+
+
 def number_frequency(draws: DataFrame, band: bool = True) -> DataFrame:
     """Count each number 1..N (zeros kept) with share, Wilson interval, expectation, binomial band and z."""
-    n = draws.count()
-    counts = long(draws).groupBy("num").agg(F.count(F.lit(1)).alias("n"))
-    counted = F.broadcast(numbers(draws)).join(counts, "num", "left").select("num", F.coalesce("n", F.lit(0)).alias("observed"))
-    return _frequency(counted, n, P_MAIN, band)
+    return _frequency(counted_numbers(draws), P_MAIN, draws.count() if band else None)
 
 
 def special_frequency(draws: DataFrame, band: bool = True) -> DataFrame:
     """The same for special numbers, over the draws that have one; n_missing counts the others."""
-    r = draws.agg(F.count(F.lit(1)).alias("n"), F.count("special_number").alias("some")).first()
-    counts = draws.where(F.col("special_number").isNotNull()).groupBy(F.col("special_number").alias("num")).agg(F.count(F.lit(1)).alias("n"))
-    counted = F.broadcast(numbers(draws)).join(counts, "num", "left").select("num", F.coalesce("n", F.lit(0)).alias("observed"))
-    return _frequency(counted, r["some"], P_SPECIAL, band).withColumn("n_missing", F.lit(r["n"] - r["some"]).cast("long"))
+    counts = draws.groupBy(F.col("special_number").alias("num")).agg(F.count(F.lit(1)).alias("c"))
+    total = counts.agg(F.coalesce(F.sum(F.when(F.col("num").isNotNull(), F.col("c"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("num").isNull(), F.col("c"))), F.lit(0)).alias("missing"))
+    every = F.broadcast(numbers(draws)).join(counts, "num", "left").select("num", F.coalesce("c", F.lit(0)).alias("observed")).crossJoin(F.broadcast(total))
+    out = _frequency(every, P_SPECIAL, draws.where(F.col("special_number").isNotNull()).count() if band else None)
+    missing = F.broadcast(total.select(F.col("missing").alias("n_missing")))
+    return out.crossJoin(missing)
 
 
 def frequency_by_period(draws: DataFrame, kind: str) -> DataFrame:
@@ -171,16 +185,23 @@ def cumulative_counts(draws: DataFrame) -> DataFrame:
     return running_counts(draws).select("t", F.col("num").alias("number"), F.col("c").alias("observed"), expected.alias("expected"))
 
 
+def counts_and_before(draws: DataFrame, widths: tuple[int, ...]) -> DataFrame:
+    """Return t, num, y, c (see ``running_counts``) and before_<w>: the count up to draw t - w (0 if there is none).
+
+    Running counts are made once: each row goes to its own t, and to t + w for every width, in one shuffle.
+    """
+    none = F.lit(None).cast("long")
+    own = F.struct("t", "y", "c", *[none.alias(f"before_{w}") for w in widths])
+    later = [F.struct((F.col("t") + w).alias("t"), none.alias("y"), none.alias("c"), *[(F.col("c") if v == w else none).alias(f"before_{v}") for v in widths]) for w in widths]
+    rows = running_counts(draws).select("num", F.explode(F.array(own, *later)).alias("x")).select("num", "x.*")
+    out = rows.groupBy("t", "num").agg(F.max("y").alias("y"), F.max("c").alias("c"), *[F.coalesce(F.max(f"before_{w}"), F.lit(0)).alias(f"before_{w}") for w in widths])
+    return out.where(F.col("c").isNotNull())
+
+
 def rolling_counts(draws: DataFrame, width: int) -> DataFrame:
     """Return counts in the trailing ``width`` draws up to t, for t >= width, with z."""
-    c = running_counts(draws).select("t", "num", "c")
-    # A row goes to its own t as the window's end, and to t + width as what falls out of the window.
-    ends = c.select("t", "num", F.col("c").alias("inside"), F.lit(0).cast("long").alias("out"))
-    starts = c.select((F.col("t") + width).alias("t"), "num", F.lit(0).cast("long").alias("inside"), F.col("c").alias("out"))
-    both = ends.unionByName(starts).groupBy("t", "num").agg(F.sum("inside").alias("a"), F.sum("out").alias("b"), F.max("inside").alias("known"))
-    last = c.agg(F.max("t").alias("last"))
-    kept = both.crossJoin(F.broadcast(last)).where((F.col("t") >= width) & (F.col("t") <= F.col("last")))
-    observed = F.col("a") - F.col("b")
+    observed = F.col("c") - F.col(f"before_{width}")
+    kept = counts_and_before(draws, (width,)).where(F.col("t") >= width)
     return kept.select("t", F.col("num").alias("number"), observed.alias("observed"), z_score(observed, F.lit(width), P_MAIN).alias("z"))
 
 
@@ -189,9 +210,16 @@ def rolling_extremes(draws: DataFrame, width: int) -> DataFrame:
 
 
 def gaps(draws: DataFrame) -> DataFrame:
-    """Return num, t and gap: draws since the number's last occurrence (none for the first)."""
-    w = Window.partitionBy("num").orderBy("t")
-    return long(draws).select("num", "t", (F.col("t") - F.lag("t").over(w)).alias("gap")).where(F.col("gap").isNotNull())
+    """Return num, t and gap: draws since the number's last occurrence (none for the first).
+
+    Occurrences are lagged within blocks of draws; a block gets the last one before it from the blocks' ends.
+    """
+    rows = long(draws).select("num", "t", ((F.col("t") - 1) / BLOCK).cast("long").alias("block"))
+    earlier = Window.partitionBy("num").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("num", "block").agg(F.max("t").alias("end")).select("num", "block", F.max("end").over(earlier).alias("carried"))
+    own = rows.withColumn("own", F.lag("t").over(Window.partitionBy("num", "block").orderBy("t")))
+    gap = F.col("t") - F.coalesce("own", "carried")
+    return own.join(ends, ["num", "block"]).select("num", "t", gap.alias("gap")).where(F.col("gap").isNotNull())
 
 
 def expected_gaps(n: int, p: float = P_MAIN) -> list[tuple[str, int, int | None, float]]:
@@ -242,17 +270,76 @@ def pair_counts(draws: DataFrame) -> DataFrame:
     pairs = [F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for i, a in enumerate(MAIN) for b in MAIN[i + 1 :]]
     counts = draws.select(F.explode(F.array(*pairs)).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
     every = numbers(draws).select(F.col("num").alias("a"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(N).cast("long"))).alias("b")).where("a < b")
-    n, p = draws.count(), K * (K - 1) / (N * (N - 1))
-    out = F.broadcast(every).join(counts, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("observed"))
-    return out.withColumns({"expected": F.lit(n * p), "z": z_score(F.col("observed"), F.lit(n), p)})
+    # A draw has as many pairs as K numbers make.
+    total = F.broadcast(counts.agg(F.coalesce(F.sum("n") / (K * (K - 1) // 2), F.lit(0.0)).cast("long").alias("draws")))
+    out = F.broadcast(every).join(counts, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("observed")).crossJoin(total)
+    return out.select("a", "b", "observed", (F.col("draws") * P_PAIR).alias("expected"), z_score(F.col("observed"), F.col("draws"), P_PAIR).alias("z"))
+
+
+def pair_bands(draws: DataFrame) -> DataFrame:
+    """Add to each pair's count the band that chance leaves it in (the same for all)."""
+    a, b = nulls.binomial_band(draws.count(), P_PAIR)
+    return pair_counts(draws).withColumns({"band_lo": F.lit(a).cast("long"), "band_hi": F.lit(b).cast("long")})
 
 
 def pair_count_distribution(draws: DataFrame) -> DataFrame:
-    """Return how many pairs occur how often, for all counts from the least to the largest."""
+    """Return how many pairs occur how often, for all counts from the least to the largest, and how many are expected to."""
     h = pair_counts(draws).groupBy(F.col("observed").alias("count")).agg(F.count(F.lit(1)).alias("pairs"))
     ends = h.agg(F.min("count").alias("a"), F.max("count").alias("b"))
     every = ends.select(F.explode(F.sequence("a", "b")).alias("count"))
-    return every.join(h, "count", "left").select("count", F.coalesce("pairs", F.lit(0)).alias("pairs"))
+    out = every.join(h, "count", "left").select("count", F.coalesce("pairs", F.lit(0)).alias("pairs"))
+    # A row for each count between two counts: few, as pairs are.
+    n, pairs = draws.count(), N * (N - 1) // 2
+    span = ends.first()
+    rows = [(k, math.exp(nulls._log_binomial(n, P_PAIR, k))) for k in range(span["a"], span["b"] + 1)] if n else []
+    null = draws.sparkSession.createDataFrame(rows, "count long, null_prob double")
+    return out.join(F.broadcast(null), "count").withColumn("expected", F.col("null_prob") * pairs)
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Return the logarithm of the gamma function of positive numbers, by Stirling's series from 10 on."""
+    shift = np.zeros_like(x)
+    x = x.copy()
+    while (low := x < 10).any():
+        shift[low] -= np.log(x[low])
+        x[low] += 1
+    inverse = 1 / (x * x)
+    series = (1 / 12 - inverse * (1 / 360 - inverse * (1 / 1260 - inverse * (1 / 1680 - inverse / 1188)))) / x
+    return shift + (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series
+
+
+def bands_by_draw(draws: DataFrame) -> DataFrame:
+    """Return t, expected, band_lo and band_hi of a number's running count, for every draw.
+
+    Chances are added up from far below the mean, where nothing is left, to above the upper end.
+    """
+    p, low, high = P_MAIN, 0.025, 0.975
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for t in batch["t"].tolist():
+                spread = 12 * math.sqrt(t * p * (1 - p)) + 12
+                x = np.arange(max(0, int(t * p - spread)), min(t, int(t * p + spread)) + 1, dtype=np.float64)
+                fixed = math.lgamma(t + 1)
+                cum = np.cumsum(np.exp(fixed - log_gamma(x + 1) - log_gamma(t - x + 1) + x * math.log(p) + (t - x) * math.log1p(-p)))
+                at = np.minimum(np.searchsorted(cum, [low, high]), len(x) - 1)
+                rows.append((t, t * p, int(x[at[0]]), int(x[at[1]])))
+            yield pd.DataFrame(rows, columns=["t", "expected", "band_lo", "band_hi"])
+
+    ship(draws.sparkSession)
+    return draws.select("t").mapInPandas(run, "t long, expected double, band_lo long, band_hi long")
+
+
+def outside_bands(draws: DataFrame) -> DataFrame:
+    """Return scope, cells, outside and expected: how many counts of numbers, special numbers and pairs lie outside their bands."""
+    special = draws.where(F.col("special_number").isNotNull()).count()
+    n, pairs = draws.count(), N * (N - 1) // 2
+    out = None
+    for scope, df, trials, p, cells in (("main", number_frequency(draws), n, P_MAIN, N), ("special", special_frequency(draws), special, P_SPECIAL, N), ("pairs", pair_bands(draws), n, P_PAIR, pairs)):
+        one = cells_outside(df).select(F.lit(scope).alias("scope"), "cells", "outside", F.lit(expected_outside(trials, p, cells)).alias("expected"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def block_of(t: Column, n: int, blocks: int) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subsetlab.functions import nulls
-from subsetlab.model import K, N, SUMS, long, main_array, numbers
-from subsetlab.operators.describe import draw_metrics
+from subsetlab.model import K, N, SUMS, long, main_array
+from subsetlab.operators.describe import counted_numbers, draw_metrics, number_frequency, special_frequency
 
 LAGS = 10
 OVERLAP_MEAN = K * K / N
@@ -23,19 +23,14 @@ WINDOW, STEP = 170, 85
 
 def chi2_main(draws: DataFrame) -> DataFrame:
     """C1: counts of main numbers against K n / N."""
-    n = F.lit(draws.count()).cast("double")
-    counts = long(draws).groupBy("num").agg(F.count(F.lit(1)).alias("c"))
-    f = F.broadcast(numbers(draws)).join(counts, "num", "left").select(F.coalesce("c", F.lit(0)).alias("c"), (n * K / N).alias("e"))
-    return f.agg(F.sum(F.pow(F.col("c") - F.col("e"), 2) / F.col("e")).alias("statistic"))
+    e = F.col("n") * K / N
+    return counted_numbers(draws).agg(F.sum(F.pow(F.col("observed") - e, 2) / F.when(e > 0, e)).alias("statistic"))
 
 
 def chi2_special(draws: DataFrame) -> DataFrame:
     """C2: counts of special numbers against n' / N."""
-    rows = draws.where(F.col("special_number").isNotNull())
-    n = F.lit(rows.count()).cast("double")
-    counts = rows.groupBy(F.col("special_number").alias("num")).agg(F.count(F.lit(1)).alias("c"))
-    f = F.broadcast(numbers(draws)).join(counts, "num", "left").select(F.coalesce("c", F.lit(0)).alias("c"), (n / N).alias("e"))
-    return f.agg(F.sum(F.pow(F.col("c") - F.col("e"), 2) / F.col("e")).alias("statistic"))
+    f = special_frequency(draws, band=False)
+    return f.agg(F.sum(F.pow(F.col("observed") - F.col("expected"), 2) / F.when(F.col("expected") > 0, F.col("expected"))).alias("statistic"))
 
 
 def lag_overlap(draws: DataFrame, lags: int = LAGS) -> DataFrame:
@@ -162,3 +157,89 @@ def holm(tests: DataFrame, p: str = "p", within: list[str] | None = None) -> Dat
 def simulated_p(observed: Column, replicate: Column) -> Column:
     """Aggregate: (1 + number of replicates not below the observed value) / (replicates + 1); never 0."""
     return (1 + F.count_if(replicate >= observed)) / (F.count(replicate) + 1)
+
+
+def mean_interval(draws: DataFrame, z: float = 1.96) -> DataFrame:
+    """Return for sum, range, odd, low and consecutive: mean less the null's mean, and the normal 95 % interval of the mean."""
+    m = draw_metrics(draws)
+    names = ("sum", "range", "odd", "low", "consecutive")
+    cells = F.array(*[F.struct(F.lit(x).alias("metric"), F.lit(nulls.moments(nulls.PMFS[x]())[0]).alias("null_mean"), F.col(x).cast("double").alias("v")) for x in names])
+    rows = m.select(F.explode(cells).alias("x")).select("x.*")
+    own = rows.groupBy("metric", "null_mean").agg(F.avg("v").alias("mean"), (F.stddev_samp("v") / F.sqrt(F.count("v"))).alias("se"))
+    return own.select("metric", (F.col("mean") - F.col("null_mean")).alias("difference"), (F.col("mean") - z * F.col("se")).alias("lo"), (F.col("mean") + z * F.col("se")).alias("hi"))
+
+
+def effects(draws: DataFrame) -> DataFrame:
+    """Return (test, effect, value): the sizes that go with the statistics of C1 to C13, each from a few aggregated rows."""
+    n, spread = draws.count(), (N - K)
+    years = draws.select(F.year("draw_date").alias("y")).distinct().count()
+
+    def named(df: DataFrame, test: str, **values: Column) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(k).alias("effect"), v.cast("double").alias("value")) for k, v in values.items()])
+        return df.select(F.lit(test).alias("test"), F.explode(cells).alias("x")).select("test", "x.*")
+
+    def by_lag(df: DataFrame, test: str, **values: Column) -> DataFrame:
+        cells = F.array(*[F.struct(F.concat(F.lit(f"{k}_"), F.col("lag").cast("string")).alias("effect"), v.cast("double").alias("value")) for k, v in values.items()])
+        return df.select(F.lit(test).alias("test"), F.explode(cells).alias("x")).select("test", "x.*")
+
+    one, lag = F.col("statistic"), F.col("lag")
+    out = [
+        named(chi2_main(draws), "C1", dispersion_ratio=one / spread), named(number_frequency(draws, band=False).agg(F.max(F.abs("z")).alias("z")), "C1", max_abs_z=F.col("z")),
+        named(chi2_special(draws), "C2", ratio=one / (N - 1)),
+        by_lag(lag_overlap(draws), "C3", overlap_minus_null=F.col("overlap") - OVERLAP_MEAN, ci_halfwidth=1.96 * F.sqrt(OVERLAP_VARIANCE / (n - lag))),
+        by_lag(autocorrelation(draws), "C5", r=F.col("r")), named(autocorrelation(draws).agg(F.max(F.abs("r")).alias("r")), "C5", max_abs_r=F.col("r"), ci_halfwidth=F.lit(1.96 / max(n, 1) ** 0.5)),
+        named(runs(draws), "C6", runs=F.col("runs"), mu=F.col("mu"), n_plus=F.col("n_plus"), n_minus=F.col("n_minus"), n_ties=F.col("ties")),
+        named(year_chi2(draws), "C7", cramers_v=F.when(F.lit(years) > 1, F.sqrt(one / (K * n * max(years - 1, 1))))),
+    ]
+    if n >= WINDOW + 2 * STEP:
+        out.append(named(window_chi2(draws).agg(F.max("x2").alias("statistic")), "C8", v_roll=F.sqrt(one / (K * WINDOW))))
+    means = mean_interval(draws)
+    for test, metric in (("C9", "sum"), ("C10", "range"), ("C11", "odd"), ("C12", "low"), ("C13", "consecutive")):
+        row = means.where(F.col("metric") == metric)
+        out.append(named(row, test, mean_minus_null=F.col("difference"), **({"ci_lo": F.col("lo"), "ci_hi": F.col("hi")} if test in ("C9", "C10") else {})))
+        if test in ("C11", "C12", "C13"):
+            out.append(named(cells_chi2(draws, metric).agg(F.sum("part").alias("statistic")), test, w=F.sqrt(one / n)))
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionByName(x)
+    return every
+
+
+def special_ranks(draws: DataFrame) -> DataFrame:
+    """Return rank and observed: how often the special number is the rank-th of those not drawn (every rank kept)."""
+    special = F.col("special_number")
+    rank = special - F.size(F.filter(main_array(), lambda x: x < special))
+    counts = draws.where(special.isNotNull()).groupBy(rank.cast("long").alias("rank")).agg(F.count(F.lit(1)).alias("n"))
+    every = draws.sparkSession.range(1, N - K + 1).select(F.col("id").alias("rank"))
+    return F.broadcast(every).join(counts, "rank", "left").select("rank", F.coalesce("n", F.lit(0)).alias("observed"))
+
+
+def sum_bins(n: int) -> list[tuple[int, int, float]]:
+    """Return first and last sum and chance of bins of ten, pooled from the ends for n draws."""
+    pmf, last = nulls.sum_pmf(), SUMS[1]
+    bins = {a: sum(pmf.get(v, 0.0) for v in range(a, a + 10)) for a in range(SUMS[0], last + 1, 10)}
+    return [(a, min(b + 9, last), p) for a, b, p in nulls.merge_ends(bins, n)]
+
+
+def exploratory(draws: DataFrame) -> DataFrame:
+    """Return (name, statistic, df, p): unadjusted statistics; p is of chi-squared where it has that limit, else null.
+
+    C1 scaled by (N - 1) / (N - K), Ljung-Box over 5, 10 and 20 lags, the special number's rank among the numbers not drawn,
+    and sums in pooled bins of ten.
+    """
+    spark, n = draws.sparkSession, draws.count()
+    scaled = chi2_main(draws).first()["statistic"] * (N - 1) / (N - K)
+    rows = [("c1_scaled", float(scaled), N - 1, nulls.chi2_sf(scaled, N - 1))]
+    parts = {r["lag"]: r["q_part"] for r in autocorrelation(draws, 20).collect()}
+    for h in (5, 10, 20):
+        q = sum(parts[k] for k in parts if k <= h)
+        rows.append((f"ljung_box_{h}", q, h, nulls.chi2_sf(q, h)))
+    ranks = [r["observed"] for r in special_ranks(draws).collect()]
+    e = sum(ranks) / len(ranks)
+    rows.append(("special_rank", sum((x - e) ** 2 / e for x in ranks) if e else float("nan"), N - K - 1, None))
+    bins = spark.createDataFrame(sum_bins(n), "lo long, hi long, p double")
+    sums = draw_metrics(draws).groupBy("sum").agg(F.count(F.lit(1)).alias("c"))
+    found = F.broadcast(bins).join(sums, F.col("sum").between(F.col("lo"), F.col("hi")), "left").groupBy("lo", "p").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("o"))
+    x2 = found.agg(F.sum(F.pow(F.col("o") - n * F.col("p"), 2) / (n * F.col("p"))).alias("x"), F.count(F.lit(1)).alias("k")).first()
+    rows.append(("sum_bins", x2["x"], x2["k"] - 1, None))
+    return spark.createDataFrame(rows, "name string, statistic double, df long, p double")

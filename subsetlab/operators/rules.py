@@ -55,9 +55,14 @@ def exact_duplicates_removed(records: DataFrame, arrival: str) -> DataFrame:
 
 
 def id_conflicts(records: DataFrame) -> DataFrame:
-    """Return ids with more than one content, and how many."""
-    content = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CONTENT[1:]])
-    return records.groupBy("draw_id").agg(F.count_distinct(content).alias("contents")).where("contents > 1")
+    """Return ids with more than one content, and how many. Nulls are a value of their own."""
+    return records.groupBy("draw_id").agg(F.count_distinct(F.struct(*CONTENT[1:])).alias("contents")).where("contents > 1")
+
+
+def last_by_id(records: DataFrame, arrival: str) -> DataFrame:
+    """Keep the last arrival of each id."""
+    others = [c for c in records.columns if c != "draw_id"]
+    return records.groupBy("draw_id").agg(F.max_by(F.struct(*others), arrival).alias("_r")).select("draw_id", "_r.*").select(*records.columns)
 
 
 def duplicate_content(draws: DataFrame) -> DataFrame:
@@ -156,8 +161,10 @@ def assess_reconcile(left: DataFrame, right: DataFrame, published: DataFrame, to
     top = right.agg(F.max(F.col("draw_id").cast("long")).alias("top"))
     lone = only_in(left, right).crossJoin(F.broadcast(top)).withColumn("late", F.coalesce(F.col("draw_id").cast("long") > F.col("top"), F.lit(True)))
     # What lags behind the right's end: few, or the mirror is out of date as a whole.
-    late = lone.where("late").withColumn("place", F.row_number().over(Window.orderBy(F.col("draw_id").cast("long"))))
-    lag = late.select("draw_id", F.lit("mirror_lag").alias("rule"), F.when(F.col("place") <= tolerated, "INFO").otherwise("WARN").alias("level"), F.lit(False).alias("blocking"))
+    late = lone.where("late").select("draw_id")
+    # A top-k of few rows, not an order of all.
+    first = F.broadcast(late.orderBy(F.col("draw_id").cast("long")).limit(tolerated).withColumn("few", F.lit(True)))
+    lag = late.join(first, "draw_id", "left").select("draw_id", F.lit("mirror_lag").alias("rule"), F.when(F.col("few"), "INFO").otherwise("WARN").alias("level"), F.lit(False).alias("blocking"))
     old = lone.where("not late").select("draw_id", F.lit("only_left").alias("rule"), F.lit("WARN").alias("level"), F.lit(False).alias("blocking"))
     other = only_in(right, left).select("draw_id", F.lit("only_right").alias("rule"), F.lit("WARN").alias("level"), F.lit(False).alias("blocking"))
     return fails.unionByName(lag).unionByName(old).unionByName(other)

@@ -8,11 +8,16 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Findings that can be waived, and whether they name dates instead of ids: fixed values.
+#: Sources whose findings can be waived, by rule; what isn't listed never can. Fixed values.
+BOTH, OFFICIAL, MIRROR = ("official", "mirror"), ("official",), ("mirror",)
 RULES = {
-    "draw_weekday": False, "main_sorted": False, "special_present": False, "duplicate_content": False, "chronology": False, "continuity": False,
-    "mismatch": False, "only_left": False, "only_right": False, "mirror_lag": False, "cadence_gap": True, "missed_date": True,
+    "special_present": BOTH, "duplicate_content": BOTH, "draw_weekday": BOTH, "main_sorted": BOTH, "draw_id_continuity": BOTH,
+    "draw_id_unique": MIRROR, "draw_date_unique": MIRROR, "draw_id_format": MIRROR, "draw_date_parseable": MIRROR, "not_future_dated": MIRROR, "main_count": MIRROR,
+    "main_integer": MIRROR, "main_range": MIRROR, "main_unique": MIRROR, "special_range": MIRROR, "special_not_in_main": MIRROR, "chronological_order": MIRROR,
+    "stored_row_conflict": MIRROR, "reconcile.field_mismatch": MIRROR, "reconcile.only_left": MIRROR, "reconcile.only_right": OFFICIAL, "freshness": OFFICIAL,
 }
+#: Rules that name dates instead of ids, and rules whose waiver pins what was observed.
+DATED, PINNED = {"freshness"}, {"reconcile.field_mismatch"}
 KEYS = {"id", "source", "rules", "draw_id", "date_from", "date_to", "pins", "reason", "evidence", "approved_by", "approved_on", "review_by"}
 LONGEST_DAYS = 60
 
@@ -37,10 +42,16 @@ def load(path: str) -> list[dict]:
         if dated == ("draw_id" in x):
             raise ValueError(f"{name}: either a draw_id or a range of dates")
         if dated:
-            if not all(RULES[r] for r in x["rules"]):
+            if not all(r in DATED for r in x["rules"]):
                 raise ValueError(f"{name}: these rules name draws, not dates")
             if not 0 <= (date.fromisoformat(x["date_to"]) - date.fromisoformat(x["date_from"])).days <= LONGEST_DAYS:
                 raise ValueError(f"{name}: the range is too long or reversed")
+        elif any(r in DATED for r in x["rules"]):
+            raise ValueError(f"{name}: these rules name dates, not draws")
+        if any(x.get("source") not in RULES[r] for r in x["rules"]):
+            raise ValueError(f"{name}: findings of this source can't be waived for these rules")
+        if any(r in PINNED for r in x["rules"]) and not x.get("pins"):
+            raise ValueError(f"{name}: a mismatch needs pins")
         if not all(isinstance(v, str) for v in x.get("pins", {}).values()):
             raise ValueError(f"{name}: pins must be text")
     return document["issues"]
@@ -51,7 +62,8 @@ def table(spark: SparkSession, issues: list[dict], as_of: str) -> DataFrame:
     rows = []
     for place, x in enumerate(issues):
         state = "proposed" if not x.get("approved_by") else "expired" if x.get("review_by", "9999") < as_of else "active"
-        pins = json.dumps(x["pins"], sort_keys=True) if x.get("pins") else None
+        # As Spark writes a map in JSON: pins are compared as text.
+        pins = json.dumps(x["pins"], sort_keys=True, separators=(",", ":"), ensure_ascii=False) if x.get("pins") else None
         rows += [(place, x["id"], x["source"], r, x.get("draw_id"), x.get("date_from"), x.get("date_to"), pins, state) for r in x["rules"]]
     schema = "place int, issue_id string, source string, rule string, draw_id string, date_from string, date_to string, pins string, state string"
     return spark.createDataFrame(rows, schema)

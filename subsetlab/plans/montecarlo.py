@@ -4,12 +4,14 @@ Replicate r of a stream uses the same random numbers wherever it is computed: th
 a sequential run would have been. So results don't depend on how replicates are dealt to tasks. A task turns its
 replicates into one row of statistics each; draws of replicates never become rows.
 
-Permutations draw a varying amount of random bits, so a task runs through the permutations before its own, which costs
-little next to what it computes from each of its own.
+Permutations draw a varying amount of random bits, so the driver runs through them once and hands each range of
+replicates the generator's state where it begins.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,8 @@ SEED = 20260924
 FRESH, PERMUTED, FRESH_MORE, PERMUTED_MORE = 101, 102, 1101, 1102
 REFERENCE_MAIN, REFERENCE_SPECIAL = 1, 2
 REPLICATES, MORE_REPLICATES = 10_000, 100_000
-#: An interval around 0.05 in which the p-value is computed again with more replicates.
-ESCALATE = (0.04, 0.06)
+#: Level of the decisions, and an interval around it: if an adjusted p-value lies there, the family is computed again with more replicates.
+LEVEL, ESCALATE = 0.05, (0.04, 0.06)
 #: Draws that a kernel holds at once.
 AT_ONCE = 60_000
 
@@ -161,20 +163,23 @@ FRESH_COLUMNS = [x.split()[0] for x in FRESH_SCHEMA.split(", ")]
 def permuted(spark: SparkSession, main: np.ndarray, years: np.ndarray, replicates: int = REPLICATES, seed: int = SEED, stream: int = PERMUTED) -> DataFrame:
     """Return a row of order statistics for each permutation of the draws; the series is a few bytes a draw, sent once."""
     sent = ship(spark).sparkContext.broadcast((main.astype(np.int16), years.astype(np.int16)))
+    ranges = sorted((r["first"], r["count"]) for r in _ranges(spark, replicates).collect())
+    rng, rows = generator(seed, stream), []
+    for first, count in ranges:
+        rows.append((first, count, pickle.dumps(rng.bit_generator.state)))
+        for _ in range(count):
+            rng.permutation(len(main))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         y, own_years = indicator(sent.value[0]), sent.value[1]
         for batch in batches:
-            for first, count in batch.itertuples(index=False):
-                rows, rng = [], generator(seed, stream)
-                for r in range(first + count):
-                    order = rng.permutation(len(y))
-                    if r < first:
-                        continue
-                    rows.append({"replicate": r} | order_statistics(y[order], own_years))
-                yield pd.DataFrame(rows)
+            for first, count, state in batch.itertuples(index=False):
+                rng = generator(seed, stream)
+                rng.bit_generator.state = pickle.loads(state)
+                yield pd.DataFrame([{"replicate": first + i} | order_statistics(y[rng.permutation(len(y))], own_years) for i in range(count)])
 
-    return _ranges(spark, replicates).mapInPandas(run, PERMUTED_SCHEMA)
+    dealt = spark.createDataFrame(rows, "first long, count long, state binary").repartition(len(rows))
+    return dealt.mapInPandas(run, PERMUTED_SCHEMA)
 
 
 #: Rows that a family's series may have: it is collected, as every permutation needs all of it.
@@ -190,10 +195,13 @@ def series(draws: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def family(draws: DataFrame, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
-    """Return test, statistic, replicate_mean, p, p_holm and replicates of C1 to C13 (C8 only with three windows or more).
+    """Return test, statistic, replicate_mean, p, replicates, p_holm and decision of C1 to C13 (C8 only with three windows or more).
 
-    A p-value inside ESCALATE is computed again with MORE_REPLICATES on streams of its own.
+    If an adjusted p-value lies in ESCALATE, the whole family is computed again with ten times the replicates, on streams of its
+    own. Those decide then; the first rows stay, with the decision ``superseded``.
     """
+    from subsetlab.operators.infer import holm
+
     spark = draws.sparkSession
     main, special, years = series(draws)
     n = len(main)
@@ -218,19 +226,29 @@ def family(draws: DataFrame, replicates: int = REPLICATES, seed: int = SEED) ->
         p.unpersist()
         return out | {k: (o, row[k][0], (1 + row[k][1]) / (count + 1)) for k, (o, _) in values.items()}
 
-    results = {k: (*v, replicates) for k, v in tested(replicates, (FRESH, PERMUTED)).items()}
-    close = [k for k, v in results.items() if ESCALATE[0] <= v[2] <= ESCALATE[1]]
-    if close and replicates < MORE_REPLICATES:
-        again = tested(10 * replicates, (FRESH_MORE, PERMUTED_MORE))
-        results |= {k: (*again[k], 10 * replicates) for k in close}
-    from subsetlab.operators.infer import holm
+    def table(count: int, streams: tuple[int, int]) -> DataFrame:
+        rows = [(k, float(o), float(m), float(p), count) for k, (o, m, p) in sorted(tested(count, streams).items(), key=lambda x: int(x[0][1:]))]
+        out = holm(spark.createDataFrame(rows, "test string, statistic double, replicate_mean double, p double, replicates long"))
+        return out.withColumn("decision", F.when(F.col("p_holm") <= LEVEL, "reject").otherwise("not_reject"))
+
+    first = table(replicates, (FRESH, PERMUTED))
+    if replicates >= MORE_REPLICATES or not first.where(F.col("p_holm").between(*ESCALATE)).limit(1).count():
+        return first
+    return first.withColumn("decision", F.lit("superseded")).unionByName(table(10 * replicates, (FRESH_MORE, PERMUTED_MORE)))
 
-    rows = [(k, float(o), float(m), float(p), r) for k, (o, m, p, r) in sorted(results.items(), key=lambda x: int(x[0][1:]))]
-    return holm(spark.createDataFrame(rows, "test string, statistic double, replicate_mean double, p double, replicates long"))
+
+def interpreted(parts: DataFrame, test: str, family: DataFrame) -> DataFrame:
+    """Add to a follow-up whether its test was rejected: only then is it to be interpreted."""
+    own = F.broadcast(family.where((F.col("test") == test) & (F.col("decision") != "superseded")).select(F.col("decision").alias("_d"), F.col("p_holm").alias("_p")))
+    label = F.when(F.col("_d") == "reject", F.format_string("parent rejected (p_holm=%.5f)", "_p")).otherwise("parent not rejected; not interpreted")
+    return parts.join(own, F.lit(True), "left").withColumn("interpretation", label).drop("_d", "_p")
 
 
 def follow_up(draws: DataFrame, test: str, replicates: int = 1000, seed: int = SEED) -> DataFrame:
-    """Return what a test is made of, each with its raw and Holm-adjusted p: numbers for C1 and C2, lags for C3 and C5, cells for C11 to C13."""
+    """Return what a test is made of, each with its raw and Holm-adjusted p.
+
+    Numbers for C1 and C2, lags for C3 to C5 (C4 against the permutations' means), years for C7, windows for C8, cells for C11 to C13.
+    """
     from subsetlab.operators.infer import holm
 
     spark = draws.sparkSession
@@ -241,11 +259,15 @@ def follow_up(draws: DataFrame, test: str, replicates: int = 1000, seed: int = S
         trials, p = (n, K / N) if test == "C1" else (len(special), 1 / N)
         rows = [(str(k + 1), float(c), nulls.binomial_test(int(c), trials, p)) for k, c in enumerate(counts)]
     else:
-        column = f"{test}_parts"
-        permutes = test in ("C7", "C8")
+        column = "overlap" if test == "C4" else f"{test}_parts"
+        permutes = test in ("C4", "C7", "C8")
         observed = (order_statistics(indicator(main), years) if permutes else fresh_statistics(main, special))[column]
         reps = permuted(spark, main, years, replicates, seed) if permutes else fresh(spark, n, len(special), replicates, seed)
         centre = [OVERLAP_MEAN] * LAGS if test == "C3" else [0.0] * len(observed)
+        if test == "C4":
+            reps = reps.cache()
+            means = reps.agg(*[F.avg(F.col(column)[j]).alias(f"m{j}") for j in range(LAGS)]).first()
+            centre = [means[f"m{j}"] for j in range(LAGS)]
         if test.startswith("C1"):
             metric = {"C11": "odd", "C12": "low", "C13": "consecutive"}[test]
             centre = [p * n for *_, p in nulls.test_cells(metric, n)]
@@ -255,13 +277,59 @@ def follow_up(draws: DataFrame, test: str, replicates: int = 1000, seed: int = S
     return holm(spark.createDataFrame(rows, "part string, observed double, p double"))
 
 
-def mc_reference(spark: SparkSession, n: int, n_special: int, widths: tuple[int, ...] = (50, 100, 200), replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
-    """Return simultaneous bounds (name, lo, hi) over replicates of n chance draws.
+#: Streams of the exploratory p-values.
+RANKS, BINS, MOST = 103, 104, 2000
+
+
+def exploratory(draws: DataFrame, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
+    """Add simulated p-values (of at most MOST replicates) to the exploratory statistics that have no limit of their own."""
+    from subsetlab.operators import infer
+
+    spark = ship(draws.sparkSession)
+    r = draws.agg(F.count(F.lit(1)).alias("n"), F.count("special_number").alias("special")).first()
+    n, special, count = r["n"], r["special"], min(replicates, MOST)
+    bins = infer.sum_bins(n)
+    edges, chances = np.array([a for a, _, _ in bins]), np.array([p for *_, p in bins])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first, own in batch.itertuples(index=False):
+                for a, c in _portions(first, own, n):
+                    main, _ = simulate(generator(seed, BINS, a * n * N), c, n)
+                    sums = np.searchsorted(edges, main.astype(np.int64).sum(axis=2), side="right") - 1
+                    rng, rows = np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, RANKS, a]))), []
+                    for i in range(c):
+                        o = np.bincount(sums[i], minlength=len(edges))
+                        ranks = np.bincount(rng.integers(0, N - K, special), minlength=N - K)
+                        e = special / (N - K)
+                        rows.append((float(((o - n * chances) ** 2 / (n * chances)).sum()), float(((ranks - e) ** 2 / e).sum()) if special else float("nan")))
+                    yield pd.DataFrame(rows, columns=["sum_bins", "special_rank"])
+
+    reps = _ranges(spark, count).mapInPandas(run, "sum_bins double, special_rank double")
+    seen = infer.exploratory(draws).cache()
+    own = {x["name"]: x["statistic"] for x in seen.collect()}
+    row = reps.agg(*[F.count_if(F.col(c) >= own[c]).alias(c) for c in ("sum_bins", "special_rank")]).first()
+    simulated = F.when(F.col("name") == "sum_bins", (1 + row["sum_bins"]) / (count + 1)).when(F.col("name") == "special_rank", (1 + row["special_rank"]) / (count + 1))
+    return seen.withColumn("p", F.coalesce("p", simulated))
+
+
+def pearson(a: np.ndarray, b: np.ndarray) -> float:
+    a, b = a - a.mean(), b - b.mean()
+    spread = math.sqrt((a * a).sum() * (b * b).sum())
+    return float((a * b).sum() / spread) if spread else float("nan")
+
 
-    Least and largest count of a number and of a pair, least and largest count of a special number (quantiles of
-    values that occur: the lower neighbour below, the higher one above), and the largest and smallest rolling z.
+def mc_reference(spark: SparkSession, n: int, n_special: int, widths: tuple[int, ...] = (50, 100, 200), replicates: int = REPLICATES, seed: int = SEED, blocks: int = 4) -> DataFrame:
+    """Return bounds (name, lo, hi, mean, least, most) over replicates of n chance draws.
+
+    Least and largest count of a number, of a pair and of a special number (quantiles of values that occur: the lower
+    neighbour below, the higher one above); largest and smallest z of the numbers in one window of each width, and the correlations of
+    numbers' and pairs' counts between blocks (linear quantiles).
     """
-    names = ["min_count", "max_count", "min_pair", "max_pair", *[f"{k}_z_w{w}" for w in widths for k in ("max", "min")]]
+    meets = [(a, b) for a in range(blocks) for b in range(a + 1, blocks)]
+    counted = ["min_count", "max_count", "min_pair", "max_pair"]
+    smooth = [f"{k}_z_w{w}" for w in widths if w <= n for k in ("max", "min")] + [f"stability_{k}_{a}-{b}" for k in ("number", "pair") for a, b in meets]
+    upper = np.triu_indices(N, 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = K / N
@@ -272,15 +340,17 @@ def mc_reference(spark: SparkSession, n: int, n_special: int, widths: tuple[int,
                     rows = []
                     for i in range(c):
                         y = indicator(main[i])
-                        f, pairs = y.sum(axis=0), y.T @ y
-                        pairs = pairs[np.triu_indices(N, 1)]
-                        values = [f.min(), f.max(), pairs.min(), pairs.max()]
-                        total = np.concatenate([np.zeros((1, N)), np.cumsum(y, axis=0)])
+                        parts = np.array_split(y, blocks)
+                        numbers = [x.sum(axis=0) for x in parts]
+                        pairs = [(x.T @ x)[upper] for x in parts]
+                        f, together = sum(numbers), sum(pairs)
+                        values = [f.min(), f.max(), together.min(), together.max()]
                         for w in widths:
-                            z = (total[w:] - total[:-w] - w * p) / np.sqrt(w * p * (1 - p)) if n >= w else np.zeros((1, N))
-                            values += [z.max(), z.min()]
-                        rows.append(values)
-                    yield pd.DataFrame(rows, columns=names)
+                            if w <= n:
+                                z = (y[:w].sum(axis=0) - w * p) / np.sqrt(w * p * (1 - p))
+                                values += [z.max(), z.min()]
+                        rows.append(values + [pearson(v[j], v[k]) for v in (numbers, pairs) for j, k in meets])
+                    yield pd.DataFrame(rows, columns=counted + smooth)
 
     def run_special(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -290,19 +360,21 @@ def mc_reference(spark: SparkSession, n: int, n_special: int, widths: tuple[int,
                     counts = np.stack([np.bincount(x.astype(np.int64) - 1, minlength=N) for x in special])
                     yield pd.DataFrame({"min_special": counts.min(axis=1).astype(float), "max_special": counts.max(axis=1).astype(float)})
 
-    rows = _ranges(ship(spark), replicates).mapInPandas(run, ", ".join(f"{x} double" for x in names))
+    rows = _ranges(ship(spark), replicates).mapInPandas(run, ", ".join(f"`{x}` double" for x in counted + smooth))
     special = _ranges(spark, replicates).mapInPandas(run_special, "min_special double, max_special double")
 
-    def bounds(df: DataFrame, columns: list[str]) -> DataFrame:
+    def bounds(df: DataFrame, exact: list[str], linear: list[str]) -> DataFrame:
         # One number a replicate: a sorted array of them gives the exact neighbours of a quantile.
         cells = []
-        for c in columns:
-            order = F.array_sort(F.collect_list(c))
+        for c in exact + linear:
+            own = F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`"))
+            order = F.array_sort(F.collect_list(own))
             at = lambda q, up: F.get(order, (F.ceil if up else F.floor)(F.lit(q) * (F.size(order) - 1)).cast("int"))  # noqa: E731, B023
-            cells.append(F.struct(F.lit(c).alias("name"), at(0.025, False).alias("lo"), at(0.975, True).alias("hi"), F.array_min(order).alias("least"), F.array_max(order).alias("most")))
+            lo, hi = (at(0.025, False), at(0.975, True)) if c in exact else (F.percentile(own, F.lit(0.025)), F.percentile(own, F.lit(0.975)))
+            cells.append(F.struct(F.lit(c).alias("name"), lo.alias("lo"), hi.alias("hi"), F.avg(own).alias("mean"), F.min(own).alias("least"), F.max(own).alias("most")))
         return df.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
-    return bounds(rows, names).unionByName(bounds(special, ["min_special", "max_special"]))
+    return bounds(rows, counted, smooth).unionByName(bounds(special, ["min_special", "max_special"], []))
 
 
 def bootstrap(per_draw: DataFrame, column: str, block: int = 10, resamples: int = 10_000, seed: int = SEED, stream: int = 201) -> DataFrame:
@@ -375,3 +447,87 @@ def bootstrap_ece(scored: DataFrame, block: int = 10, resamples: int = 1000, see
     q = reps.agg(*[F.percentile(f"`{c}`", F.array(F.lit(0.025), F.lit(0.975))).alias(c) for c in configs]).first()
     out = [(c, calibration(*sent.value[c]), q[c][0], q[c][1], resamples) for c in configs]
     return spark.createDataFrame(out, "config string, ece double, lo double, hi double, resamples long")
+
+
+#: What the experiment resamples, of a draw and config: log loss, Brier score, error of the sum forecast (also squared), clipped cells.
+MEANS = ("log_loss", "brier", "mae", "rmse", "n_clipped")
+
+
+def experiment(draws: DataFrame, resamples: int = 10_000, seed: int = SEED, block: int = 10) -> DataFrame:
+    """Return (period, config, metric, draws, value, lo, hi) of the baseline experiment.
+
+    Periods are the folds, all scored draws and the last of them as validation. Metrics are the means, RMSE and ECE, and the differences to
+    B0; intervals are percentiles over circular blocks of draws. A period's resamples come from one generator, the same
+    for every period and config, as in the published run; the driver runs through it once to hand each range of resamples its state.
+    The scored draws are collected (at most SERIES).
+    """
+    from subsetlab.operators import baselines
+
+    spark = ship(draws.sparkSession)
+    n = draws.count()
+    if n > SERIES:
+        raise ValueError(f"an experiment is for {SERIES} draws at most")
+    scored = baselines.scores(draws).where(F.col("t") > baselines.INITIAL).cache()
+    per = baselines.draw_scores(scored).orderBy("config", "t").toPandas()
+    chances = scored.groupBy("config", "t").agg(F.array_sort(F.collect_list(F.struct("num", "p", "y"))).alias("x")).select("config", "t", "x.p", "x.y").orderBy("config", "t").toPandas()
+    scored.unpersist()
+    configs = sorted(per["config"].unique())
+    times = np.sort(per["t"].unique())
+    own = {c: per[per["config"] == c] for c in configs}
+    error = {c: (x["sum_actual"] - x["sum_forecast"]).to_numpy() for c, x in own.items()}
+    x = np.stack([[own[c]["log_loss"], own[c]["brier"], np.abs(error[c]), error[c] ** 2, own[c]["n_clipped"]] for c in configs]).astype(np.float64)
+    p, y = ([np.stack(chances.loc[chances["config"] == c, k].to_numpy()) for c in configs] for k in ("p", "y"))
+    masks = {r["period"]: np.isin(times, r["ts"]) for r in baselines.periods(draws, n).groupBy("period").agg(F.collect_list("t").alias("ts")).collect()}
+    sent = spark.sparkContext.broadcast({k: (x[:, :, m], [a[m] for a in p], [b[m] for b in y]) for k, m in masks.items()})
+    base = configs.index("B0")
+
+    def calibration(p: np.ndarray, y: np.ndarray) -> float:
+        p, y = p.ravel(), y.ravel()
+        edges = np.unique(np.quantile(p, np.arange(1, 10) / 10))
+        bins = np.searchsorted(edges, p, side="right")
+        return float(np.abs(np.bincount(bins, p, len(edges) + 1) - np.bincount(bins, y, len(edges) + 1)).sum() / len(p))
+
+    def measures(means: np.ndarray, ece: list[float]) -> np.ndarray:
+        """Return, by config, the metrics and their differences to B0 (log loss, Brier score, MAE, RMSE)."""
+        out = means.copy()
+        out[:, 3] = np.sqrt(out[:, 3])
+        return np.concatenate([out, np.array(ece)[:, None], out[:, :4] - out[base, :4]], axis=1)
+
+    names = [*MEANS, "ece", *[f"delta_{k}" for k in MEANS[:4]]]
+
+    def starts_of(rng: np.random.Generator, size: int, count: int) -> np.ndarray:
+        return rng.integers(0, size, size=(count, -(-size // block)))
+
+    ranges = []
+    for k, m in masks.items():
+        size, rng = int(m.sum()), np.random.default_rng(seed)
+        # More ranges for longer periods: a resample costs as much as it has draws.
+        step = max(1, math.ceil(resamples / max(1, math.ceil(4 * spark.sparkContext.defaultParallelism * size / len(times)))))
+        for first in range(0, resamples, step):
+            count = min(step, resamples - first)
+            ranges.append((k, count, pickle.dumps(rng.bit_generator.state)))
+            starts_of(rng, size, count)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for period, count, state in batch.itertuples(index=False):
+                means, p, y = sent.value[period]
+                size, rng, rows = means.shape[2], np.random.default_rng(seed), []
+                rng.bit_generator.state = pickle.loads(state)
+                for starts in starts_of(rng, size, count):
+                    pick = ((starts[:, None] + np.arange(block)) % size).ravel()[:size]
+                    rows.append(measures(means[:, :, pick].mean(axis=2), [calibration(a[pick], b[pick]) for a, b in zip(p, y, strict=True)]).ravel().tolist())
+                yield pd.DataFrame({"period": period, "values": rows})
+
+    def summarised(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """One period's resamples: as many rows as were asked for, whatever the number of draws."""
+        means, p, y = sent.value[key[0]]
+        low, high = np.percentile(np.stack(rows["values"].to_numpy()), [2.5, 97.5], axis=0)
+        value = measures(means.mean(axis=2), [calibration(a, b) for a, b in zip(p, y, strict=True)])
+        value[:, 4] = means[:, 4].sum(axis=1)
+        cells = [(key[0], c, k, means.shape[2], v) for c, row in zip(configs, value, strict=True) for k, v in zip(names, row, strict=True)]
+        return pd.DataFrame(cells, columns=["period", "config", "metric", "draws", "value"]).assign(lo=low, hi=high)
+
+    dealt = spark.createDataFrame(ranges, "period string, count long, state binary").repartition(len(ranges))
+    reps = dealt.mapInPandas(run, "period string, values array<double>")
+    return reps.groupBy("period").applyInPandas(summarised, "period string, config string, metric string, draws long, value double, lo double, hi double")

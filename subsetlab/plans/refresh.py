@@ -8,6 +8,7 @@ appended to Parquet folders.
 from __future__ import annotations
 
 import json
+import logging
 import os
 from collections.abc import Callable, Iterable
 from datetime import UTC, datetime, timedelta
@@ -21,6 +22,7 @@ from subsetlab.plans import known_issues, publish, quality
 from subsetlab.session import ship
 from subsetlab.sources import archive
 
+logger = logging.getLogger("subsetlab.refresh")
 RUNS = "run_id string, source string, mode string, started_at string, finished_at string, rows_received long, rows_inserted long, rows_skipped long, status string, error_message string"
 LOGGED = "check_id string, run_id string, draw_id string, rule string, status string, detail string"
 REFRESHES = "run_id string, started_at string, as_of string, exit_code int, steps string, version_before string, version_after string, report_sha256 string"
@@ -55,6 +57,16 @@ def to_staged(records: DataFrame, run_id: str) -> DataFrame:
     return records.select("draw_id", "draw_date", *cells, F.col("special").cast("long").alias("special_number"), "source", F.lit(run_id).alias("raw_run_id"))
 
 
+def data_set_findings(draws: DataFrame) -> DataFrame:
+    """Return findings (draw_id, rule, severity, detail) of the rules that look at a draw and others: content, dates, numbers in turn."""
+    found = (
+        (rules.duplicate_content(draws), "duplicate_content", "warning", "first_id"), (rules.chronology(draws), "chronological_order", "error", "prev_draw_id"),
+        (rules.continuity(draws), "draw_id_continuity", "warning", "prev_no"),
+    )
+    out = [df.select("draw_id", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.col(c).cast("string").alias("detail")) for df, rule, severity, c in found]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def ingest(spark: SparkSession, root: str, source: str, fetch: Fetch, mode: str = "incremental", start: str | None = None, end: str | None = None) -> dict:
     """Fetch pages, archive and parse them, check the records, and add new ones to staging; history isn't rewritten.
 
@@ -70,6 +82,7 @@ def ingest(spark: SparkSession, root: str, source: str, fetch: Fetch, mode: str
     stored = staging(spark, root, source)
     last = stored.agg(F.max("draw_id").alias("x")).first()["x"] if mode == "incremental" else None
     received = inserted = 0
+    logger.info("ingestion started", extra={"run": run_id, "source": source, "mode": mode, "stop_at": last})
     try:
         for index, content in fetch(last):
             archive.write_page(f"{root}/raw", run_id, source, index, content)
@@ -83,9 +96,14 @@ def ingest(spark: SparkSession, root: str, source: str, fetch: Fetch, mode: str
         good = parsed.where("error is null")
         unreadable = parsed.where("error is not null").select(F.col("file").alias("draw_id"), F.lit("parse").alias("rule"), F.lit("error").alias("severity"), F.col("error").alias("detail"))
         staged = rules.exact_duplicates_removed(to_staged(good, run_id).withColumn("_arrival", F.monotonically_increasing_id()), "_arrival").drop("_arrival")
-        conflicts = rules.id_conflicts(staged).select("draw_id", F.lit("id_conflict").alias("rule"), F.lit("error").alias("severity"), F.col("contents").cast("string").alias("detail"))
+        conflicts = rules.id_conflicts(staged).select("draw_id", F.lit("draw_id_unique").alias("rule"), F.lit("error").alias("severity"), F.col("contents").cast("string").alias("detail"))
         changed = rules.stored_conflicts(staged, stored).select("draw_id", F.lit("stored_row_conflict").alias("rule"), F.lit("error").alias("severity"), F.col("field").alias("detail"))
-        every = rules.record_findings(good, today).unionByName(unreadable).unionByName(conflicts).unionByName(changed).persist()
+        alone = rules.record_findings(good, today).unionByName(unreadable).unionByName(conflicts).unionByName(changed)
+        bad = alone.where("severity = 'error'").select("draw_id")
+        # Rules of the data set look at what would be stored; only new rows can be refused.
+        fresh = staged.select("draw_id").distinct().join(stored.select("draw_id"), "draw_id", "left_anti")
+        together = data_set_findings(with_t(rules.merge_new(stored, staged, bad))).join(fresh, "draw_id", "left_semi")
+        every = alone.unionByName(together).persist()
         bad = every.where("severity = 'error'").select("draw_id")
         merged = rules.merge_new(stored, staged, bad)
         before, after = stored.count(), merged.count()
@@ -101,6 +119,7 @@ def ingest(spark: SparkSession, root: str, source: str, fetch: Fetch, mode: str
     except Exception as e:
         append(spark, f"{root}/logs/ingestion", RUNS, [(run_id, source, mode, started, _now(), received, 0, received, "failed", str(e)[:500])])
         raise
+    logger.info("ingestion finished", extra={"run": run_id, "source": source, "status": status, "received": received, "inserted": inserted})
     return {"run_id": run_id, "status": status, "received": received, "inserted": inserted}
 
 
@@ -160,30 +179,62 @@ def reconcile(spark: SparkSession, root: str, left: str = "official", right: str
     return {"mismatches": rows.count(), "only_left": rules.only_in(a, b).count(), "only_right": rules.only_in(b, a).count()}
 
 
+def blocking(spark: SparkSession, root: str, as_of: str, left: str, right: str, issues: DataFrame | None = None) -> int:
+    """Return how many draws that aren't published yet differ between two sources, without a known issue that accepts it."""
+    a, b = staging(spark, root, left), staging(spark, root, right)
+    x = quality.Inputs(a, a, as_of, left, right, mirror=b, issues=issues)
+    open_ones = quality.findings(x, ("reconcile.sources",)).where("rule = 'reconcile.field_mismatch' and not accepted").select("draw_id")
+    if manifest(root) is not None:
+        open_ones = open_ones.join(spark.read.parquet(f"{root}/curated/fact_draw").select("draw_id"), "draw_id", "left_anti")
+    return open_ones.count()
+
+
 def verify_raw(spark: SparkSession, root: str) -> DataFrame:
     return archive.verify(spark, f"{root}/raw")
 
 
-def quality_report(spark: SparkSession, root: str, as_of: str, source: str = "official", mirror: str | None = "mirror", issues_path: str | None = None) -> dict:
-    """Build and store the report of ``as_of`` (UTC), as JSON and Markdown, and as latest."""
+def issues_at(spark: SparkSession, path: str | None, as_of: str) -> DataFrame | None:
+    return known_issues.table(spark, known_issues.load(path), as_of[:10]) if path and os.path.exists(path) else None
+
+
+def received(spark: SparkSession, root: str) -> DataFrame:
+    """Return source, run_id and the content of all records that the stored raw pages hold."""
+    stored = archive.pages(spark, f"{root}/raw")
+    out = None
+    for source in archive.registry():
+        if os.path.isdir(f"{root}/raw/{source}"):
+            good = archive.parse(source, stored).where("error is null")
+            cells = [F.get("main", F.lit(i)).cast("long").alias(c) for i, c in enumerate(MAIN)]
+            rows = good.select("draw_id", "draw_date", *cells, F.col("special").cast("long").alias("special_number"), F.lit(source).alias("source"), F.split("file", "/")[1].alias("run_id"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def quality_report(spark: SparkSession, root: str, as_of: str, source: str = "official", mirror: str | None = "mirror", issues_path: str | None = None, frozen: Frozen = None, out: str | None = None) -> dict:
+    """Build and store the report of ``as_of`` (UTC), as JSON and Markdown, and as latest; or in the folder ``out``."""
     if manifest(root) is None:
         raise FileNotFoundError("nothing is curated yet")
-    curated = spark.read.parquet(f"{root}/curated/fact_draw")
+    # A run's id says when it fetched.
+    fetched = F.to_timestamp(F.substring("raw_run_id", 1, 15), "yyyyMMdd'T'HHmmss")
+    curated = spark.read.parquet(f"{root}/curated/fact_draw").withColumn("retrieved_at", fetched).select(*quality.FACT, "retrieved_at")
     other = staging(spark, root, mirror) if mirror and os.path.isdir(f"{root}/staging/{mirror}") else None
-    issues = known_issues.table(spark, known_issues.load(issues_path), as_of[:10]) if issues_path and os.path.exists(issues_path) else None
+    issues = issues_at(spark, issues_path, as_of)
+    raw = received(spark, root) if os.path.isdir(f"{root}/raw") else None
     x = quality.Inputs(
-        curated, staging(spark, root, source), as_of, source, quality.long_of(curated), other, runs=read(spark, f"{root}/logs/ingestion", RUNS), logged=read(spark, f"{root}/logs/quality", LOGGED),
-        checksums=verify_raw(spark, root) if os.path.isdir(f"{root}/raw") else None, refreshes=read(spark, f"{root}/logs/refresh", REFRESHES), issues=issues,
+        curated, staging(spark, root, source), as_of, source, long=quality.long_of(curated), dim=dim_number(curated), manifest=manifest(root), mirror=other, parsed=raw, received=raw,
+        runs=read(spark, f"{root}/logs/ingestion", RUNS), logged=read(spark, f"{root}/logs/quality", LOGGED), checksums=verify_raw(spark, root) if raw is not None else None,
+        refreshes=read(spark, f"{root}/logs/refresh", REFRESHES), issues=issues, frozen=frozen_problem(curated, frozen),
     )
     r = quality.report(x)
     files = {"report.json": json.dumps(r, sort_keys=True, indent=1, default=str) + "\n", "report.md": quality.rendered(r)}
     name = as_of.replace(":", "").replace(" ", "T")
-    about = publish.publish(f"{root}/reports/{name}", files, {"as_of": as_of})
-    publish.publish(f"{root}/reports/latest", files, {"as_of": as_of})
+    about = publish.publish(out or f"{root}/reports/{name}", files, {"as_of": as_of})
+    if not out:
+        publish.publish(f"{root}/reports/latest", files, {"as_of": as_of})
     return r | {"sha256": about["files"]["report.json"]["sha256"]}
 
 
-def refresh(spark: SparkSession, root: str, fetches: dict[str, Fetch], as_of: str, frozen: Frozen = None, issues_path: str | None = None) -> dict:
+def refresh(spark: SparkSession, root: str, fetches: dict[str, Fetch], as_of: str, frozen: Frozen = None, issues_path: str | None = None, stale: float = 3600.0) -> dict:
     """Ingest all sources, reconcile, curate and report. A step that fails doesn't stop the others.
 
     Exit codes: 50 error, 30 a check fails, 10 a check warns, 0 all passes; 40 if another refresh is running.
@@ -193,7 +244,7 @@ def refresh(spark: SparkSession, root: str, fetches: dict[str, Fetch], as_of: st
         raise ValueError("a refresh can't be for an instant more than an hour ago")
     run_id, started = datetime.now(UTC).strftime("%Y%m%dT%H%M%S%fZ"), _now()
     try:
-        with publish.Lock(f"{root}/refresh.lock"):
+        with publish.Lock(f"{root}/refresh.lock", stale):
             before, steps, code, digest = (manifest(root) or {}).get("dataset_version"), {}, 0, None
 
             def step(name: str, work: Callable[[], dict]) -> dict:
@@ -202,17 +253,21 @@ def refresh(spark: SparkSession, root: str, fetches: dict[str, Fetch], as_of: st
                     steps[name] = "ok"
                     return work()
                 except Exception as e:
+                    logger.exception("step failed", extra={"step": name, "refresh": run_id})
                     steps[name], code = f"error: {str(e)[:200]}", 50
                     return {}
 
             for source, fetch in fetches.items():
                 step(f"ingest {source}", lambda s=source, f=fetch: ingest(spark, root, s, f))
+            differ = {}
             if len(fetches) > 1:
-                step("reconcile", lambda: reconcile(spark, root, *list(fetches)[:2]))
-            made = step("curate", lambda: curate(spark, root, next(iter(fetches)), frozen))
+                pair = list(fetches)[:2]
+                step("reconcile", lambda: reconcile(spark, root, *pair))
+                differ = step("assess", lambda: {"n": blocking(spark, root, as_of, *pair, issues_at(spark, issues_path, as_of))})
+            made = {"status": "blocked", "reason": f"{differ['n']} new draws differ"} if differ.get("n") else step("curate", lambda: curate(spark, root, next(iter(fetches)), frozen))
             if made.get("status") == "blocked":
                 steps["curate"], code = f"blocked: {made['reason']}", max(code, 30)
-            r = step("report", lambda: quality_report(spark, root, as_of, next(iter(fetches)), issues_path=issues_path))
+            r = step("report", lambda: quality_report(spark, root, as_of, next(iter(fetches)), issues_path=issues_path, frozen=frozen))
             code, digest = max(code, r.get("exit_code", 0)), r.get("sha256")
             after = (manifest(root) or {}).get("dataset_version")
             append(spark, f"{root}/logs/refresh", REFRESHES, [(run_id, started, as_of, code, json.dumps(steps, sort_keys=True), before, after, digest)])

@@ -215,7 +215,7 @@ def test_whole_path(spark, tmp_path):
     assert cli.main(["--root", root, "reconcile"], spark) == 0
     assert cli.main(["--root", root, "status", "--as-of", as_of], spark) in (0, 10)
     late = quality.findings(quality.Inputs(curated.withColumn("t", F.col("t")), refresh.staging(spark, root, "official"), f"{date.fromisoformat(last) + timedelta(days=30)} 14:30:00"))
-    levels = {r["level"] for r in late.where("check = 'coverage.freshness'").collect()}
+    levels = {r["level"] for r in late.where("rule = 'freshness'").collect()}
     assert levels == {"FAIL"}
     with publish.Lock(f"{root}/refresh.lock"):
         assert refresh.refresh(spark, root, {}, as_of)["exit_code"] == 40
@@ -237,7 +237,7 @@ def test_known_issues(spark, tmp_path):
     rows = [("c", "official", "00001", None, "special_present", "WARN", "", None), ("c", "official", "00002", None, "special_present", "WARN", "", None)]
     got = known_issues.apply(spark.createDataFrame(rows, quality.FINDING), table).orderBy("draw_id").collect()
     assert [(r["issue_id"], r["accepted"]) for r in got] == [("KI-1", True), (None, False)]
-    for bad in ({"rules": ["unknown"]}, {"id": "X"}, {"date_from": "2020-01-01"}, {"extra": 1}):
+    for bad in ({"rules": ["unknown"]}, {"id": "X"}, {"date_from": "2020-01-01"}, {"extra": 1}, {"rules": ["freshness"]}, {"rules": ["reconcile.field_mismatch"], "source": "mirror"}, {"rules": ["main_range"]}):
         path.write_text(json.dumps({"schema_version": "1.0", "issues": [issue | bad]}))
         with pytest.raises(ValueError):
             known_issues.load(str(path))
