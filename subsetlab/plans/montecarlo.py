@@ -459,7 +459,7 @@ def experiment(draws: DataFrame, resamples: int = 10_000, seed: int = SEED, bloc
     Periods are the folds, all scored draws and the last of them as validation. Metrics are the means, RMSE and ECE, and the differences to
     B0; intervals are percentiles over circular blocks of draws. A period's resamples come from one generator, the same
     for every period and config, as in the published run; the driver runs through it once to hand each range of resamples its state.
-    The scored draws are collected (at most SERIES).
+    The scored draws are collected (at most SERIES). Without scored draws there are no rows.
     """
     from subsetlab.operators import baselines
 
@@ -467,6 +467,9 @@ def experiment(draws: DataFrame, resamples: int = 10_000, seed: int = SEED, bloc
     n = draws.count()
     if n > SERIES:
         raise ValueError(f"an experiment is for {SERIES} draws at most")
+    schema = "period string, config string, metric string, draws long, value double, lo double, hi double"
+    if n <= baselines.INITIAL:
+        return spark.createDataFrame([], schema)
     scored = baselines.scores(draws).where(F.col("t") > baselines.INITIAL).cache()
     per = baselines.draw_scores(scored).orderBy("config", "t").toPandas()
     chances = scored.groupBy("config", "t").agg(F.array_sort(F.collect_list(F.struct("num", "p", "y"))).alias("x")).select("config", "t", "x.p", "x.y").orderBy("config", "t").toPandas()
@@ -530,4 +533,4 @@ def experiment(draws: DataFrame, resamples: int = 10_000, seed: int = SEED, bloc
 
     dealt = spark.createDataFrame(ranges, "period string, count long, state binary").repartition(len(ranges))
     reps = dealt.mapInPandas(run, "period string, values array<double>")
-    return reps.groupBy("period").applyInPandas(summarised, "period string, config string, metric string, draws long, value double, lo double, hi double")
+    return reps.groupBy("period").applyInPandas(summarised, schema)

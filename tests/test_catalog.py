@@ -35,4 +35,5 @@ def test_query(spark, duck, name):
 
 def test_queries_without_sql(spark):
     for name in sorted(set(catalog.queries()) - set(catalog.oracle_sql())):
-        assert catalog.queries()[name](spark, FOLDER).count() > 0
+        # The experiment scores draws from the 501st on, which this table hasn't.
+        assert (catalog.queries()[name](spark, FOLDER).count() > 0) == (name != "baseline_experiment")
