@@ -439,7 +439,8 @@ def remove_spans(rows: DataFrame, spans: DataFrame, finish: Callable[[list, list
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 own[row[a]] = np.stack([start[a:b], stop[a:b]], axis=1)
         out = finish([ids[i] for i in order], [texts[i] for i in order], own)
-        return out.append_column("rest", table.column("rest").take(pa.array(order, pa.int64()))) if carries else out
+        del ids, texts, own
+        return give_back(out.append_column("rest", table.column("rest").take(pa.array(order, pa.int64()))) if carries else out)
 
     kind = f", rest {rows.schema['rest'].dataType.simpleString()}" if carries else ""
     return rows.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(run, schema + kind)

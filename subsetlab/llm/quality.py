@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subsetlab.llm.shared import ARROW_ROWS, map_batches, text_bytes
+from subsetlab.llm.shared import ARROW_ROWS, give_back, map_batches, text_bytes
 from subsetlab.llm.words import mixed, split_words
 from subsetlab.session import ship
 
@@ -140,7 +140,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
         parts = [text.iloc[k : k + ARROW_ROWS] for k in range(0, len(text), ARROW_ROWS)]
         kept = [measure([(x or "").encode() for x in part])["kept"] for part in parts]
-        return pd.Series(np.concatenate(kept) if kept else [], index=text.index, dtype=bool)
+        return give_back(pd.Series(np.concatenate(kept) if kept else [], index=text.index, dtype=bool))
 
     ship(docs.sparkSession)
     return docs.where(good(F.col("text")))

@@ -20,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows that are worked on at once. Texts can be long, so they are few; Spark bounds the bytes of a batch.
 ARROW_ROWS = 512
+#: Bytes of a row group of intermediate tables.
+ROW_GROUP = 16 << 20
 #: A key of more than a SHARE-th of all rows is hot; its rows are dealt over SALTS parts.
 SHARE, SALTS = 1000, 64
 
@@ -62,7 +64,8 @@ def cut_table(df: DataFrame, name: str) -> DataFrame:
 
 def written(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as Parquet and read it again; the folder goes when the driver ends."""
-    df.write.parquet(path)
+    # Small row groups: a task holds one of them in memory.
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     spark = df.sparkSession
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
@@ -109,6 +112,7 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 
 def give_back(result=None):
     """Return memory that this worker has freed to the system, and ``result``: a worker waits for long between tasks."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
     return result
