@@ -1,8 +1,9 @@
 """Quality rules by repetition: how much of a text lies inside n-grams and lines that it holds more than once.
 
-Words of many texts are hashed at once in numpy, and rolled into hashes of n-grams: the hash of n + 1 words is that
-of n words plus the next word's share. Sorting them by text brings equal n-grams together. Only texts that
-repeat some n-gram of the shortest length are looked at for longer ones, as the others can't repeat those.
+Words of many texts are numbered by a dictionary, and rolled into hashes of n-grams: the hash of n + 1 words is that
+of n words plus the next word's share. Sorting them by text brings equal n-grams together; neighbours that share a hash
+are compared word by word, and if two of them differ the n-grams are sorted by their words. Only texts that repeat some
+n-gram of the shortest length are looked at for longer ones, as the others can't repeat those.
 """
 
 from __future__ import annotations
@@ -43,16 +44,24 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Ngrams:
     """N-grams of the words of several texts, by rising n."""
 
-    def __init__(self, hashes: np.ndarray, first: np.ndarray) -> None:
-        self.h, self.first = hashes, first
+    def __init__(self, codes: np.ndarray, first: np.ndarray) -> None:
+        self.codes, self.first = codes, first
+        self.h = mixed(codes.astype(np.uint64) + np.uint64(1))
         self.text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        self.n, self.rolled = 0, np.zeros(len(hashes), np.uint64)
+        self.n, self.rolled = 0, np.zeros(len(codes), np.uint64)
 
     def roll(self, n: int) -> None:
         while self.n < n:
             self.rolled = self.rolled[: max(0, len(self.h) - self.n)] + self.h[self.n :] * FACTOR[self.n]
             self.n += 1
 
+    def _same(self, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+        """Tell whether the n-grams at places ``a`` and ``b`` are equal and in one text."""
+        same = self.text[a] == self.text[b]
+        for i in range(n):
+            same &= self.codes[a + i] == self.codes[b + i]
+        return same
+
     def covered(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Tell for each word whether an n-gram found twice covers it: counting first ones, and not counting them."""
         self.roll(n)
@@ -64,6 +73,10 @@ class Ngrams:
             order = np.argsort(key, kind="stable")
             key, place = key[order], inside[order]
             again = np.append(False, key[1:] == key[:-1]) if len(key) else np.zeros(0, bool)
+            hit = np.flatnonzero(again)
+            if not self._same(place[hit], place[hit - 1], n).all():
+                place = inside[np.lexsort((inside, *(self.codes[inside + i] for i in reversed(range(n))), self.text[inside]))]
+                again = np.append(False, self._same(place[1:], place[:-1], n))
             both = again | np.append(again[1:], False) if len(key) else again
             for row, hit in enumerate((both, again)):
                 np.add.at(marks[row], place[hit], 1)
@@ -89,14 +102,14 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
             chars = sum(len(x.decode()) for x in lines)
             share[i] = 1 - sum(len(x.decode()) for x in seen) / chars
     out |= {"n_dup_lines": dup, "line_share": share}
-    h = w.hashes()
-    both, again = Ngrams(h, w.first).covered(WINDOW)
+    codes, _ = w.codes()
+    both, again = Ngrams(codes, w.first).covered(WINDOW)
     out["n_repeat_words"] = sums(both, w.first)
     chars = np.maximum(out["word_chars"], 1)
     some = np.flatnonzero(out["n_repeat_words"])
     pick = np.repeat(np.isin(np.arange(len(texts)), some), np.diff(w.first))
     first = np.append(0, np.cumsum(np.diff(w.first)[some]))
-    grams, own = Ngrams(h[pick], first), size[pick]
+    grams, own = Ngrams(codes[pick], first), size[pick]
     for n in SHARES:
         value = np.zeros(len(texts))
         if len(some):

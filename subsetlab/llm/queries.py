@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subsetlab.llm import ann, bpe, packing, quality, secret_scan, shared, simhash, substring_dedup, suffix_dedup, token_files, url_filter
+from subsetlab.llm import ann, bpe, byte_bpe, packing, quality, secret_scan, shared, simhash, substring_dedup, suffix_dedup, token_files, url_filter
 from subsetlab.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_vocabulary() -> tuple[str, str]:
+    """Return the path of the file of ranks, which SUBSETLAB_RANKS may name, and the pattern that splits texts."""
+    import public_tokenizers
+
+    return os.environ.get("SUBSETLAB_RANKS") or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,6 +94,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words_in_shingle=4, radius=4)
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = byte_vocabulary()
+    return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, pattern)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pack": op1_pack,
@@ -99,6 +111,7 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_nearest": op9_nearest,
         "op10_simhash": op10_simhash,
+        "op12_byte_bpe": op12_byte_bpe,
     }
 
 

@@ -290,7 +290,9 @@ def scan(docs: DataFrame, keep: list[str] | None = None, pairs: list[list[int]]
     # A token is left out if a base span that starts before its end ends after its start. One text's spans are a group.
     order, fixed = Window.partitionBy("key").orderBy("start"), F.col("kind") < 3
     before = F.max(F.when(fixed, F.col("end"))).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.min(F.when(fixed, F.col("start"))).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # Backwards, so that both frames grow by a row at a time.
+    back = Window.partitionBy("key").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = F.min(F.when(fixed, F.col("start"))).over(back)
     every = every.withColumn("before", before).withColumn("after", after).where(~fixed)
     free = (F.coalesce("before", F.lit(0)) <= F.col("start")) & F.coalesce(F.col("after") >= F.col("end"), F.lit(True))
     # One text's tokens are dealt to many tasks.

@@ -2,8 +2,9 @@
 
 The vocabulary's normaliser turns white space into single spaces, its pre-tokeniser drops white space and never
 joins characters across it. So the ids of a text are the ids of its pieces in turn, and pieces recur. The ids of
-pieces are kept by 64-bit hash in a table of fixed size; a full table is emptied, which costs time and changes
-no result. A piece may have any length. Two of n different pieces meet in a hash with a chance of about n^2 / 2^65.
+pieces are kept by their bytes in a table; a full one is emptied, which costs time and changes no result. Texts are
+taken apart by a dictionary of their words, so the table is asked once for each different word of a batch. A piece
+may have any length.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from collections.abc import Callable
 
 import numpy as np
 
-from subsetlab.llm.words import ragged, split_words
+from subsetlab.llm.words import Words, ragged, split_words
 
-#: A worker's table has 2^SLOT_BITS slots, of which half are used at most.
-SLOT_BITS = 20
+#: Pieces whose ids one worker keeps, and their bytes; a batch may pass them.
+PIECES, BYTES = 400_000, 32 << 20
 #: A piece of Latin letters and then marks: pre-tokens are the letters, and the marks if there are any.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&]*)")
 
@@ -27,71 +28,50 @@ CORES, POOL = 250_000, 1 << 24
 
 
 class PieceEncoder:
-    """Encode texts (UTF-8) with ``encode_all``, which turns pieces into their ids in turn and how many each has."""
+    """Encode texts (UTF-8) with ``encode_all``, which turns pieces into their ids in turn and how many each has.
 
-    def __init__(self, encode_all: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], slot_bits: int = SLOT_BITS) -> None:
-        self.encode_all, self.bits = encode_all, slot_bits
+    ``split`` takes texts apart into pieces that are encoded alone.
+    """
+
+    def __init__(
+        self, encode_all: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], pieces: int = PIECES, split: Callable[[list[bytes]], Words] = split_words
+    ) -> None:
+        self.encode_all, self.most, self.split = encode_all, pieces, split
         self._empty()
 
     def _empty(self) -> None:
-        n = 1 << self.bits
-        self.key, self.at, self.size = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.pool, self.pooled, self.used = np.zeros(1 << 16, np.uint16), 0, 0
-
-    def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Return each hash's slot, and whether the slot holds it (else it is free)."""
-        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        got = self.key[slot]
-        hit = got == h
-        rest = np.flatnonzero(~hit & (got != 0))
-        while len(rest):
-            slot[rest] = (slot[rest] + 1) & ((1 << self.bits) - 1)
-            got = self.key[slot[rest]]
-            hit[rest] = got == h[rest]
-            rest = rest[~hit[rest] & (got != 0)]
-        return slot, hit
-
-    def _learn(self, h: np.ndarray, pieces: list[str]) -> None:
+        #: By a piece's bytes its number; by that number where its ids begin in the pool, and how many they are.
+        self.number: dict[bytes, int] = {}
+        self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.pool, self.pooled, self.bytes = np.zeros(1 << 16, np.uint16), 0, 0
+
+    def _learn(self, pieces: list[bytes]) -> None:
         """Add pieces and their ids to the table."""
-        ids, size = self.encode_all(pieces)
+        ids, size = self.encode_all([x.decode() for x in pieces])
         while self.pooled + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.pooled : self.pooled + len(ids)] = ids
-        at = self.pooled + np.cumsum(size) - size
+        n = len(self.number)
+        while n + len(pieces) > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        self.at[n : n + len(pieces)], self.size[n : n + len(pieces)] = self.pooled + np.cumsum(size) - size, size
         self.pooled += len(ids)
-        slot, left = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(h))
-        while len(left):
-            _, one = np.unique(slot[left], return_index=True)
-            one = left[one]
-            one = one[self.key[slot[one]] == 0]
-            self.key[slot[one]], self.at[slot[one]], self.size[slot[one]] = h[one], at[one], size[one]
-            left = np.setdiff1d(left, one, assume_unique=True)
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-        self.used += len(pieces)
+        self.bytes += sum(map(len, pieces))
+        self.number.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Return the ids of all texts in turn, and how many each text has."""
-        words = split_words(texts)
-        h = np.maximum(words.hashes(), np.uint64(1))
-        slot, hit = self._slots(h)
-        if not hit.all():
-            miss = np.flatnonzero(~hit)
-            new, where = np.unique(h[miss], return_index=True)
-            if 2 * (self.used + len(new)) > 1 << self.bits or self.pooled > POOL:
-                self._empty()
-                new, where = np.unique(h, return_index=True)
-                miss = np.arange(len(h))
-                while 2 * len(new) > 1 << self.bits:
-                    self.bits += 1
-                    self._empty()
-            at = miss[where]
-            raw = words.raw
-            found = b"\n".join([raw[a:b] for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)])
-            self._learn(new, found.decode().split("\n"))
-            slot, _ = self._slots(h)
-        size = self.size[slot]
+        words = self.split(texts)
+        code, pieces = words.codes()
+        if len(self.number) > self.most or self.pooled > POOL or self.bytes > BYTES:
+            self._empty()
+        new = [x for x in pieces if x not in self.number]
+        if new:
+            self._learn(new)
+        number = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))[code]
+        size = self.size[number]
         before = np.concatenate([[0], np.cumsum(size)])
-        return ragged(self.pool, self.at[slot], size), np.diff(before[words.first])
+        return ragged(self.pool, self.at[number], size), np.diff(before[words.first])
 
 
 class Cores:
@@ -160,7 +140,6 @@ def library_encoder(path: str) -> PieceEncoder:
         ends = np.zeros(1 << 16, dtype=bool)
         ends[[i for x, i in tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
 
-
         def encode(cores: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
             if not plain:
                 return flat([e.ids for e in tokenizer.encode_batch_fast(cores, add_special_tokens=False)])

@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -57,8 +58,16 @@ class Words:
     #: Number of words before each text, and at last of all.
     first: np.ndarray
 
+    def codes(self) -> tuple[np.ndarray, list[bytes]]:
+        """Return every word's number in a dictionary of these texts, and the dictionary: only equal words share a number."""
+        size = self.end - self.start
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        flat = ragged(self.data, self.start, size)
+        words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
+        return words.indices.to_numpy(), words.dictionary.to_pylist()
+
     def hashes(self) -> np.ndarray:
-        """Return a 64-bit hash of every word; equal words have equal hashes.
+        """Return a 64-bit hash of every word; equal words have equal hashes. Different words may share one.
 
         A word is cut into blocks of eight bytes. Each block is mixed with its number in the word, and mixed again, before
         the sum: no polynomial, so words made of two repeated parts don't meet by rule.
@@ -79,14 +88,14 @@ class Words:
         return mixed(np.add.reduceat(value, edge) + size.astype(np.uint64))
 
 
-def split_words(texts: list[bytes]) -> Words:
-    """Find the words of ``texts``."""
+def split_words(texts: list[bytes], space: np.ndarray = SPACE) -> Words:
+    """Find the words of ``texts``; ``space`` tells of each byte whether it parts words (0x20 must)."""
     raw = b" " + b" ".join(texts) + b" "
     data = np.frombuffer(raw, dtype=np.uint8)
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     text_start = np.cumsum(lengths + 1) - lengths
-    space = SPACE[data]
-    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    parts = space[data]
+    edges = np.flatnonzero(parts[1:] != parts[:-1]) + 1
     start, end = edges[::2], edges[1::2]
     first = np.append(np.searchsorted(start, text_start), len(start))
     return Words(raw, data, text_start, start, end, first)

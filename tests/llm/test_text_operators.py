@@ -10,10 +10,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from subsetlab.llm import anchors, bpe, packing, queries, shared, simhash, substring_dedup, suffix_dedup, token_files
+from subsetlab.llm import anchors, bpe, packing, quality, queries, shared, simhash, substring_dedup, suffix_dedup, token_files
 from subsetlab.llm.components import components
 from subsetlab.llm.elias_fano import EliasFano
-from subsetlab.llm.wordbpe import library_encoder
+from subsetlab.llm.wordbpe import PieceEncoder, library_encoder
 from subsetlab.llm.words import split_words
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -410,6 +410,33 @@ def test_hashes_of_words():
     assert h[-2:] == [h[3], h[1]] and h[0] == h[len(texts) - 1]
 
 
+def test_words_that_share_a_hash(path, tokenizer):
+    a, b = "internationalize", "ErZF4ZNfLqbDuNuu"
+    assert len(set(split_words([f"{a} {b}".encode()]).hashes().tolist())) == 1
+    texts = [a, b, f"{a} {b} {b} {a}", b + ".", a + "."]
+    for encoder in (library_encoder(path), bpe.codec(path).encoder):
+        ids, count = encoder.encode([x.encode() for x in texts])
+        expected = [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+        assert ids.tolist() == sum(expected, []) and count.tolist() == list(map(len, expected))
+    measured = quality.measure([" ".join([x, *"cdef", *"ghijk"]).encode() for x in (a, b)] + [" ".join([a, *"cdef", b, *"cdef", "x"]).encode()])
+    assert measured["n_repeat_words"].tolist() == [0, 0, 0]
+
+
+def test_ngrams_that_share_a_hash(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abc", k=rng.randrange(60))).encode() for _ in range(40)]
+    expected = quality.measure(texts)
+    monkeypatch.setattr(quality, "mixed", lambda h: h % np.uint64(3))
+    got = quality.measure(texts)
+    assert all((got[k] == expected[k]).all() for k in expected)
+
+
+def test_a_full_table_of_pieces_is_emptied(path, tokenizer):
+    encoder = PieceEncoder(library_encoder(path).encode_all, pieces=3)
+    for text in ("one two three four", "five one", "six seven eight one"):
+        assert encoder.encode([text.encode()])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("which", ["library", "backtracking"])
 def test_very_long_pieces(path, tokenizer, which):
     encoder = (library_encoder(path) if which == "library" else bpe.codec(path).encoder)
