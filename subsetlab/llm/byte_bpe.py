@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from subsetlab.llm.bpe import OffsetTable, byte_letters
 from subsetlab.llm.shared import map_batches, text_bytes
 from subsetlab.llm.wordbpe import PieceEncoder, flat
-from subsetlab.llm.words import SPACE, Words
+from subsetlab.llm.words import SPACE, Words, ragged
 
 #: Bytes after which a text is never taken apart: ASCII white space, and last bytes of other white space (U+0085,
 #: U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000), which other characters may end in too.
@@ -87,17 +87,15 @@ class ByteCodec:
         raw = [x.encode() for x in texts]
         free = [k for k, x in enumerate(raw) if x and SPACE[x[0]] and not TIED[x[-1]]]
         alone = sorted(set(range(len(raw))) - set(free))
-        out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(raw)
-        for k in range(0, len(free), TOGETHER):
-            own = free[k : k + TOGETHER]
-            ids, _ = self._call(["".join(texts[i] for i in own)])
-            ends = np.searchsorted(np.cumsum(self.strings.size[ids]), np.cumsum([len(raw[i]) for i in own])) + 1
-            for i, part in zip(own, np.split(ids, ends[:-1]), strict=True):
-                out[i] = part
-        ids, count = self._call([texts[i] for i in alone])
-        for i, part in zip(alone, np.split(ids, np.cumsum(count)[:-1]), strict=False):
-            out[i] = part
-        return np.concatenate([*out, np.zeros(0, np.uint16)]), np.fromiter(map(len, out), np.int64, len(out))
+        calls = [self._call(["".join(texts[i] for i in free[k : k + TOGETHER])])[0] for k in range(0, len(free), TOGETHER)]
+        ids = np.concatenate([*calls, np.zeros(0, np.uint16)])
+        length = np.fromiter((len(raw[i]) for i in free), np.int64, len(free))
+        stop = np.searchsorted(np.cumsum(self.strings.size[ids]), np.cumsum(length)) + 1
+        more, count = self._call([texts[i] for i in alone])
+        size, at, place = np.concatenate([np.diff(stop, prepend=0), count]), np.empty(len(raw), np.int64), [*free, *alone]
+        by_text = np.empty(len(raw), np.int64)
+        by_text[place], at[place] = size, np.cumsum(size) - size
+        return ragged(np.concatenate([ids, more]), at, by_text), by_text
 
     def _call(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return flat([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
