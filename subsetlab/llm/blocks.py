@@ -53,7 +53,7 @@ def answered(blocks: DataFrame, entries: DataFrame, answers: DataFrame, keys: li
     """
     found = spread_join(entries.select("block", "at", *keys), answers.select(*keys, *values), keys, counts, F.xxhash64("block"))
     own = found.groupBy("block").agg(F.collect_list(F.struct("at", *values)).alias("_own"))
-    own = own.select("block", *[F.transform("_own", lambda x, c=c: x[c]).alias(c) for c in ["at", *values]])
+    own = own.select("block", *[F.col(f"_own.{c}").alias(c) for c in ["at", *values]])
     return blocks.join(own, "block")
 
 

@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subsetlab.llm import ann, bpe, byte_bpe, packing, quality, secret_scan, shared, simhash, substring_dedup, suffix_dedup, token_files, url_filter
+from subsetlab.llm import (
+    ann, bpe, byte_bpe, packing, phrases, quality, resample, secret_scan, shared, simhash, substring_dedup, suffix_dedup, token_files, url_filter,
+)
 from subsetlab.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,11 +96,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words_in_shingle=4, radius=4)
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10_000, 10, 20, 1, 2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = byte_vocabulary()
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, pattern)
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"), least=30, percent=80, most=2000)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pack": op1_pack,
@@ -111,7 +122,9 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_nearest": op9_nearest,
         "op10_simhash": op10_simhash,
+        "op11_resample": op11_resample,
         "op12_byte_bpe": op12_byte_bpe,
+        "op13_phrases": op13_phrases,
     }
 
 
@@ -162,6 +175,42 @@ SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
 """
 
 
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32 of each feature by a table of 256 values, then buckets, gains, noise and ranks.
+OP11_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+o AS (SELECT r, unnest(w) AS x FROM d),
+b AS (SELECT unnest(regexp_extract_all({LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS x FROM benchmark),
+u AS (SELECT x, sum(s) AS s, sum(t) AS t FROM (SELECT x, count(*) AS s, 0 AS t FROM o GROUP BY 1 UNION ALL SELECT x, 0, count(*) FROM b GROUP BY 1) GROUP BY 1),
+y(v, c, i) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT v, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM y WHERE i < 8),
+h(x, s, t, h, i, c) AS (SELECT x, s, t, hex(encode(x)), 0, 4294967295 FROM u UNION ALL SELECT x, s, t, h, h.i + 1, xor(h.c >> 8, y.c) FROM h JOIN y ON y.i = 8 AND y.v = xor(h.c, CAST('0x' || substr(h, 2 * h.i + 1, 2) AS BIGINT)) & 255 WHERE 2 * h.i < length(h)),
+c AS (SELECT x, s, t, xor(c, 4294967295) % 10000 AS k FROM h WHERE 2 * i = length(h)),
+k AS (SELECT k, CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM c GROUP BY 1),
+g AS (SELECT k, CAST(floor(1000 * ln((t + 1) * ((SELECT CAST(sum(s) AS DOUBLE) FROM u) + 10000) / ((s + 1) * ((SELECT CAST(sum(t) AS DOUBLE) FROM u) + 10000)))) AS BIGINT) AS gain FROM k),
+m AS (SELECT r, count(*) AS n, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM o JOIN c USING (x) JOIN g USING (k) GROUP BY 1),
+v AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN m USING (r)),
+e AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5e0) / 4294967296e0))) AS BIGINT) AS score FROM v),
+f AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) END AS place FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM e WHERE n_features >= 20) // 100 THEN place END AS rank FROM f
+"""
+#: All runs of one to four words of pieces, their cuts, and those inside longer ones.
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, string_split_regex({LOWER_SQL}, '[.,;:!?\\x0A-\\x0D]') AS p FROM documents),
+q AS (SELECT r, lang, unnest(p) AS p, unnest(range(len(p))) AS j FROM d),
+w AS (SELECT r, lang, j, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM q),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+a AS (SELECT lang, w[i : i + m - 1] AS g, count(*) AS f FROM s, (SELECT unnest(range(1, 5)) AS m) WHERE i + m - 1 <= len(w) GROUP BY 1, 2 HAVING count(*) >= 30),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+c AS (SELECT lang, g, f AS a, unnest(range(1, len(g))) AS k FROM a WHERE len(g) > 1),
+l AS (SELECT c.*, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (x.f + y.f) AS BIGINT) AS score FROM c JOIN a x ON x.lang = c.lang AND x.g = c.g[1 : k] JOIN a y ON y.lang = c.lang AND y.g = c.g[k + 1 : len(c.g)]),
+b AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+z AS (SELECT lang, g[i : i + m - 1] AS g, max(f) AS longer FROM (SELECT lang, g, f, m, unnest(range(1, len(g) - m + 2)) AS i FROM a, (SELECT unnest([2, 3]) AS m) WHERE m < len(g)) GROUP BY 1, 2),
+t AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN z ON z.lang = b.lang AND z.g = b.g WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+f AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t)
+SELECT f.lang, rank, phrase, a, l, r, n, score FROM f JOIN n ON n.lang = f.lang WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what it can express: it has no tokenizer, no XXH64, and none of the methods' own judgements."""
-    return {"op4_suffix_dedup": OP4_SQL, "op6_quality": op6_sql(), "op8_substring_dedup": OP8_SQL}
+    return {"op4_suffix_dedup": OP4_SQL, "op6_quality": op6_sql(), "op8_substring_dedup": OP8_SQL, "op11_resample": OP11_SQL, "op13_phrases": OP13_SQL}

@@ -22,8 +22,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 ARROW_ROWS = 512
 #: Bytes of a row group of intermediate tables.
 ROW_GROUP = 16 << 20
-#: A key of more than a SHARE-th of all rows is hot; its rows are dealt over SALTS parts.
-SHARE, SALTS = 1000, 64
+#: A key with more rows than one part holds is hot (``part_rows``): ROWS, or a SHARE-th of all rows where they are few,
+#: at least LEAST_ROWS; less than KEYS keys are hot.
+ROWS, SHARE, LEAST_ROWS, KEYS = 1_000_000, 1000, 64, 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,17 +80,25 @@ def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ARROW_ROWS)
 
 
+def part_rows(total: int) -> int:
+    """Return how many of ``total`` rows with one key go to one part: a fixed number, or a SHARE-th of few rows.
+
+    Less than KEYS keys have more, whatever the total.
+    """
+    return max(min(ROWS, total // SHARE), total // KEYS, LEAST_ROWS)
+
+
 def spread_join(many: DataFrame, one: DataFrame, keys: list[str], counts: DataFrame | None = None, salt: Column | None = None) -> DataFrame:
-    """Join ``many`` to ``one`` (a row a key), with hot keys dealt over parts.
+    """Join ``many`` to ``one`` (a row a key), with hot keys dealt over as many parts as their rows need.
 
-    ``counts`` (keys and n, the rows of ``many`` with a key) saves counting them. Less than SHARE keys are hot, whatever
+    ``counts`` (keys and n, the rows of ``many`` with a key) saves counting them. Less than KEYS keys are hot, whatever
     the size, so their broadcast is bounded. Keys aren't null. Rows are dealt by ``salt``, else by the hash of their
     columns; it must be the same if a task runs again.
     """
     counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts.select(*keys, "n")
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    hot = F.broadcast(counts.where(F.col("n") > max(total / SHARE, SALTS)).select(*keys, F.lit(SALTS).alias("_salts")))
-    part = F.pmod(F.xxhash64(*many.columns) if salt is None else salt, F.lit(SALTS))
+    most = part_rows(counts.agg(F.sum("n").alias("n")).first()["n"] or 0)
+    hot = F.broadcast(counts.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("_salts")))
+    part = F.pmod(F.xxhash64(*many.columns) if salt is None else salt, F.col("_salts"))
     dealt = many.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(part).cast("int")).drop("_salts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)).alias("_salt")
     return dealt.join(one.join(hot, keys, "left").select(*one.columns, copies), [*keys, "_salt"]).drop("_salt")

@@ -66,11 +66,12 @@ def test_op2_and_op3(spark, ids):
     assert got == {d: (len(x), digest(" ".join(map(str, x))), digest(tokenizer.decode(x, skip_special_tokens=False))) for d, x in ids.items()}
 
 
-@pytest.mark.parametrize("name", ["op4_suffix_dedup", "op6_quality", "op8_substring_dedup"])
+@pytest.mark.parametrize("name", ["op4_suffix_dedup", "op6_quality", "op8_substring_dedup", "op11_resample"])
 def test_queries_with_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     answer = con.execute(queries.oracle_sql()[name])
     names = [c[0] for c in answer.description]
     expected = {r[names.index("doc_id")]: dict(zip(names, r, strict=True)) for r in answer.fetchall()}
@@ -81,6 +82,17 @@ def test_queries_with_sql(spark, name):
         assert all(own[k] == pytest.approx(expected[d][k], abs=1e-12) for k in own), d
 
 
+def test_op13(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    answer = con.execute(queries.oracle_sql()["op13_phrases"])
+    names = [c[0] for c in answer.description]
+    got = queries.queries()["op13_phrases"](spark, FOLDER)
+    assert got.columns == names
+    assert sorted(tuple(r) for r in got.collect()) == sorted(answer.fetchall())
+
+
 def test_op5(spark, texts):
     kinds = ("assign", "access", "hex")
     for r in run(spark, "op5_secret_scan"):

@@ -480,12 +480,19 @@ def test_packing_keeps_columns_of_any_name(spark):
     assert sorted(r["salt"] for r in got.collect()) == list(range(30)) and got.select("sequence_id").distinct().count() == 15
 
 
-@pytest.mark.parametrize("salts", [1, 4])
-def test_joins_with_hot_keys(spark, monkeypatch, salts):
-    monkeypatch.setattr(shared, "SALTS", salts)
-    monkeypatch.setattr(shared, "SHARE", 4)
+@pytest.mark.parametrize("rows", [7, 150, 10**6])
+def test_joins_with_hot_keys(spark, monkeypatch, rows):
+    monkeypatch.setattr(shared, "ROWS", rows)
+    monkeypatch.setattr(shared, "LEAST_ROWS", 1)
+    monkeypatch.setattr(shared, "SHARE", 1)
     many = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(300)], "i long, k long")
     one = spark.createDataFrame([(k, f"v{k}") for k in range(300)], "k long, v string")
     got = shared.spread_join(many, one, ["k"])
     assert sorted(tuple(r) for r in got.select("i", "k", "v").collect()) == sorted((i, 0 if i % 3 else i, f"v{0 if i % 3 else i}") for i in range(300))
     assert shared.spread_join(many.limit(0), one, ["k"]).collect() == []
+
+
+def test_parts_follow_the_rows_of_a_key():
+    assert shared.part_rows(0) == shared.part_rows(1000) == shared.LEAST_ROWS
+    assert shared.part_rows(10**6) == 1000 and shared.part_rows(10**10) == shared.ROWS
+    assert all(total / shared.part_rows(total) <= shared.KEYS for total in (10**4, 10**8, 10**12, 10**14))
