@@ -122,5 +122,5 @@ def test_large_counts_are_exact(spark):
     rows = spark.createDataFrame([([1, 2], top), ([1], top), ([2], top + 12345)], "gram array<int>, f long")
     got = phrases.scored(rows.where("size(gram) = 2"), rows.where("size(gram) = 1")).collect()[0]
     assert got["score"] == 2_000_000 * top // (2 * top + 12345)
-    held = spark.createDataFrame([([1, 2], top), ([1, 2, 3], top // 5 * 4 + 1), ([2, 4], top), ([2, 4, 5], top // 5 * 4 - 1)], "gram array<int>, a long")
+    held = spark.createDataFrame([([1, 2], top), ([1, 2, 3], -(-top * 4 // 5)), ([2, 4], top), ([2, 4, 5], -(-top * 4 // 5) - 1)], "gram array<int>, a long")
     assert sorted(r["gram"] for r in phrases.outermost(held, 80).collect()) == [[1, 2, 3], [2, 4], [2, 4, 5]]
