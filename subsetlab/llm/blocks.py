@@ -25,7 +25,10 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 
 
 def make_blocks(df: DataFrame, work: Callable[[int, pa.RecordBatch], pa.RecordBatch], schema: str, name: str, size: int = BLOCK) -> DataFrame:
-    """Gather the rows of ``df`` (text last) to blocks, and write what ``work`` makes of a block's number and rows."""
+    """Gather the rows of ``df`` (text last) to blocks, and write what ``work`` makes of a block's number and rows.
+
+    A block is a row with ``at`` -1, and a row for each entry of its dictionary with the entry's place.
+    """
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +49,7 @@ def make_blocks(df: DataFrame, work: Callable[[int, pa.RecordBatch], pa.RecordBa
 
 
 def answered(blocks: DataFrame, entries: DataFrame, answers: DataFrame, keys: list[str], counts: DataFrame, values: list[str]) -> DataFrame:
-    """Join to each block what ``answers`` (a row for ``keys``) say on its dictionary: arrays ``at`` and ``values``.
+    """Join to ``blocks`` (a row each) what ``answers`` (a row for ``keys``) say on its dictionary: arrays ``at`` and ``values``.
 
     ``entries`` has block, at (a place in its dictionary) and the keys; ``counts`` has the keys and n, the blocks that
     ask for them. A block that gets no answer is left out.
@@ -57,6 +60,20 @@ def answered(blocks: DataFrame, entries: DataFrame, answers: DataFrame, keys: li
     return blocks.join(own, "block")
 
 
+def lists(batch: pa.RecordBatch, row: int, names: list[str]) -> list[np.ndarray]:
+    """Return the arrays in a row of ``batch``."""
+    return [batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in names]
+
+
+def with_entries(number: int, entries: dict[str, pa.Array], block: dict[str, pa.Array]) -> pa.RecordBatch:
+    """Return a block's row and those of its dictionary's ``entries``; each has the columns of ``block`` or of entries, else null."""
+    n = len(next(iter(entries.values())))
+    columns = {"block": pa.array(np.full(n + 1, number)), "at": pa.array(np.arange(-1, n, dtype=np.int32))}
+    columns |= {k: pa.concat_arrays([pa.nulls(1, x.type), x]) for k, x in entries.items()}
+    columns |= {k: pa.concat_arrays([x, pa.nulls(n, x.type)]) for k, x in block.items()}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 def packed(values: np.ndarray, kind: str = "<i4") -> bytes:
     return np.ascontiguousarray(values, kind).tobytes()
 

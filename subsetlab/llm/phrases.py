@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from subsetlab.llm.blocks import LOWER, answered, counted, make_blocks, packed
+from subsetlab.llm.blocks import LOWER, answered, counted, lists, make_blocks, packed, with_entries
 from subsetlab.llm.shared import cut, cut_table, give_back, part_rows, spread_join, text_bytes
 from subsetlab.llm.words import split_words
 from subsetlab.model import with_ordinal
@@ -37,17 +37,17 @@ UNKNOWN = "und"
 #: Fragments that a task counts at once, at least.
 AT_ONCE = 1 << 19
 
-BLOCKS = "block long, codes binary, langs array<string>, words array<binary>, counts array<long>"
-FRAGMENTS = "pivot int, part int, parts int, a long, b long, c long, n long"
-GRAMS = "a long, b long, n long, whole boolean"
+BLOCKS = "block long, at int, lang string, word binary, n long, codes binary"
+FRAGMENTS = "pivot int, part int, a long, b long, c long, n long"
+GRAMS = "a long, b long, n long"
 
 
 def word_blocks(docs: DataFrame) -> DataFrame:
-    """Return BLOCKS of ``docs`` (lang, text): the numbers of words in turn, -1 where a piece ends, and the dictionary."""
+    """Return BLOCKS of ``docs`` (lang, text): codes, the numbers of words in turn and -1 where a piece ends, and the dictionary."""
 
     def work(number: int, batch: pa.RecordBatch) -> pa.RecordBatch:
         words = split_words([x.translate(LOWER) for x in text_bytes(batch.column(1))], GAP)
-        code, names = words.codes()
+        code, names = words.dictionary()
         langs = batch.column(0).dictionary_encode()
         lang = np.repeat(langs.indices.to_numpy(), np.diff(words.first))
         # A word of two languages is two entries.
@@ -56,13 +56,9 @@ def word_blocks(docs: DataFrame) -> DataFrame:
         breaks = np.concatenate([[0], np.cumsum(BREAK[words.data])])[words.start]
         ends = np.flatnonzero(breaks[1:] != breaks[:-1]) + 1
         ends = np.union1d(ends, words.first[(words.first > 0) & (words.first < len(code))])
-        spelled = langs.dictionary.to_pylist()
-        columns = [
-            pa.array([number]), pa.array([packed(np.insert(place.reshape(-1), ends, -1))]),
-            pa.array([[spelled[i] for i in (every // max(len(names), 1)).tolist()]], pa.list_(pa.string())),
-            pa.array([[names[i] for i in (every % max(len(names), 1)).tolist()]], pa.list_(pa.binary())), pa.array([times], pa.list_(pa.int64())),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in BLOCKS.split(", ")])
+        n = max(len(names), 1)
+        entries = {"lang": langs.dictionary.take(pa.array(every // n)).cast(pa.string()), "word": names.take(pa.array(every % n)).cast(pa.binary()), "n": pa.array(times)}
+        return with_entries(number, entries, {"codes": pa.array([packed(np.insert(place.reshape(-1), ends, -1))])})
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
     return make_blocks(rows, work, BLOCKS, "words")
@@ -95,21 +91,24 @@ def fragments(blocks: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                known = np.zeros(max(row["size"], 1), np.int32)
-                known[row["at"]] = row["id"]
-                parts = dict(zip(row["id"], row["parts"], strict=True))
-                codes = np.frombuffer(row["codes"], "<i4")
-                rows, times = fragments_of(np.where(codes >= 0, known[codes], 0).astype(np.int32))
-                most = np.fromiter(map(parts.__getitem__, rows[0].tolist()), np.int64, rows.shape[1])
-                part = (row["block"] + np.arange(rows.shape[1])) % most if rows.shape[1] else most
-                columns = [pa.array(rows[0], pa.int32()), pa.array(part, pa.int32()), pa.array(most, pa.int32()), *map(pa.array, rows[1:]), pa.array(times)]
+            for row in range(batch.num_rows):
+                at, ids, dealt = lists(batch, row, ["at", "id", "parts"])
+                codes = np.frombuffer(batch.column("codes")[row].as_py(), "<i4")
+                known = np.zeros(int(max(codes.max(initial=0), at.max())) + 2, np.int32)
+                # The last place stands for the end of a piece: no id.
+                known[at] = ids
+                rows, times = fragments_of(known[codes])
+                order = np.argsort(ids)
+                most = dealt[order][np.searchsorted(ids, rows[0], sorter=order)].astype(np.int64)
+                part = (batch.column("block")[row].as_py() + np.arange(rows.shape[1])) % most
+                # A part below 0: the pivot's fragments are all in one place.
+                part = np.where(most > 1, part, -1)
+                columns = [pa.array(rows[0], pa.int32()), pa.array(part, pa.int32()), *map(pa.array, rows[1:]), pa.array(times)]
                 whole = pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in FRAGMENTS.split(", ")])
                 yield from (whole.slice(k, 1 << 16) for k in range(0, whole.num_rows, 1 << 16))
             give_back()
 
-    columns = ["block", "codes", F.size("words").alias("size"), "at", "id", "parts"]
-    return blocks.select(columns).mapInArrow(run, FRAGMENTS)
+    return blocks.select("block", "codes", "at", "id", "parts").mapInArrow(run, FRAGMENTS)
 
 
 def grams_of(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,15 +140,12 @@ def mine(sent: DataFrame, least: int) -> DataFrame:
         rows = 0
 
         def count(own: np.ndarray) -> pa.RecordBatch:
-            whole = own[2] == 1
+            whole = own[1] < 0
             found = []
-            for mark in (True, False):
-                pick = own[:, whole == mark]
-                grams, times = grams_of(pick[[0, 3, 4, 5]], pick[6])
-                keep = times >= (least if mark else 0)
-                found.append([pa.array(grams[0][keep]), pa.array(grams[1][keep]), pa.array(times[keep]), pa.array(np.full(int(keep.sum()), mark))])
-            columns = [pa.concat_arrays([x, y]) for x, y in zip(*found, strict=True)]
-            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n", "whole"])
+            for pick, fewest in ((own[:, whole], least), (own[:, ~whole], 0)):
+                grams, times = grams_of(pick[[0, 2, 3, 4]], pick[5])
+                found.append([*grams[:, times >= fewest], times[times >= fewest]])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b", "n"])
 
         # Rows come by pivot and part; a pivot's rows that aren't dealt are counted together.
         for batch in batches:
@@ -161,7 +157,7 @@ def mine(sent: DataFrame, least: int) -> DataFrame:
             every = np.concatenate(held, axis=1)
             last = np.flatnonzero((every[:2] != every[:2, -1:]).any(axis=0))
             edge = int(last[-1]) + 1 if len(last) else 0
-            if not edge and every[2, -1] == 1:
+            if not edge and every[1, -1] < 0:
                 held = [every]
                 continue
             edge = edge or every.shape[1]
@@ -224,9 +220,8 @@ def phrases(docs: DataFrame, least: int = 30, percent: int = 80, most: int = 200
     longer phrase that is found ``percent`` % as often go. n counts the language's words. Texts of any length are taken
     whole: a worker holds a block, or one longer text. Words below ``least`` are never sent; there may be 2^31 - 1 others.
     """
-    blocks = word_blocks(docs)
-    own = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("at", "x"))
-    own = own.select("block", "at", F.col("x.langs").alias("lang"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+    rows = word_blocks(docs)
+    blocks, own = rows.where("at < 0").select("block", "codes"), rows.where("at >= 0").select("block", "at", "lang", "word", "n")
     words = cut(own.groupBy("lang", "word").agg(F.sum("n").alias("f"), F.count(F.lit(1)).alias("n")))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     often = words.where(F.col("f") >= least).withColumn("_fall", -F.col("f")).withColumn("_name", F.struct("lang", "word"))
@@ -236,11 +231,9 @@ def phrases(docs: DataFrame, least: int = 30, percent: int = 80, most: int = 200
     if (numbered.agg(F.max("id").alias("n")).first()["n"] or 0) != numbered.count():
         raise ValueError("more than 2^31 - 1 frequent words")
     asked = answered(blocks, own, numbered, ["lang", "word"], numbered, ["id", "parts"])
-    counts = mine(fragments(asked), least)
-    # A pivot in one part is counted; others are summed up.
-    summed = counts.where("not whole").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    # N-grams of a pivot in one part are counted; those of others are summed up.
+    kept = mine(fragments(asked), least).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     halves = F.array(*[x.cast("int") for c in ("a", "b") for x in (F.shiftright(c, 32), F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))])
-    kept = counts.where("whole").select("a", "b", "n").unionByName(summed)
     grams = cut(kept.select(F.array_remove(halves, 0).alias("gram"), F.col("n").alias("f")))
     rows = cut(outermost(scored(grams, numbered.select(F.array("id").alias("gram"), "f")), percent))
     spelled = rows.select("gram", F.posexplode("gram").alias("at", "id"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from subsetlab.llm.blocks import LOWER, answered, counted, make_blocks, packed
+from subsetlab.llm.blocks import LOWER, answered, counted, lists, make_blocks, packed, with_entries
 from subsetlab.llm.shared import cut, cut_table, give_back, text_bytes
 from subsetlab.llm.words import split_words
 
@@ -21,8 +21,8 @@ PARTS = np.zeros(256, bool)
 PARTS[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
 BLOCKS = (
-    "block long, doc_ids array<long>, n_words array<long>, n_features array<long>, different array<long>, codes binary, times binary, "
-    "features array<binary>, counts array<long>"
+    "block long, at int, feature binary, n long, doc_ids array<long>, n_words array<long>, n_features array<long>, different array<long>, "
+    "codes binary, times binary"
 )
 
 
@@ -50,14 +50,12 @@ def feature_blocks(docs: DataFrame, longest: int) -> DataFrame:
         doc, code, size, names = runs_of(text_bytes(batch.column(1)), longest)
         rows, times = counted(np.stack([doc, code]), np.ones(len(doc), np.int64))
         n = batch.num_rows
-        long = pa.list_(pa.int64())
-        columns = [
-            pa.array([number]), pa.array([batch.column(0).to_pylist()], long), pa.array([np.bincount(doc[size == 1], minlength=n)], long),
-            pa.array([np.bincount(doc, minlength=n)], long), pa.array([np.bincount(rows[0], minlength=n)], long),
-            pa.array([packed(rows[1])]), pa.array([packed(times)]), pa.array([names], pa.list_(pa.binary())),
-            pa.array([np.bincount(code, minlength=len(names))], long),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in BLOCKS.split(", ")])
+        every = lambda x: pa.array([x], pa.list_(pa.int64()))
+        block = {
+            "doc_ids": every(batch.column(0).to_pylist()), "n_words": every(np.bincount(doc[size == 1], minlength=n)), "n_features": every(np.bincount(doc, minlength=n)),
+            "different": every(np.bincount(rows[0], minlength=n)), "codes": pa.array([packed(rows[1])]), "times": pa.array([packed(times)]),
+        }
+        return with_entries(number, {"feature": pa.array(names, pa.binary()), "n": pa.array(np.bincount(code, minlength=len(names)))}, block)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return make_blocks(rows, work, BLOCKS, "features")
@@ -65,8 +63,7 @@ def feature_blocks(docs: DataFrame, longest: int) -> DataFrame:
 
 def entries(blocks: DataFrame) -> DataFrame:
     """Return block, at, feature and n of the dictionaries of ``blocks``."""
-    own = blocks.select("block", F.posexplode(F.arrays_zip("features", "counts")).alias("at", "x"))
-    return own.select("block", "at", F.col("x.features").alias("feature"), F.col("x.counts").alias("n"))
+    return blocks.where("at >= 0").select("block", "at", "feature", "n")
 
 
 def gains(features: DataFrame, buckets: int) -> DataFrame:
@@ -83,20 +80,19 @@ def weights(blocks: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                gain = np.zeros(len(row["at"]), np.int64)
-                gain[row["at"]] = row["gain"]
-                share = gain[np.frombuffer(row["codes"], "<i4")] * np.frombuffer(row["times"], "<i4")
-                total = np.concatenate([[0], np.cumsum(share)])
-                stop = np.cumsum(row["different"])
-                total = total[stop] - total[stop - row["different"]]
-                columns = [pa.array(row["doc_ids"], pa.int64()), *(pa.array(row[c], pa.int64()) for c in ("n_words", "n_features"))]
-                columns.append(pa.array(total // np.maximum(row["n_features"], 1)))
+            for row in range(batch.num_rows):
+                at, own, words, features, different = lists(batch, row, ["at", "gain", "n_words", "n_features", "different"])
+                gain = np.zeros(int(at.max()) + 1, np.int64)
+                gain[at] = own
+                codes, times = (np.frombuffer(batch.column(c)[row].as_py(), "<i4") for c in ("codes", "times"))
+                total = np.concatenate([[0], np.cumsum(gain[codes] * times)])
+                stop = np.cumsum(different)
+                total = total[stop] - total[stop - different]
+                columns = [batch.column("doc_ids")[row].values, *map(pa.array, (words, features, total // np.maximum(features, 1)))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_features", "weight"])
             give_back()
 
     columns = ["doc_ids", "n_words", "n_features", "different", "codes", "times", "at", "gain"]
-    # A block in a batch of its own: rows are as large as some MB.
     return blocks.select(columns).mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
 
 
@@ -140,8 +136,8 @@ def resample(
     of an empty one. An empty target has no features, an empty ``docs`` gives no rows. Texts of any length are taken
     whole; a worker holds a block, or one longer text. Further columns are left out.
     """
-    blocks = feature_blocks(docs, longest)
-    own = entries(blocks)
+    rows = feature_blocks(docs, longest)
+    blocks, own = rows.where("at < 0").drop("at", "feature", "n"), entries(rows)
     wanted = entries(feature_blocks(target.select(F.lit(0).alias("doc_id"), "text"), longest))
     nothing = F.lit(0).cast("long")
     both = own.select("feature", F.col("n").alias("s"), nothing.alias("t"), (nothing + 1).alias("n"))
@@ -152,7 +148,7 @@ def resample(
     gained = features.where("n > 0").join(F.broadcast(gains(features, buckets)), "bucket").select("feature", "gain", "n")
     weighed = weights(answered(blocks, own, gained, ["feature"], features.where("n > 0"), ["gain"]))
     # Blocks without any word have no answer.
-    bare = blocks.where(F.size("features") == 0).select(F.explode(F.arrays_zip("doc_ids", "n_words", "n_features")).alias("x"))
+    bare = blocks.where(F.octet_length("codes") == 0).select(F.explode(F.arrays_zip("doc_ids", "n_words", "n_features")).alias("x"))
     bare = bare.select(F.col("x.doc_ids").alias("doc_id"), F.col("x.n_words").alias("n_words"), F.col("x.n_features").alias("n_features"), nothing.alias("weight"))
     scored = weighed.unionByName(bare).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
     return drawn(cut(scored), percent, least_words).select("doc_id", "n_words", "n_features", "weight", "score", "rank")

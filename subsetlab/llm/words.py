@@ -58,13 +58,18 @@ class Words:
     #: Number of words before each text, and at last of all.
     first: np.ndarray
 
-    def codes(self) -> tuple[np.ndarray, list[bytes]]:
+    def dictionary(self) -> tuple[np.ndarray, pa.Array]:
         """Return every word's number in a dictionary of these texts, and the dictionary: only equal words share a number."""
         size = self.end - self.start
         offsets = np.concatenate([[0], np.cumsum(size)])
         flat = ragged(self.data, self.start, size)
         words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
-        return words.indices.to_numpy(), words.dictionary.to_pylist()
+        return words.indices.to_numpy(), words.dictionary
+
+    def codes(self) -> tuple[np.ndarray, list[bytes]]:
+        """Return what ``dictionary`` does, the dictionary as a list."""
+        code, words = self.dictionary()
+        return code, words.to_pylist()
 
     def hashes(self) -> np.ndarray:
         """Return a 64-bit hash of every word; equal words have equal hashes. Different words may share one.
