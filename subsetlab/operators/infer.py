@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subsetlab.functions import nulls
-from subsetlab.model import K, N, SUMS, long, main_array
+from subsetlab.model import K, MAIN, N, SUMS, long, main_array
 from subsetlab.operators.describe import counted_numbers, draw_metrics, number_frequency, special_frequency
 
 LAGS = 10
@@ -19,6 +19,8 @@ OVERLAP_MEAN = K * K / N
 OVERLAP_VARIANCE = K * (K / N) * ((N - K) / N) * ((N - K) / (N - 1))
 MEDIAN_SUM = sum(SUMS) // 2
 WINDOW, STEP = 170, 85
+#: Draws of a chunk that hands its last rows on.
+CHUNK = 100_000
 
 
 def chi2_main(draws: DataFrame) -> DataFrame:
@@ -33,20 +35,33 @@ def chi2_special(draws: DataFrame) -> DataFrame:
     return f.agg(F.sum(F.pow(F.col("observed") - F.col("expected"), 2) / F.when(F.col("expected") > 0, F.col("expected"))).alias("statistic"))
 
 
-def lag_overlap(draws: DataFrame, lags: int = LAGS) -> DataFrame:
+def halo(rows: DataFrame, most: int, size: int | None = None) -> DataFrame:
+    """Chunk ``rows`` by t and hand the last ``most`` of each chunk on to the next one: adds _chunk and _own (false for those handed on)."""
+    size = max(size or CHUNK, most)
+    place = F.col("t") - 1
+    own = F.floor(place / size)
+    here, there = F.struct(own.alias("_chunk"), F.lit(True).alias("_own")), F.struct((own + 1).alias("_chunk"), F.lit(False).alias("_own"))
+    copies = F.explode(F.when(place % size >= size - most, F.array(here, there)).otherwise(F.array(here)))
+    return rows.withColumn("_copy", copies).select(*rows.columns, "_copy.*")
+
+
+def lag_overlap(draws: DataFrame, lags: int = LAGS, size: int | None = None) -> DataFrame:
     """C3: mean number of common numbers of draws ``lag`` apart, and its z score.
 
-    Each number of a draw goes to the ``lags`` draws after it, so the join is on (t, number) and evenly spread.
+    A draw is one number with a bit for each of its numbers, so about one row a draw is shuffled: to its chunk, and the
+    last ``lags`` of a chunk to the next. Common numbers are the bits that two draws share.
     """
-    n = draws.count()
-    own = long(draws).select("t", "num")
-    later = own.select("t", "num", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("h"))
-    sent = later.select((F.col("t") + F.col("h")).alias("t"), "num", F.col("t").alias("s"))
-    common = own.join(sent, ["t", "num"]).groupBy((F.col("t") - F.col("s")).alias("lag")).agg(F.count(F.lit(1)).alias("c"))
-    every = draws.sparkSession.range(1, lags + 1).select(F.col("id").alias("lag")).where(F.col("lag") < n)
-    mean = F.coalesce("c", F.lit(0)) / (n - F.col("lag"))
-    out = every.join(common, "lag", "left").select("lag", mean.alias("overlap"))
-    return out.withColumn("z", (F.col("overlap") - OVERLAP_MEAN) / F.sqrt(OVERLAP_VARIANCE / (n - F.col("lag"))))
+    bits = F.lit(0).cast("long")
+    for c in MAIN:
+        bits = bits.bitwiseOR(F.expr(f"shiftleft(1L, cast({c} - 1 as int))"))
+    rows = halo(draws.select("t", bits.alias("bits")), lags, size)
+    w = Window.partitionBy("_chunk").orderBy("t")
+    common = {h: F.bit_count(F.col("bits").bitwiseAND(F.max("bits").over(w.rangeBetween(-h, -h)))) for h in range(1, lags + 1)}
+    shared = rows.withColumns({f"_c{h}": x for h, x in common.items()}).where("_own")
+    sums = [F.struct(F.lit(h).cast("long").alias("lag"), F.coalesce(F.sum(f"_c{h}"), F.lit(0)).alias("c")) for h in common]
+    every = shared.agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("x")).select("n", F.explode("x").alias("x")).select("n", "x.*").where("lag < n")
+    out = every.select("lag", (F.col("c") / (F.col("n") - F.col("lag"))).alias("overlap"), "n")
+    return out.withColumn("z", (F.col("overlap") - OVERLAP_MEAN) / F.sqrt(OVERLAP_VARIANCE / (F.col("n") - F.col("lag")))).drop("n")
 
 
 def autocorrelation(draws: DataFrame, lags: int = LAGS) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from subsetlab.functions import nulls
 from subsetlab.model import MAIN, chunked_version, content_version, derive_draws, dim_number, fact_draw_number
 from subsetlab.operators import baselines, describe, infer, rules
-from subsetlab.plans import montecarlo, null_sql, quality_queries
+from subsetlab.plans import montecarlo, null_sql, quality_queries, stream_queries
 from subsetlab.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,6 +220,7 @@ def queries() -> dict[str, Query]:
         out[f"cells_{m}"] = on_draws(infer.cells_chi2, m)
     for c in ("B0", "B1", *(f"B2_w{w}" for w in WIDTHS)):
         out[f"scores_{c.lower()}"] = on_draws(partial(_scores, config=c))
+    out |= stream_queries.queries(on_draws)
     return out | {k: on_draws(f) for k, f in quality_queries.queries(mirror_of).items()}
 
 
@@ -481,6 +482,7 @@ def oracle_sql() -> dict[str, str]:
     out |= _band_oracles(out)
     everywhere = out["reconcile_assessment"].split(CTE.strip(), 1)[1].replace("draw_id NOT IN (SELECT draw_id FROM draws WHERE t % 2 = 0)", "false")
     out |= quality_queries.oracle_sql(CTE.strip(), everywhere)
+    out |= stream_queries.oracle_sql(CTE.strip())
     for b in BLOCKS:
         out[f"block_stability_number_{b}"] = _blocks("num", "SELECT t, num FROM long", "SELECT num FROM nums", b)
         out[f"block_stability_pair_{b}"] = _blocks("num, other", pairs, pair_grid, b)

@@ -12,7 +12,10 @@ import shutil
 import uuid
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from subsetlab.session import cut
 
 #: Words that published text must not hold, as numbers have no merit of their own: fixed values.
 BANNED = ("hot number", "cold number", "due number", "lucky", "best bet", "guaranteed")
@@ -90,6 +93,47 @@ def swap_table(df: DataFrame, path: str) -> None:
     shutil.rmtree(old, ignore_errors=True)
 
 
+#: Ids in a partition of a staged table, and partitions that a read may name one by one.
+RANGE, NAMED = 1000, 10_000
+
+
+def id_range(draw_id: str = "draw_id") -> Column:
+    """Return the partition of a draw: its number by RANGE; -1 for an id that is no number."""
+    return F.coalesce(F.floor(F.col(draw_id).try_cast("long") / RANGE), F.lit(-1)).cast("long")
+
+
+def read_ranges(spark: SparkSession, path: str, schema: str, wanted: DataFrame | None = None) -> DataFrame:
+    """Return a table that ``merge_ranges`` wrote, or only the partitions that ``wanted`` (rows with draw_id) touches.
+
+    Few partitions are named in the scan's partition filter; many are joined, which leaves the choice to Spark.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    if not os.path.isdir(path):
+        return spark.createDataFrame([], schema)
+    stored = spark.read.schema(f"{schema}, id_range long").parquet(path)
+    if wanted is not None:
+        touched = wanted.select(id_range().alias("id_range")).distinct()
+        some = [r["id_range"] for r in touched.limit(NAMED + 1).collect()]
+        stored = stored.where(F.col("id_range").isin(some)) if len(some) <= NAMED else stored.join(touched, "id_range", "left_semi")
+    return stored.select(*names)
+
+
+def merge_ranges(fresh: DataFrame, path: str, schema: str) -> None:
+    """Add ``fresh`` (new ids) to the table at ``path``, partitioned by ranges of ids; only partitions they touch are read and written.
+
+    The touched partitions are replaced by Spark's dynamic partition overwrite, so a merge that is done again after a
+    failure gives the same rows. Each partition is one file in the order of draw_id, unless it is very large.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    fresh = cut(fresh.select(*names))
+    stored = read_ranges(fresh.sparkSession, path, schema, fresh)
+    known = stored.join(fresh.select("draw_id"), "draw_id", "left_anti")
+    # What is overwritten is read before: the rows go through the shared folder.
+    merged = cut(known.unionByName(fresh)).withColumn("id_range", id_range())
+    dealt = merged.repartition("id_range").sortWithinPartitions("id_range", "draw_id")
+    dealt.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("id_range").parquet(path)
+
+
 def write_text(path: str, text: str) -> None:
     own = f"{path}.{uuid.uuid4().hex}.tmp"
     os.makedirs(os.path.dirname(path), exist_ok=True)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from subsetlab.model import CONTENT, K, MAIN, content_version, dim_number, fact_draw_number
 from subsetlab.operators import rules
 from subsetlab.plans import known_issues, publish, quality
-from subsetlab.session import ship
+from subsetlab.session import cut, ship
 from subsetlab.sources import archive
 
 logger = logging.getLogger("subsetlab.refresh")
@@ -49,7 +49,7 @@ def append(spark: SparkSession, path: str, schema: str, rows: list[tuple]) -> No
 
 
 def staging(spark: SparkSession, root: str, source: str) -> DataFrame:
-    return read(spark, f"{root}/staging/{source}", STAGED)
+    return publish.read_ranges(spark, f"{root}/staging/{source}", STAGED)
 
 
 def to_staged(records: DataFrame, run_id: str) -> DataFrame:
@@ -96,26 +96,27 @@ def ingest(spark: SparkSession, root: str, source: str, fetch: Fetch, mode: str
         good = parsed.where("error is null")
         unreadable = parsed.where("error is not null").select(F.col("file").alias("draw_id"), F.lit("parse").alias("rule"), F.lit("error").alias("severity"), F.col("error").alias("detail"))
         staged = rules.exact_duplicates_removed(to_staged(good, run_id).withColumn("_arrival", F.monotonically_increasing_id()), "_arrival").drop("_arrival")
+        # Stored rows that can matter to the records: those of their ranges of ids.
+        near = publish.read_ranges(spark, f"{root}/staging/{source}", STAGED, staged)
         conflicts = rules.id_conflicts(staged).select("draw_id", F.lit("draw_id_unique").alias("rule"), F.lit("error").alias("severity"), F.col("contents").cast("string").alias("detail"))
-        changed = rules.stored_conflicts(staged, stored).select("draw_id", F.lit("stored_row_conflict").alias("rule"), F.lit("error").alias("severity"), F.col("field").alias("detail"))
+        changed = rules.stored_conflicts(staged, near).select("draw_id", F.lit("stored_row_conflict").alias("rule"), F.lit("error").alias("severity"), F.col("field").alias("detail"))
         alone = rules.record_findings(good, today).unionByName(unreadable).unionByName(conflicts).unionByName(changed)
         bad = alone.where("severity = 'error'").select("draw_id")
         # Rules of the data set look at what would be stored; only new rows can be refused.
-        fresh = staged.select("draw_id").distinct().join(stored.select("draw_id"), "draw_id", "left_anti")
+        fresh = staged.select("draw_id").distinct().join(near.select("draw_id"), "draw_id", "left_anti")
         together = data_set_findings(with_t(rules.merge_new(stored, staged, bad))).join(fresh, "draw_id", "left_semi")
-        every = alone.unionByName(together).persist()
+        # Written out, as the merge replaces files that these rows come from.
+        every = cut(alone.unionByName(together))
         bad = every.where("severity = 'error'").select("draw_id")
-        merged = rules.merge_new(stored, staged, bad)
-        before, after = stored.count(), merged.count()
-        inserted = after - before
+        added = cut(staged.join(near.select("draw_id"), "draw_id", "left_anti").join(bad.distinct(), "draw_id", "left_anti"))
+        inserted = added.count()
         if inserted:
-            publish.swap_table(merged.repartitionByRange("draw_id").sortWithinPartitions("draw_id"), f"{root}/staging/{source}")
+            publish.merge_ranges(added, f"{root}/staging/{source}", STAGED)
         log = every.select(F.concat_ws("-", F.lit(run_id), "rule", "draw_id").alias("check_id"), F.lit(run_id).alias("run_id"), "draw_id", "rule", F.col("severity").alias("status"), "detail")
         log.write.mode("append").parquet(f"{root}/logs/quality")
         status = "partial" if every.where("severity = 'error'").limit(1).count() else "success"
         append(spark, f"{root}/logs/ingestion", RUNS, [(run_id, source, mode, started, _now(), received, inserted, received - inserted, status, None)])
         parsed.unpersist()
-        every.unpersist()
     except Exception as e:
         append(spark, f"{root}/logs/ingestion", RUNS, [(run_id, source, mode, started, _now(), received, 0, received, "failed", str(e)[:500])])
         raise
