@@ -41,8 +41,10 @@ def order_statistics(rows: DataFrame, value: str, by: list[str], ranks: Column,
     done = [open_ones.where("_low = _high")]
     open_ones = open_ones.where("_low < _high")
     while not open_ones.isEmpty():
-        # Halves, so that the widest bounds don't overflow. Every step is monotonic, so the buckets are in the order of the values.
-        step = F.floor((F.col("_x") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2) * buckets)
+        # Halves where the widest bounds overflow. Every step is monotonic, so the buckets are in the order of the values.
+        wide = F.col("_high") - F.col("_low") == math.inf
+        share = F.when(wide, (F.col("_x") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)).otherwise((F.col("_x") - F.col("_low")) / (F.col("_high") - F.col("_low")))
+        step = F.floor(share * buckets)
         targets = open_ones.groupBy(*keys, "_low", "_high", "_below").agg(F.collect_set("_rank").alias("_ranks"))
         inside = (F.col("_x") >= F.col("_low")) & (F.col("_x") <= F.col("_high"))
         found = _matched(own, targets, keys).where(inside)

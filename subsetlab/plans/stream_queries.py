@@ -153,25 +153,25 @@ def oracle_sql(cte: str) -> dict[str, str]:
     day = "(draw_date - DATE '1970-01-01')"
     columns = f"draw_id, draw_date, {n}, special_number"
     official = f"SELECT 'official' AS source, t, {columns}, CASE WHEN {day} % 13 = 0 THEN {due} + INTERVAL 30 HOUR ELSE {due} - INTERVAL 1 HOUR END AS received_at FROM draws WHERE {day} % 29 <> 0"
-    records = f"""WITH {cte}, o AS ({official}), rec AS (SELECT * EXCLUDE (t) FROM o
+    records = f"""WITH {cte}, st_o AS ({official}), st_rec AS (SELECT * EXCLUDE (t) FROM st_o
       UNION ALL SELECT 'mirror', {columns}, CASE WHEN {day} % 11 = 0 THEN {due} + INTERVAL 30 HOUR ELSE {due} - INTERVAL 1 HOUR END FROM draws WHERE {day} % 7 <> 0
-      UNION ALL SELECT source, draw_id, draw_date, {n}, coalesce(special_number, 0) + 1, received_at + INTERVAL 9 DAY FROM o WHERE t % 17 = 0
-      UNION ALL SELECT source, {columns}, received_at + INTERVAL 9 DAY FROM o WHERE t % 19 = 0)"""
+      UNION ALL SELECT source, draw_id, draw_date, {n}, coalesce(special_number, 0) + 1, received_at + INTERVAL 9 DAY FROM st_o WHERE t % 17 = 0
+      UNION ALL SELECT source, {columns}, received_at + INTERVAL 9 DAY FROM st_o WHERE t % 19 = 0)"""
     quantile = lambda f: f"list_sort(list(l_extendedprice))[CAST({f}((count(*) - 1) * q) AS BIGINT) + 1]"
     probabilities = ", ".join(f"{q!r}e0" for q in QUANTILES)
     here = "t BETWEEN (SELECT n // 3 FROM total) AND (SELECT n // 3 + 300 FROM total)"
     return {
-        "stream_versions": f"""{records}, one AS (SELECT source, draw_id, {n}, special_number, min(received_at) AS first_at FROM rec GROUP BY ALL),
-          f AS (SELECT *, first_value(special_number) OVER w AS stays, row_number() OVER w AS k FROM one WINDOW w AS (PARTITION BY source, draw_id ORDER BY first_at, CAST(special_number AS VARCHAR)))
-          SELECT source, draw_id, CASE WHEN k > 1 THEN 'stored_row_conflict' END AS rule, CASE WHEN k > 1 THEN 'special_number: ' || coalesce(CAST(stays AS VARCHAR), '<NA>') || ' > ' || coalesce(CAST(special_number AS VARCHAR), '<NA>') END AS detail, special_number FROM f""",
-        "stream_overdue": f"""{records}, clock AS (SELECT max(received_at) AS now FROM rec), a AS (SELECT source, draw_date AS day, min(received_at) AS first_at FROM rec GROUP BY 1, 2),
-          w AS (SELECT DISTINCT source, CAST(day AS DATE) AS day FROM (SELECT source, received_at, unnest(range(draw_date + 1, draw_date + 15, INTERVAL 1 DAY)) AS day FROM rec) WHERE isodow(day) IN (2, 4, 6) AND received_at <= day + INTERVAL 14 HOUR)
-          SELECT w.source, w.day, 'missed_deadline' AS rule, CAST(w.day AS TIMESTAMP) + INTERVAL 14 HOUR AS "at" FROM w LEFT JOIN a USING (source, day), clock WHERE (first_at IS NULL OR first_at > CAST(w.day AS TIMESTAMP) + INTERVAL 14 HOUR) AND now >= CAST(w.day AS TIMESTAMP) + INTERVAL 14 HOUR
-          UNION ALL SELECT source, day, 'late_result', first_at FROM a WHERE isodow(day) IN (2, 4, 6) AND first_at > CAST(day AS TIMESTAMP) + INTERVAL 14 HOUR""",
+        "stream_versions": f"""{records}, st_one AS (SELECT source, draw_id, {n}, special_number, min(received_at) AS first_at FROM st_rec GROUP BY ALL),
+          st_f AS (SELECT *, first_value(special_number) OVER win AS stays, row_number() OVER win AS place FROM st_one WINDOW win AS (PARTITION BY source, draw_id ORDER BY first_at, CAST(special_number AS VARCHAR)))
+          SELECT source, draw_id, CASE WHEN place > 1 THEN 'stored_row_conflict' END AS rule, CASE WHEN place > 1 THEN 'special_number: ' || coalesce(CAST(stays AS VARCHAR), '<NA>') || ' > ' || coalesce(CAST(special_number AS VARCHAR), '<NA>') END AS detail, special_number FROM st_f""",
+        "stream_overdue": f"""{records}, st_clock AS (SELECT max(received_at) AS now FROM st_rec), st_a AS (SELECT source, draw_date AS day, min(received_at) AS first_at FROM st_rec GROUP BY 1, 2),
+          st_w AS (SELECT DISTINCT source, CAST(day AS DATE) AS day FROM (SELECT source, received_at, unnest(range(draw_date + 1, draw_date + 15, INTERVAL 1 DAY)) AS day FROM st_rec) WHERE isodow(day) IN (2, 4, 6) AND received_at <= day + INTERVAL 14 HOUR)
+          SELECT st_w.source, st_w.day, 'missed_deadline' AS rule, CAST(st_w.day AS TIMESTAMP) + INTERVAL 14 HOUR AS "at" FROM st_w LEFT JOIN st_a USING (source, day), st_clock WHERE (first_at IS NULL OR first_at > CAST(st_w.day AS TIMESTAMP) + INTERVAL 14 HOUR) AND now >= CAST(st_w.day AS TIMESTAMP) + INTERVAL 14 HOUR
+          UNION ALL SELECT source, day, 'late_result', first_at FROM st_a WHERE isodow(day) IN (2, 4, 6) AND first_at > CAST(day AS TIMESTAMP) + INTERVAL 14 HOUR""",
         "merge_touched": f"WITH {cte} SELECT {columns} FROM draws",
         "bundle_publish": f"WITH {cte} SELECT {columns} FROM draws",
-        "asof_next_run": f"""WITH {cte}, log AS (SELECT CASE WHEN t % 3 = 0 THEN 'hot' ELSE 's' || CAST(t % 50 AS VARCHAR) END AS source, t AS run, draw_id FROM draws)
-          SELECT e.source, e.run, c.run AS next_run, c.draw_id AS next_draw FROM (SELECT * FROM log WHERE run % 7 = 0) e ASOF LEFT JOIN (SELECT * FROM log WHERE run % 5 = 0) c ON e.source = c.source AND e.run < c.run""",
+        "asof_next_run": f"""WITH {cte}, run_log AS (SELECT CASE WHEN t % 3 = 0 THEN 'hot' ELSE 's' || CAST(t % 50 AS VARCHAR) END AS source, t AS run, draw_id FROM draws)
+          SELECT e.source, e.run, c.run AS next_run, c.draw_id AS next_draw FROM (SELECT * FROM run_log WHERE run % 7 = 0) e ASOF LEFT JOIN (SELECT * FROM run_log WHERE run % 5 = 0) c ON e.source = c.source AND e.run < c.run""",
         "asof_last_purchase": """WITH e AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS "user" FROM events)
           SELECT a.event_id, a."user", p.event_id AS purchase, p.value FROM (SELECT * FROM e WHERE event_type = 'error') a ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'purchase') p ON a."user" = p."user" AND a.ts >= p.ts""",
         "interval_stabs": """WITH i AS (SELECT event_id AS opened_by, ts AS low, ts + to_seconds(CASE WHEN event_id % 50 = 0 THEN 864000 ELSE CAST(ceil(value * 60) AS BIGINT) END) AS high FROM events WHERE event_type = 'signup')

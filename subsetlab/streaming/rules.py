@@ -42,7 +42,7 @@ class FirstVersion(StatefulProcessor):
         self.first = handle.getValueState("first", ", ".join(f"{c} string" for c in FIELDS))
         self.reported = handle.getMapState("reported", "content string", "received_at timestamp")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         source, draw_id = key
         # A batch may hold several versions; each different one is held once, with its first receipt.
         versions: dict[tuple, datetime] = {}
@@ -75,7 +75,7 @@ class Overdue(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", "arrived_at timestamp, expected boolean, told boolean")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         arrived, expected, told = self.state.get() if self.state.exists() else (None, False, False)
         before, due = arrived, None
         for r in rows:
@@ -94,11 +94,11 @@ class Overdue(StatefulProcessor):
             yield Told(*key, "late_result", "warning", arrived)
         self.state.update((arrived, expected, told))
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         arrived, expected, told = self.state.get()
         if arrived is None and expected and not told:
             self.state.update((arrived, expected, True))
-            yield Told(*key, "missed_deadline", "error", datetime.fromtimestamp(expired.getExpiryTimeInMs() / 1000, UTC).replace(tzinfo=None))
+            yield Told(*key, "missed_deadline", "error", datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000, UTC).replace(tzinfo=None))
 
     def close(self) -> None:
         pass
