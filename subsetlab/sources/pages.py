@@ -6,15 +6,12 @@ row with ``error`` instead; nothing is dropped silently.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subsetlab.model import K, padded_id
-
-#: Shape of a result table's parts. Fixed values of the page format.
-ROW, CELL, BALL = r"(?is)<tr[^>]*>(.*?)</tr>", r"(?is)<td[^>]*>(.*?)</td>", r"(?is)<span[^>]*>(.*?)</span>"
-DAY, DRAW = r"([0-9]{2}/[0-9]{2}/[0-9]{4})", r"(?is)<a[^>]*>\s*#?([0-9]+)\s*</a>"
-
+from subsetlab.session import ship
+from subsetlab.sources.result_pages import ParsePage
 
 def parse_jsonl(raw: DataFrame, source: str = "mirror") -> DataFrame:
     """Parse JSON lines (columns file, value): date, id, result of 6 or 7 numbers, the seventh being the special one.
@@ -36,37 +33,15 @@ def parse_jsonl(raw: DataFrame, source: str = "mirror") -> DataFrame:
     )
 
 
-def _rows_of(html: Column) -> Column:
-    return F.filter(F.regexp_extract_all(html, F.lit(ROW), F.lit(1)), lambda r: r.rlike(r"(?i)<td"))
-
-
 def parse_official(raw: DataFrame, source: str = "official") -> DataFrame:
     """Parse pages (columns file, content): JSON whose ``value`` holds ``Error`` and ``HtmlContent``, a table of draws.
 
-    A row has a date, a linked id and balls; what follows a separator is the special number.
+    A row has a date, an id and balls; what follows a separator is the special number (``result_pages``).
     """
-    body = raw.select(
-        "file", F.get_json_object("content", "$.value.Error").alias("failed"), F.get_json_object("content", "$.value.HtmlContent").alias("html"),
-    )
-    problem = F.when(F.col("failed") == "true", "the page reports an error").when(F.col("html").isNull(), "no table in the page")
-    rows = body.select("file", problem.alias("problem"), F.explode_outer(F.when(problem.isNull(), _rows_of(F.col("html")))).alias("row"))
-    day = F.expr(f"try_to_date(regexp_extract(row, '{DAY}', 1), 'dd/MM/yyyy')")
-    ident = F.regexp_extract("row", DRAW, 1).try_cast("long")
-    # A separator is a span whose class names it, or whose text is a bar.
-    marked = F.regexp_replace(F.col("row"), r"""(?is)<span[^>]*class=["'][^"']*(?:sepa|-bar|no-margin-separator)[^"']*["'][^>]*>.*?</span>""", "<span>|</span>")
-    balls = F.transform(F.regexp_extract_all(marked, F.lit(BALL), F.lit(1)), lambda b: F.trim(F.regexp_replace(b, r"<[^>]*>", "")))
-    parts = rows.withColumn("balls", F.filter(balls, lambda b: b.rlike(r"^[0-9]+$|^\|$")))
-    at = F.array_position("balls", F.lit("|"))
-    main = F.when(at > 0, F.slice("balls", F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int"))).otherwise(F.filter("balls", lambda b: b != "|"))
-    special = F.when(at > 0, F.try_element_at("balls", (at + 1).cast("int")))
-    numbers = F.transform(main, lambda b: b.cast("long"))
-    error = F.coalesce(
-        F.col("problem"), F.when(F.col("row").isNull(), "no rows in the table"), F.when(ident.isNull(), "no id in the row"), F.when(day.isNull(), "no date in the row"),
-        F.when(F.size(main) == 0, "no numbers in the row"), F.when(F.size(main) != K, "not six numbers in the row"), F.when((at > 0) & special.isNull(), "nothing after the separator"),
-    )
-    return parts.select(
-        padded_id(ident).alias("draw_id"), day.alias("draw_date"), F.array_sort(numbers).alias("main"), special.cast("long").alias("special"), F.lit(source).alias("source"), "file", error.alias("error"),
-    )
+    ship(raw.sparkSession)
+    parse = F.udtf(ParsePage, returnType="draw_id string, draw_date date, main array<bigint>, special bigint, error string")
+    rows = raw.select("file", "content").lateralJoin(parse(F.col("content").outer()))
+    return rows.select("draw_id", "draw_date", "main", "special", F.lit(source).alias("source"), "file", "error")
 
 
 def between(records: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
