@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from subsetlab.llm.blocks import LOWER, answered, counted, lists, make_blocks, packed, with_entries
+from subsetlab.llm.blocks import LOWER, answered, lists, make_blocks, packed, with_entries
 from subsetlab.llm.shared import cut, cut_table, give_back, text_bytes
 from subsetlab.llm.words import split_words
 
@@ -27,33 +27,32 @@ BLOCKS = (
 
 
 def runs_of(texts: list[bytes], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Return the document, the feature and the number of words of each run of 1 to ``longest`` words, and the features."""
+    """Return the document and the feature of each run of 1 to ``longest`` words, the words by document, and the features."""
     words = split_words([x.translate(LOWER) for x in texts], PARTS)
     code, names = words.codes()
-    doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
-    docs, codes, sizes = [doc], [code], [np.ones(len(code), np.int64)]
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(words.first))
+    docs, codes = [doc], [code]
     for n in range(2, longest + 1):
         inside = np.flatnonzero(doc[n - 1 :] == doc[: max(0, len(doc) - n + 1)])
         rows = np.stack([code[inside + k] for k in range(n)])
         every, place = np.unique(rows, axis=1, return_inverse=True) if len(inside) else (rows, inside)
         docs.append(doc[inside])
         codes.append(np.asarray(place).reshape(-1) + len(names))
-        sizes.append(np.full(len(inside), n))
         names = names + [b" ".join(names[i] for i in own) for own in every.T.tolist()]
-    return np.concatenate(docs), np.concatenate(codes), np.concatenate(sizes), names
+    return np.concatenate(docs), np.concatenate(codes), np.diff(words.first), names
 
 
 def feature_blocks(docs: DataFrame, longest: int) -> DataFrame:
     """Return BLOCKS of ``docs`` (doc_id, text): by document the numbers of its different features and how often each is there."""
 
     def work(number: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, code, size, names = runs_of(text_bytes(batch.column(1)), longest)
-        rows, times = counted(np.stack([doc, code]), np.ones(len(doc), np.int64))
-        n = batch.num_rows
+        doc, code, words, names = runs_of(text_bytes(batch.column(1)), longest)
+        n, size = batch.num_rows, max(len(names), 1)
+        both, times = np.unique(doc * np.int64(size) + code, return_counts=True)
         every = lambda x: pa.array([x], pa.list_(pa.int64()))
         block = {
-            "doc_ids": every(batch.column(0).to_pylist()), "n_words": every(np.bincount(doc[size == 1], minlength=n)), "n_features": every(np.bincount(doc, minlength=n)),
-            "different": every(np.bincount(rows[0], minlength=n)), "codes": pa.array([packed(rows[1])]), "times": pa.array([packed(times)]),
+            "doc_ids": every(batch.column(0).to_pylist()), "n_words": every(words), "n_features": every(np.bincount(doc, minlength=n)),
+            "different": every(np.bincount(both // size, minlength=n)), "codes": pa.array([packed(both % size)]), "times": pa.array([packed(times)]),
         }
         return with_entries(number, {"feature": pa.array(names, pa.binary()), "n": pa.array(np.bincount(code, minlength=len(names)))}, block)
 
