@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subsetlab.model import CONTENT, MAIN
-from subsetlab.operators import joins, quantiles, rules, version_tree
-from subsetlab.plans import publish
+from subsetlab.operators import baselines, joins, quantiles, rules, version_tree
+from subsetlab.plans import publish, resampling
 from subsetlab.session import cut, fresh_folder, ship
 from subsetlab.sources import bundle
 from subsetlab.streaming import rules as stream_rules
@@ -18,6 +18,7 @@ from subsetlab.streaming import rules as stream_rules
 PORTIONS = 3
 QUANTILES = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
 LEVELS = 6
+RESAMPLES = 200
 
 
 def received(draws: DataFrame) -> DataFrame:
@@ -139,11 +140,17 @@ def version_differences(draws: DataFrame) -> DataFrame:
     return version_tree.differences(draws, other.unionByName(more))
 
 
+def bootstrap_blocks(draws: DataFrame) -> DataFrame:
+    """Intervals of the mean log loss of every config over all draws but the first 50."""
+    per = baselines.draw_scores(baselines.scores(draws)).where("t > 50")
+    return resampling.bootstrap_series(per.select("config", "t", "log_loss"), "log_loss", resamples=RESAMPLES)
+
+
 def queries(on_draws: Callable) -> dict[str, Callable]:
     return {
         "stream_versions": on_draws(stream_versions), "stream_overdue": on_draws(stream_overdue), "merge_touched": on_draws(merge_touched), "bundle_publish": on_draws(bundle_publish),
         "asof_next_run": on_draws(asof_next_run), "asof_last_purchase": asof_last_purchase, "interval_stabs": interval_stabs, "price_quantiles": price_quantiles,
-        "version_differences": on_draws(version_differences),
+        "version_differences": on_draws(version_differences), "bootstrap_blocks": on_draws(bootstrap_blocks),
     }
 
 
