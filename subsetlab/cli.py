@@ -42,10 +42,12 @@ def describe_run(spark: SparkSession, root: str, out: str, through: str | None,
     for w in widths:
         tables[f"rolling_counts_w{w}"] = (describe.rolling_counts(draws, w), ["t", "number"])
         tables[f"rolling_extremes_w{w}"] = (describe.rolling_extremes(draws, w), ["t"])
-    files = {f"{k}.csv": publish.to_csv(df, order) for k, (df, order) in tables.items()}
+    small = {k: publish.is_small(df) for k, (df, _) in tables.items()}
+    files = {f"{k}.csv": publish.to_csv(df, order) for k, (df, order) in tables.items() if small[k]}
     about = {"draws": n, "with a special number": special, "through": through, "tables": len(files), "replicates": reps, "override": override}
     files["summary.md"] = summaries.described(draws, tables["mc_reference"][0], widths, blocks, about)
-    return publish.publish(out, files, {"draws": n, "through": through, "replicates": reps})
+    large = {f"{k}.csv": x for k, x in tables.items() if not small[k]}
+    return publish.publish(out, files, {"draws": n, "through": through, "replicates": reps}, large=large)
 
 
 def infer_run(spark: SparkSession, root: str, out: str, through: str | None, reps: int, ceiling: str | None = None) -> dict:

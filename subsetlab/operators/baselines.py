@@ -70,10 +70,15 @@ def period_metrics(per_draw: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def deltas(per_draw: DataFrame, membership: DataFrame, base: str = "B0") -> DataFrame:
-    """Return mean differences to the base config over paired draws, by config and period."""
-    b = per_draw.where(F.col("config") == base).select("t", F.col("log_loss").alias("b_ll"), F.col("brier").alias("b_brier"))
-    both = per_draw.where(F.col("config") != base).join(b, "t").join(membership, "t")
-    return both.groupBy("config", "period").agg(F.avg(F.col("log_loss") - F.col("b_ll")).alias("delta_log_loss"), F.avg(F.col("brier") - F.col("b_brier")).alias("delta_brier"))
+    """Return differences to the base config over paired draws, by config and period: of the mean losses, and of the RMSE of the sum forecast."""
+    error = F.col("sum_forecast") - F.col("sum_actual")
+    own = per_draw.withColumn("square", error * error)
+    b = own.where(F.col("config") == base).select("t", *[F.col(c).alias(f"b_{c}") for c in ("log_loss", "brier", "square")])
+    both = own.where(F.col("config") != base).join(b, "t").join(membership, "t")
+    return both.groupBy("config", "period").agg(
+        *[F.avg(F.col(c) - F.col(f"b_{c}")).alias(f"delta_{c}") for c in ("log_loss", "brier")],
+        (F.sqrt(F.avg("square")) - F.sqrt(F.avg("b_square"))).alias("delta_rmse"),
+    )
 
 
 def reliability(scored: DataFrame, group: list[str]) -> DataFrame:

@@ -466,7 +466,7 @@ def oracle_sql() -> dict[str, str]:
         "lineage_anti": _sql(f"SELECT draw_id FROM (SELECT draw_id, draw_date, {ident}, special_number FROM draws EXCEPT ALL SELECT draw_id, draw_date, {ident}, special_number FROM mirror)"),
         "latest_runs": _sql("SELECT source, max(run_id) AS run_id, max_by(status, run_id) AS status FROM (SELECT 's' || CAST(t % 3 AS VARCHAR) AS source, draw_id AS run_id, CASE WHEN t % 7 = 0 THEN 'failed' ELSE 'success' END AS status FROM draws) GROUP BY 1"),
         "fold_metrics": _sql(f"SELECT config, period, count(*) AS draws, {_r('avg(log_loss)', 'log_loss')}, {_r('avg(brier)', 'brier')}, {_r('avg(abs(sum_forecast - sum_actual))', 'mae')}, {_r('sqrt(avg((sum_forecast - sum_actual) ** 2))', 'rmse')}, CAST(sum(n_clipped) AS BIGINT) AS n_clipped FROM ds JOIN per USING (t) GROUP BY 1, 2"),
-        "delta_vs_b0": _sql(f"SELECT a.config, period, {_r('avg(a.log_loss - b.log_loss)', 'delta_log_loss')}, {_r('avg(a.brier - b.brier)', 'delta_brier')} FROM ds a JOIN ds b ON a.t = b.t AND b.config = 'B0' JOIN per ON per.t = a.t WHERE a.config <> 'B0' GROUP BY 1, 2"),
+        "delta_vs_b0": _sql(f"SELECT a.config, period, {_r('avg(a.log_loss - b.log_loss)', 'delta_log_loss')}, {_r('avg(a.brier - b.brier)', 'delta_brier')}, {_r('sqrt(avg((a.sum_forecast - a.sum_actual) ** 2)) - sqrt(avg((b.sum_forecast - b.sum_actual) ** 2))', 'delta_rmse')} FROM ds a JOIN ds b ON a.t = b.t AND b.config = 'B0' JOIN per ON per.t = a.t WHERE a.config <> 'B0' GROUP BY 1, 2"),
         "w_selection": _sql("SELECT max(width) AS width FROM (SELECT width, loss, min(loss) OVER () AS least FROM (SELECT CAST(regexp_extract(config, '[0-9]+$') AS BIGINT) AS width, avg(log_loss) AS loss FROM ds WHERE t > 500 AND config LIKE 'B2%' GROUP BY 1)) WHERE loss <= least + 1.0e-12"),
     }
     levels = ", ".join(f"{k / 10}e0" for k in range(1, 10))

@@ -281,8 +281,24 @@ def follow_up(draws: DataFrame, test: str, replicates: int = 1000, seed: int = S
 RANKS, BINS, MOST = 103, 104, 2000
 
 
+def _rank_states(spark: SparkSession, replicates: int, special: int, seed: int) -> DataFrame:
+    """Return first, count and state: ranges of replicates, each with the state of the one generator of ranks at its begin.
+
+    The driver runs through the generator once, a replicate at a time; ranges are the same rows whatever their number.
+    """
+    rng, rows = generator(seed, RANKS), []
+    for first, count in sorted((r["first"], r["count"]) for r in _ranges(spark, replicates).collect()):
+        rows.append((first, count, pickle.dumps(rng.bit_generator.state)))
+        for _ in range(count):
+            rng.integers(1, N - K + 1, special)
+    return spark.createDataFrame(rows, "first long, count long, state binary").repartition(max(len(rows), 1))
+
+
 def exploratory(draws: DataFrame, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
-    """Add simulated p-values (of at most MOST replicates) to the exploratory statistics that have no limit of their own."""
+    """Add simulated p-values to the exploratory statistics that have no limit of their own, and how many replicates gave them (at most MOST).
+
+    Both streams of numbers are those of one generator from begin to end, so results don't depend on how replicates are dealt.
+    """
     from subsetlab.operators import infer
 
     spark = ship(draws.sparkSession)
@@ -293,24 +309,25 @@ def exploratory(draws: DataFrame, replicates: int = REPLICATES, seed: int = SEED
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for first, own in batch.itertuples(index=False):
+            for first, own, state in batch.itertuples(index=False):
+                rng = generator(seed, RANKS)
+                rng.bit_generator.state = pickle.loads(state)
                 for a, c in _portions(first, own, n):
                     main, _ = simulate(generator(seed, BINS, a * n * N), c, n)
-                    sums = np.searchsorted(edges, main.astype(np.int64).sum(axis=2), side="right") - 1
-                    rng, rows = np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, RANKS, a]))), []
+                    sums, rows = np.searchsorted(edges, main.astype(np.int64).sum(axis=2), side="right") - 1, []
                     for i in range(c):
                         o = np.bincount(sums[i], minlength=len(edges))
-                        ranks = np.bincount(rng.integers(0, N - K, special), minlength=N - K)
+                        ranks = np.bincount(rng.integers(1, N - K + 1, special) - 1, minlength=N - K)
                         e = special / (N - K)
                         rows.append((float(((o - n * chances) ** 2 / (n * chances)).sum()), float(((ranks - e) ** 2 / e).sum()) if special else float("nan")))
                     yield pd.DataFrame(rows, columns=["sum_bins", "special_rank"])
 
-    reps = _ranges(spark, count).mapInPandas(run, "sum_bins double, special_rank double")
+    reps = _rank_states(spark, count, special, seed).mapInPandas(run, "sum_bins double, special_rank double")
     seen = infer.exploratory(draws).cache()
     own = {x["name"]: x["statistic"] for x in seen.collect()}
     row = reps.agg(*[F.count_if(F.col(c) >= own[c]).alias(c) for c in ("sum_bins", "special_rank")]).first()
     simulated = F.when(F.col("name") == "sum_bins", (1 + row["sum_bins"]) / (count + 1)).when(F.col("name") == "special_rank", (1 + row["special_rank"]) / (count + 1))
-    return seen.withColumn("p", F.coalesce("p", simulated))
+    return seen.withColumn("replicates", F.when(F.col("p").isNull() & simulated.isNotNull(), count)).withColumn("p", F.coalesce("p", simulated))
 
 
 def pearson(a: np.ndarray, b: np.ndarray) -> float:

@@ -34,8 +34,17 @@ def formatted(value) -> str:
     return json.dumps(value, sort_keys=True) if isinstance(value, (dict, list)) else str(value)
 
 
-def to_csv(df: DataFrame, order: list[str], most: int = 200_000) -> str:
-    """Return a small table as CSV with line feeds, in the order of ``order``. Larger tables are for ``df.write``."""
+#: Rows of a table that is one text.
+TEXT_ROWS = 200_000
+
+
+def is_small(df: DataFrame, most: int | None = None) -> bool:
+    return df.limit((most or TEXT_ROWS) + 1).count() <= (most or TEXT_ROWS)
+
+
+def to_csv(df: DataFrame, order: list[str], most: int | None = None) -> str:
+    """Return a small table as CSV with line feeds, in the order of ``order``. Larger tables are for ``publish``."""
+    most = most or TEXT_ROWS
     rows = df.orderBy(*order).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} rows: write the table with Spark")
@@ -54,8 +63,22 @@ def guard(text: str) -> str:
     return text
 
 
-def publish(folder: str, files: dict[str, str], about: dict, replace: bool = True) -> dict:
-    """Write ``files`` and then manifest.json (their digests and ``about``) to a new folder, and move it into place at once."""
+def write_large(df: DataFrame, order: list[str], folder: str) -> dict[str, dict]:
+    """Write a table of any size as CSV parts, sorted over all of them, and return the digest and size of each part by name.
+
+    Doubles are written in full here. Parts are named by their order, so equal tables in equal parts have equal digests.
+    """
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("header", True).csv(folder)
+    parts = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*.csv").load(folder)
+    rows = parts.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")).collect()
+    return {r["name"]: {"sha256": r["sha256"], "bytes": r["bytes"]} for r in sorted(rows, key=lambda r: r["name"])}
+
+
+def publish(folder: str, files: dict[str, str], about: dict, replace: bool = True, large: dict[str, tuple[DataFrame, list[str]]] | None = None) -> dict:
+    """Write ``files`` and then manifest.json (their digests and ``about``) to a new folder, and move it into place at once.
+
+    ``large`` has tables, with their order, that Spark writes as folders of parts.
+    """
     if os.path.exists(folder) and not replace:
         raise FileExistsError(folder)
     own = f"{folder}.{uuid.uuid4().hex}.tmp"
@@ -67,6 +90,8 @@ def publish(folder: str, files: dict[str, str], about: dict, replace: bool = Tru
             with open(os.path.join(own, name), "wb") as f:
                 f.write(data)
             digests[name] = {"sha256": hashlib.sha256(data).hexdigest(), "bytes": len(data)}
+        for name, (df, order) in (large or {}).items():
+            digests |= {f"{name}/{k}": x for k, x in write_large(df, order, os.path.abspath(os.path.join(own, name))).items()}
         manifest = about | {"files": digests}
         with open(os.path.join(own, "manifest.json"), "w", encoding="utf-8") as f:
             f.write(json.dumps(manifest, sort_keys=True, indent=1) + "\n")

@@ -1,5 +1,6 @@
 """Permutations by ranges, the follow-up of C4, exploratory p-values, scores' sanity, JSON logging, the last arrival of an id."""
 
+import hashlib
 import json
 import logging
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from subsetlab import logs
 from subsetlab.model import MAIN
 from subsetlab.operators import baselines, infer, rules
-from subsetlab.plans import montecarlo
+from subsetlab.plans import montecarlo, publish
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +105,35 @@ def test_blocks_in_the_reference(spark):
     rows = {r["name"]: r for r in montecarlo.mc_reference(spark, 120, 60, (50, 200), 30, blocks=3).collect()}
     assert {"stability_number_0-1", "stability_pair_1-2", "max_z_w50", "min_special"} <= set(rows) and "max_z_w200" not in rows
     assert all(r["least"] <= r["lo"] <= r["hi"] <= r["most"] for r in rows.values())
+
+
+def test_exploratory_p_values_do_not_follow_the_ranges(spark, draws, monkeypatch):
+    def ranges(parts):
+        def own(session, replicates):
+            edges = sorted({replicates * k // parts for k in range(parts + 1)})
+            return session.createDataFrame([(a, b - a) for a, b in zip(edges, edges[1:], strict=False)], "first long, count long")
+
+        return own
+
+    found = []
+    for parts in (1, 4, 32):
+        monkeypatch.setattr(montecarlo, "_ranges", ranges(parts))
+        found.append(sorted((r["name"], r["p"], r["replicates"]) for r in montecarlo.exploratory(draws, 70).collect() if r["replicates"]))
+    assert found[0] == found[1] == found[2] and {r[2] for r in found[0]} == {70}
+    # The published stream: one array of all replicates.
+    n = draws.where("special_number is not null").count()
+    ranks = montecarlo.generator(montecarlo.SEED, montecarlo.RANKS).integers(1, 50, size=(70, n))
+    seen = {r["name"]: r["statistic"] for r in montecarlo.exploratory(draws, 70).collect()}["special_rank"]
+    e = n / 49
+    more = sum(float(((np.bincount(x, minlength=50)[1:] - e) ** 2 / e).sum()) >= seen for x in ranks)
+    assert dict((a, b) for a, b, _ in found[0])["special_rank"] == (1 + more) / 71
+
+
+def test_large_tables_of_a_publication(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id AS a", "id / 3 AS b").repartition(5)
+    assert publish.is_small(df, 1000) and not publish.is_small(df, 999)
+    about = publish.publish(str(tmp_path / "out"), {"x.md": "text"}, {"n": 1}, large={"t.csv": (df, ["a"])})
+    parts = sorted(k for k in about["files"] if k.startswith("t.csv/"))
+    assert parts and all(hashlib.sha256((tmp_path / "out" / k).read_bytes()).hexdigest() == about["files"][k]["sha256"] for k in parts)
+    lines = [x for k in parts for x in (tmp_path / "out" / k).read_text().splitlines()[1:]]
+    assert [int(x.split(",")[0]) for x in lines] == list(range(1000))
