@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +25,21 @@ from subsetlab.session import ship
 FIELDS = CONTENT[1:]
 FOUND = "source string, draw_id string, rule string, severity string, detail string, received_at timestamp, " + ", ".join(f"{c} {'date' if c == 'draw_date' else 'long'}" for c in FIELDS)
 OVERDUE = "source string, day date, rule string, severity string, at timestamp"
+#: The same as they leave the state: instants are microseconds, which no session's time zone touches.
+RAW_FOUND, RAW_TOLD = FOUND.replace("received_at timestamp", "received_at long"), OVERDUE.replace("at timestamp", "at long")
 Found, Told = (Row(*[x.split()[0] for x in schema.split(", ")]) for schema in (FOUND, OVERDUE))
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Later than any receipt: that of a record without one.
+NEVER = 1 << 62
+
+
+def _instant(micros: int) -> int | None:
+    return None if micros == NEVER else micros
+
+
 def written(value) -> str:
     return "<NA>" if value is None else str(value)
 
@@ -40,20 +49,20 @@ class FirstVersion(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.first = handle.getValueState("first", ", ".join(f"{c} string" for c in FIELDS))
-        self.reported = handle.getMapState("reported", "content string", "received_at timestamp")
+        self.reported = handle.getMapState("reported", "content string", "received_at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         source, draw_id = key
         # A batch may hold several versions; each different one is held once, with its first receipt.
-        versions: dict[tuple, datetime] = {}
+        versions: dict[tuple, int] = {}
         for r in rows:
-            content = tuple(r[c] for c in FIELDS)
-            versions[content] = min(versions.get(content, r["received_at"]), r["received_at"])
+            content, at = tuple(r[c] for c in FIELDS), NEVER if r["received_us"] is None else r["received_us"]
+            versions[content] = min(versions.get(content, at), at)
         order = sorted(versions, key=lambda c: (versions[c], tuple(map(written, c))))
         if not self.first.exists():
             first = order.pop(0)
             self.first.update(tuple(map(written, first)))
-            yield Found(source, draw_id, None, None, None, versions[first], *first)
+            yield Found(source, draw_id, None, None, None, _instant(versions[first]), *first)
         stays = tuple(self.first.get())
         for content in order:
             own = tuple(map(written, content))
@@ -62,7 +71,7 @@ class FirstVersion(StatefulProcessor):
                 continue
             self.reported.updateValue((text,), (versions[content],))
             changed = ", ".join(f"{c}: {a} > {b}" for c, a, b in zip(FIELDS, stays, own, strict=True) if a != b)
-            yield Found(source, draw_id, "stored_row_conflict", "error", changed, versions[content], *content)
+            yield Found(source, draw_id, "stored_row_conflict", "error", changed, _instant(versions[content]), *content)
 
     def close(self) -> None:
         pass
@@ -73,19 +82,19 @@ class Overdue(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "arrived_at timestamp, expected boolean, told boolean")
+        self.state = handle.getValueState("state", "arrived_at long, expected boolean, told boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         arrived, expected, told = self.state.get() if self.state.exists() else (None, False, False)
         before, due = arrived, None
         for r in rows:
-            due = r["due"]
+            due = r["due_us"]
             if r["arrived"]:
-                arrived = r["received_at"] if arrived is None else min(arrived, r["received_at"])
+                arrived = r["received_us"] if arrived is None else min(arrived, r["received_us"])
             elif not expected:
                 expected = True
                 if arrived is None:
-                    self.handle.registerTimer(int(due.replace(tzinfo=UTC).timestamp() * 1000) if due.tzinfo is None else int(due.timestamp() * 1000))
+                    self.handle.registerTimer(due // 1000)
         late = arrived is not None and due is not None and arrived > due
         if late and expected and not told:
             told = True
@@ -98,7 +107,7 @@ class Overdue(StatefulProcessor):
         arrived, expected, told = self.state.get()
         if arrived is None and expected and not told:
             self.state.update((arrived, expected, True))
-            yield Told(*key, "missed_deadline", "error", datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000, UTC).replace(tzinfo=None))
+            yield Told(*key, "missed_deadline", "error", expiredTimerInfo.getExpiryTimeInMs() * 1000)
 
     def close(self) -> None:
         pass
@@ -108,12 +117,13 @@ def first_versions(records: DataFrame) -> DataFrame:
     """Return FOUND: a row without a rule for each draw's first version, and a finding for each other version.
 
     Of versions in one batch the one received first counts (then the smaller one as text). Equal versions are one.
-    Records without a source or draw_id are keys of their own (null). What is output doesn't depend on how the
+    Records without a source or draw_id are keys of their own (null); those without a receipt count as received last. What is output doesn't depend on how the
     records fall into batches, as long as batches come in the order of receipt.
     """
-    own = records.select("source", "draw_id", "received_at", *FIELDS)
+    own = records.select("source", "draw_id", F.unix_micros("received_at").alias("received_us"), *FIELDS)
     ship(own.sparkSession)
-    return own.groupBy("source", "draw_id").transformWithState(FirstVersion(), FOUND, "append", "none")
+    found = own.groupBy("source", "draw_id").transformWithState(FirstVersion(), RAW_FOUND, "append", "none")
+    return found.withColumn("received_at", F.timestamp_micros("received_at"))
 
 
 def overdue(records: DataFrame, delay: str = "0 seconds") -> DataFrame:
@@ -131,8 +141,10 @@ def overdue(records: DataFrame, delay: str = "0 seconds") -> DataFrame:
     every = every.where(F.weekday("day").isin(*rules.WEEKDAYS)).withColumn("due", rules.deadline(F.col("day")))
     # What is expected only after its deadline is history, not overdue.
     every = every.where(F.col("arrived") | (F.col("received_at") <= F.col("due")))
+    every = every.withColumns({"received_us": F.unix_micros("received_at"), "due_us": F.unix_micros("due")}).drop("due")
     ship(every.sparkSession)
-    return every.groupBy("source", "day").transformWithState(Overdue(), OVERDUE, "append", "eventTime")
+    told = every.groupBy("source", "day").transformWithState(Overdue(), RAW_TOLD, "append", "eventTime")
+    return told.withColumn("at", F.timestamp_micros("at"))
 
 
 @contextmanager

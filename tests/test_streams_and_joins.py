@@ -58,7 +58,8 @@ def test_overdue_results(spark, tmp_path):
     expected = {("a", day(4), "missed_deadline", at(4, 14)), ("a", day(4), "late_result", at(8)), ("a", day(9), "missed_deadline", at(9, 14)), ("a", day(9), "late_result", at(9, 20))}
     expected.add(("b", day(13), "missed_deadline", at(13, 14)))
     expected |= {("a", day(k), "missed_deadline", at(k, 14)) for k in (11, 13)}
-    last = [record("c", "1", day(3), 1, at(14))]
+    # Days that have a result already, on time or late, get another one.
+    last = [record("c", "1", day(3), 1, at(14)), record("a", "2", day(6), 2, at(14)), record("a", "3", day(4), 2, at(14)), record("a", "4", day(9), 2, at(14))]
     for name, portions in {"one": [rows, last], "many": [rows[:3], rows[3:4], rows[4:], last]}.items():
         got = streamed(spark, str(tmp_path / name), portions, stream_rules.overdue)
         assert {(r[0], r[1], r[2], r[4]) for r in got} == expected and len(got) == len(expected)
