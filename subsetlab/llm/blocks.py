@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,8 +75,18 @@ def with_entries(number: int, entries: dict[str, pa.Array], block: dict[str, pa.
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def packed(values: np.ndarray, kind: str = "<i4") -> bytes:
-    return np.ascontiguousarray(values, kind).tobytes()
+def packed(values: np.ndarray, rising: bool = False) -> bytes:
+    """Return whole numbers compressed, bytes of one weight side by side; of ``rising`` ones the steps."""
+    own = np.asarray(values, np.int64)
+    own = np.diff(own, prepend=0) if rising else own
+    parts = np.ascontiguousarray(own, "<i4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(parts.tobytes())
+
+
+def unpacked(data: bytes, rising: bool = False) -> np.ndarray:
+    parts = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T
+    own = np.ascontiguousarray(parts).view("<i4").ravel()
+    return np.cumsum(own, dtype=np.int64) if rising else own
 
 
 def first_of(rows: np.ndarray) -> np.ndarray:

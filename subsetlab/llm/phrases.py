@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from subsetlab.llm.blocks import LOWER, answered, counted, lists, make_blocks, packed, with_entries
+from subsetlab.llm.blocks import LOWER, answered, counted, lists, make_blocks, packed, unpacked, with_entries
 from subsetlab.llm.shared import cut, cut_table, give_back, part_rows, spread_join, text_bytes
 from subsetlab.llm.words import split_words
 from subsetlab.model import with_ordinal
@@ -93,7 +93,7 @@ def fragments(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 at, ids, dealt = lists(batch, row, ["at", "id", "parts"])
-                codes = np.frombuffer(batch.column("codes")[row].as_py(), "<i4")
+                codes = unpacked(batch.column("codes")[row].as_py())
                 known = np.zeros(int(max(codes.max(initial=0), at.max())) + 2, np.int32)
                 # The last place stands for the end of a piece: no id.
                 known[at] = ids

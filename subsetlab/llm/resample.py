@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from subsetlab.llm.blocks import LOWER, answered, lists, make_blocks, packed, with_entries
+from subsetlab.llm.blocks import LOWER, answered, lists, make_blocks, packed, unpacked, with_entries
 from subsetlab.llm.shared import cut, cut_table, give_back, text_bytes
 from subsetlab.llm.words import split_words
 
@@ -52,7 +52,7 @@ def feature_blocks(docs: DataFrame, longest: int) -> DataFrame:
         every = lambda x: pa.array([x], pa.list_(pa.int64()))
         block = {
             "doc_ids": every(batch.column(0).to_pylist()), "n_words": every(words), "n_features": every(np.bincount(doc, minlength=n)),
-            "different": every(np.bincount(both // size, minlength=n)), "codes": pa.array([packed(both % size)]), "times": pa.array([packed(times)]),
+            "different": every(np.bincount(both // size, minlength=n)), "codes": pa.array([packed(both % size, rising=True)]), "times": pa.array([packed(times)]),
         }
         return with_entries(number, {"feature": pa.array(names, pa.binary()), "n": pa.array(np.bincount(code, minlength=len(names)))}, block)
 
@@ -83,7 +83,7 @@ def weights(blocks: DataFrame) -> DataFrame:
                 at, own, words, features, different = lists(batch, row, ["at", "gain", "n_words", "n_features", "different"])
                 gain = np.zeros(int(at.max()) + 1, np.int64)
                 gain[at] = own
-                codes, times = (np.frombuffer(batch.column(c)[row].as_py(), "<i4") for c in ("codes", "times"))
+                codes, times = unpacked(batch.column("codes")[row].as_py(), rising=True), unpacked(batch.column("times")[row].as_py())
                 total = np.concatenate([[0], np.cumsum(gain[codes] * times)])
                 stop = np.cumsum(different)
                 total = total[stop] - total[stop - different]
@@ -147,7 +147,7 @@ def resample(
     gained = features.where("n > 0").join(F.broadcast(gains(features, buckets)), "bucket").select("feature", "gain", "n")
     weighed = weights(answered(blocks, own, gained, ["feature"], features.where("n > 0"), ["gain"]))
     # Blocks without any word have no answer.
-    bare = blocks.where(F.octet_length("codes") == 0).select(F.explode(F.arrays_zip("doc_ids", "n_words", "n_features")).alias("x"))
+    bare = blocks.where(~F.exists("n_features", lambda n: n > 0)).select(F.explode(F.arrays_zip("doc_ids", "n_words", "n_features")).alias("x"))
     bare = bare.select(F.col("x.doc_ids").alias("doc_id"), F.col("x.n_words").alias("n_words"), F.col("x.n_features").alias("n_features"), nothing.alias("weight"))
     scored = weighed.unionByName(bare).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
     return drawn(cut(scored), percent, least_words).select("doc_id", "n_words", "n_features", "weight", "score", "rank")

@@ -124,3 +124,9 @@ def test_large_counts_are_exact(spark):
     assert got["score"] == 2_000_000 * top // (2 * top + 12345)
     held = spark.createDataFrame([([1, 2], top), ([1, 2, 3], -(-top * 4 // 5)), ([2, 4], top), ([2, 4, 5], -(-top * 4 // 5) - 1)], "gram array<int>, a long")
     assert sorted(r["gram"] for r in phrases.outermost(held, 80).collect()) == [[1, 2, 3], [2, 4], [2, 4, 5]]
+
+
+@pytest.mark.parametrize("values", [[], [0], [5, -1, 7, 2**31 - 1, 0], list(range(0, 3000, 7))])
+def test_packed_numbers(values):
+    for rising in (False, True):
+        assert blocks.unpacked(blocks.packed(values, rising), rising).tolist() == values
