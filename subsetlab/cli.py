@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from subsetlab import logs
 from subsetlab.operators import baselines, describe, infer
-from subsetlab.plans import montecarlo, publish, refresh, summaries
+from subsetlab.plans import known_issues, montecarlo, publish, refresh, summaries
 
 
 def _files(path: str) -> refresh.Fetch:
@@ -26,7 +26,12 @@ def _files(path: str) -> refresh.Fetch:
 
 
 def describe_run(spark: SparkSession, root: str, out: str, through: str | None, widths: list[int], blocks: int, reps: int, ceiling: str | None = None, override: str | None = None) -> dict:
-    """Write the descriptive tables and the Monte Carlo bounds of draws up to ``through``."""
+    """Write the descriptive tables and the Monte Carlo bounds of draws up to ``through``.
+
+    ``override`` names the decision (as REVIEW-12) that allows draws above the ceiling.
+    """
+    if override is not None and not known_issues.REFERENCE.fullmatch(override):
+        raise PermissionError(f"{override!r} doesn't name a decision")
     draws = refresh.loaded(spark, root, through, ceiling).cache()
     n, special = draws.count(), draws.where("special_number is not null").count()
     tables = {

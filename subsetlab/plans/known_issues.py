@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +21,8 @@ RULES = {
 DATED, PINNED = {"freshness"}, {"reconcile.field_mismatch"}
 KEYS = {"id", "source", "rules", "draw_id", "date_from", "date_to", "pins", "reason", "evidence", "approved_by", "approved_on", "review_by"}
 LONGEST_DAYS = 60
+#: How issues, draws, and the decisions that allow something are named. Fixed values.
+ISSUE, DRAW, REFERENCE = re.compile(r"KI-[0-9]{3}"), re.compile(r"[0-9]{5}"), re.compile(r"[A-Z]+-[0-9]+")
 
 
 def load(path: str) -> list[dict]:
@@ -31,9 +34,11 @@ def load(path: str) -> list[dict]:
     seen = set()
     for x in document["issues"]:
         name = x.get("id")
-        if not isinstance(name, str) or not name.startswith("KI-") or name in seen:
+        if not isinstance(name, str) or not ISSUE.fullmatch(name) or name in seen:
             raise ValueError(f"bad or repeated id {name!r}")
         seen.add(name)
+        if "draw_id" in x and not (isinstance(x["draw_id"], str) and DRAW.fullmatch(x["draw_id"])):
+            raise ValueError(f"{name}: a draw_id has five digits")
         if extra := set(x) - KEYS:
             raise ValueError(f"{name}: unknown keys {sorted(extra)}")
         if not x.get("rules") or any(r not in RULES for r in x["rules"]):

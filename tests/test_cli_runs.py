@@ -42,8 +42,10 @@ def test_summaries_and_ceilings(spark, tmp_path, capsys):
     assert "fold_02 (10 draws)" in open(f"{out}/m5/summary.md").read()
     assert run("m4", "--out-dir", f"{out}/no", "--reps", "20", "--through-draw", "00400", "--ceiling", "00300") == 2
     assert not os.path.exists(f"{out}/no")
-    assert run("eda", "--out-dir", f"{out}/yes", "--reps", "10", "--windows", "50", "--n-blocks", "2", "--through-draw", "00400", "--ceiling", "00300", "--override-ceiling", "review 1") == 0
-    assert "override: review 1" in open(f"{out}/yes/summary.md").read()
+    assert run("eda", "--out-dir", f"{out}/yes", "--reps", "10", "--windows", "50", "--n-blocks", "2", "--through-draw", "00400", "--ceiling", "00300", "--override-ceiling", "REVIEW-1") == 0
+    assert "override: REVIEW-1" in open(f"{out}/yes/summary.md").read()
+    assert run("eda", "--out-dir", f"{out}/no", "--reps", "10", "--through-draw", "00400", "--ceiling", "00300", "--override-ceiling", "because") == 2
+    assert not os.path.exists(f"{out}/no")
     as_of = f"{draws[-1]['date']} 14:30:00"
     assert run("quality-report", "--as-of", as_of, "--out-dir", f"{out}/report") in (0, 10)
     assert os.path.exists(f"{out}/report/report.json") and not os.path.exists(f"{root}/reports")

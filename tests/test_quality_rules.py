@@ -36,7 +36,7 @@ def test_new_draws_that_differ_are_not_published(spark, tmp_path, replay):
     r = refresh.refresh(spark, root, {"official": once(official(draws)), "mirror": once(lines(changed))}, as_of)
     assert r["exit_code"] == 50 and r["steps"]["curate"] == "blocked: 1 new draws differ" and refresh.manifest(root) is None
     fields = {f"n{i + 1}": f"{a}|{b}" for i, (a, b) in enumerate(zip(sorted(draws[9]["result"][:6]), other[:6], strict=True)) if a != b}
-    issue = {"id": "KI-9", "source": "mirror", "rules": ["reconcile.field_mismatch"], "draw_id": draws[9]["id"], "pins": fields, "reason": "r", "evidence": "e", "approved_by": "a", "approved_on": "2020-01-01", "review_by": "2099-01-01"}
+    issue = {"id": "KI-009", "source": "mirror", "rules": ["reconcile.field_mismatch"], "draw_id": draws[9]["id"], "pins": fields, "reason": "r", "evidence": "e", "approved_by": "a", "approved_on": "2020-01-01", "review_by": "2099-01-01"}
     path = str(tmp_path / "known.json")
     for pins, left in ((fields, 0), (fields | {"n1": "1|1"}, 1)):
         with open(path, "w") as f:

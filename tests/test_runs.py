@@ -230,14 +230,14 @@ def test_whole_path(spark, tmp_path):
 
 
 def test_known_issues(spark, tmp_path):
-    issue = {"id": "KI-1", "source": "official", "rules": ["special_present"], "draw_id": "00001", "reason": "r", "evidence": "e", "approved_by": "a", "approved_on": "2020-01-01", "review_by": "2030-01-01"}
+    issue = {"id": "KI-001", "source": "official", "rules": ["special_present"], "draw_id": "00001", "reason": "r", "evidence": "e", "approved_by": "a", "approved_on": "2020-01-01", "review_by": "2030-01-01"}
     path = tmp_path / "k.json"
     path.write_text(json.dumps({"schema_version": "1.0", "issues": [issue]}))
     table = known_issues.table(spark, known_issues.load(str(path)), "2025-01-01")
     rows = [("c", "official", "00001", None, "special_present", "WARN", "", None), ("c", "official", "00002", None, "special_present", "WARN", "", None)]
     got = known_issues.apply(spark.createDataFrame(rows, quality.FINDING), table).orderBy("draw_id").collect()
-    assert [(r["issue_id"], r["accepted"]) for r in got] == [("KI-1", True), (None, False)]
-    for bad in ({"rules": ["unknown"]}, {"id": "X"}, {"date_from": "2020-01-01"}, {"extra": 1}, {"rules": ["freshness"]}, {"rules": ["reconcile.field_mismatch"], "source": "mirror"}, {"rules": ["main_range"]}):
+    assert [(r["issue_id"], r["accepted"]) for r in got] == [("KI-001", True), (None, False)]
+    for bad in ({"rules": ["unknown"]}, {"id": "X"}, {"id": "KI-"}, {"id": "KI-1"}, {"draw_id": "1"}, {"date_from": "2020-01-01"}, {"extra": 1}, {"rules": ["freshness"]}, {"rules": ["reconcile.field_mismatch"], "source": "mirror"}, {"rules": ["main_range"]}):
         path.write_text(json.dumps({"schema_version": "1.0", "issues": [issue | bad]}))
         with pytest.raises(ValueError):
             known_issues.load(str(path))
