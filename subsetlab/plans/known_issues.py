@@ -17,6 +17,30 @@ RULES = {
     "main_integer": MIRROR, "main_range": MIRROR, "main_unique": MIRROR, "special_range": MIRROR, "special_not_in_main": MIRROR, "chronological_order": MIRROR,
     "stored_row_conflict": MIRROR, "reconcile.field_mismatch": MIRROR, "reconcile.only_left": MIRROR, "reconcile.only_right": OFFICIAL, "freshness": OFFICIAL,
 }
+#: Rules by the check that tells of them; input_missing can come from any. Fixed values.
+CHECK_RULES = {
+    "known_issues.file": ["known_issues_file", "known_issue_proposed", "known_issue_expired", "known_issue_unused", "known_issue_rule_unused", "known_issues_absent"],
+    "input_missing": ["input_missing"],
+    "curated.schema": ["curated_schema"],
+    "curated.lineage": ["curated_matches_staging", "manifest_consistency", "frozen_prefix", "raw_lineage"],
+    "curated.missing": ["null_required", "special_present"],
+    "curated.duplicates": ["draw_id_unique", "draw_date_unique", "position_unique", "duplicate_content"],
+    "curated.ranges": [
+        "draw_id_format", "draw_date_parseable", "not_future_dated", "main_count", "main_integer", "main_range", "main_unique", "special_range", "special_not_in_main",
+        "chronological_order", "draw_weekday", "main_sorted", "draw_id_continuity", "retrieved_after_draw",
+    ],
+    "coverage.gaps": ["first_draw", "draw_cadence"],
+    "coverage.freshness": ["freshness", "freshness_pending"],
+    "staging.schema": ["staging_schema"],
+    "ingestion.runs": ["run_failed", "run_partial", "incremental_empty_fetch", "mirror_shrink", "log_integrity"],
+    "quality_log.open": ["stored_row_conflict"],
+    "reconcile.sources": ["reconcile.field_mismatch", "reconcile.only_left", "reconcile.only_right", "reconcile.mirror_lag", "reconcile.not_run"],
+    "raw.checksums": ["raw_checksum", "raw_manifest_missing"],
+    "refresh.history": ["refresh_history"],
+}
+CHECK_OF = {rule: check for check, rules in CHECK_RULES.items() for rule in rules}
+#: Rules whose findings no waiver can accept.
+NEVER = set(CHECK_OF) - set(RULES)
 #: Rules that name dates instead of ids, and rules whose waiver pins what was observed.
 DATED, PINNED = {"freshness"}, {"reconcile.field_mismatch"}
 KEYS = {"id", "source", "rules", "draw_id", "date_from", "date_to", "pins", "reason", "evidence", "approved_by", "approved_on", "review_by"}

@@ -86,3 +86,14 @@ def test_source_that_calls_back(spark, tmp_path):
     root = str(tmp_path)
     assert refresh.ingest(spark, root, "official", lambda last: source("nothing").fetch(last))["inserted"] == 9
     assert refresh.ingest(spark, root, "official", lambda last: source("nothing").fetch(last))["inserted"] == 0
+
+
+def test_rules_are_registered(spark):
+    assert len(known_issues.CHECK_OF) == 51 and set(known_issues.RULES) | known_issues.NEVER == set(known_issues.CHECK_OF)
+    assert known_issues.CHECK_OF["draw_weekday"] == "curated.ranges" and "frozen_prefix" in known_issues.NEVER
+    rows = [("draw_cadence", "coverage.gaps"), ("input_missing", "staging.schema"), ("anything", "quality_log.open")]
+    df = spark.createDataFrame(rows, "rule string, check string")
+    assert [r[0] for r in df.select(quality.registered(F.col("rule"), F.col("check"))).collect()] == [r for r, _ in rows]
+    for bad in (("draw_cadence", "curated.ranges"), ("unknown", "coverage.gaps"), (None, "coverage.gaps")):
+        with pytest.raises(Exception, match="no rule of this check"):
+            spark.createDataFrame([bad], "rule string, check string").select(quality.registered(F.col("rule"), F.col("check"))).collect()
