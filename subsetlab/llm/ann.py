@@ -174,7 +174,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     go to the smaller vec_id. Rows with a null vec_id, and vectors that are null, empty, zero, or hold null or
     non-finite components take no part, nor do vectors of another length than most of the sample. A row is no candidate
     for queries of its own vec_id. Repeated rows are candidates each, but one query; rows of one vec_id with different
-    vectors are queries each. Further columns are left out.
+    vectors are queries each. An empty table, or one without a usable query, gives no rows. Further columns are left out.
     """
     spark = ship(vectors.sparkSession)
     single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"

@@ -227,6 +227,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, with_text: bool = False) ->
 
     Return doc_id, n_tokens, ids_sha256 (of decimal ids, joined by a space), decoded_sha256; with ``with_text`` also
     ids (array of int) and decoded. A null text is empty and has no ids. Null doc_ids and repeated rows stay.
+    Texts of any length are taken whole: a worker's memory grows with the longest one. An empty table gives no rows.
     Further columns are left out.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_text else "")

@@ -130,7 +130,7 @@ def quality(docs: DataFrame) -> DataFrame:
     word_chars counts characters in words, n_dup_lines lines with a word equal to an earlier line, n_repeat_words
     words in 5-word windows found twice or more. line_share and share_n are shares of characters in repeats, first
     ones not counted. A null or empty text has no words, so it fails. Null doc_ids and repeated rows stay. Further
-    columns are left out. Texts of any length are taken whole: memory grows with the longest one.
+    columns are left out. Texts of any length are taken whole: memory grows with the longest one. An empty table gives no rows.
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

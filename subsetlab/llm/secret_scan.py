@@ -267,7 +267,8 @@ def scan(docs: DataFrame, keep: list[str] | None = None, pairs: list[list[int]]
     The base kinds follow their patterns alone. Random tokens don't overlap base spans. A null text holds nothing.
     Rows need no key: null doc_ids, repeated rows and any further columns are allowed; one named found is replaced.
     ``pairs`` counts neighbouring letters of ordinary words; else those of all texts are counted. Work on a text grows
-    with its length, and with its matches to the power of 1.5 at most.
+    with its length, and with its matches to the power of 1.5 at most; one text's spans are one group of a window. An empty
+    table gives no rows.
     """
     columns = [c for c in keep or docs.columns if c != "found"]
     pairs = letter_pairs(docs) if pairs is None else pairs

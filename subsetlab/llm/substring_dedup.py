@@ -200,7 +200,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False, c
     Return per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by a
     space), with ``with_text`` also kept and spans (array of start and stop, in words). Windows are judged on the
     input. A null text has no words. Rows with a null doc_id take no part and stay whole; rows with the same doc_id
-    remove nothing of each other. Columns in ``carry`` come back in a struct ``rest``; others are left out.
+    remove nothing of each other. Repeated rows stay, an empty table gives no rows. Texts of any length are taken whole: a
+    task's memory grows with the longest one. Columns in ``carry`` come back in a struct ``rest``; others are left out.
     """
     rows, n = by_bucket(docs, carry)
     spans = duplicate_spans(rows, WordWindows(window), n)

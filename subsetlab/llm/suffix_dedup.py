@@ -285,7 +285,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = False, c
     kept_sha256 (of the remaining bytes), with ``with_text`` also kept (binary: a cut may fall inside a character)
     and spans (array of start and stop). Strings are judged on the input. A null text is empty. Rows with a null
     doc_id take no part and stay whole. Rows with the same doc_id remove nothing of each other. Texts shorter than
-    the window stay. Columns in ``carry`` come back in a struct ``rest``; others are left out.
+    the window stay. Repeated rows stay, an empty table gives no rows. Texts of any length are taken whole: a
+    task's memory grows with the longest one. Columns in ``carry`` come back in a struct ``rest``; others are left out.
     """
     rows, n = by_bucket(docs, carry)
     spans = duplicate_spans(rows, ByteWindows(window), n)

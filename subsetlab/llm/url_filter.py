@@ -175,7 +175,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: dict[str, str], purity: fl
     ``pages`` has page_id and url, ``labels`` has page_id and bad (boolean; a page with several labels counts each, null
     ones not at all). Null urls have an empty host and path, and are one template. Null page_ids have no labels;
     repeated rows stay. Without labels nothing is rejected but by rules. Further columns are left out. Paths of any depth
-    are taken whole.
+    are taken whole. An empty table of pages gives no rows.
     """
     host, path = host_and_path(F.col("url").cast("string"))
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
