@@ -357,10 +357,13 @@ def correlations(vectors: DataFrame, key: list[str]) -> DataFrame:
     """
     a, b = vectors.select(*key, F.col("block").alias("a"), F.col("x").alias("xa")), vectors.select(*key, F.col("block").alias("b"), F.col("x").alias("xb"))
     both = a.join(b, key).where("a < b")
-    n, sa, sb = F.count(F.lit(1)), F.sum("xa"), F.sum("xb")
-    cov = n * F.sum(F.col("xa") * F.col("xb")) - sa * sb
-    spread = (n * F.sum(F.col("xa") * F.col("xa")) - sa * sa) * (n * F.sum(F.col("xb") * F.col("xb")) - sb * sb)
-    return both.groupBy("a", "b").agg(cov.cast("double").alias("cov"), spread.cast("double").alias("spread")).select(
+    # Exact whole numbers, wide enough that no product passes them; only the last product is one of doubles.
+    whole = "decimal(38,0)"
+    n, sa, sb = F.count(F.lit(1)).cast(whole), F.sum("xa").cast(whole), F.sum("xb").cast(whole)
+    product = lambda x, y: F.sum(F.col(x).cast(whole) * F.col(y).cast(whole)).cast(whole)
+    cov = n * product("xa", "xb") - sa * sb
+    spread = (n * product("xa", "xa") - sa * sa).cast("double") * (n * product("xb", "xb") - sb * sb).cast("double")
+    return both.groupBy("a", "b").agg(cov.cast("double").alias("cov"), spread.alias("spread")).select(
         "a", "b", F.when(F.col("spread") > 0, F.col("cov") / F.sqrt(F.when(F.col("spread") > 0, F.col("spread")))).alias("r")
     )
 
