@@ -1,7 +1,7 @@
 """Descriptive tables of a series of draws (see ``subsetlab.model``), each next to its null reference.
 
-Counts over time run in two levels: blocks of draws are summed up per number, and rows are summed within their block.
-So a running count over any number of draws is spread over blocks, and a rolling one is the difference of two.
+Counts over time run in two levels: blocks of draws are summed up per number, and rows are summed within their block
+(see ``series``). So a running count over any number of draws is spread over blocks, and a rolling one is the difference of two.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from subsetlab.functions import nulls
-from subsetlab.model import K, LOW, MAIN, N, P_MAIN, P_SPECIAL, grid, long, main_array, numbers
+from subsetlab.model import K, LOW, MAIN, N, P_MAIN, P_SPECIAL, long, main_array, numbers
+from subsetlab.operators import series
 from subsetlab.session import ship
 
-#: Draws in one block of a running count.
+#: Draws in one block of a series of gaps.
 BLOCK = 10_000
 #: The chance of a pair in a draw.
 P_PAIR = K * (K - 1) / (N * (N - 1))
@@ -172,12 +173,7 @@ def frequency_by_period(draws: DataFrame, kind: str) -> DataFrame:
 
 def running_counts(draws: DataFrame) -> DataFrame:
     """Return t, num, y and c: how often each number occurred up to and with draw t."""
-    rows = grid(draws).withColumn("block", ((F.col("t") - 1) / BLOCK).cast("long"))
-    before = Window.partitionBy("num").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = rows.groupBy("num", "block").agg(F.sum("y").alias("s")).select("num", "block", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("num", "block").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    own = rows.withColumn("own", F.sum("y").over(inside))
-    return own.join(bases, ["num", "block"]).select("t", "num", "y", (F.col("base") + F.col("own")).alias("c"))
+    return counts_and_before(draws, ())
 
 
 def cumulative_counts(draws: DataFrame) -> DataFrame:
@@ -188,14 +184,15 @@ def cumulative_counts(draws: DataFrame) -> DataFrame:
 def counts_and_before(draws: DataFrame, widths: tuple[int, ...]) -> DataFrame:
     """Return t, num, y, c (see ``running_counts``) and before_<w>: the count up to draw t - w (0 if there is none).
 
-    Running counts are made once: each row goes to its own t, and to t + w for every width, in one shuffle.
+    Counts are made in chunks (see ``series``): a draw is shuffled as one row, and its N rows are made where they are used.
     """
-    none = F.lit(None).cast("long")
-    own = F.struct("t", "y", "c", *[none.alias(f"before_{w}") for w in widths])
-    later = [F.struct((F.col("t") + w).alias("t"), none.alias("y"), none.alias("c"), *[(F.col("c") if v == w else none).alias(f"before_{v}") for v in widths]) for w in widths]
-    rows = running_counts(draws).select("num", F.explode(F.array(own, *later)).alias("x")).select("num", "x.*")
-    out = rows.groupBy("t", "num").agg(F.max("y").alias("y"), F.max("c").alias("c"), *[F.coalesce(F.max(f"before_{w}"), F.lit(0)).alias(f"before_{w}") for w in widths])
-    return out.where(F.col("c").isNotNull())
+
+    def work(chunk: series.Chunk) -> dict[str, np.ndarray]:
+        out = {"t": np.repeat(chunk.t, N), "num": np.tile(np.arange(1, N + 1), len(chunk.t)), "y": chunk.y.ravel(), "c": chunk.c.ravel()}
+        return out | {f"before_{w}": chunk.upto(w).ravel() for w in widths}
+
+    names = ["t", "num", "y", "c", *(f"before_{w}" for w in widths)]
+    return series.by_chunk(series.prepared(draws, max(widths, default=0)), work, ", ".join(f"{c} long" for c in names))
 
 
 def rolling_counts(draws: DataFrame, width: int) -> DataFrame:
@@ -206,7 +203,14 @@ def rolling_counts(draws: DataFrame, width: int) -> DataFrame:
 
 
 def rolling_extremes(draws: DataFrame, width: int) -> DataFrame:
-    return rolling_counts(draws, width).groupBy("t").agg(F.max("z").alias("max_z"), F.min("z").alias("min_z"))
+    """Return the largest and the least z of each draw's window: z rises with the count, so they are those of two counts."""
+
+    def work(chunk: series.Chunk) -> dict[str, np.ndarray]:
+        observed = (chunk.c - chunk.upto(width))[chunk.t >= width]
+        return {"t": chunk.t[chunk.t >= width], "most": observed.max(axis=1), "least": observed.min(axis=1)}
+
+    ends = series.by_chunk(series.prepared(draws, width), work, "t long, most long, least long")
+    return ends.select("t", *[z_score(F.col(a), F.lit(width), P_MAIN).alias(b) for a, b in (("most", "max_z"), ("least", "min_z"))])
 
 
 def gaps(draws: DataFrame) -> DataFrame:

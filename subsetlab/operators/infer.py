@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from subsetlab.functions import nulls
 from subsetlab.model import K, MAIN, N, SUMS, long, main_array
 from subsetlab.operators.describe import counted_numbers, draw_metrics, number_frequency, special_frequency
+from subsetlab.operators.series import halo
 
 LAGS = 10
 OVERLAP_MEAN = K * K / N
@@ -19,8 +20,6 @@ OVERLAP_MEAN = K * K / N
 OVERLAP_VARIANCE = K * (K / N) * ((N - K) / N) * ((N - K) / (N - 1))
 MEDIAN_SUM = sum(SUMS) // 2
 WINDOW, STEP = 170, 85
-#: Draws of a chunk that hands its last rows on.
-CHUNK = 100_000
 
 
 def chi2_main(draws: DataFrame) -> DataFrame:
@@ -35,16 +34,6 @@ def chi2_special(draws: DataFrame) -> DataFrame:
     return f.agg(F.sum(F.pow(F.col("observed") - F.col("expected"), 2) / F.when(F.col("expected") > 0, F.col("expected"))).alias("statistic"))
 
 
-def halo(rows: DataFrame, most: int, size: int | None = None) -> DataFrame:
-    """Chunk ``rows`` by t and hand the last ``most`` of each chunk on to the next one: adds _chunk and _own (false for those handed on)."""
-    size = max(size or CHUNK, most)
-    place = F.col("t") - 1
-    own = F.floor(place / size)
-    here, there = F.struct(own.alias("_chunk"), F.lit(True).alias("_own")), F.struct((own + 1).alias("_chunk"), F.lit(False).alias("_own"))
-    copies = F.explode(F.when(place % size >= size - most, F.array(here, there)).otherwise(F.array(here)))
-    return rows.withColumn("_copy", copies).select(*rows.columns, "_copy.*")
-
-
 def lag_overlap(draws: DataFrame, lags: int = LAGS, size: int | None = None) -> DataFrame:
     """C3: mean number of common numbers of draws ``lag`` apart, and its z score.
 

@@ -15,7 +15,7 @@ from subsetlab.functions import nulls
 from subsetlab.model import MAIN, chunked_version, content_version, derive_draws, dim_number, fact_draw_number
 from subsetlab.operators import baselines, describe, infer, rules
 from subsetlab.plans import montecarlo, null_sql, quality_queries, stream_queries
-from subsetlab.session import ship
+from subsetlab.session import cut, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 8
@@ -71,24 +71,24 @@ def _runs_log(draws: DataFrame) -> DataFrame:
 
 
 def _widths(draws: DataFrame) -> DataFrame:
-    per = baselines.draw_scores(baselines.scores(draws)).where("t > 500 and config like 'B2%'")
+    per = baselines.scored_draws(draws, tuple(f"B2_w{w}" for w in WIDTHS)).where("t > 500")
     losses = per.groupBy("config").agg(F.avg("log_loss").alias("loss"))
     return baselines.select_width(losses.select(F.regexp_extract("config", "[0-9]+$", 0).cast("long").alias("width"), "loss"))
 
 
 def _scores(draws: DataFrame, config: str) -> DataFrame:
-    widths = tuple(w for w in WIDTHS if config == f"B2_w{w}")
-    return baselines.draw_scores(baselines.scores(draws, widths).where(F.col("config") == config)).drop("config")
+    return baselines.scored_draws(draws, (config,)).drop("config")
 
 
 def _folded(draws: DataFrame, what: str) -> DataFrame:
-    per = baselines.draw_scores(baselines.scores(draws))
-    membership = baselines.periods(draws, draws.count())
-    return baselines.period_metrics(per, membership) if what == "metrics" else baselines.deltas(per, membership)
+    draws = cut(draws)
+    per = baselines.scored_draws(draws)
+    n = draws.count()
+    return baselines.period_metrics(baselines.in_periods(per, n)) if what == "metrics" else baselines.deltas(baselines.in_periods(per, n))
 
 
 def _calibration(draws: DataFrame, what: str) -> DataFrame:
-    bins = baselines.reliability(baselines.scores(draws).where("t > 500 and config <> 'B0'"), ["config"])
+    bins = baselines.calibration(draws, tuple(c for c in baselines.CONFIGS if c != "B0"))
     return bins if what == "bins" else baselines.ece(bins, ["config"])
 
 
@@ -129,9 +129,9 @@ def _merge(draws: DataFrame) -> DataFrame:
 
 
 def _sanity(draws: DataFrame) -> DataFrame:
-    scored = baselines.scores(draws).where("t > 500")
-    bins = baselines.reliability(scored, ["config"])
-    return baselines.sanity(baselines.draw_scores(scored), bins, baselines.periods(draws, draws.count()), {"fold_01": 50, "fold_02": 49})
+    draws = cut(draws)
+    per = baselines.scored_draws(draws).where("t > 500")
+    return baselines.sanity(per, baselines.calibration(draws), baselines.periods(draws, draws.count()), {"fold_01": 50, "fold_02": 49})
 
 
 def _null_pmfs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subsetlab.model import with_ordinal
-from subsetlab.operators.infer import halo
+from subsetlab.operators.series import halo
 from subsetlab.plans.montecarlo import SEED
 from subsetlab.session import cut, ship
 
