@@ -7,10 +7,15 @@ own length and deals crowded buckets over parts.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from subsetlab.session import cut
+from subsetlab.session import cut, ship
 
 #: Rows of one bucket and side that one task takes; less than KEYS buckets have more.
 ROWS, KEYS = 200_000, 100_000
@@ -98,6 +103,85 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, low: str, hi
     return both.select("point", "interval")
 
 
+class Ranges:
+    """Sums and least values of ranges of rows: sums by differences, least values from those of spans of 1, 2, 4, ... rows."""
+
+    #: What no row has as its least value.
+    NONE = np.iinfo(np.int64).max
+
+    def __init__(self, sums: list[np.ndarray], least: np.ndarray) -> None:
+        self.sums = [np.concatenate([[0], np.cumsum(x)]).astype(np.int64) for x in sums]
+        self.spans = [least.astype(np.int64)]
+        while 2 << (len(self.spans) - 1) <= len(least):
+            half = 1 << (len(self.spans) - 1)
+            self.spans.append(np.minimum(self.spans[-1][:-half], self.spans[-1][half:]))
+
+    def of(self, a: np.ndarray, z: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Return the sums and least values of rows a to z - 1 (z at least a)."""
+        least, size = np.full(len(a), self.NONE), z - a
+        for k, span in enumerate(self.spans):
+            here = np.flatnonzero((size >= 1 << k) & (size < 2 << k))
+            least[here] = np.minimum(span[a[here]], span[z[here] - (1 << k)])
+        return [x[z] - x[a] for x in self.sums], least
+
+
+def interval_totals(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, value: str, rows: int = ROWS) -> DataFrame:
+    """Return ``intervals`` (those that end where they begin or later) with n, least and total: how many points lie in each, both
+    ends included, and the least and the sum of their whole-numbered ``value`` (null if none has one).
+
+    No pair is made, so dense points cost no more: points are counted by instant and cut into buckets of about ``rows`` instants; an
+    interval goes to the buckets of its two ends, and what lies between them comes from the few buckets' own totals. A
+    bucket where very many intervals end is dealt over parts. Repeated rows stay. Sums that could pass 64 bits raise.
+    """
+    spark = ship(points.sparkSession)
+    v = F.col(value).cast("long")
+    found = points.where(F.col(at).isNotNull()).select(_ticks(points, at).alias("_at"), v.alias("_v")).groupBy("_at")
+    instants = cut(found.agg(F.count(F.lit(1)).alias("n"), F.count("_v").alias("m"), F.sum("_v").alias("total"), F.min("_v").alias("least")))
+    own = intervals.where(F.col(low) <= F.col(high))
+    kept = cut(own.select(F.monotonically_increasing_id().alias("_id"), _ticks(own, low).alias("_low"), _ticks(own, high).alias("_high"), F.struct(*own.columns).alias("_row")))
+    size = instants.agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(F.col("total").cast("decimal(38,0)"))).alias("s")).first()
+    if (size["s"] or 0) > Ranges.NONE:
+        raise OverflowError(f"sums of {value} pass 64 bits")
+    parts = max(1, math.ceil(size["n"] / rows))
+    # Where the borders lie decides how even the buckets are, not what is found.
+    borders = np.unique(np.array(instants.approxQuantile("_at", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else [], np.int64))
+
+    @F.pandas_udf("long")
+    def bucket(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(borders, x.to_numpy(), side="right").astype(np.int64))
+
+    instants = instants.withColumn("_bucket", bucket("_at"))
+    ends = kept.select("_id", "_low", "_high", bucket("_low").alias("_first"), bucket("_high").alias("_last"))
+    ends = cut(ends.withColumn("_bucket", F.explode(F.array_distinct(F.array("_first", "_last")))))
+    # A row a bucket, and there are as many as ``rows`` fits into the instants.
+    sums = {r["_bucket"]: r for r in instants.groupBy("_bucket").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("total").alias("total"), F.min("least").alias("least")).collect()}
+    column = lambda c, none: np.array([none if k not in sums or sums[k][c] is None else sums[k][c] for k in range(len(borders) + 1)], np.int64)
+    whole = Ranges([column(c, 0) for c in ("n", "m", "total")], column("least", Ranges.NONE))
+    crowd = [(r["_bucket"], math.ceil(r["count"] / rows)) for r in ends.groupBy("_bucket").count().collect()]
+    dealt = F.broadcast(spark.createDataFrame(crowd, "_bucket long, _parts int"))
+    instants = instants.join(dealt, "_bucket").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    ends = ends.join(dealt, "_bucket").withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")).drop("_parts")
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        x = left.sort_by("_at")
+        place = x.column("_at").to_numpy()
+        here = Ranges([x.column(c).fill_null(0).to_numpy() for c in ("n", "m", "total")], x.column("least").fill_null(Ranges.NONE).to_numpy())
+        one = {c: right.column(c).to_numpy() for c in ("_id", "_low", "_high", "_first", "_last", "_bucket")}
+        opens, closes = one["_first"] == one["_bucket"], one["_last"] == one["_bucket"]
+        a = np.where(opens, np.searchsorted(place, one["_low"], side="left"), 0)
+        z = np.where(closes, np.searchsorted(place, one["_high"], side="right"), len(place))
+        (n, m, total), least = here.of(a, np.maximum(a, z))
+        # What lies between the two ends' buckets is added where the interval begins.
+        first = np.where(opens, one["_first"] + 1, 0)
+        (n2, m2, total2), least2 = whole.of(first, np.where(opens, np.maximum(first, one["_last"]), 0))
+        return pa.table({"_id": one["_id"], "n": n + n2, "m": m + m2, "total": total + total2, "least": np.minimum(least, least2)})
+
+    each = instants.groupBy("_bucket", "_part").cogroup(ends.groupBy("_bucket", "_part")).applyInArrow(answer, "_id long, n long, m long, total long, least long")
+    each = each.groupBy("_id").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("total").alias("total"), F.min("least").alias("least"))
+    some = lambda c: F.when(F.col("m") > 0, F.col(c)).alias(c)
+    return kept.select("_id", "_row").join(each, "_id").select("_row.*", "n", some("least"), some("total"))
+
+
 def _dealt(a: DataFrame, b: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Deal the rows of both sides over a grid (_p, _i) where a key has many: every two rows with one key meet once."""
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
