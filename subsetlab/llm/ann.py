@@ -2,9 +2,11 @@
 
 A vector is written as the sum of one full-length codeword from each of several codebooks. Each codebook is fitted
 to what the ones before leave over of a bounded sample, by k-means. Encoding is a beam search: it keeps the best few
-sums at every step. For a query q and a vector x of codewords c, |q - x|^2 = |q|^2 - 2 sum(q.c) + |x|^2, so with the
-norm |x|^2 stored, a table of q's products with all codewords gives a score by as many look-ups as there are
-codebooks. The best scores are ranked again by exact distances.
+sums at every step. For a query q and a sum x of codewords c, |q - x|^2 = |q|^2 - 2 sum(q.c) + |x|^2, so with the
+norm |x|^2 known, a table of q's products with all codewords gives a score by as many look-ups as there are
+codebooks. The best scores are ranked again by exact distances. A vector is no nearer than the score of its sum less its
+own error, so ranking goes on until no vector left in the part can be among the nearest: codes save work there, but lose nothing.
+Vectors are coded less the sample's mean and in units of its typical distance from it, so that neither place nor scale matters.
 
 The first codewords also name a vector's cell: the first one alone, or the first two or three, so that the number of
 cells grows with the table (up to WORDS ** LEVELS). A query visits its own cell and those nearest to it. How many is
@@ -30,12 +32,14 @@ from subsetlab.session import ship
 #: Rows that the codebooks are fitted on at most: a documented bound, whatever the size of the table.
 SAMPLE = 8192
 BOOKS, WORDS, ROUNDS, BEAM = 24, 32, 6, 4
+#: Codes are looked for within this many units; what lies further out has a large error.
+FAR = 1e6
 #: Rows in a cell, roughly, until there are WORDS ** LEVELS cells.
 CELL, LEVELS = 4096, 3
 #: Share of true neighbours whose cells queries should visit, and queries of the sample that this is measured on.
-COVER, TRIED = 0.98, 512
-#: Candidates that are ranked again by exact distance, in each part of a cell.
-RERANK = 400
+COVER, TRIED = 0.995, 512
+#: Candidates that are ranked again by exact distance first, in each part of a cell, and rounding of scores against the norms.
+RERANK, ROUNDING = 400, 2e-7
 #: Vectors in one part of a cell, and rows sent at once.
 PART, SENT = 16_384, 8_192
 
@@ -69,11 +73,18 @@ def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return ((centre * centre).sum(axis=1) - 2 * x @ centre.T).argmin(axis=1)
 
 
+def unit_of(sample: np.ndarray) -> tuple[np.ndarray, float]:
+    """Return the mean of the sample's rows and their median distance from it (1 if that is 0)."""
+    centre = sample.mean(axis=0)
+    unit = float(np.median(np.sqrt(((sample - centre) ** 2).sum(axis=1))))
+    return centre, unit if np.isfinite(unit) and unit > 0 else 1.0
+
+
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Return codes (rows x books) of the rows of ``x`` by beam search, and the squared norms of what they stand for."""
     n, (m, k, _) = len(x), books.shape
     norms = (books * books).sum(axis=2)
-    rest = x.astype(np.float32)[:, None, :]
+    rest = np.clip(x, -FAR, FAR).astype(np.float32)[:, None, :]
     codes = np.zeros((n, 1, 0), np.int16)
     error = np.zeros((n, 1), np.float32)
     for j in range(m):
@@ -133,33 +144,41 @@ def visits_needed(sample: np.ndarray, books: np.ndarray, level: int, cells: np.n
 class Part:
     """Vectors of one part of a cell, that queries are scored against."""
 
-    def __init__(self, held: list[pa.RecordBatch], books: np.ndarray) -> None:
+    def __init__(self, held: list[pa.RecordBatch], books: np.ndarray, centre: np.ndarray | float = 0.0, unit: float = 1.0) -> None:
         rows = pa.Table.from_batches(held)
         ids = rows.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
         kind = np.uint8 if books.shape[1] <= 256 else np.int16
         codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), kind).reshape(len(ids), -1)
-        self.books, self.ids, self.x = books, ids[order], matrix(rows.column("vector"))[order]
-        self.codes, self.norms = codes[order].astype(np.int64), rows.column("norm").to_numpy()[order].astype(np.float32)
+        self.books, self.ids, self.x = books.astype(np.float64), ids[order], matrix(rows.column("vector"))[order]
+        self.codes, self.centre, self.unit = codes[order].astype(np.int64), centre, unit
+        whole = sum(self.books[j][self.codes[:, j]] for j in range(len(books)))
+        self.norms = (whole * whole).sum(axis=1)
+        self.errors = np.sqrt((((self.x - centre) / unit - whole) ** 2).sum(axis=1))
 
     def answer(self, asks: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-        """Score queries by tables of products, and rank the best again by exact distance."""
+        """Score queries by tables of products, and rank by exact distance until no other row can be among the nearest."""
         ids = self.ids
         step = max(1, (1 << 22) // len(ids))
         for a in range(0, len(q_ids), step):
             found = []
-            table = np.einsum("qd,jkd->jqk", q[a : a + step].astype(np.float32), self.books)
+            own = (q[a : a + step] - self.centre) / self.unit
+            length = (own * own).sum(axis=1)
+            table = np.einsum("qd,jkd->jqk", own, self.books)
             value = np.repeat(self.norms[None], len(table[0]), axis=0)
             for j in range(len(self.books)):
                 value -= 2 * table[j][:, self.codes[:, j]]
             for i, v in enumerate(value):
-                pick = np.arange(len(ids))
+                others = ids != q_ids[a + i]
+                pick = np.flatnonzero(others)
                 if len(ids) > RERANK:
-                    # Ties at the border go to the smallest ids.
-                    border = np.partition(v, RERANK - 1)[RERANK - 1]
-                    below, equal = np.flatnonzero(v < border), np.flatnonzero(v == border)
-                    pick = np.sort(np.concatenate([below, equal[: RERANK - len(below)]]))
-                pick = pick[ids[pick] != q_ids[a + i]]
+                    first = np.argpartition(v, RERANK - 1)[:RERANK]
+                    first = first[others[first]]
+                    distance = np.sqrt(((self.x[first] - q[a + i]) ** 2).sum(axis=1))
+                    if len(first) >= k:
+                        most = np.partition(distance, k - 1)[k - 1] / self.unit
+                        slack = ROUNDING * (np.sqrt(length[i]) + np.sqrt(self.norms) + self.errors)
+                        pick = np.flatnonzero(others & (np.sqrt(np.maximum(v + length[i], 0)) - self.errors - slack <= most))
                 distance = np.sqrt(((self.x[pick] - q[a + i]) ** 2).sum(axis=1))
                 best = np.lexsort((ids[pick], distance))[:k]
                 found.append((np.full(len(best), asks[a + i]), np.full(len(best), q_ids[a + i]), ids[pick][best], distance[best]))
@@ -189,17 +208,19 @@ def search(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     size = int(chosen["embedding"].map(len).mode()[0])
     sample = np.stack(chosen["embedding"][chosen["embedding"].map(len) == size].to_numpy()).astype(np.float64)
     rows = rows.where(F.size("embedding") == size)
+    centre, unit = unit_of(sample)
+    sample = (sample - centre) / unit
     shared = spark.sparkContext.broadcast(fit(sample))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            codes, norms = encode(matrix(b.column(1)), shared.value)
+            codes, _ = encode((matrix(b.column(1)) - centre) / unit, shared.value)
             cells = [pa.array(x, pa.int32()) for x in cell_numbers(codes, shared.value.shape[1])]
-            columns = [b.column(0), b.column(1), b.column(2), *cells, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "embedding", "asks", *[f"cell_{n}" for n in range(1, len(cells) + 1)], "codes", "norm"])
+            columns = [b.column(0), b.column(1), b.column(2), *cells, pa.array([c.tobytes() for c in codes], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "embedding", "asks", *[f"cell_{n}" for n in range(1, len(cells) + 1)], "codes"])
 
     names = [f"cell_{n}" for n in range(1, min(LEVELS, BOOKS) + 1)]
-    coded = cut(rows.mapInArrow(index, f"vec_id long, embedding {vector}, asks boolean, {', '.join(f'{x} int' for x in names)}, codes binary, norm float"))
+    coded = cut(rows.mapInArrow(index, f"vec_id long, embedding {vector}, asks boolean, {', '.join(f'{x} int' for x in names)}, codes binary"))
     level = next((n for n in range(1, len(names)) if WORDS**n * CELL >= coded.count()), len(names))
     coded = coded.withColumn("cell", F.col(f"cell_{level}"))
     # A row a cell: WORDS ** LEVELS bounds them.
@@ -214,7 +235,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
         cells, parts = held_by.value
         for b in slices(batches):
             own = np.searchsorted(cells, b.column(3).to_numpy())
-            near = visiting_order(matrix(b.column(2)), own, cell_centres(cells, shared.value, level))[:, :visits].ravel()
+            near = visiting_order((matrix(b.column(2)) - centre) / unit, own, cell_centres(cells, shared.value, level))[:, :visits].ravel()
             times = parts[near]
             take = np.repeat(np.repeat(np.arange(b.num_rows), visits), times)
             cell, part = np.repeat(cells[near], times), np.arange(len(take)) - np.repeat(np.cumsum(times) - times, times)
@@ -228,7 +249,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     asked = asked.mapInArrow(go, f"cell int, part int, ask long, id long, vector {vector}")
     part_of = spark.createDataFrame([(int(c), int(p)) for c, p in zip(cells, parts, strict=True)], "cell int, parts int")
     part = F.pmod(F.monotonically_increasing_id(), F.col("parts")).cast("int").alias("part")
-    held = coded.join(F.broadcast(part_of), "cell").select("cell", part, F.lit(None).cast("long").alias("ask"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "codes", "norm")
+    held = coded.join(F.broadcast(part_of), "cell").select("cell", part, F.lit(None).cast("long").alias("ask"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "codes")
     both = held.unionByName(asked, allowMissingColumns=True).withColumn("asking", F.col("ask").isNotNull().cast("int"))
     both = both.repartition("cell", "part").sortWithinPartitions("cell", "part", "asking")
 
@@ -245,7 +266,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
                 if not place[2, a]:
                     held.append(own)
                 elif held:
-                    ready = ready or Part(held, shared.value)
+                    ready = ready or Part(held, shared.value, centre, unit)
                     yield from ready.answer(own.column("ask").to_numpy(), own.column("id").to_numpy(), matrix(own.column("vector")), k)
 
     near = both.mapInArrow(score, "ask long, query_id long, vec_id long, score double")
