@@ -70,7 +70,8 @@ def bootstrap_series(per_draw: DataFrame, column: str, block: int = 10, resample
                 yield pd.DataFrame({"r": r, "start": starts, "length": length})
 
     wanted = spark.range(0, resamples, 1, -(-resamples // TOGETHER)).mapInPandas(run, "r long, start long, length int")
-    totals = wanted.join(block_sums(series, n, block, size), ["start", "length"]).groupBy("r", "config").agg((F.sum("total") / n).alias("mean"))
+    # Spark takes the rows that Python makes for few and would send them all through the driver, so the join is a sorted one.
+    totals = wanted.hint("merge").join(block_sums(series, n, block, size), ["start", "length"]).groupBy("r", "config").agg((F.sum("total") / n).alias("mean"))
     ends = totals.groupBy("config").agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     out = by_config.select("config", "mean").join(ends, "config")
     return out.select("config", "mean", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), F.lit(resamples).cast("long").alias("resamples"))
