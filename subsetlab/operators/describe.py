@@ -312,23 +312,56 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return shift + (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series
 
 
+#: Draws between two bands up to which one follows from the other, and nearness to a level at which it is worked out anew.
+STEPS, NEAR = 200, 1e-9
+
+
+def _band_ends(t: int, p: float, levels: tuple[float, ...]) -> list[tuple[int, float, float]]:
+    """Return for each level the least count whose chance up to it is the level or more, that chance, and the count's own.
+
+    Chances are added up from far below the mean, where nothing is left, to above the upper end.
+    """
+    spread = 12 * math.sqrt(t * p * (1 - p)) + 12
+    x = np.arange(max(0, int(t * p - spread)), min(t, int(t * p + spread)) + 1, dtype=np.float64)
+    own = np.exp(math.lgamma(t + 1) - log_gamma(x + 1) - log_gamma(t - x + 1) + x * math.log(p) + (t - x) * math.log1p(-p))
+    cum = np.cumsum(own)
+    at = np.minimum(np.searchsorted(cum, levels), len(x) - 1)
+    return [(int(x[i]), float(cum[i]), float(own[i])) for i in at]
+
+
+def _next_end(t: int, p: float, level: float, end: tuple[int, float, float]) -> tuple[int, float, float]:
+    """Return the end for t + 1 draws from that for t: it is the same or one more, as one more draw adds one at most."""
+    x, upto, own = end
+    upto -= p * own
+    own *= (t + 1) * (1 - p) / (t + 1 - x)
+    if upto < level:
+        own *= (t + 1 - x) / (x + 1) * p / (1 - p)
+        x, upto = x + 1, upto + own
+    return x, upto, own
+
+
 def bands_by_draw(draws: DataFrame) -> DataFrame:
     """Return t, expected, band_lo and band_hi of a number's running count, for every draw.
 
-    Chances are added up from far below the mean, where nothing is left, to above the upper end.
+    A band follows from that of the draw before in a few steps; the first of a run, and any whose end is so near to its level
+    that rounding could decide it, is worked out from all chances.
     """
-    p, low, high = P_MAIN, 0.025, 0.975
+    p, levels = P_MAIN, (0.025, 0.975)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for t in batch["t"].tolist():
-                spread = 12 * math.sqrt(t * p * (1 - p)) + 12
-                x = np.arange(max(0, int(t * p - spread)), min(t, int(t * p + spread)) + 1, dtype=np.float64)
-                fixed = math.lgamma(t + 1)
-                cum = np.cumsum(np.exp(fixed - log_gamma(x + 1) - log_gamma(t - x + 1) + x * math.log(p) + (t - x) * math.log1p(-p)))
-                at = np.minimum(np.searchsorted(cum, [low, high]), len(x) - 1)
-                rows.append((t, t * p, int(x[at[0]]), int(x[at[1]])))
+            rows, last, ends = [], None, []
+            for t in sorted(batch["t"].tolist()):
+                if last is not None and t - last <= STEPS:
+                    for s in range(last, t):
+                        ends = [_next_end(s, p, level, end) for level, end in zip(levels, ends, strict=True)]
+                    sure = all(abs(upto - level) > NEAR and abs(upto - own - level) > NEAR for level, (_, upto, own) in zip(levels, ends, strict=True))
+                else:
+                    sure = False
+                if not sure:
+                    ends = _band_ends(t, p, levels)
+                last = t
+                rows.append((t, t * p, ends[0][0], ends[1][0]))
             yield pd.DataFrame(rows, columns=["t", "expected", "band_lo", "band_hi"])
 
     ship(draws.sparkSession)
