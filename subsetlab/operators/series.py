@@ -6,6 +6,7 @@ its draws, over all draws or the last few, then are differences of cumulative su
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -14,10 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subsetlab.model import MAIN, N, main_array
-from subsetlab.session import ship
+from subsetlab.session import cut, ship
 
 #: Draws of a chunk that hands its last rows on, and of one that is counted in memory (4 MB for each N counts a draw).
 CHUNK, BLOCK = 100_000, 10_000
+#: Draws of a task that gathers chunks, about: it doesn't grow with the series.
+PART_DRAWS = 50_000
 
 
 def halo(rows: DataFrame, most: int, size: int | None = None) -> DataFrame:
@@ -50,15 +53,21 @@ class Chunk:
 
 
 def prepared(draws: DataFrame, most: int, size: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Return the rows of chunks (see ``halo``), and _of (their chunk) and base: the counts of all N numbers before each chunk."""
-    rows = halo(draws.select("t", *MAIN), most, size or BLOCK)
+    """Return the rows of chunks (see ``halo``), and _of (their chunk) and base: the counts of all N numbers before each chunk.
+
+    Draws are derived once and written; both results come in the same parts, of about PART_DRAWS draws each.
+    """
+    draws = cut(draws.select("t", *MAIN))
+    parts = max(1, math.ceil(draws.count() / PART_DRAWS))
+    rows = halo(draws, most, size or BLOCK)
     own = rows.where("_own").select("_chunk", main_array().alias("main"))
     counts = own.select("_chunk", F.explode("main").alias("num")).groupBy("_chunk", "num").agg(F.count(F.lit(1)).alias("n"))
     every = own.select("_chunk").distinct().withColumn("num", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(N).cast("long"))))
     before = Window.partitionBy("num").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = every.join(counts, ["_chunk", "num"], "left").withColumn("s", F.coalesce(F.sum("n").over(before), F.lit(0)))
     base = F.transform(F.array_sort(F.collect_list(F.struct("num", "s"))), lambda x: x["s"])
-    return rows, sums.groupBy(F.col("_chunk").alias("_of")).agg(base.alias("base"))
+    bases = sums.groupBy(F.col("_chunk").alias("_of")).agg(base.alias("base"))
+    return rows.repartition(parts, "_chunk"), bases.repartition(parts, "_of")
 
 
 def by_chunk(parts: tuple[DataFrame, DataFrame], work: Callable[[Chunk], dict[str, np.ndarray]], schema: str) -> DataFrame:

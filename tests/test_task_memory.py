@@ -2,8 +2,10 @@
 
 import datetime as dt
 import random
+import re
 
 from subsetlab import model
+from subsetlab.operators import describe, series
 
 
 def tables(spark):
@@ -26,3 +28,18 @@ def test_lines_of_a_task(spark, monkeypatch):
     executed = draws._jdf.queryExecution().executedPlan().toString().splitlines()
     by_order = [x for x in executed if "Exchange hashpartitioning(l_orderkey" in x]
     assert by_order and all("REPARTITION_BY_NUM" in x for x in by_order)
+
+
+def test_draws_of_a_task_that_gathers_chunks(spark, monkeypatch):
+    monkeypatch.setattr(series, "BLOCK", 10)
+    monkeypatch.setattr(series, "PART_DRAWS", 30, raising=False)
+    lineitem, orders, _ = tables(spark)
+    draws = model.derive_draws(lineitem, orders)
+    n = draws.count()
+    counts = describe.counts_and_before(draws, (7,))
+    assert counts.count() == n * model.N
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    # Draws aren't derived again for each use, and chunks go to parts of fixed size, on both sides and once.
+    assert "l_orderkey" not in plan
+    for key in ("_chunk", "_of"):
+        assert re.search(rf"Exchange hashpartitioning\({key}#\d+L?, {-(-n // 30)}\), REPARTITION_BY_NUM", plan)
