@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subsetlab.llm.shared import ARROW_ROWS, give_back, map_batches, text_bytes
+from subsetlab.llm.shared import give_back, map_batches, slices, text_bytes
 from subsetlab.llm.words import mixed, split_words
 from subsetlab.session import ship
 
@@ -141,19 +141,23 @@ def quality(docs: DataFrame) -> DataFrame:
     return map_batches(rows, work, ", ".join(f"{k} {v}" for k, v in COLUMNS.items()))
 
 
+def verdicts(text: pa.Array) -> pa.Array:
+    """Tell of each text whether the rules keep it, few texts at once: a batch of Spark has thousands."""
+    kept = [np.zeros(0, bool)]
+    for part in slices([pa.RecordBatch.from_arrays([text], names=["text"])]):
+        kept.append(measure(text_bytes(part.column(0)))["kept"])
+    return give_back(pa.array(np.concatenate(kept)))
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
     """Return the rows of ``docs`` whose text the rules keep, with all their columns, without a shuffle.
 
     The measures run over the text column of a row in place, so equal or null doc_ids make no difference.
     """
 
-    @F.pandas_udf("boolean")
-    def good(text):  # a pandas Series of strings to one of booleans
-        import pandas as pd
-
-        parts = [text.iloc[k : k + ARROW_ROWS] for k in range(0, len(text), ARROW_ROWS)]
-        kept = [measure([(x or "").encode() for x in part])["kept"] for part in parts]
-        return give_back(pd.Series(np.concatenate(kept) if kept else [], index=text.index, dtype=bool))
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        return verdicts(text)
 
     ship(docs.sparkSession)
     return docs.where(good(F.col("text")))

@@ -20,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows that are worked on at once. Texts can be long, so they are few; Spark bounds the bytes of a batch.
 ARROW_ROWS = 512
+#: Slices after which a worker gives freed memory back: what libraries keep of it adds up over a task.
+GIVE = 4
 #: Bytes of a row group of intermediate tables.
 ROW_GROUP = 16 << 20
 #: A key with more rows than one part holds is hot (``part_rows``): ROWS, or a SHARE-th of all rows where they are few,
@@ -74,10 +76,14 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Yield Arrow batches in slices of few rows."""
+    """Yield Arrow batches in slices of few rows; what work on them has freed goes back to the system on the way."""
+    done = 0
     for batch in batches:
         for at in range(0, batch.num_rows, ARROW_ROWS):
             yield batch.slice(at, ARROW_ROWS)
+            done += 1
+            if done % GIVE == 0:
+                give_back()
 
 
 def part_rows(total: int) -> int:
