@@ -19,8 +19,8 @@ from subsetlab.llm.words import Words, ragged, split_words
 
 #: Pieces whose ids one worker keeps, and their bytes; a batch may pass them.
 PIECES, BYTES = 400_000, 32 << 20
-#: A piece of Latin letters and then marks: pre-tokens are the letters, and the marks if there are any.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&]*)")
+#: A line each: a piece of Latin letters and then marks, whose pre-tokens are the letters, and the marks if there are any; or any other piece.
+PLAIN = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&]*)|(.*))$", re.MULTILINE)
 
 
 #: Cores whose ids one worker keeps, and ids that a table keeps before it is emptied.
@@ -100,17 +100,17 @@ class Cores:
         self.cores.update(zip(cores, range(n, n + len(cores)), strict=True))
 
     def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = list(map(PLAIN.fullmatch, pieces))
-        heads = [m[1].lower() if m else x for m, x in zip(found, pieces, strict=True)]
-        marks = [m[2] if m else "" for m in found]
+        # Pieces hold no line end: one search finds the parts of all of them.
+        letters, marks, others = zip(*PLAIN.findall("\n".join(pieces)), strict=True) if pieces else ((), (), ())
+        letters = "\n".join(letters).lower().split("\n")
         if len(self.cores) > CORES or self.pooled > POOL:
             self._empty()
-        new = [x for x in {*heads, *marks} if x not in self.cores]
-        plain = [x for x in new if PLAIN.fullmatch(x)]
+        plain = list({*letters}.difference(self.cores, ("",)))
         for k in range(0, len(plain), 500):
             self._keep(plain[k : k + 500], True)
-        self._keep([x for x in new if x not in self.cores], False)
+        self._keep(list({*marks, *others}.difference(self.cores)), False)
         n = len(pieces)
+        heads = [x or y for x, y in zip(letters, others, strict=True)] if n else []
         both = np.empty((n, 2), np.int64)
         both[:, 0] = np.fromiter(map(self.cores.__getitem__, heads), np.int64, n)
         both[:, 1] = np.fromiter(map(self.cores.__getitem__, marks), np.int64, n)

@@ -69,7 +69,7 @@ class Words:
     def codes(self) -> tuple[np.ndarray, list[bytes]]:
         """Return what ``dictionary`` does, the dictionary as a list."""
         code, words = self.dictionary()
-        return code, words.to_pylist()
+        return code, words.to_numpy(zero_copy_only=False).tolist()
 
     def hashes(self) -> np.ndarray:
         """Return a 64-bit hash of every word; equal words have equal hashes. Different words may share one.
