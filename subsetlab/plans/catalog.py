@@ -203,7 +203,7 @@ def queries() -> dict[str, Query]:
         "effects": on_draws(lambda d: infer.effects(cut(d))),
         "special_ranks": on_draws(infer.special_ranks),
         "exploratory": on_draws(lambda d: infer.exploratory(cut(d)).drop("p")),
-        "exploratory_p": on_draws(lambda d: montecarlo.exploratory(cut(d.where("t <= 1190")), 200)),
+        "exploratory_p": on_draws(lambda d: montecarlo.exploratory(cut(d), 200)),
         "confirmatory_family": on_draws(lambda d: montecarlo.family(d.where("t <= 1190"), 200)),
         "baseline_experiment": on_draws(lambda d: montecarlo.experiment(d.where("t <= 700"), 50)),
         "mc_reference": lambda spark, sf_dir: rounded(montecarlo.mc_reference(spark, 1190, 999, (50, 100), 100)),

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subsetlab.functions import nulls
-from subsetlab.model import K, MAIN, N
+from subsetlab.model import K, MAIN, N, SUMS
 from subsetlab.operators.infer import LAGS, MEDIAN_SUM, OVERLAP_MEAN, OVERLAP_VARIANCE, STEP, WINDOW
 from subsetlab.session import ship
 
@@ -30,8 +30,8 @@ REFERENCE_MAIN, REFERENCE_SPECIAL = 1, 2
 REPLICATES, MORE_REPLICATES = 10_000, 100_000
 #: Level of the decisions, and an interval around it: if an adjusted p-value lies there, the family is computed again with more replicates.
 LEVEL, ESCALATE = 0.05, (0.04, 0.06)
-#: Draws that a kernel holds at once.
-AT_ONCE = 60_000
+#: Draws that a kernel holds at once, and those of a block that are simulated in a processor's cache.
+AT_ONCE, BLOCK = 60_000, 4_000
 
 
 def generator(seed: int, stream: int, skip: int = 0) -> np.random.Generator:
@@ -281,16 +281,47 @@ def follow_up(draws: DataFrame, test: str, replicates: int = 1000, seed: int = S
 RANKS, BINS, MOST = 103, 104, 2000
 
 
+def _blocks(n: int) -> Iterator[tuple[int, int]]:
+    """Return begins and sizes of blocks of n draws: a task holds one of them, however long the series is."""
+    for a in range(0, n, BLOCK):
+        yield a, min(BLOCK, n - a)
+
+
+def sum_counts(seed: int, stream: int, first: int, n: int) -> np.ndarray:
+    """Return how often each sum (its place) occurs in replicate ``first`` of n draws, the same draws as ``simulate`` makes."""
+    rng, out = generator(seed, stream, first * n * N), np.zeros(SUMS[1] + 1, np.int64)
+    # A draw has the numbers of its K least chances; the offset tells how many were found.
+    offset = SUMS[1] + 1
+    number = np.arange(1, N + 1) + float(offset)
+    for _, c in _blocks(n):
+        x = rng.random((c, N))
+        sums = ((x <= np.partition(x, K - 1, axis=1)[:, K - 1 : K]) @ number).astype(np.int64) - K * offset
+        if sums.max() > SUMS[1]:
+            # Equal chances: the order decides.
+            sums = (x.argsort(axis=1)[:, :K] + 1).sum(axis=1)
+        out += np.bincount(sums, minlength=len(out))
+    return out
+
+
+def rank_counts(rng: np.random.Generator, special: int) -> np.ndarray:
+    """Return how often each rank among the numbers not drawn occurs in the next ``special`` ones."""
+    out = np.zeros(N - K, np.int64)
+    for _, c in _blocks(special):
+        out += np.bincount(rng.integers(1, N - K + 1, c) - 1, minlength=N - K)
+    return out
+
+
 def _rank_states(spark: SparkSession, replicates: int, special: int, seed: int) -> DataFrame:
     """Return first, count and state: ranges of replicates, each with the state of the one generator of ranks at its begin.
 
-    The driver runs through the generator once, a replicate at a time; ranges are the same rows whatever their number.
+    The driver runs through the generator once, a block at a time; ranges are the same rows whatever their number.
     """
     rng, rows = generator(seed, RANKS), []
     for first, count in sorted((r["first"], r["count"]) for r in _ranges(spark, replicates).collect()):
         rows.append((first, count, pickle.dumps(rng.bit_generator.state)))
         for _ in range(count):
-            rng.integers(1, N - K + 1, special)
+            for _, c in _blocks(special):
+                rng.integers(1, N - K + 1, c)
     return spark.createDataFrame(rows, "first long, count long, state binary").repartition(max(len(rows), 1))
 
 
@@ -298,6 +329,7 @@ def exploratory(draws: DataFrame, replicates: int = REPLICATES, seed: int = SEED
     """Add simulated p-values to the exploratory statistics that have no limit of their own, and how many replicates gave them (at most MOST).
 
     Both streams of numbers are those of one generator from begin to end, so results don't depend on how replicates are dealt.
+    A task simulates its replicates block by block and keeps counts only, so series may have any length.
     """
     from subsetlab.operators import infer
 
@@ -308,19 +340,18 @@ def exploratory(draws: DataFrame, replicates: int = REPLICATES, seed: int = SEED
     edges, chances = np.array([a for a, _, _ in bins]), np.array([p for *_, p in bins])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Sums below the first edge don't occur.
+        bin_of = np.maximum(np.searchsorted(edges, np.arange(SUMS[1] + 1), side="right") - 1, 0)
         for batch in batches:
             for first, own, state in batch.itertuples(index=False):
                 rng = generator(seed, RANKS)
                 rng.bit_generator.state = pickle.loads(state)
-                for a, c in _portions(first, own, n):
-                    main, _ = simulate(generator(seed, BINS, a * n * N), c, n)
-                    sums, rows = np.searchsorted(edges, main.astype(np.int64).sum(axis=2), side="right") - 1, []
-                    for i in range(c):
-                        o = np.bincount(sums[i], minlength=len(edges))
-                        ranks = np.bincount(rng.integers(1, N - K + 1, special) - 1, minlength=N - K)
-                        e = special / (N - K)
-                        rows.append((float(((o - n * chances) ** 2 / (n * chances)).sum()), float(((ranks - e) ** 2 / e).sum()) if special else float("nan")))
-                    yield pd.DataFrame(rows, columns=["sum_bins", "special_rank"])
+                rows = []
+                for a in range(first, first + own):
+                    o = np.bincount(bin_of, weights=sum_counts(seed, BINS, a, n), minlength=len(edges))
+                    ranks, e = rank_counts(rng, special), special / (N - K)
+                    rows.append((float(((o - n * chances) ** 2 / (n * chances)).sum()), float(((ranks - e) ** 2 / e).sum()) if special else float("nan")))
+                yield pd.DataFrame(rows, columns=["sum_bins", "special_rank"])
 
     reps = _rank_states(spark, count, special, seed).mapInPandas(run, "sum_bins double, special_rank double")
     seen = infer.exploratory(draws).cache()
