@@ -16,7 +16,7 @@ and keep the buckets' keys long.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -72,9 +72,9 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_hashes(texts: list[bytes], words_in_shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Return the hashes of the texts' (UTF-8) shingles, and where each text's begin: A-Z lower-cased, with repeats, XXH64 with seed 42."""
-    n, digest = words_in_shingle, xxhash.xxh64_intdigest
+def shingle_hashes(texts: list[bytes], words_in_shingle: int, digest: Callable[[bytes, int], int] = xxhash.xxh64_intdigest, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Return the hashes of the texts' (UTF-8) shingles, and where each text's begin: A-Z lower-cased, with repeats, XXH64 with seed 42 by default."""
+    n = words_in_shingle
     hashes: list[int] = []
     start: list[int] = []
     for text in texts:
@@ -84,12 +84,12 @@ def shingle_hashes(texts: list[bytes], words_in_shingle: int) -> tuple[np.ndarra
             continue
         line = b" ".join(words)
         if len(words) <= n:
-            hashes.append(digest(line, SEED))
+            hashes.append(digest(line, seed))
             continue
         size = np.fromiter(map(len, words), np.int64, len(words))
         stop = np.cumsum(size + 1) - 1
         a, z = (stop - size)[: len(words) - n + 1].tolist(), stop[n - 1 :].tolist()
-        hashes += [digest(line[x:y], SEED) for x, y in zip(a, z, strict=True)]
+        hashes += [digest(line[x:y], seed) for x, y in zip(a, z, strict=True)]
     return np.array(hashes, dtype=np.uint64), np.array(start, dtype=np.int64)
 
 
